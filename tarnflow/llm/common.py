@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are tokenised in runs of about this many bytes, which bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
@@ -127,3 +128,17 @@ def runs(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[
         total += len(text)
     if out:
         yield at, out
+
+
+def mapped(df: DataFrame, fields: str, new: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """Adds columns (``fields`` as DDL) that ``new`` computes from Arrow batches; columns of the same names are replaced."""
+    added = T.StructType.fromDDL(fields)
+    rest = df.drop(*added.names)
+    names = rest.columns
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            kept = batch.select(names)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *new(batch)], names=[*names, *added.names])
+
+    return df.mapInArrow(batches, T.StructType([*rest.schema.fields, *added.fields]))

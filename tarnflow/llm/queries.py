@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontaminate, mixing, secrets
+from tarnflow.llm import decontaminate, mixing, quality, secrets, toxicity
 from tarnflow.llm import spans as S
-from tarnflow.llm.common import read
+from tarnflow.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", *mixing.FIELDS)
+
+
+def _judged(scored: DataFrame, held_out: tuple[int, int], threshold: float) -> DataFrame:
+    modulus, left_out = held_out
+    return scored.select("doc_id", (fold("doc_id", modulus) == left_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))), quality.HELD_OUT, quality.THRESHOLD)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))), toxicity.HELD_OUT, toxicity.THRESHOLD)

@@ -75,9 +75,9 @@ def seats(parties: DataFrame, votes: str, to_give: Column, within: list[str], or
     return joined.select(*parties.columns, F.when(F.col(votes) > 0, F.col("_from") + F.coalesce("_won", F.lit(0))).otherwise(0).cast("long").alias("seats"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """The documents with ``size``, ``source_size``, ``target`` (of the source) and ``taken`` (words of it in the mix, repeats counted)."""
-    names = [c for c in docs.columns if c not in FIELDS]
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+    """The documents (their columns ``carry``, by default all) with ``size``, ``source_size``, ``target`` (of the source) and ``taken`` (words of it in the mix, repeats counted)."""
+    names = [c for c in (docs.columns if carry is None else carry) if c not in FIELDS]
     sized = docs.select(
         *(F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)),
         source_key(F.col(source)).alias("key"),

@@ -46,7 +46,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", *mixing.FIELDS)
+    return mixing.mix(read(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def _judged(scored: DataFrame, held_out: tuple[int, int], threshold: float) -> DataFrame:

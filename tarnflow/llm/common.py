@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnflow.operators.session import checkpointed as checkpointed
+
 #: Texts are tokenised in runs of about this many bytes, which bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
 
@@ -21,16 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder that the session names;
-    a folder of our own is set only where none is set (tests on one machine)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or "/tmp/tarnflow-checkpoints")
-    return df.checkpoint()
-
-
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontaminate, mixing, quality, secrets, toxicity
+from tarnflow.llm import decontaminate, mixing, quality, secrets, simhash, toxicity
 from tarnflow.llm import spans as S
 from tarnflow.llm.common import fold, read
 
@@ -64,3 +64,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return _judged(toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))), toxicity.HELD_OUT, toxicity.THRESHOLD)
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), size=4, words=1, radius=4)
+    return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))

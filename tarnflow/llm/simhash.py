@@ -4,8 +4,8 @@
    fingerprints are one from here on, so copies cost one row.
 2. Fingerprints that may be close meet in tables keyed by some of their bits: with ``exact_tables`` any two within the
    radius agree in all key bits of one table, whatever the data; ``sampled_tables`` do so with a probability.
-3. The members of a key are compared bit-sliced (``bitsliced``). A key of more than ``CHUNK`` members is dealt into
-   chunks, and each pair of chunks is a task's group of its own, so that no group grows with the data and no link is lost.
+3. The members of a key are compared bit-sliced (``bitsliced``), a key of more than ``CHUNK`` members in pairs of chunks
+   (``blocks``), so that no group grows with the data and no link is lost.
 4. A group hands on a spanning forest of its links; components come from alternating stars.
 
 Words are runs of non-space characters, A-Z lower-cased; a text of fewer words than a shingle is one shingle; a text
@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm import bitsliced as B
+from tarnflow.llm import blocks
 from tarnflow.llm import common as C
 from tarnflow.operators.components import connected_components
 
 SEED = 42
 #: Members of a key that are compared as one block.
 CHUNK = 2048
-#: Keys with more members than CHUNK are broadcast up to this number, else joined.
-MOST_BROADCAST = 500_000
 #: Groups of up to this many members are compared together, pair by pair.
 _SMALL = 48
+_NO_LINKS = pa.RecordBatch.from_pylist([], pa.schema([("src", pa.binary()), ("dst", pa.binary())]))
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -103,87 +103,33 @@ def keyed(prints: DataFrame, tables: list[np.ndarray], width: int) -> DataFrame:
     return prints.mapInArrow(rows, "t int, key long, print binary")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Adds chunk and the pair (a, b) of chunks: a row of a key with n chunks is in n groups, of any two chunks one."""
-    large = rows.groupBy("t", "key").count().filter(F.col("count") > CHUNK)
-    large = C.checkpointed(large.select("t", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")))
-    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    out = rows.join(F.broadcast(large) if few else large, ["t", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    out = out.withColumn("chunk", F.pmod(F.xxhash64("print"), F.col("n")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return out.select("t", "key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "print")
-
-
 def forest(prints: np.ndarray, group: np.ndarray, crossed: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the same group within the radius, as (row, smaller row of its class). ``group``: ascending group numbers.
-    ``crossed``: -1, or in a group of two chunks the side; there only the sides are compared with each other."""
-    n = len(group)
-    labels = np.arange(n)
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    sizes = np.diff(np.append(first, n))
-    small = np.repeat(sizes <= _SMALL, sizes)
-    for step in range(1, _SMALL):
-        i = np.flatnonzero((group[:-step] == group[step:]) & small[:-step] & ((crossed[:-step] < 0) | (crossed[:-step] != crossed[step:]))) if n > step else []
-        if not len(i):
-            if not (sizes[sizes <= _SMALL] > step).any():
-                break
-            continue
+    """Rows of the same group within the radius, as (row, smaller row of its class)."""
+    labels = np.arange(len(group))
+    for step, i in blocks.near_rows(group, crossed, _SMALL):
         hit = i[B.close_in_pairs(prints[i], prints[i + step], radius)]
         B.merge(labels, hit, hit + step)
-    for at, size in zip(first[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        rows = np.arange(at, at + size)
-        sides = crossed[rows]
-        left, right = (rows, rows) if sides[0] < 0 else (rows[sides == 0], rows[sides == 1])
-        if len(left) and len(right):
-            for i, j in B.close_across(prints[left], prints[right], radius):
-                B.merge(labels, left[i], right[j])
-    moved = np.flatnonzero(labels != np.arange(n))
+    for left, right in blocks.large_groups(group, crossed, _SMALL):
+        for i, j in B.close_across(prints[left], prints[right], radius):
+            B.merge(labels, left[i], right[j])
+    moved = np.flatnonzero(labels != np.arange(len(group)))
     return moved, labels[moved]
 
 
 def links(rows: DataFrame, width: int, radius: int) -> DataFrame:
     """(src, dst): a spanning forest of the links within each group."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            cols = [np.asarray(table[c]) for c in ("t", "key", "a", "b")]
-            fresh = np.zeros(len(table), bool)
-            for c in cols:
-                fresh[1:] |= c[1:] != c[:-1]
-            a, b, chunk = cols[2], cols[3], np.asarray(table["chunk"])
-            prints = _as_matrix(table["print"], width)
-            i, j = forest(prints, np.cumsum(fresh), np.where(a == b, -1, (chunk == b).astype(int)), radius)
-            column = table["print"].combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            return pa.RecordBatch.from_arrays([column.take(pa.array(i)), column.take(pa.array(j))], names=["src", "dst"])
+    def flush(table: pa.Table, group: np.ndarray, crossed: np.ndarray) -> pa.RecordBatch:
+        i, j = forest(_as_matrix(table["print"], width), group, crossed, radius)
+        return pa.table({"src": table["print"].take(pa.array(i)), "dst": table["print"].take(pa.array(j))}).combine_chunks().to_batches(len(i) or None)[0] if len(i) else _NO_LINKS
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            # The last group may go on in the next batch.
-            last = [table[c][len(table) - 1] for c in ("t", "key", "a", "b")]
-            same = np.ones(len(table), bool)
-            for c, x in zip(("t", "key", "a", "b"), last, strict=True):
-                same &= np.asarray(table[c]) == x.as_py()
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            held = table.slice(cut)
-            if cut:
-                yield flush(table.slice(0, cut))
-        if held is not None and len(held):
-            yield flush(held)
-
-    group = ["t", "key", "a", "b"]
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "src binary, dst binary")
+    return blocks.compared(rows, ["t", "key"], "src binary, dst binary", flush)
 
 
 def classes(prints: DataFrame, tables: list[np.ndarray], width: int, radius: int) -> DataFrame:
     """(node, component) of the distinct fingerprints ``print`` that have a link to another."""
-    rows = keyed(prints, tables, width)
-    return connected_components(links(dealt(rows), width, radius))
+    rows = blocks.dealt(keyed(prints, tables, width), ["t", "key"], "print", CHUNK)
+    return connected_components(links(rows, width, radius))
 
 
 def near_duplicates(docs: DataFrame, size: int, words: int, radius: int, tables: list[np.ndarray] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontaminate, embeddings, mixing, quality, secrets, simhash, toxicity
+from tarnflow.llm import decontaminate, embeddings, html, mixing, quality, secrets, simhash, toxicity
 from tarnflow.llm import spans as S
 from tarnflow.llm.common import fold, read
 
@@ -75,3 +75,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontaminate, embeddings, html, mixing, quality, secrets, simhash, toxicity
+from tarnflow.llm import decontaminate, embeddings, html, mixing, pii, quality, secrets, simhash, toxicity
 from tarnflow.llm import spans as S
 from tarnflow.llm.common import fold, read
 
@@ -80,3 +80,15 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.scan(docs, pii.train(docs))
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(S.written(F.col("base")), 256).alias("base_sha256"),
+        S.written(F.col("pii_spans")).alias("spans"),
+    )

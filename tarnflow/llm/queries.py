@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontaminate, embeddings, html, mixing, pii, quality, secrets, simhash, toxicity
+from tarnflow.llm import decontaminate, embeddings, html, licences, mixing, pii, quality, secrets, simhash, toxicity
 from tarnflow.llm import spans as S
 from tarnflow.llm.common import fold, read
 
@@ -92,3 +92,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(S.written(F.col("base")), 256).alias("base_sha256"),
         S.written(F.col("pii_spans")).alias("spans"),
     )
+
+
+@query
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source's documents of a language are a directory of the source's."""
+    part = lambda c: F.coalesce(F.col(c), F.lit("_"))
+    files = read(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", part("source"), part("lang"), F.col("doc_id").cast("string")).alias("path"))
+    return licences.scan(files).withColumn("similarity", F.round("similarity", 6))

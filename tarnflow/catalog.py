@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tarnflow.plans import scenes as _scenes  # noqa: F401  registers its queries
+from tarnflow.plans import tables as _tables  # noqa: F401
+from tarnflow.plans.registry import ORACLES as ORACLES
+from tarnflow.plans.registry import QUERIES as QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "cup_fill"
+FLAGSHIP = "raster_centers"

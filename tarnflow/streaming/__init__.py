@@ -1 +1 @@
-
+"""Stateful time stepping: the step loop, ensembles of scenarios, recordings that grow."""

@@ -134,3 +134,14 @@ def mapped(df: DataFrame, fields: str, new: Callable[[pa.RecordBatch], list[pa.A
             yield pa.RecordBatch.from_arrays([*kept.columns, *new(batch)], names=[*names, *added.names])
 
     return df.mapInArrow(batches, T.StructType([*rest.schema.fields, *added.fields]))
+
+
+def pieces(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of one array, without a Python object for each element."""
+    joined = column.combine_chunks()
+    joined = joined.chunk(0) if isinstance(joined, pa.ChunkedArray) else joined
+    if not len(joined):
+        return []
+    at = np.asarray(joined.offsets)
+    flat = np.asarray(joined.values)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]

@@ -121,8 +121,10 @@ def _vectors(batch: pa.RecordBatch) -> list[pa.Array]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> np.ndarray:
     modulus, left_out = HELD_OUT
     rows = C.mapped(sample(docs, labels, label, C.fold("doc_id", modulus) != left_out, most), "indices array<int>, weights array<float>", _vectors)
-    found = sorted(rows.select("doc_id", "label", "indices", "weights").toArrow().to_pylist(), key=lambda r: str(r["doc_id"]))
-    return fit([(np.array(r["indices"]), np.array(r["weights"]), r["label"]) for r in found])
+    found = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "indices", "weights").toArrow()
+    ids, ys = found["doc_id"].to_pylist(), found["label"].to_pylist()
+    at, x = C.pieces(found["indices"]), C.pieces(found["weights"])
+    return fit([(at[i], x[i], ys[i]) for i in sorted(range(len(ids)), key=ids.__getitem__)])
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:

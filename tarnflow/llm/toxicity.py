@@ -11,12 +11,12 @@ stay, those with an output name are replaced. Without labels of both kinds every
 from __future__ import annotations
 
 import math
-from collections import Counter
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarnflow.llm import common as C
 from tarnflow.llm.labelled import sample
@@ -47,20 +47,25 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Examples as unit vectors over the vocabulary, by term: postings (example, weight) and the largest weight in each block of examples."""
 
-    def __init__(self, examples: list[tuple[str, int, dict[int, int]]]) -> None:
-        positive = sum(y for _, y, _ in examples)
-        total = len(examples)
+    def __init__(self, examples: list[tuple[str, int, np.ndarray, np.ndarray]]) -> None:
+        """Of each example: id, label, hashed terms (ascending, once each) and their counts."""
+        labels = np.array([y for _, y, *_ in examples], bool)
+        total, positive = len(examples), int(labels.sum())
         self.base = (positive + 1) / (total + 2)
-        inside, outside = Counter(), Counter()
-        for _, y, counts in examples:
-            (inside if y else outside).update(counts.keys())
-        chosen = [t for t in inside if inside[t] + outside[t] >= LEAST_EXAMPLES and self._linked(inside[t], outside[t], positive, total - positive)]
-        self.vocabulary = np.array(sorted(chosen), np.uint64)
-        self.idf = np.array([math.log((total + 1) / (inside[t] + outside[t] + 1)) + 1 for t in self.vocabulary.tolist()])
-        at = {t: k for k, t in enumerate(self.vocabulary.tolist())}
-        vectors = [self.unit({at[t]: n for t, n in counts.items() if t in at}) for *_, counts in examples]
+        one = lambda which: np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for _, y, t, _ in examples if bool(y) == which)]), return_counts=True)
+        (terms_in, inside), (terms_out, outside) = one(True), one(False)
+        at = np.minimum(np.searchsorted(terms_out, terms_in), max(len(terms_out) - 1, 0))
+        elsewhere = np.where(terms_out[at] == terms_in, outside[at], 0) if len(terms_out) else np.zeros(len(terms_in), np.int64)
+        good = [k for k, (a, b) in enumerate(zip(inside.tolist(), elsewhere.tolist(), strict=True)) if a + b >= LEAST_EXAMPLES and self._linked(a, b, positive, total - positive)]
+        self.vocabulary = terms_in[good]
+        self.idf = np.log((total + 1) / (inside[good] + elsewhere[good] + 1)) + 1
+        vectors = []
+        for _, _, t, n in examples:
+            place = np.minimum(np.searchsorted(self.vocabulary, t), max(len(self.vocabulary) - 1, 0))
+            hit = self.vocabulary[place] == t if len(self.vocabulary) else np.zeros(len(t), bool)
+            vectors.append(self.unit(dict(zip(place[hit].tolist(), n[hit].tolist(), strict=True))))
         held = [i for i, v in enumerate(vectors) if v]
-        zero = [y for (_, y, _), v in zip(examples, vectors, strict=True) if not v]
+        zero = [y for (_, y, *_), v in zip(examples, vectors, strict=True) if not v]
         self.of_zero = (sum(zero) + PRIOR_VOTES * self.base) / (len(zero) + PRIOR_VOTES)
         self.ids, self.labels = [examples[i][0] for i in held], np.array([examples[i][1] for i in held], np.int32)
         blocks = -(-len(held) // BLOCK)
@@ -168,8 +173,10 @@ def _counts(batch: pa.RecordBatch) -> list[pa.Array]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> Index:
     modulus, left_out = HELD_OUT
     rows = C.mapped(sample(docs, labels, label, C.fold("doc_id", modulus) != left_out, most), "terms array<long>, counts array<int>", _counts)
-    found = sorted(rows.select(rows["doc_id"].cast("string").alias("doc_id"), "label", "terms", "counts").toArrow().to_pylist(), key=lambda r: r["doc_id"])
-    return Index([(r["doc_id"], r["label"], dict(zip(np.array(r["terms"], np.int64).view(np.uint64).tolist(), r["counts"], strict=True))) for r in found])
+    found = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "terms", "counts").toArrow()
+    ids, ys = found["doc_id"].to_pylist(), found["label"].to_pylist()
+    keys, counts = C.pieces(found["terms"]), C.pieces(found["counts"])
+    return Index([(ids[i], ys[i], keys[i].view(np.uint64), counts[i]) for i in sorted(range(len(ids)), key=ids.__getitem__)])
 
 
 def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:

@@ -71,11 +71,12 @@ def test_block_max_search_is_exact():
         y = int(rng.random() < 0.3)
         own = [w for k, w in enumerate(words) if rng.random() < (0.15 if y and k < 40 else 0.04)]
         hashed, _ = toxicity.terms([" ".join(own).encode()])
-        examples.append((f"{i:04d}", y, {int(t): rng.randint(1, 4) for t in hashed}))
+        hashed = np.unique(hashed)
+        examples.append((f"{i:04d}", y, hashed, np.array([rng.randint(1, 4) for _ in hashed])))
     index = toxicity.Index(examples)
     assert len(index.vocabulary) > 5
     at = {t: k for k, t in enumerate(index.vocabulary.tolist())}
-    vectors = [v for *_, c in examples if (v := index.unit({at[t]: n for t, n in c.items() if t in at}))]
+    vectors = [v for *_, ts, ns in examples if (v := index.unit({at[t]: n for t, n in zip(ts.tolist(), ns.tolist(), strict=True) if t in at}))]
     for q in vectors[:80]:
         exact = sorted(((sum(x * v.get(t, 0.0) for t, x in q.items()), i) for i, v in enumerate(vectors)), key=lambda p: (-round(p[0], 12), p[1]))
         exact = [p for p in exact if p[0] > 0][: toxicity.NEAREST]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from tarnflow.plans import flow as _flow  # noqa: F401
 from tarnflow.plans import scenes as _scenes  # noqa: F401  registers its queries
 from tarnflow.plans import tables as _tables  # noqa: F401
 from tarnflow.plans.registry import ORACLES as ORACLES
 from tarnflow.plans.registry import QUERIES as QUERIES
 
-FLAGSHIP = "raster_centers"
+FLAGSHIP = "cup_fill"

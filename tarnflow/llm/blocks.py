@@ -30,9 +30,10 @@ def dealt(rows: DataFrame, keys: list[str], by: str, chunk: int) -> DataFrame:
     return out.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).drop("n", "other")
 
 
-def compared(rows: DataFrame, keys: list[str], schema: str, flush: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+def compared(rows: DataFrame, keys: list[str], by: str, schema: str, flush: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
     """Runs ``flush(table, group, crossed)`` over whole groups: ``group`` numbers them, ascending; ``crossed`` is -1 in a
-    group of one chunk, else the side (0 or 1), where only rows of different sides are to be compared."""
+    group of one chunk, else the side (0 or 1), where only rows of different sides are to be compared. The rows of a group
+    come in the order of ``by``, so that groups which share members tend to name a class by the same one."""
     group = [*keys, "a", "b"]
 
     def ended(table: pa.Table) -> pa.RecordBatch:
@@ -61,7 +62,7 @@ def compared(rows: DataFrame, keys: list[str], schema: str, flush: Callable[[pa.
         if held is not None:
             yield ended(held)
 
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(stream, schema)
+    return rows.repartition(*group).sortWithinPartitions(*group, by).mapInArrow(stream, schema)
 
 
 def near_rows(group: np.ndarray, crossed: np.ndarray, small: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -109,7 +109,7 @@ def compare(rows: DataFrame, threshold: float) -> DataFrame:
             out += [(nodes[i], nodes[labels[i]], int(links[i])) for i in np.flatnonzero((labels != np.arange(len(at))) | (links > 0))]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64())], names=["node", "other", "links"])
 
-    return blocks.compared(rows, ["grp", "t", "key"], "node binary, other binary, links long", flush)
+    return blocks.compared(rows, ["grp", "t", "key"], "node", "node binary, other binary, links long", flush)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:

@@ -123,7 +123,7 @@ def links(rows: DataFrame, width: int, radius: int) -> DataFrame:
         i, j = forest(_as_matrix(table["print"], width), group, crossed, radius)
         return pa.table({"src": table["print"].take(pa.array(i)), "dst": table["print"].take(pa.array(j))}).combine_chunks().to_batches(len(i) or None)[0] if len(i) else _NO_LINKS
 
-    return blocks.compared(rows, ["t", "key"], "src binary, dst binary", flush)
+    return blocks.compared(rows, ["t", "key"], "print", "src binary, dst binary", flush)
 
 
 def classes(prints: DataFrame, tables: list[np.ndarray], width: int, radius: int) -> DataFrame:
@@ -212,7 +212,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         pairs = [table["print"].take(pa.array(rows)).to_pylist() for rows in (i, j)]
         return pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in pairs], names=["src", "dst"])
 
-    linked = blocks.compared(blocks.dealt(sets, ["component"], "print", STAGE_CHUNK), ["component"], "src binary, dst binary", flush)
+    linked = blocks.compared(blocks.dealt(sets, ["component"], "print", STAGE_CHUNK), ["component"], "print", "src binary, dst binary", flush)
     cc = connected_components(linked)
     named = distinct.join(cc.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     kept = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh")))

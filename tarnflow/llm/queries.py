@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontaminate, embeddings, html, licences, mixing, pii, quality, secrets, simhash, toxicity
+from tarnflow.llm import decontaminate, embeddings, html, licences, mixing, oracles, pii, quality, secrets, simhash, toxicity
 from tarnflow.llm import spans as S
 from tarnflow.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secret_scan": oracles.SECRETS, "op4_decontaminate": oracles.DECONTAMINATE, "op7_embedding_dedup": oracles.EMBEDDINGS}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

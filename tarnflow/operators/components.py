@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators.session import checkpointed
 
+#: Edges whose minima, two rows an edge at most, are broadcast.
+MOST_BROADCAST = 20_000
 
-def _pointed(around: DataFrame) -> DataFrame:
-    """(u, v) with m, the smallest of u and all its v."""
+
+def _pointed(around: DataFrame, few: bool) -> DataFrame:
+    """(u, v) with m, the smallest of u and all its v. The minima of few edges, a counted number, are broadcast; those of many
+    are checkpointed, so that the join deals both sides itself and may split a hub's."""
     least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    return around.join(least, F.col("u") == F.col("x"))
+    return around.join(F.broadcast(least) if few else checkpointed(least), F.col("u") == F.col("x"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _pointed(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _pointed(both, few).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    pointed = _pointed(down)
+    pointed = _pointed(down, few)
     moved = pointed.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return pointed.select("u", F.col("m").alias("v")).union(moved).distinct()
 
@@ -44,5 +48,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if state == before or not state[0]:
             break
         before = state
-        e = checkpointed(_small_star(_large_star(e)))
+        few = state[0] <= MOST_BROADCAST
+        e = checkpointed(_small_star(_large_star(e, few), few))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tarnflow.operators import components
 from tarnflow.operators.components import connected_components
 
 
@@ -20,7 +23,9 @@ def brute(edges):
     return {x: find(x) for x in root}
 
 
-def test_components_of_chains_stars_and_random_edges(spark):
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_components_of_chains_stars_and_random_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "MOST_BROADCAST", most)
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(60)]
     shuffled = rng.sample(range(100, 160), 60)

@@ -51,6 +51,7 @@ TEMPLATES = (
 )
 THRESHOLD, WHOLE = 0.6, 0.8
 WINDOW = 32
+MOST_BROADCAST = 50_000
 FILE_NAMES = r"(?i)(^|/)(un)?(licen[cs]es?|copying|copyright|notice)(\.[a-z]+|-[a-z0-9.]+)?$"
 FIELDS = "own_licence string, own_similarity double, whole_licence string, whole_similarity double"
 
@@ -186,7 +187,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     ups = F.when(F.col("_dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("_up")))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("_up"))))
     above = found.filter(F.col("_dir").isNotNull()).select("_dir").distinct().select("_dir", F.explode(ups).alias("u")).select("_dir", "u.depth", "u._up")
     nearest = above.join(licensed, "_up").groupBy("_dir").agg(F.max(F.struct("depth", "_up", "_l", "_s")).alias("n"))
-    out = found.join(nearest, "_dir", "left")
+    # A row a directory below a licence: broadcast up to a counted number, else a join that may split a full directory.
+    nearest = C.checkpointed(nearest)
+    few = nearest.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    out = found.join(F.broadcast(nearest) if few else nearest, "_dir", "left")
     own = F.coalesce("own_licence", "whole_licence")
     return out.select(
         *(F.col(f"_in_{i}").alias(c) for i, c in enumerate(kept)),

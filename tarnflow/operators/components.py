@@ -1,39 +1,44 @@
-"""Connected components of an edge table by alternating stars.
+"""Connected components of an edge table by contraction.
 
-Every round points each node at the smallest node of its neighbourhood (Kiveris et al. 2014): large-star moves a node's
-larger neighbours to that minimum, small-star does the same for the smaller ones. Rounds grow with the logarithm of a
-component's size, an edge table never grows, and a node's neighbours are only ever reduced to a minimum, so a hub costs
-a partial aggregate and a join that Spark may split. Each round is checkpointed.
+Each round hooks every node to its smallest neighbour, if that is smaller, follows the hooks to their ends by doubling, and
+replaces the ends of all edges by these roots; edges inside a tree vanish. Every node with an edge to another one ends
+in a tree of two nodes at least, so a round halves the nodes that are left, and in practice a few rounds do. A node's
+neighbours are only ever reduced to a minimum, so a hub costs a partial aggregate and joins that Spark may split; the
+tables of a round are checkpointed and never collected.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.operators.session import checkpointed
 
-#: Edges whose minima, two rows an edge at most, are broadcast.
+#: Rows of a map (node, root), counted first, up to which it is broadcast.
 MOST_BROADCAST = 20_000
 
 
-def _pointed(around: DataFrame, few: bool) -> DataFrame:
-    """(u, v) with m, the smallest of u and all its v. The minima of few edges, a counted number, are broadcast; those of many
-    are checkpointed, so that the join deals both sides itself and may split a hub's."""
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    return around.join(F.broadcast(least) if few else checkpointed(least), F.col("u") == F.col("x"))
+def _with(df: DataFrame, node: str, hooks: DataFrame, few: bool, root: str) -> DataFrame:
+    """Adds the root of a node, the node itself where there is no hook."""
+    h = hooks.select(F.col("u").alias("_u"), F.col("root").alias("_r"))
+    joined = df.join(F.broadcast(h) if few else h, F.col(node) == F.col("_u"), "left")
+    return joined.withColumn(root, F.coalesce("_r", node)).drop("_u", "_r")
 
 
-def _large_star(edges: DataFrame, few: bool) -> DataFrame:
+def _roots(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """(u, root) of every node that hooks to a smaller one, and whether there are few."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _pointed(both, few).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame, few: bool) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    pointed = _pointed(down, few)
-    moved = pointed.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return pointed.select("u", F.col("m").alias("v")).union(moved).distinct()
+    hooks = checkpointed(both.groupBy("u").agg(F.min("v").alias("root")).filter("root < u"))
+    few = hooks.count() <= MOST_BROADCAST
+    while True:
+        on = _with(hooks.withColumnRenamed("root", "at"), "at", hooks, few, "root")
+        on = checkpointed(on)
+        moved = not on.filter("at <> root").isEmpty()
+        hooks = on.select("u", "root")
+        if not moved:
+            return hooks, few
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -42,12 +47,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Direction, repeats and order of the edges don't matter; loops and edges with a null end are ignored."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
-        state = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-        few = state[0] <= MOST_BROADCAST
-        e = checkpointed(_small_star(_large_star(e, few), few))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
+    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct().withColumn("component", F.col("node"))
+    rounds: list[tuple[DataFrame, bool]] = []
+    while not e.isEmpty():
+        hooks, few = _roots(e)
+        rounds.append((hooks, few))
+        ends = _with(_with(e, "u", hooks, few, "a"), "v", hooks, few, "b").filter("a <> b")
+        e = checkpointed(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    return reduce(lambda df, r: _with(df, "component", *r, "_c").drop("component").withColumnRenamed("_c", "component"), rounds, nodes)

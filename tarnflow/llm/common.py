@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -145,3 +146,9 @@ def pieces(column: pa.ChunkedArray) -> list[np.ndarray]:
     at = np.asarray(joined.offsets)
     flat = np.asarray(joined.values)
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def give_back() -> None:
+    """Returns what Arrow holds but doesn't use to the system, after a sample was learned from on the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

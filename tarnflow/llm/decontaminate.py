@@ -98,18 +98,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     return out
 
 
+def _renamed(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """The documents with columns that can't clash with ours, and the name of the text among them."""
+    return docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns))), f"_in_{docs.columns.index(text)}"
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """The documents without a hit word; columns as they were."""
-    found = scan(docs.withColumns({f"_in_{i}": F.col(c) for i, c in enumerate(docs.columns)}), benchmark, window, text)
+    inner, body = _renamed(docs, text)
+    found = scan(inner, benchmark, window, body)
     return found.filter(F.size("hit_words") == 0).select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """The documents with each run of hit words cut from the text, up to the start of the next word; columns as they were."""
+    inner, body = _renamed(docs, text)
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
-        for value, hits in zip(batch["_text"], batch["hit_words"], strict=True):
+        for value, hits in zip(batch[body], batch["hit_words"], strict=True):
             value, hits = value.as_py(), hits.as_py()
             if hits:
                 raw = value.encode()
@@ -124,6 +131,5 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
             out.append(value)
         return [pa.array(out, pa.string())]
 
-    inner = docs.withColumns({f"_in_{i}": F.col(c) for i, c in enumerate(docs.columns)} | {"_text": F.col(text)})
-    found = C.mapped(scan(inner, benchmark, window, "_text"), "_cut string", cut)
+    found = C.mapped(scan(inner, benchmark, window, body), "_cut string", cut)
     return found.select(*((F.col("_cut") if c == text else F.col(f"_in_{i}")).alias(c) for i, c in enumerate(docs.columns)))

@@ -124,7 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     found = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "indices", "weights").toArrow()
     ids, ys = found["doc_id"].to_pylist(), found["label"].to_pylist()
     at, x = C.pieces(found["indices"]), C.pieces(found["weights"])
-    return fit([(at[i], x[i], ys[i]) for i in sorted(range(len(ids)), key=ids.__getitem__)])
+    del found
+    weights = fit([(at[i], x[i], ys[i]) for i in sorted(range(len(ids)), key=ids.__getitem__)])
+    del at, x
+    C.give_back()
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
@@ -140,6 +144,6 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold; columns as they were."""
-    inner = docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)), F.col("text").alias("_text"))
-    scored = score(inner, train(docs, labels), "_text", "_score")
+    inner = docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)))
+    scored = score(inner, train(docs, labels), f"_in_{docs.columns.index('text')}", "_score")
     return scored.filter(F.col("_score") >= threshold).select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -51,7 +51,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(scored: DataFrame, held_out: tuple[int, int], threshold: float) -> DataFrame:
     modulus, left_out = held_out
-    return scored.select("doc_id", (fold("doc_id", modulus) == left_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", modulus) == left_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 @query

@@ -176,7 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     found = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "terms", "counts").toArrow()
     ids, ys = found["doc_id"].to_pylist(), found["label"].to_pylist()
     keys, counts = C.pieces(found["terms"]), C.pieces(found["counts"])
-    return Index([(ids[i], ys[i], keys[i].view(np.uint64), counts[i]) for i in sorted(range(len(ids)), key=ids.__getitem__)])
+    del found
+    index = Index([(ids[i], ys[i], keys[i].view(np.uint64), counts[i]) for i in sorted(range(len(ids)), key=ids.__getitem__)])
+    del keys, counts
+    C.give_back()
+    return index
 
 
 def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ only has a null name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -148,6 +149,73 @@ def components_of(found: DataFrame, words: int, radius: int, tables: list[np.nda
     return found.join(named, "fingerprint").select(*found.columns, "component_id")
 
 
+def _bounds(similarity: float, n: int) -> int:
+    """How many shingles of a set of n any set of that similarity shares with it, at least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def prefixed(sets: DataFrame, similarity: float, common: dict[int, int]) -> DataFrame:
+    """(shingle, print, shingles): each set once for each of its first shingles, the rare ones first (``common``: how often
+    those occur that aren't rare; it orders, nothing is left out). Two similar sets share one of these in any order."""
+    hashes = np.array(sorted(common), np.uint64)
+    times = np.array([common[h] for h in hashes.tolist()], np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = [], []
+            for i, held in enumerate(batch["shingles"].to_pylist()):
+                own = np.frombuffer(held, np.uint64)
+                n = len(own)
+                if not n:
+                    continue
+                often = np.zeros(n, np.int64)
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    often = np.where(hashes[place] == own, times[place], 0)
+                first = own[np.lexsort((own, often))][: n - _bounds(similarity, n) + 1]
+                keys.append(first.view(np.int64))
+                at.append(np.full(len(first), i))
+            if keys:
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch["print"].take(take), batch["shingles"].take(take)], names=["shingle", "print", "shingles"])
+
+    return sets.mapInArrow(rows, "shingle long, print binary, shingles binary")
+
+
+def _common(sets: DataFrame) -> dict[int, int]:
+    """How many sets hold a shingle, for the most frequent ones, as far as a broadcast of bounded size goes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64))], names=["shingle"])
+
+    counted = C.checkpointed(sets.select("shingles").mapInArrow(each, "shingle long").groupBy("shingle").count().filter("count > 16"))
+    least = 16
+    while counted.filter(F.col("count") > least).count() > MOST_COMMON:
+        least *= 2
+    return {r["shingle"] % 2**64: r["count"] for r in counted.filter(F.col("count") > least).collect()}
+
+
+def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both sides whose sets are similar, by products of incidence matrices."""
+    sizes = [np.fromiter((len(sets[r]) for r in side), np.int64, len(side)) for side in (left, right)]
+    held = [np.concatenate([sets[r] for r in side]) for side in (left, right)]
+    known = np.intersect1d(*held)
+    both = np.zeros((len(left), len(right)), np.float32)
+    at = [np.searchsorted(known, h) for h in held]
+    real = [np.append(known, 0)[a] == h if len(known) else np.zeros(len(h), bool) for a, h in zip(at, held, strict=True)]
+    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    for begin in range(0, len(known), 4096):
+        parts = []
+        for a, ok, r, n in zip(at, real, row, sizes, strict=True):
+            hit = ok & (a >= begin) & (a < begin + 4096)
+            m = np.zeros((len(n), min(4096, len(known) - begin)), np.float32)
+            m[r[hit], a[hit] - begin] = 1
+            parts.append(m)
+        both += parts[0] @ parts[1].T
+    return np.nonzero(both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both))
+
+
 def _similar(sets: list[np.ndarray], i: int, j: int, similarity: float) -> bool:
     a, b = sets[i], sets[j]
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
@@ -156,46 +224,70 @@ def _similar(sets: list[np.ndarray], i: int, j: int, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def similar_forest(prints: np.ndarray, sets: list[np.ndarray], group: np.ndarray, crossed: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """As ``forest``, with links only where the Jaccard similarity of the shingle sets is reached; a pair that is in one class
-    by then isn't looked at."""
+def _add_similar(labels: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> None:
+    """Joins the classes of the pairs that are similar; a pair that is in one class by then isn't looked at."""
+    apart = np.flatnonzero(labels[left] != labels[right])
+    for i, j in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
+        if labels[i] != labels[j] and _similar(sets, i, j, similarity):
+            B.merge(labels, np.array([i]), np.array([j]))
+
+
+def exact_forest(sets: list[np.ndarray], group: np.ndarray, crossed: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forest``, with links wherever the sets are similar."""
     labels = np.arange(len(group))
+    for step, i in blocks.near_rows(group, crossed, _SMALL):
+        _add_similar(labels, sets, i, i + step, similarity)
+    for left, right in blocks.large_groups(group, crossed, _SMALL):
+        i, j = _alike(sets, left, right, similarity)
+        B.merge(labels, left[i], right[j])
+    moved = np.flatnonzero(labels != np.arange(len(group)))
+    return moved, labels[moved]
 
-    def add(left: np.ndarray, right: np.ndarray) -> None:
-        apart = np.flatnonzero(labels[left] != labels[right])
-        for i, j in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
-            if labels[i] != labels[j] and _similar(sets, i, j, similarity):
-                B.merge(labels, np.array([i]), np.array([j]))
 
+def similar_forest(prints: np.ndarray, sets: list[np.ndarray], group: np.ndarray, crossed: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forest``, with links only where the Jaccard similarity of the shingle sets is reached."""
+    labels = np.arange(len(group))
     for step, i in blocks.near_rows(group, crossed, _SMALL):
         hit = i[B.close_in_pairs(prints[i], prints[i + step], radius)]
-        add(hit, hit + step)
+        _add_similar(labels, sets, hit, hit + step, similarity)
     for left, right in blocks.large_groups(group, crossed, _SMALL):
         for i, j in B.close_across(prints[left], prints[right], radius):
-            add(left[i], right[j])
+            _add_similar(labels, sets, left[i], right[j], similarity)
     moved = np.flatnonzero(labels != np.arange(len(group)))
     return moved, labels[moved]
 
 
 #: For a Jaccard similarity of 0.8 or more: fingerprints of 256 bits within 54, met in 64 tables of 16 sampled bits.
 #: Two texts at 0.8 differ in 40 bits (deviation 5.5): 99 in 100 are within the radius and 99 in 100 of them meet.
+#: Fingerprints are those of the distinct shingles, as the similarity is one of sets.
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_WORDS, STAGE_RADIUS, STAGE_BITS, STAGE_TABLES = 5, 0.8, 4, 54, 16, 64
 #: Shingle sets that are compared as one block.
 STAGE_CHUNK = 256
+#: Sets of up to this many shingles are too few votes for a fingerprint: they meet, with all that may be similar to one of
+#: them, at their rarest shingles, which finds every similar pair.
+EXACT_SHINGLES, EXACT_CHUNK = 32, 1024
+#: Shingles whose frequency orders these, at most.
+MOST_COMMON = 20_000
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id; columns as they were.
 
-    Documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints give
-    loose classes; within these the shingle sets are compared wherever fingerprints are close. Equal fingerprints are one
-    text here. Of rows of the same id and text one stays; a document without an id comes after all others."""
+    Documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of the
+    sets give loose classes; within these the shingle sets are compared wherever fingerprints are close. Small sets are
+    compared wherever they share one of their rarest shingles. Equal fingerprints are one text here. Of rows of the same id and text one stays; a document without an id comes after all others."""
     width = 8 * STAGE_WORDS
     names = docs.columns
     inner = docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)), F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
-    found = C.checkpointed(fingerprints(inner.select("_id", "_h", "_text"), STAGE_SHINGLE, STAGE_WORDS, "_text", "print").drop("_text"))
+    largest = int(EXACT_SHINGLES / STAGE_SIMILARITY + 1e-9)
+
+    def prints(batch: pa.RecordBatch) -> list[pa.Array]:
+        own = [np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)) for t in batch["_text"]]
+        return [pa.array([fingerprint(x, STAGE_WORDS) for x in own], pa.binary()), pa.array([x.tobytes() if len(x) <= largest else None for x in own], pa.binary())]
+
+    found = C.checkpointed(C.mapped(inner.select("_id", "_h", "_text"), "print binary, small binary", prints).drop("_text"))
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("least")
-    distinct = C.checkpointed(found.groupBy("print").agg(least))
+    distinct = C.checkpointed(found.groupBy("print").agg(least, F.min("small").alias("small")))
     loose = classes(distinct.select("print"), sampled_tables(64 * STAGE_WORDS, STAGE_BITS, STAGE_TABLES), width, STAGE_RADIUS)
     members = loose.join(distinct.withColumnRenamed("print", "node"), "node").select(F.col("node").alias("print"), F.xxhash64("component").alias("component"), F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh"))
     same = F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh"))
@@ -213,6 +305,17 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in pairs], names=["src", "dst"])
 
     linked = blocks.compared(blocks.dealt(sets, ["component"], "print", STAGE_CHUNK), ["component"], "print", "src binary, dst binary", flush)
+
+    few = distinct.filter("small is not null").select("print", F.col("small").alias("shingles"))
+
+    def flush_few(table: pa.Table, group: np.ndarray, crossed: np.ndarray) -> pa.RecordBatch:
+        held = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        i, j = exact_forest(held, group, crossed, STAGE_SIMILARITY)
+        pairs = [table["print"].take(pa.array(rows)).to_pylist() for rows in (i, j)]
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in pairs], names=["src", "dst"])
+
+    met = prefixed(few, STAGE_SIMILARITY, _common(few))
+    linked = linked.union(blocks.compared(blocks.dealt(met, ["shingle"], "print", EXACT_CHUNK), ["shingle"], "print", "src binary, dst binary", flush_few))
     cc = connected_components(linked)
     named = distinct.join(cc.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     kept = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh")))

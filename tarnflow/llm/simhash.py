@@ -88,7 +88,9 @@ def sampled_tables(bits: int, of: int, tables: int, seed: int = 17) -> list[np.n
 
 
 def _as_matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, width)
+    """The first ``width`` bytes of each row; rows are equally long."""
+    rows = np.frombuffer(b"".join(x.as_py() for x in column), np.uint8)
+    return np.ascontiguousarray(rows.reshape(len(column), -1 if len(column) else width)[:, :width])
 
 
 def keyed(prints: DataFrame, tables: list[np.ndarray], width: int) -> DataFrame:
@@ -275,7 +277,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of the
     sets give loose classes; within these the shingle sets are compared wherever fingerprints are close. Small sets are
-    compared wherever they share one of their rarest shingles. Equal fingerprints are one text here. Of rows of the same id and text one stays; a document without an id comes after all others."""
+    compared wherever they share one of their rarest shingles. Equal sets are one text here: a ``print`` is the
+    fingerprint followed by a hash of 128 bits of the whole set, so equal fingerprints are candidates like any others. Of rows of the same id and text one stays; a document without an id comes after all others."""
     width = 8 * STAGE_WORDS
     names = docs.columns
     inner = docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)), F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
@@ -283,7 +286,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def prints(batch: pa.RecordBatch) -> list[pa.Array]:
         own = [np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)) for t in batch["_text"]]
-        return [pa.array([fingerprint(x, STAGE_WORDS) for x in own], pa.binary()), pa.array([x.tobytes() if len(x) <= largest else None for x in own], pa.binary())]
+        return [pa.array([fingerprint(x, STAGE_WORDS) + xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() if len(x) <= largest else None for x in own], pa.binary())]
 
     found = C.checkpointed(C.mapped(inner.select("_id", "_h", "_text"), "print binary, small binary", prints).drop("_text"))
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("least")

@@ -1,10 +1,10 @@
 import random
 
 import corpus_pipeline
-import pytest
+import numpy as np
 from tests_llm_brute import jaccard_components
 
-from tarnflow.llm import simhash
+from tarnflow.llm import bitsliced, simhash
 
 
 def kept_ids(spark, texts):
@@ -21,9 +21,7 @@ def test_texts_that_differ_in_repeats_only_are_near_duplicates(spark):
     assert kept_ids(spark, texts) == list(range(0, 40, 2))
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_short_texts_meet_exactly(spark, monkeypatch, small):
-    monkeypatch.setattr(simhash, "_SMALL", small)
+def test_short_texts_meet_exactly(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(10**5)]
     common = " ".join(rng.choice(words) for _ in range(9))
@@ -39,3 +37,37 @@ def test_short_texts_meet_exactly(spark, monkeypatch, small):
         groups.setdefault(c, d)
     assert kept_ids(spark, texts) == sorted(groups.values())
     assert len(groups) == 100
+
+
+def test_equal_fingerprints_are_no_proof(spark, monkeypatch):
+    rng = random.Random(10)
+    own = [" ".join(f"own{rng.randrange(10**6)}" for _ in range(20)) for _ in range(12)]
+    texts = [f"{t} {'For ' * 100}" for t in own]  # one shingle fills over half of the positions
+    assert kept_ids(spark, [*texts, texts[3], f"{texts[5]} For"]) == list(range(12))
+    whole = simhash.fingerprint
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes, words=1: whole(hashes[:0], words))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(70)]
+    assert kept_ids(spark, [*texts, *texts[:5]]) == list(range(70))
+
+
+def test_exact_forest_joins_similar_sets_in_blocks_of_any_size():
+    rng = np.random.default_rng(11)
+    bases = [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(9)]
+    sets = []
+    for _ in range(300):
+        base = bases[rng.integers(9)]
+        own = rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate((rng.choice(base, rng.integers(26, 31), replace=False), own))))
+    group = np.sort(np.concatenate((np.zeros(200, int), rng.integers(1, 12, 100))))
+    crossed = np.where(group == 0, rng.integers(0, 2, 300), -1)
+    held = [set(s.tolist()) for s in sets]
+    near = [(i, j) for i in range(300) for j in range(i) if group[i] == group[j] and (crossed[i] < 0 or crossed[i] != crossed[j]) and len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])]
+
+    def roots(pairs):
+        labels = np.arange(300)
+        for a, b in pairs:
+            bitsliced.merge(labels, np.array([a]), np.array([b]))
+        return labels.tolist()
+
+    assert len(near) > 50
+    assert roots(zip(*simhash.exact_forest(sets, group, crossed, 0.8), strict=True)) == roots(near)

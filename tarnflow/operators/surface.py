@@ -100,25 +100,28 @@ def ring_patches(faces: DataFrame, patches: DataFrame, least: float, most: float
     return f.join(small, "patch", "left_semi").select("patch", "x", "y", "z", "nx", "ny", "nz", "area").groupBy("patch").applyInPandas(ring, RING)
 
 
-def face_samples(faces: DataFrame, spacing: float, most: int = 4096) -> DataFrame:
+def face_samples(faces: DataFrame, spacing: float) -> DataFrame:
     """(face_id, sample, x, y, z, nx, ny, nz, area): points spread evenly over each face (the R2 sequence, folded into the
-    triangle), about one a square of ``spacing``; their areas add up to the face's."""
-    n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.col("area") / (spacing * spacing)))).cast("int")
-    g = 1.32471795724474602596
-    df = faces.withColumn("_n", n).withColumn("sample", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    u, v = (F.col("sample") / g) % 1.0, (F.col("sample") / (g * g)) % 1.0
-    fold = u + v > 1
-    u, v = F.when(fold, 1 - u).otherwise(u), F.when(fold, 1 - v).otherwise(v)
+    triangle), two a square of ``spacing`` and one a spacing of the longest edge at least, a single one at the centre;
+    their areas add up to the face's. A large face is dealt into runs of samples first, so no row holds them all."""
     a, b, c = corners()
+    longest = F.greatest(*(G.length(G.minus(p, q)) for p, q in ((a, b), (b, c), (c, a))))
+    n = F.greatest(F.lit(1), F.ceil(2 * F.col("area") / (spacing * spacing)), F.ceil(longest / spacing)).cast("long")
+    g, run = 1.32471795724474602596, 4096
+    df = faces.withColumn("_n", n).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / run))))
+    df = df.withColumn("sample", F.explode(F.sequence(F.col("_r") * run + 1, F.least(F.col("_n"), (F.col("_r") + 1) * run))))
+    u, v = (0.5 + (F.col("sample") - 1) / g) % 1.0, (0.5 + (F.col("sample") - 1) / (g * g)) % 1.0
+    fold, one = u + v > 1, F.col("_n") == 1
+    u, v = (F.when(one, 1 / 3).when(fold, 1 - w).otherwise(w) for w in (u, v))
     p = [x + u * (y - x) + v * (z - x) for x, y, z in zip(a, b, c, strict=True)]
     return df.select("face_id", "sample", *(q.alias(k) for q, k in zip(p, "xyz", strict=True)), "nx", "ny", "nz", (F.col("area") / F.col("_n")).alias("area"))
 
 
-def lattice(faces: DataFrame, spacing: float, most: int = 256) -> DataFrame:
+def lattice(faces: DataFrame, spacing: float) -> DataFrame:
     """(face_id, x, y, z): the points of a barycentric lattice whose steps are at most ``spacing`` along each edge."""
     a, b, c = corners()
     longest = F.greatest(*(G.length(G.minus(p, q)) for p, q in ((a, b), (b, c), (c, a))))
-    df = faces.withColumn("_n", F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(longest / spacing))).cast("int"))
+    df = faces.withColumn("_n", F.greatest(F.lit(1), F.ceil(longest / spacing)).cast("int"))
     df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n")))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_i"))))
     u, v = F.col("_i") / F.col("_n"), F.col("_j") / F.col("_n")
     return df.select("face_id", *((x + u * (y - x) + v * (z - x)).alias(k) for x, y, z, k in zip(a, b, c, "xyz", strict=True)))

@@ -115,7 +115,7 @@ def widest_clearance(nodes: DataFrame, links: DataFrame, side_a: DataFrame, side
     distance field (node_id, distance); None without a way."""
     d = nodes.select("node_id", "distance")
     w = links.join(d.select(F.col("node_id").alias("src"), F.col("distance").alias("da")), "src").join(d.select(F.col("node_id").alias("dst"), F.col("distance").alias("db")), "dst")
-    best = graph.widest_paths(w.select("src", "dst", F.least("da", "db").alias("width")), side_a.select("node_id"), 512)
+    best = graph.widest_paths(w.select("src", "dst", F.least("da", "db").alias("width")), side_a.select("node_id"))
     found = best.join(side_b, "node_id", "left_semi").agg(F.max("width")).first()[0]
     return None if found is None else 2 * found
 

@@ -299,14 +299,14 @@ def saddles(nodes: DataFrame, edges: DataFrame, basin: DataFrame) -> DataFrame:
     return pair.groupBy(F.col("b1").alias("a"), F.col("b2").alias("b")).agg(F.min(F.greatest("h1", "h2")).alias("h"))
 
 
-def flooded(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def flooded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, held): whether a cell is under water after everything was flooded: its height is below the lowest pass
-    from its basin to a sink. Passes are a minimax over the graph of basins and saddles."""
+    from its basin to a sink. Passes are a minimax over the graph of basins and saddles, which goes on until no pass changes."""
     b = checkpointed(basins(pointers(nodes, edges)))
     pass_ = checkpointed(saddles(nodes, edges, b))
     ways = checkpointed(pass_.union(pass_.select("b", "a", "h")).toDF("u", "v", "h"))
     best = checkpointed(nodes.filter("sink").join(b, "node_id").select(F.col("basin").alias("u"), F.lit(float("-inf")).alias("level")).distinct())
-    for _ in range(most):
+    while True:
         step = best.join(ways, "u").select(F.col("v").alias("u"), F.greatest("level", F.col("h").cast("double")).alias("level"))
         better = checkpointed(best.union(step).groupBy("u").agg(F.min("level").alias("level")))
         changed = not better.exceptAll(best).isEmpty()

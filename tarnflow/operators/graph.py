@@ -1,6 +1,7 @@
 """Graphs as edge tables: reachability, labels that spread, widest paths and max-plus levels.
 
-Every loop is a bounded fixpoint whose state is checkpointed each round and never collected; it ends when a round changes nothing.
+Every loop is a fixpoint whose state is checkpointed each round and never collected; it ends when a round changes nothing, and
+only then: values come from the input and move one way, so it does end.
 """
 
 from __future__ import annotations
@@ -74,13 +75,13 @@ def hops_from(seeds: DataFrame, edges: DataFrame, most: int, label: str = "label
     return found
 
 
-def widest_paths(links: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def widest_paths(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(node_id, width, hops): the widest bottleneck from any root over links (src, dst, width), both ways, and the fewest
     steps among the widest; roots are infinitely wide."""
     e = links.select("src", "dst", "width").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "width"))
     e = checkpointed(e.groupBy("src", "dst").agg(F.max("width").alias("width")))
     best = checkpointed(roots.select("node_id", F.lit(float("inf")).alias("width"), F.lit(0).alias("hops")))
-    for _ in range(most):
+    while True:
         step = best.withColumnRenamed("width", "w").join(e, best["node_id"] == e["src"]).select(F.col("dst").alias("node_id"), F.least("w", e["width"]).alias("width"), (F.col("hops") + 1).alias("hops"))
         better = checkpointed(best.union(step).groupBy("node_id").agg(F.min(F.struct((-F.col("width")).alias("n"), "hops")).alias("b")).select("node_id", (-F.col("b.n")).alias("width"), "b.hops"))
         changed = not better.exceptAll(best).isEmpty()
@@ -90,14 +91,14 @@ def widest_paths(links: DataFrame, roots: DataFrame, most: int = 64) -> DataFram
     return best
 
 
-def fed_levels(full: DataFrame, throats: DataFrame, most: int = 64) -> DataFrame:
+def fed_levels(full: DataFrame, throats: DataFrame) -> DataFrame:
     """(lab, level): the highest level that feeds a full compartment through open throats and other full ones: a max-plus
     relaxation. ``throats``: a, b, level_a, level_b (null: nothing there), top; a feed counts only above the throat's top."""
     ways = throats.select(F.col("a").alias("at"), F.col("b").alias("by"), F.col("level_b").alias("level"), "top").union(throats.select(F.col("b"), F.col("a"), F.col("level_a"), "top"))
     ways = checkpointed(ways.join(full.select(F.col("lab").alias("at")), "at", "left_semi"))
     begun = ways.join(full.select(F.col("lab").alias("by")), "by", "left_anti").filter(F.col("level") > F.col("top"))
     best = checkpointed(begun.groupBy(F.col("at").alias("lab")).agg(F.max("level").alias("level")))
-    for _ in range(most):
+    while True:
         on = best.select(F.col("lab").alias("by"), F.col("level").alias("fed"))
         step = ways.join(on, "by").filter(F.col("fed") > F.col("top")).select(F.col("at").alias("lab"), F.col("fed").alias("level"))
         better = checkpointed(best.union(step).groupBy("lab").agg(F.max("level").alias("level")))

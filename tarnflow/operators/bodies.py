@@ -63,10 +63,10 @@ def crossing_times(series: DataFrame, keys: Sequence[str], t: str, value: str, s
     return df.filter(done & (F.col("_a") != F.col("_b"))).groupBy(*keys, "share").agg(F.min(t).alias(t))
 
 
-def upper_median(value: Column) -> Column:
-    """Element n / 2 of the sorted values, counted from 0."""
-    xs = F.array_sort(F.collect_list(value))
-    return F.element_at(xs, F.floor(F.size(xs) / 2).cast("int") + 1)
+def upper_median(value: str) -> Column:
+    """Element n / 2 of the sorted values of a numeric column, counted from 0: the lower median from above. Held as counts of
+    distinct values, not as a list."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{value}`)")
 
 
 def largest_gap(df: DataFrame, keys: Sequence[str], angle: str, turn: float = 360.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Fill-spill-merge: what stays where after liquid is poured on a height field, and what runs off.
 
-Two ways, by size. ``fill_spill`` runs whole scenes as groups: many scenarios in parallel, one kernel call each (numpy and
-plain loops over one scene). ``pointers``, ``basins``, ``saddles`` and ``flooded`` are stages for one large graph as
+Two ways, by size. ``fill_spill`` runs whole scenes, many scenarios in parallel and many in a kernel call (arrays over all
+cells; only saddles are visited one by one). ``pointers``, ``basins``, ``saddles`` and ``flooded`` are stages for one large graph as
 tables: steepest descent by a minimum over lower links, basins by pointer doubling, the lowest saddle of each pair of
 basins by an aggregate, and full flooding by a minimax over the basin graph, which is far smaller than the cells.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,33 +21,105 @@ OCEAN = 0
 RESULT = "scenario_id long, node_id long, retained double, owner long, drained double, lost double"
 
 
-def cdf(t: np.ndarray, w: tuple[float, float, float]) -> np.ndarray:
-    """Share of a cell below normalised height t, for projection widths w."""
-    a, b, c = w
+def cdf(t: np.ndarray, w: np.ndarray | tuple[float, float, float]) -> np.ndarray:
+    """Share of a cell below normalised height t, for projection widths w in descending order (three, or three a row)."""
+    a, b, c = np.moveaxis(np.asarray(w, float), -1, 0)
     s = np.minimum(t, 1 - t)
     p = lambda x, n: np.maximum(x, 0.0) ** n
-    if b <= 0:
-        f = s
-    elif c <= 0:
-        f = (p(s, 2) - p(s - a, 2) - p(s - b, 2) + p(s - a - b, 2)) / (2 * a * b)
-    else:
-        f = (p(s, 3) - p(s - a, 3) - p(s - b, 3) - p(s - c, 3) + p(s - a - b, 3) + p(s - a - c, 3) + p(s - b - c, 3)) / (6 * a * b * c)
+    line = plane = solid = s
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if (b > 0).any():
+            plane = (p(s, 2) - p(s - a, 2) - p(s - b, 2) + p(s - a - b, 2)) / (2 * a * b)
+        if (c > 0).any():
+            solid = (p(s, 3) - p(s - a, 3) - p(s - b, 3) - p(s - c, 3) + p(s - a - b, 3) + p(s - a - c, 3) + p(s - b - c, 3)) / (6 * a * b * c)
+    f = np.where(b <= 0, line, np.where(c <= 0, plane, solid))
     return np.where(t <= 0, 0.0, np.where(t >= 1, 1.0, np.clip(np.where(t <= 0.5, f, 1 - f), 0.0, 1.0)))
 
 
+class Links:
+    """Directed links of n cells, both ways each, in the order of their source: ``src``, ``dst``."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray) -> None:
+        order = np.lexsort((dst, src))
+        self.n, self.src, self.dst = n, np.asarray(src, np.int64)[order], np.asarray(dst, np.int64)[order]
+        self.first = np.searchsorted(self.src, np.arange(n + 1))
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Links:
+        return cls(len(lists), np.repeat(np.arange(len(lists)), list(map(len, lists))), np.array([m for near in lists for m in near], np.int64))
+
+    def __getitem__(self, cell: int) -> np.ndarray:
+        return self.dst[self.first[cell] : self.first[cell + 1]]
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n things, the smallest that each is joined to by pairs (a, b): roots hook to smaller roots until no pair is apart."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
 class Hierarchy:
-    """Depressions of a scene: a forest under the ocean, found by visiting cells from sinks and low to high."""
+    """Depressions of a scene: a forest under the ocean, found by visiting cells from sinks and low to high.
+
+    A cell flows to its first neighbour in that order; following these pointers (by doubling) gives its leaf. Only where
+    lower neighbours lie in different leaves can depressions merge, so only those cells and the leaves' lowest are visited
+    one by one. A depression lasts until the visit at which its parent takes it in, which gives every other cell's owner."""
 
-    def __init__(self, floor: np.ndarray, region: np.ndarray, links: list[list[int]], sink: np.ndarray) -> None:
+    def __init__(self, floor: np.ndarray, region: np.ndarray, links: Links, sink: np.ndarray) -> None:
         n = len(floor)
         self.floor, self.region, self.links = floor, region, links
         active = np.flatnonzero(region >= 0)
         self.order = active[np.lexsort((active, floor[active], ~sink[active]))]
         self.rank = np.full(n, n, np.int64)
         self.rank[self.order] = np.arange(len(self.order))
-        self.parent, self.spill, self.lowest, self.of_region = [-1], [-1], [np.inf], [-1]
-        self.owner, self.dest = np.full(n, OCEAN), np.full(n, OCEAN)
-        top = [OCEAN]  # of each depression, the outermost it is in so far; shortened on the way
+        rank = self.rank
+        lower = (rank[links.dst] < rank[links.src]) & (region[links.dst] == region[links.src]) & (rank[links.src] < n)
+        lower &= ~sink[links.src]
+        self._src, self._dst = links.src[lower], links.dst[lower]
+
+        begin = np.flatnonzero(np.diff(self._src, prepend=-1))
+        cells = self._src[begin]
+        next_ = np.arange(n)
+        if len(cells):
+            next_[cells] = self.order[np.minimum.reduceat(rank[self._dst], begin)]
+        while True:
+            on = next_[next_]
+            if (on == next_).all():
+                break
+            next_ = on
+        bottom = next_  # the lowest cell of each cell's leaf, or the sink it ends in
+        ends = np.where(sink[bottom], -1, bottom)
+
+        # Cells whose lower neighbours lie in several leaves, with these leaves.
+        met_cells, met_ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(cells):
+            of = ends[self._dst]
+            mixed = np.repeat(np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin), np.diff(np.append(begin, len(of))))
+            pairs = np.unique(rank[self._src[mixed]] * (n + 1) + of[mixed] + 1)
+            met_cells, met_ends = self.order[pairs // (n + 1)] if len(pairs) else met_cells, pairs % (n + 1) - 1
+        lows = active[(bottom[active] == active) & ~sink[active]]
+        self._merge(floor, region, lows, met_cells, met_ends)
+
+        leaf = np.full(n, OCEAN, np.int64)
+        leaf[lows] = self._leaf_of[lows]
+        self.dest = np.where(region >= 0, np.where(ends >= 0, leaf[bottom], OCEAN), OCEAN)
+        self.owner = self._outermost(self.dest)
+
+    def _merge(self, floor: np.ndarray, region: np.ndarray, lows: np.ndarray, cells: np.ndarray, ends: np.ndarray) -> None:
+        parent, spill, lowest, of_region, top = [-1], [-1], [0.0], [-1], [OCEAN]
+        self._leaf_of = np.zeros(len(floor), np.int64)
+        leaf_of = self._leaf_of
 
         def outer(m: int) -> int:
             while top[m] != m:
@@ -55,203 +127,290 @@ class Hierarchy:
                 m = top[m]
             return m
 
-        def fresh(cell: int, lowest: float) -> int:
-            self.parent.append(-1)
-            self.spill.append(-1)
-            self.lowest.append(lowest)
-            self.of_region.append(int(region[cell]))
+        def fresh(cell: int, low: float) -> int:
+            parent.append(-1)
+            spill.append(-1)
+            lowest.append(low)
+            of_region.append(int(region[cell]))
             top.append(len(top))
             return len(top) - 1
 
-        for cell in self.order.tolist():
-            if sink[cell]:
+        first = np.flatnonzero(np.diff(cells, prepend=-1))
+        last = np.append(first[1:], len(cells))
+        visits = np.concatenate((lows, cells[first]))
+        for v in np.argsort(self.rank[visits], kind="stable").tolist():
+            cell = int(visits[v])
+            if v < len(lows):
+                leaf_of[cell] = fresh(cell, float(floor[cell]))
                 continue
-            lower = [m for m in links[cell] if self.rank[m] < self.rank[cell] and region[m] == region[cell]]
-            if not lower:
-                self.owner[cell] = self.dest[cell] = fresh(cell, float(floor[cell]))
-                continue
-            first = min(lower, key=self.rank.__getitem__)
-            self.dest[cell] = self.dest[first]
-            met = sorted({outer(int(self.owner[m])) for m in lower})
+            held = ends[first[v - len(lows)] : last[v - len(lows)]].tolist()
+            met = sorted({OCEAN if low < 0 else outer(int(leaf_of[low])) for low in held})
             if len(met) > 1:
-                into = OCEAN if OCEAN in met else fresh(cell, min(self.lowest[m] for m in met))
+                into = OCEAN if met[0] == OCEAN else fresh(cell, min(lowest[m] for m in met))
                 for m in met:
                     if m != into:
-                        self.parent[m], self.spill[m], top[m] = into, cell, into
-                met = [into]
-            self.owner[cell] = met[0]
-
-    def targets(self, min_depth: float) -> list[int]:
+                        parent[m], spill[m], top[m] = into, cell, into
+        self.parent, self.spill = np.array(parent), np.array(spill)
+        self.lowest, self.of_region = np.array(lowest), np.array(of_region)
+        #: The height of a depression's saddle and the visit that ends it.
+        ends_ = self.spill >= 0
+        self.level = np.where(ends_, floor[self.spill] if len(floor) else np.inf, np.inf)
+        self.until = np.where(ends_, self.rank[self.spill] if len(floor) else 0, len(floor) + 1)
+
+    def _outermost(self, leaf: np.ndarray) -> np.ndarray:
+        """The depression that each cell's leaf is in when the cell is visited: up the forest in steps of powers of two."""
+        ups = [np.where(self.parent < 0, np.arange(len(self.parent)), self.parent)]
+        while not (ups[-1] == ups[-1][ups[-1]]).all():
+            ups.append(ups[-1][ups[-1]])
+        at = leaf
+        for up in reversed(ups):
+            # Ends come later the further up: what ended above has ended below.
+            at = np.where(self.until[up[at]] <= self.rank, up[at], at)
+        return np.where(self.until[at] <= self.rank, self.parent[at], at)
+
+    def targets(self, min_depth: float) -> np.ndarray:
         """Where a depression's room goes: itself, or past shallow ones to the first deep enough or the ocean."""
-        out = list(range(len(self.parent)))
-        for m in range(len(out) - 1, 0, -1):  # parents have higher numbers, but for the ocean
-            if self.spill[m] >= 0 and self.floor[self.spill[m]] - self.lowest[m] < min_depth:
-                out[m] = out[self.parent[m]]
+        out = np.arange(len(self.parent))
+        shallow = np.flatnonzero((self.spill >= 0) & (self.level - self.lowest < min_depth))
+        for m in shallow[::-1].tolist():  # parents have higher numbers, but for the ocean
+            out[m] = out[self.parent[m]]
         return out
 
-    def portions(self, e: np.ndarray, shape: tuple[float, float, float], v: np.ndarray, min_depth: float) -> list[tuple[int, int, float, float, float]]:
+    def portions(self, e: np.ndarray, shape: np.ndarray, v: np.ndarray, min_depth: float) -> tuple[np.ndarray, ...]:
         """(depression, cell, from, to, volume): a cell's volume cut at the spill levels of the depressions it reaches through."""
         to = self.targets(min_depth)
-        out = []
-        for cell in self.order.tolist():
-            m = int(self.owner[cell])
-            while m != OCEAN and self.spill[m] >= 0 and self.floor[cell] >= self.floor[self.spill[m]]:
-                m = self.parent[m]
-            if e[cell] <= 0:
-                if to[m] != OCEAN:
-                    out.append((to[m], cell, 0.0, 1.0, float(v[cell])))
-                continue
-            low = 0.0
-            while m != OCEAN and low < 1.0:
-                high = 1.0 if self.spill[m] < 0 else min(1.0, float(self.floor[self.spill[m]] - self.floor[cell]) / (2 * e[cell]))
-                if high > low and to[m] != OCEAN:
-                    share = float(cdf(np.array(high), shape) - cdf(np.array(low), shape))
-                    out.append((to[m], cell, low, high, share * float(v[cell])))
-                low, m = max(low, high), self.parent[m] if self.spill[m] >= 0 else OCEAN
-        return out
-
-
-def settle(h: np.ndarray, region: np.ndarray, links: list[list[int]], sink: np.ndarray, src: np.ndarray, v: np.ndarray, e: np.ndarray | None = None, shape: tuple[float, float, float] = (1.0, 0.0, 0.0), min_depth: float = 0.0, routing: bool = True) -> tuple[np.ndarray, dict[int, float], dict[int, float], np.ndarray]:
-    """(retained by cell, drained by region, lost by region, destination leaf by cell)."""
+        cell = self.order
+        m = self.owner[cell]
+        while True:
+            over = (m != OCEAN) & (self.spill[m] >= 0) & (self.floor[cell] >= self.level[m])
+            if not over.any():
+                break
+            m = np.where(over, self.parent[m], m)
+        flat = (e[cell] <= 0) & (to[m] != OCEAN)
+        k = int(flat.sum())
+        out = [(to[m[flat]], cell[flat], np.zeros(k), np.ones(k), v[cell[flat]].astype(float))]
+        on = (e[cell] > 0) & (m != OCEAN)
+        cell, m = cell[on], m[on]
+        low = np.zeros(len(cell))
+        while len(cell):
+            high = np.where(self.spill[m] < 0, 1.0, np.minimum(1.0, (self.level[m] - self.floor[cell]) / (2 * e[cell])))
+            use = (high > low) & (to[m] != OCEAN)
+            c, w = cell[use], shape[cell[use]]
+            out.append((to[m[use]], c, low[use], high[use], (cdf(high[use], w) - cdf(low[use], w)) * v[c]))
+            low = np.maximum(low, high)
+            m = np.where(self.spill[m] >= 0, self.parent[m], OCEAN)
+            on = (m != OCEAN) & (low < 1.0)
+            cell, m, low = cell[on], m[on], low[on]
+        d, c, a, b, x = (np.concatenate(p) for p in zip(*out, strict=True))
+        order = np.lexsort((a, self.rank[c], d))
+        return d[order], c[order], a[order], b[order], x[order]
+
+
+def settle(h: np.ndarray, region: np.ndarray, links: Links | list[list[int]], sink: np.ndarray, src: np.ndarray, v: np.ndarray, e: np.ndarray | None = None, shape: tuple[float, float, float] | np.ndarray = (1.0, 0.0, 0.0), min_depth: float = 0.0, routing: bool = True) -> tuple[np.ndarray, dict[int, float], dict[int, float], np.ndarray]:
+    """(retained by cell, drained by region, lost by region, destination leaf by cell). ``shape`` may differ by cell.
+
+    Scenes without links between them can share a call, with regions of their own: what each keeps doesn't change."""
+    links = links if isinstance(links, Links) else Links.of(links)
     e = np.zeros(len(h)) if e is None else e
+    shape = np.broadcast_to(np.asarray(shape, float), (len(h), 3))
     floor = h - e
-    # A sink among sinks only can't change anything: what is poured on it is gone.
     tree = Hierarchy(floor, region, links, sink)
     parts = tree.portions(e, shape, v, min_depth)
     n = len(tree.parent)
-    cap, vol, full = np.zeros(n), np.zeros(n), np.zeros(n, bool)
-    for m, _, _, _, x in parts:
-        cap[m] += x
-    tol = 1e-12 * max(float(v.max(initial=0.0)), 1e-300)
-    drained = dict.fromkeys(map(int, np.unique(region[region >= 0])), 0.0)
-    lost = dict(drained)
-    poured = np.zeros(n)
-    for cell in tree.order.tolist():
-        if src[cell] > 0:
-            if tree.dest[cell] == OCEAN:
-                drained[int(region[cell])] += float(src[cell])
-            else:
-                poured[tree.dest[cell]] += src[cell]
+    cap = np.bincount(parts[0], parts[4], n)
+    names, at = np.unique(region[tree.order], return_inverse=True)
+    largest = np.full(len(names) + 1, 1e-300)
+    np.maximum.at(largest, at, v[tree.order])
+    tol = 1e-12 * largest[np.searchsorted(names, tree.of_region)]
+    source = np.where(src[tree.order] > 0, src[tree.order], 0.0)
+    gone = tree.dest[tree.order] == OCEAN
+    drained = dict(zip(names.tolist(), np.bincount(at, np.where(gone, source, 0.0), len(names)).tolist(), strict=True))
+    lost = dict.fromkeys(names.tolist(), 0.0)
+    poured = np.bincount(tree.dest[tree.order], np.where(gone, 0.0, source), n)
+    vol = _routed(tree, links, floor, poured, cap, tol, drained, lost, routing)
+    return _written(tree, parts, e, shape, v, vol, cap, tol), drained, lost, tree.dest
+
 
+def _routed(tree: Hierarchy, links: Links, floor: np.ndarray, poured: np.ndarray, cap: np.ndarray, tol: np.ndarray, drained: dict[int, float], lost: dict[int, float], routing: bool) -> np.ndarray:
+    """Volumes of depressions after what was poured into each leaf has filled it and gone on over its saddles."""
+    parent, spill = tree.parent.tolist(), tree.spill.tolist()
+    room, vol, full, least = cap.tolist(), [0.0] * len(parent), [False] * len(parent), tol.tolist()
     spills: dict[int, list[int]] = {}
 
     def inside(leaf: int, m: int) -> bool:
         while leaf > OCEAN and leaf != m:
-            leaf = tree.parent[leaf] if tree.spill[leaf] >= 0 else -1
+            leaf = parent[leaf] if spill[leaf] >= 0 else -1
         return leaf == m
 
     def ways(m: int) -> list[int]:
         """Leaves on the far side of a depression's saddle, the lowest neighbour first."""
         if m not in spills:
-            s = tree.spill[m]
-            lower = [x for x in tree.links[s] if tree.rank[x] < tree.rank[s] and region[x] == region[s]]
-            found = [int(tree.dest[x]) for x in sorted(lower, key=lambda x: floor[x])]
-            spills[m] = [leaf for leaf in found if leaf == OCEAN or not inside(leaf, m)]
+            s = spill[m]
+            near = links[s]
+            near = near[(tree.rank[near] < tree.rank[s]) & (tree.region[near] == tree.region[s])]
+            found = tree.dest[near[np.argsort(floor[near], kind="stable")]].tolist()
+            spills[m] = [leaf for leaf in dict.fromkeys(found) if leaf == OCEAN or not inside(leaf, m)]
         return spills[m]
 
+    def onward(m: int) -> int:
+        """Where a full depression's surplus goes: the ocean, a leaf whose side of the saddle has room, or the parent."""
+        p = parent[m]
+        for way in ways(m):
+            t = way
+            while t != OCEAN and parent[t] != p:
+                t = parent[t]
+            if t == OCEAN:
+                return OCEAN
+            if not full[t]:
+                return way
+            if p == OCEAN:
+                return OCEAN
+        return p
+
     for leaf in np.flatnonzero(poured).tolist():
-        m, left, where = leaf, float(poured[leaf]), tree.of_region[leaf]
+        m, left, where = leaf, float(poured[leaf]), int(tree.of_region[leaf])
         while left > 0:
-            put = min(max(cap[m] - vol[m], 0.0), left)
+            put = min(max(room[m] - vol[m], 0.0), left)
             vol[m] += put
             left -= put
-            if left <= tol:
+            if left <= least[leaf]:
                 break
             full[m] = True
-            if tree.spill[m] < 0:
+            if spill[m] < 0:
                 lost[where] += left
                 break
-            if not routing:
-                drained[where] += left
-                break
-            p, on = tree.parent[m], None
-            for way in ways(m):
-                if way == OCEAN:
-                    on = OCEAN
-                    break
-                t = way
-                while tree.parent[t] != p:
-                    t = tree.parent[t]
-                if not full[t]:
-                    on = way
-                    break
-                if p == OCEAN:
-                    on = OCEAN
-                    break
-            on = p if on is None else on
+            on = onward(m) if routing else OCEAN
             if on == OCEAN:
                 drained[where] += left
                 break
             m = on
-    return _written(tree, parts, e, shape, v, vol, cap, tol), drained, lost, tree.dest
-
-
-def _written(tree: Hierarchy, parts: list[tuple[int, int, float, float, float]], e: np.ndarray, shape: tuple[float, float, float], v: np.ndarray, vol: np.ndarray, cap: np.ndarray, tol: float) -> np.ndarray:
-    """Volumes of depressions back to cells: full ones whole, partly filled ones up to one flat level."""
-    retained = np.zeros(len(v))
-    by: dict[int, list[int]] = {}
-    for i, part in enumerate(parts):
-        by.setdefault(part[0], []).append(i)
-    for m, rows in by.items():
-        if vol[m] <= 0:
-            continue
-        cell = np.array([parts[i][1] for i in rows])
-        volume = np.array([parts[i][4] for i in rows])
-        if vol[m] >= cap[m] - tol:
-            np.add.at(retained, cell, volume)
-            continue
-        level = tree.floor[cell]
-        if (e[cell] <= 0).all():
-            order = np.argsort(level, kind="stable")
-            upto = np.cumsum(volume[order])
-            at = level[order][np.searchsorted(upto, vol[m] - tol)]
-            below, layer = level < at, level == at
-            np.add.at(retained, cell[below], volume[below])
-            np.add.at(retained, cell[layer], volume[layer] * (vol[m] - volume[below].sum()) / volume[layer].sum())
-            continue
-        low, high = np.array([parts[i][2] for i in rows]), np.array([parts[i][3] for i in rows])
-
-        def held(at: float, cell: np.ndarray = cell, low: np.ndarray = low, high: np.ndarray = high, level: np.ndarray = level) -> np.ndarray:
-            t = np.where(e[cell] > 0, (at - level) / np.maximum(2 * e[cell], 1e-300), (at >= level).astype(float))
-            return v[cell] * (cdf(np.clip(t, low, high), shape) - cdf(low, shape))
-
-        a, b = float(level.min()), float((level + 2 * e[cell]).max())
+    return np.array(vol)
+
+
+def _written(tree: Hierarchy, parts: tuple[np.ndarray, ...], e: np.ndarray, shape: np.ndarray, v: np.ndarray, vol: np.ndarray, cap: np.ndarray, tol: np.ndarray) -> np.ndarray:
+    """Volumes of depressions back to cells: full ones whole, partly filled ones up to one flat level, all of them at once."""
+    m, cell, low, high, volume = parts
+    n = len(vol)
+    whole = (vol > 0) & (vol >= cap - tol)
+    retained = np.bincount(cell, np.where(whole[m], volume, 0.0), len(v)).astype(float)  # whole numbers if there is no part
+    part = ((vol > 0) & ~whole)[m]
+    if not part.any():
+        return retained
+    m, cell, low, high, volume = (x[part] for x in (m, cell, low, high, volume))
+    level = tree.floor[cell]
+    tall = np.bincount(m, e[cell] > 0, n) > 0
+
+    flat = ~tall[m]
+    if flat.any():
+        order = np.lexsort((level[flat], m[flat]))
+        f_m, f_cell, f_level, f_volume = (x[flat][order] for x in (m, cell, level, volume))
+        fresh = np.flatnonzero((np.diff(f_m, prepend=-1) != 0) | (np.diff(f_level, prepend=np.nan) != 0))
+        size = np.diff(np.append(fresh, len(f_m)))
+        layer = np.add.reduceat(f_volume, fresh)
+        group = f_m[fresh]
+        before = np.cumsum(layer) - layer
+        before -= np.repeat(before[np.flatnonzero(np.diff(group, prepend=-1))], np.diff(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))))
+        share = np.clip((vol[group] - before) / np.maximum(layer, 1e-300), 0.0, 1.0)
+        share[share > 1 - 1e-12] = 1.0
+        retained += np.bincount(f_cell, f_volume * np.repeat(share, size), len(v))
+
+    if not flat.all():
+        m, cell, low, high, level = (x[~flat] for x in (m, cell, low, high, level))
+        names, g = np.unique(m, return_inverse=True)
+        w, room, base, span = shape[cell], v[cell], cdf(low, shape[cell]), 2 * e[cell]
+
+        def held(at: np.ndarray) -> np.ndarray:
+            t = np.where(span > 0, (at[g] - level) / np.maximum(span, 1e-300), (at[g] >= level).astype(float))
+            return room * (cdf(np.clip(t, low, high), w) - base)
+
+        a, b = np.full(len(names), np.inf), np.full(len(names), -np.inf)
+        np.minimum.at(a, g, level)
+        np.maximum.at(b, g, level + span)
         for _ in range(60):
             mid = 0.5 * (a + b)
-            a, b = (mid, b) if held(mid).sum() < vol[m] else (a, mid)
+            short = np.bincount(g, held(mid), len(names)) < vol[names]
+            a, b = np.where(short, mid, a), np.where(short, b, mid)
         got = held(b)
-        np.add.at(retained, cell, got * vol[m] / max(got.sum(), 1e-300))
+        total = np.bincount(g, got, len(names))
+        retained += np.bincount(cell, got * (vol[names] / np.maximum(total, 1e-300))[g], len(v))
     return retained
 
 
-def neighbours(n: int, src: np.ndarray, dst: np.ndarray) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(n)]
-    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
-        out[a].append(b)
-    return out
-
-
-def fill_spill(nodes: DataFrame, edges: DataFrame, min_depth: float = 0.0, routing: bool = True, shape: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
-    """Runs scenes (scenario_id, node_id, h, region, sink, src, v, e) with links (scenario_id, src, dst), a group a scene.
-
-    Returns (scenario_id, node_id, retained, owner, drained, lost); drained and lost stand on the first node of a region.
-    A scene is one task's work: its order of filling is sequential by nature. A large field is for the staged operators."""
-
-    def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        n = n.sort_values("node_id", ignore_index=True)
-        ids = n["node_id"].to_numpy()
-        src, dst = (np.searchsorted(ids, e[c].to_numpy()) for c in ("src", "dst"))
-        order = np.lexsort((dst, src))
-        region = n["region"].to_numpy()
-        kept, drained, lost, owner = settle(n["h"].to_numpy(float), region, neighbours(len(ids), src[order], dst[order]), n["sink"].to_numpy(bool), n["src"].to_numpy(float), n["v"].to_numpy(float), n["e"].to_numpy(float), shape, min_depth, routing)
-        out = pd.DataFrame({"scenario_id": key[0], "node_id": ids, "retained": kept, "owner": owner, "drained": 0.0, "lost": 0.0})
-        for k, x in drained.items():
-            at = int(np.flatnonzero(region == k)[0])
-            out.loc[at, ["drained", "lost"]] = x, lost[k]
-        return out
-
-    nodes, edges = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (nodes, edges))  # they may share a plan
-    return nodes.groupBy("scenario_id").cogroup(edges.groupBy("scenario_id")).applyInPandas(run, RESULT)
+#: Cells that are settled in one call, unless a scene alone has more.
+CELLS = 1 << 17
+
+
+def _scenes(table: pa.Table, min_depth: float, routing: bool, shape: tuple[float, float, float]) -> pa.RecordBatch:
+    """Settles whole scenes, as one call with regions of their own. Rows: nodes, then links, of each scene in order."""
+    col = {c: np.asarray(table[c]) for c in table.column_names if c != "to"}
+    scene = np.cumsum(np.diff(col["scenario_id"], prepend=col["scenario_id"][:1]) != 0)
+    is_link = col["link"]
+    near = table["to"].combine_chunks()
+    near = near.combine_chunks() if isinstance(near, pa.ChunkedArray) else near
+    times = np.asarray(near.value_lengths().fill_null(0))
+    a = np.concatenate((col["a"][is_link], np.repeat(col["a"], times)))
+    b = np.concatenate((col["b"][is_link], np.asarray(near.flatten())))
+    at = np.concatenate((scene[is_link], np.repeat(scene, times)))
+    names = np.unique(col["a"][~is_link])
+    key = scene[~is_link] * len(names) + np.searchsorted(names, col["a"][~is_link])  # ascending: sorted by scene and node
+    ends, known = [], np.ones(len(at), bool)
+    for side in (a, b):
+        place = np.minimum(np.searchsorted(names, side), len(names) - 1)
+        asked = at * len(names) + place
+        ends.append(np.minimum(np.searchsorted(key, asked), len(key) - 1))
+        known &= (names[place] == side) & (key[ends[-1]] == asked)
+    own = scene[~is_link]
+    region = col["region"][~is_link]
+    pairs, group = np.unique(np.stack((own, region)), axis=1, return_inverse=True)
+    group = np.where(region >= 0, group.ravel(), -1)
+    h, v, e, src = (col[c][~is_link].astype(float) for c in ("h", "v", "e", "src"))
+    kept, drained, lost, leaf = settle(h, group, Links(len(key), ends[0][known], ends[1][known]), col["sink"][~is_link].astype(bool), src, v, e, shape, min_depth, routing)
+    # Leaves count in each scene from 1, in the order of visits; 0 is the ocean.
+    dry = leaf == OCEAN
+    seen, number = np.unique(own * (leaf.max(initial=0) + 1) + leaf, return_inverse=True)
+    of = seen // (leaf.max(initial=0) + 1)
+    owner = np.where(dry, OCEAN, number - np.searchsorted(of, own) + 1 - (seen % (leaf.max(initial=0) + 1) == OCEAN)[np.searchsorted(of, own)])
+    gone, spilt = np.zeros(len(key)), np.zeros(len(key))
+    first = np.unique(group, return_index=True)
+    for k, at in zip(first[0].tolist(), first[1].tolist(), strict=True):
+        gone[at], spilt[at] = drained.get(k, 0.0), lost.get(k, 0.0)
+    arrays = [col["scenario_id"][~is_link], col["a"][~is_link], kept, owner, gone, spilt]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[c.split()[0] for c in RESULT.split(", ")])
+
+
+def fill_spill(nodes: DataFrame, edges: DataFrame | None = None, min_depth: float = 0.0, routing: bool = True, shape: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
+    """Runs scenes (scenario_id, node_id, h, region, sink, src, v, e) with links (scenario_id, src, dst), or without such a
+    table if the nodes carry their neighbours (``to``, an array), which saves the links' way through the shuffle.
+
+    Returns (scenario_id, node_id, retained, owner, drained, lost); drained and lost stand on the first node of a region,
+    owner numbers a scene's leaves from 1 (0: it runs off). Scenes stream through sorted partitions and are settled in
+    blocks of about ``CELLS`` cells. One scene is one task's work: its order of filling is sequential by nature. A large
+    field is for the staged operators. Links to nodes that aren't there are left out; a node stands once."""
+    zero, none = F.lit(0.0), F.array().cast("array<long>")
+    number = {"h": "double", "region": "long", "src": "double", "v": "double", "e": "double"}
+    rows = nodes.select("scenario_id", F.lit(False).alias("link"), F.col("node_id").alias("a"), F.lit(0).cast("long").alias("b"), (F.col("to") if edges is None else none).alias("to"), "sink", *(F.col(c).cast(t).alias(c) for c, t in number.items()))
+    if edges is not None:
+        rows = rows.unionByName(edges.select("scenario_id", F.lit(True).alias("link"), F.col("src").alias("a"), F.col("dst").alias("b"), none.alias("to"), F.lit(False).alias("sink"), *(zero.cast(t).alias(c) for c, t in number.items())))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, enough = 0, CELLS
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            ids = np.asarray(table["scenario_id"])
+            cut = int(np.searchsorted(ids, ids[-1]))  # the last scene may go on in the next batch
+            if cut:
+                yield _scenes(table.slice(0, cut), min_depth, routing, shape)
+            held, rows = table.slice(cut).to_batches(), rows - cut
+            enough = CELLS if cut else 2 * rows
+        if any(b.num_rows for b in held):
+            yield _scenes(pa.Table.from_batches(held), min_depth, routing, shape)
+
+    return rows.repartition("scenario_id").sortWithinPartitions("scenario_id", "link", "a", "b").mapInArrow(stream, RESULT)
 
 
 # ---- one large field as tables

@@ -19,3 +19,10 @@ def stage_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder, for a table that a later step reads again."""
     checkpointed(spark.range(0))
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deals rows that each are much work, and so may be one small file's, to all tasks: a number of partitions that
+    adaptive execution doesn't join again."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)

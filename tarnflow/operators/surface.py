@@ -176,7 +176,7 @@ def gap_regions(samples: DataFrame, lo: float, hi: float, spacing: float) -> Dat
     cc = connected_components(pairs.filter(sheet & (F.col("id") < F.col("r_id"))).select(F.col("id").alias("src"), F.col("r_id").alias("dst")))
     df = band.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("region", F.coalesce("component", "id"))
     weight = F.sum("area")
-    out = df.groupBy("region").agg(weight.alias("area"), F.min("width").alias("least"), upper_median(F.col("width")).alias("median"), *((F.sum(F.col(c) * F.col("area")) / weight).alias(c) for c in "xyz"), *((F.max(c) - F.min(c)).alias(f"extent_{c}") for c in "xyz"))
+    out = df.groupBy("region").agg(weight.alias("area"), F.min("width").alias("least"), upper_median("width").alias("median"), *((F.sum(F.col(c) * F.col("area")) / weight).alias(c) for c in "xyz"), *((F.max(c) - F.min(c)).alias(f"extent_{c}") for c in "xyz"))
     return out.orderBy(F.col("area").desc(), "region")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.operators import fsm
+from tarnflow.operators.session import spread
 from tarnflow.plans.registry import query, r, table
 from tarnflow.sources import scenes
 from tarnflow.sources.scenes import Raster
@@ -16,16 +19,15 @@ def block(i: tuple[int, int], j: tuple[int, int], k: tuple[int, int]) -> Column:
     return (F.col("i") >= i[0]) & (F.col("i") < i[1]) & (F.col("j") >= j[0]) & (F.col("j") < j[1]) & (F.col("k") >= k[0]) & (F.col("k") < k[1])
 
 
-def scene(spark: SparkSession, name: str, dims: tuple[int, int, int], steps: list[tuple[str, Column]], poured: Column, up: tuple[float, float, float] = (0, 0, 1)) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links of a scene built by adding and cutting blocks; the boundary is the sink."""
+def scene(spark: SparkSession, number: int, dims: tuple[int, int, int], steps: list[tuple[str, Column]], poured: Column, up: tuple[float, float, float] = (0, 0, 1)) -> DataFrame:
+    """Nodes of a scene built by adding and cutting blocks, with their neighbours; the boundary is the sink."""
     g = Raster(dims, 1.0, (0.0, 0.0, 0.0))
     cells = g.cells(spark)
     for what, mask in steps:
         cells = scenes.add(cells, mask) if what == "add" else scenes.cut(cells, mask)
-    fluid = cells.filter("not solid")
     h = F.col("i") * up[0] + F.col("j") * up[1] + F.col("k") * up[2]
-    nodes = fluid.select(F.lit(name).alias("name"), "node_id", "i", "j", "k", h.cast("double").alias("h"), F.lit(0).alias("region"), F.col("boundary").alias("sink"), F.when(F.col("boundary"), 0.0).otherwise(poured.cast("double")).alias("src"), F.lit(1.0).alias("v"), F.lit(0.0).alias("e"))
-    return nodes, scenes.face_links(g, cells).withColumn("name", F.lit(name))
+    source = F.when(F.col("boundary"), 0.0).otherwise(poured.cast("double"))
+    return cells.filter("not solid").select(F.lit(number).cast("long").alias("scenario_id"), "node_id", h.cast("double").alias("h"), F.lit(0).alias("region"), F.col("boundary").alias("sink"), source.alias("src"), F.lit(1.0).alias("v"), F.lit(0.0).alias("e"), scenes.face_neighbours(g).alias("to"))
 
 
 def bottle() -> list[tuple[str, Column]]:
@@ -54,13 +56,14 @@ def poured_low(volume: int) -> Column:
 
 
 
-def _scenes(spark: SparkSession) -> list[tuple[str, tuple[DataFrame, DataFrame]]]:
+def _scenes() -> list[tuple]:
+    """(name, dims, blocks, what is poured, up)."""
     inside = lambda m: F.when(m, 1.0).otherwise(0.0)
     box = inside(block((5, 20), (2, 10), (21, 32)))
     plate = [("add", block((5, 15), (5, 15), (5, 6)))]
     tray = [*plate, ("add", block((5, 15), (5, 15), (6, 7))), ("cut", block((6, 14), (6, 14), (6, 7)))]
     on_plate = inside(block((6, 14), (6, 14), (6, 7)))
-    found = [
+    return [
         ("bottle_full", (14, 14, 14), bottle(), inside(block((3, 11), (3, 11), (3, 11))), (1, 0, 0)),
         ("bottle_third", (14, 14, 14), bottle(), inside(block((3, 11), (3, 11), (3, 6))), (1, 0, 0)),
         ("plate", (20, 20, 12), plate, on_plate, (0, 0, 1)),
@@ -73,17 +76,17 @@ def _scenes(spark: SparkSession) -> list[tuple[str, tuple[DataFrame, DataFrame]]
         ("saddle_60", (22, 6, 18), tank((10, 11, 6), (16, 16, 3)), poured_low(276), (0, 0, 1)),
         ("saddle_150", (22, 6, 18), tank((10, 11, 6), (16, 16, 3)), poured_low(366), (0, 0, 1)),
     ]
-    return [(name, scene(spark, name, dims, steps, src, up)) for name, dims, steps, src, up in found]
 
 
-def settled(parts: list[tuple[str, tuple[DataFrame, DataFrame]]], routing: bool = True) -> DataFrame:
+def settled(spark: SparkSession, parts: list[tuple], routing: bool = True) -> DataFrame:
     """Retained volume by cell and drained volume by scene, all scenes as one ensemble."""
-    nodes = links = None
-    for k, (_, (n, e)) in enumerate(parts):
-        n, e = n.withColumn("scenario_id", F.lit(k).cast("long")), e.withColumn("scenario_id", F.lit(k).cast("long"))
-        nodes, links = (n, e) if nodes is None else (nodes.union(n), links.union(e))
-    out = fsm.fill_spill(nodes.select("scenario_id", "node_id", "h", "region", "sink", "src", "v", "e"), links.select("scenario_id", "src", "dst"), routing=routing)
-    return out.join(nodes.select("scenario_id", "node_id", "name", "i", "j", "k"), ["scenario_id", "node_id"])
+    nodes = reduce(DataFrame.union, (scene(spark, n, *rest) for n, (_, *rest) in enumerate(parts)))
+    out = fsm.fill_spill(nodes, routing=routing)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("scenario_id") + 1).cast("int"))
+    height, depth = of([p[1][2] for p in parts]), of([p[1][1] for p in parts])
+    node = F.col("node_id")
+    index = {"name": of([p[0] for p in parts]), "k": node % height, "j": F.floor(node / height) % depth, "i": F.floor(node / (height * depth))}
+    return out.withColumns(index)
 
 
 @query(
@@ -92,7 +95,7 @@ def settled(parts: list[tuple[str, tuple[DataFrame, DataFrame]]], routing: bool
 )
 def fill_spill_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eleven scenes whose volumes follow from counting cells: kept, gone, in the first vessel and in what it spills into."""
-    out = settled(_scenes(spark))
+    out = settled(spark, _scenes())
     name = F.col("name")
     first = F.when(name.startswith("bottle"), block((3, 5), (3, 11), (3, 11))).when(name.isin("plate", "tray"), block((6, 14), (6, 14), (6, 7))).when(name.isin("cascade", "deep_cup", "two_stage"), block((5, 20), (2, 10), (21, 32))).otherwise(block((1, 10), (1, 5), (1, 7)))
     second = F.when(name.isin("cascade", "deep_cup", "two_stage"), block((21, 39), (2, 10), (3, 23))).when(name == "merged_lake", block((12, 21), (1, 5), (1, 7))).when(name.startswith("saddle"), block((12, 16), (1, 5), (1, 4)) | block((17, 21), (1, 5), (1, 4))).otherwise(F.lit(False))
@@ -103,27 +106,26 @@ def fill_spill_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'cascade' AS name, 600.0::DOUBLE AS kept, 720.0::DOUBLE AS gone")
 def cup_spill_routing_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without routing what spills is gone, and the cup below stays empty."""
-    out = settled([s for s in _scenes(spark) if s[0] == "cascade"], routing=False)
+    out = settled(spark, [s for s in _scenes() if s[0] == "cascade"], routing=False)
     return out.groupBy("name").agg(r(F.sum("retained")).alias("kept"), r(F.sum("drained")).alias("gone"))
 
 
-@query("SELECT p_partkey, least(floor(p_retailprice/100)::BIGINT, (p_size % 5 + 2)*3*4)::DOUBLE AS retained, (floor(p_retailprice/100)::BIGINT - least(floor(p_retailprice/100)::BIGINT, (p_size % 5 + 2)*3*4))::DOUBLE AS drained, 0.0::DOUBLE AS lost FROM part WHERE p_partkey % 20 = 0")
+@query("SELECT p_partkey, least(floor(p_retailprice/100)::BIGINT, (p_size % 5 + 2)*3*4)::DOUBLE AS retained, (floor(p_retailprice/100)::BIGINT - least(floor(p_retailprice/100)::BIGINT, (p_size % 5 + 2)*3*4))::DOUBLE AS drained, 0.0::DOUBLE AS lost FROM part")
 def cup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as cups: an upright cup keeps what it has room for, the rest runs over its rim. A scene a part."""
     w = F.col("p_size") % 5 + 2
-    parts = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("scenario_id"), w.cast("int").alias("w"), F.floor(F.col("p_retailprice") / 100).cast("double").alias("poured"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scenario_id"), w.cast("int").alias("w"), F.floor(F.col("p_retailprice") / 100).cast("double").alias("poured"))
     # A raster of (w + 4) x 7 x 8 cells; the cup's inside is w x 3 x 4, its walls one cell, and it stands free.
-    cells = parts.withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("w") + 4) * 56 - 1))).withColumns({"i": F.floor(F.col("c") / 56).cast("int"), "j": (F.floor(F.col("c") / 8) % 7).cast("int"), "k": (F.col("c") % 8).cast("int")})
-    inside = F.col("i").between(2, F.col("w") + 1) & F.col("j").between(2, 4) & F.col("k").between(2, 5)
-    wall = F.col("i").between(1, F.col("w") + 2) & F.col("j").between(1, 5) & F.col("k").between(1, 5) & ~inside
-    fluid = cells.filter(~wall)
-    edge = (F.col("i") == 0) | (F.col("i") == F.col("w") + 3) | F.col("j").isin(0, 6) | F.col("k").isin(0, 7)
-    source = F.when((F.col("i") == 2) & (F.col("j") == 3) & (F.col("k") == 5), F.col("poured")).otherwise(0.0)
-    nodes = fluid.select("scenario_id", F.col("c").cast("long").alias("node_id"), F.col("k").cast("double").alias("h"), F.lit(0).alias("region"), edge.alias("sink"), source.alias("src"), F.lit(1.0).alias("v"), F.lit(0.0).alias("e"))
-    steps = F.array_compact(F.array(F.when(F.col("i") > 0, F.col("c") - 56), F.when(F.col("i") < F.col("w") + 3, F.col("c") + 56), F.when(F.col("j") > 0, F.col("c") - 8), F.when(F.col("j") < 6, F.col("c") + 8), F.when(F.col("k") > 0, F.col("c") - 1), F.when(F.col("k") < 7, F.col("c") + 1))).cast("array<long>")
-    links = fluid.select("scenario_id", F.col("c").cast("long").alias("src"), F.explode(steps).alias("dst"))
-    links = links.join(nodes.select("scenario_id", F.col("node_id").alias("dst")), ["scenario_id", "dst"], "left_semi").select("scenario_id", "src", "dst")
-    out = fsm.fill_spill(nodes, links)
+    cells = spread(parts, "scenario_id").withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("w") + 4) * 56 - 1))).withColumns({"i": F.floor(F.col("c") / 56).cast("int"), "j": (F.floor(F.col("c") / 8) % 7).cast("int"), "k": (F.col("c") % 8).cast("int")})
+    w = F.col("w")
+    wall = lambda i, j, k: i.between(1, w + 2) & j.between(1, 5) & k.between(1, 5) & ~(i.between(2, w + 1) & j.between(2, 4) & k.between(2, 5))
+    i, j, k = F.col("i"), F.col("j"), F.col("k")
+    fluid = cells.filter(~wall(i, j, k))
+    edge = (i == 0) | (i == w + 3) | j.isin(0, 6) | k.isin(0, 7)
+    source = F.when((i == 2) & (j == 3) & (k == 5), F.col("poured")).otherwise(0.0)
+    steps = [(F.when((x >= 0) & (x < w + 4) & y.between(0, 6) & z.between(0, 7) & ~wall(x, y, z), x * 56 + y * 8 + z)) for x, y, z in ((i + a, j + b, k + c) for a, b, c in ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)))]
+    nodes = fluid.select("scenario_id", F.col("c").cast("long").alias("node_id"), k.cast("double").alias("h"), F.lit(0).alias("region"), edge.alias("sink"), source.alias("src"), F.lit(1.0).alias("v"), F.lit(0.0).alias("e"), F.array_compact(F.array(*steps)).cast("array<long>").alias("to"))
+    out = fsm.fill_spill(nodes)
     return out.groupBy(F.col("scenario_id").alias("p_partkey")).agg(*(r(F.sum(c)).alias(c) for c in ("retained", "drained", "lost")))
 
 

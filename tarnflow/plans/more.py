@@ -22,10 +22,10 @@ def box(spark: SparkSession) -> DataFrame:
     return scenes.add(BOX.cells(spark), (F.col("node_id") * 7919 + F.floor(F.col("node_id") / 8) * 104729) % 100 < 30)
 
 
-@query("SELECT p_partkey, s.range::INT AS n, round(p_size + p_retailprice/1000*cos(radians(15.0*s.range)), 6) AS x, round(p_partkey % 7 + p_retailprice/1000*sin(radians(15.0*s.range)), 6) AS y FROM part, range(24) s WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey, s.range::INT AS n, round(p_size + p_retailprice/1000*cos(radians(15.0*s.range)), 6) AS x, round(p_partkey % 7 + p_retailprice/1000*sin(radians(15.0*s.range)), 6) AS y FROM part, range(24) s")
 def hole_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round holes as polygons of 24 corners."""
-    p = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    p = table(spark, sf_dir, "part").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(23))))
     a, radius = F.radians(15.0 * F.col("n")), F.col("p_retailprice") / 1000
     return p.select("p_partkey", "n", r(F.col("p_size") + radius * F.cos(a)).alias("x"), r(F.col("p_partkey") % 7 + radius * F.sin(a)).alias("y"))
 
@@ -90,14 +90,14 @@ def prune_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VEC = "(SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings)"
 
 
-@query(f"SELECT vec_id FROM {_VEC} t WHERE vec_id % 6 NOT IN (0, 1) AND NOT EXISTS (SELECT 1 FROM {_VEC} h WHERE h.vec_id % 60 = 0 AND sqrt((h.x-t.x)^2+(h.y-t.y)^2+(h.z-t.z)^2) <= 0.05*(1 + h.vec_id % 3)) AND label NOT IN (SELECT label FROM {_VEC} WHERE vec_id % 97 = 5)")
+@query(f"SELECT vec_id FROM {_VEC} t WHERE label > 0 AND NOT EXISTS (SELECT 1 FROM {_VEC} h WHERE h.label = 0 AND sqrt((h.x-t.x)^2+(h.y-t.y)^2+(h.z-t.z)^2) <= 0.05*(1 + h.vec_id % 3)) AND vec_id // 4 NOT IN (SELECT vec_id // 4 FROM {_VEC} WHERE abs(x) < 0.01)")
 def throats_not_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Throats that touch no used cell and lie farther from every forced hole than its diameter."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")), "label")
-    holes = v.filter("vec_id % 60 = 0").withColumn("radius", 0.05 * (1 + F.col("vec_id") % 3))
-    used = v.filter("vec_id % 97 = 5").select("label").distinct()
-    t = v.filter("vec_id % 6 not in (0, 1)")
-    return t.join(near.inside_any(t, "vec_id", holes, "xyz", 0.15), "vec_id", "left_anti").join(used, "label", "left_anti").select("vec_id")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")), "label", F.floor(F.col("vec_id") / 4).alias("cell"))
+    holes = v.filter("label = 0").withColumn("radius", 0.05 * (1 + F.col("vec_id") % 3))
+    used = v.filter("abs(x) < 0.01").select("cell").distinct()
+    t = v.filter("label > 0")
+    return t.join(near.inside_any(t, "vec_id", holes, "xyz", 0.15), "vec_id", "left_anti").join(used, "cell", "left_anti").select("vec_id")
 
 
 _STEP26 = "(SELECT a.range - 1 AS a, b.range - 1 AS b, c.range - 1 AS c FROM range(3) a, range(3) b, range(3) c)"
@@ -138,24 +138,24 @@ def subcell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.fine_links(s, b.filter("not solid"), 2).select("kind", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
 
-@query("WITH p AS (SELECT DISTINCT l_orderkey AS id, l_suppkey % 25 AS label FROM lineitem WHERE l_orderkey % 4 = 0), n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM p) SELECT label, round(sum(0.125/n), 6) AS volume FROM n GROUP BY 1")
+@query("WITH p AS (SELECT DISTINCT l_orderkey AS id, l_suppkey % 25 AS label FROM lineitem), n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM p) SELECT label, round(sum(0.125/n), 6) AS volume FROM n GROUP BY 1")
 def shared_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed sub-cells shared in equal parts by the labels next to them."""
     li = table(spark, sf_dir, "lineitem")
     near_ = li.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 25).alias("label"))
-    solid = li.filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("id")).distinct()
+    solid = li.select(F.col("l_orderkey").alias("id")).distinct()
     return cells.shared_volumes(solid, near_, 0.125).select("label", r(F.col("volume")).alias("volume"))
 
 
 @query(
-    """WITH n AS (SELECT p_partkey, (p_partkey % 10)*4 + 2.0 AS x, (p_partkey // 10 % 10)*4 + 2.0 AS y, (p_partkey // 100 % 2)*4 + 2.0 AS z, p_size/50.0 AS f, CASE WHEN p_partkey % 3 = 0 THEN 4.0 ELSE 1.0 END AS s FROM part WHERE p_partkey < 200),
+    """WITH n AS (SELECT p_partkey, (p_partkey % 10)*4 + 2.0 AS x, (p_partkey // 10 % 10)*4 + 2.0 AS y, (p_partkey // 100 % 2)*4 + 2.0 AS z, p_size/50.0 AS f, CASE WHEN p_partkey % 3 = 0 THEN 4.0 ELSE 1.0 END AS s FROM part),
     c AS (SELECT n.*, a.range AS i, b.range AS j, d.range AS k FROM n, range(20) a, range(20) b, range(4) d WHERE CASE WHEN s > 2 THEN a.range*2 < x+s/2 AND a.range*2+2 > x-s/2 AND b.range*2 < y+s/2 AND b.range*2+2 > y-s/2 AND d.range*2 < z+s/2 AND d.range*2+2 > z-s/2
     ELSE a.range = floor(x/2) AND b.range = floor(y/2) AND d.range = floor(z/2) END) SELECT i::INT AS i, j::INT AS j, k::INT AS k, round(sum(f*power(least(s, 2), 3))/sum(power(least(s, 2), 3)), 6) AS f FROM c GROUP BY 1, 2, 3"""
 )
 def display_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse and fine nodes spread over a display grid of cells of size 2."""
     k = F.col("p_partkey")
-    n = table(spark, sf_dir, "part").filter("p_partkey < 200").select(((k % 10) * 4 + 2.0).alias("x"), ((F.floor(k / 10) % 10) * 4 + 2.0).alias("y"), ((F.floor(k / 100) % 2) * 4 + 2.0).alias("z"), (F.col("p_size") / 50.0).alias("f"), F.when(k % 3 == 0, 4.0).otherwise(1.0).alias("size"))
+    n = table(spark, sf_dir, "part").select(((k % 10) * 4 + 2.0).alias("x"), ((F.floor(k / 10) % 10) * 4 + 2.0).alias("y"), ((F.floor(k / 100) % 2) * 4 + 2.0).alias("z"), (F.col("p_size") / 50.0).alias("f"), F.when(k % 3 == 0, 4.0).otherwise(1.0).alias("size"))
     return cells.spread(n, "f", 2.0, (0, 0, 0), (20, 20, 4)).select("i", "j", "k", r(F.col("f")).alias("f"))
 
 
@@ -206,13 +206,13 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT event_id, radians((event_id*37) % 360) AS a, (event_id % 50)/10.0 AS s FROM events WHERE event_id % 10 = 0), c AS (SELECT * FROM (VALUES (-1.0), (2.0)) x(x), (VALUES (-0.5), (0.5)) y(y), (VALUES (0.0), (1.5)) z(z))
+    """WITH p AS (SELECT event_id, radians((event_id*37) % 360) AS a, (event_id % 50)/10.0 AS s FROM events), c AS (SELECT * FROM (VALUES (-1.0), (2.0)) x(x), (VALUES (-0.5), (0.5)) y(y), (VALUES (0.0), (1.5)) z(z))
     SELECT round(min(x), 6) AS lo_x, round(min(y*cos(a) - z*sin(a)), 6) AS lo_y, round(min(y*sin(a) + z*cos(a) - s), 6) AS lo_z, round(max(x), 6) AS hi_x, round(max(y*cos(a) - z*sin(a)), 6) AS hi_y, round(max(y*sin(a) + z*cos(a) - s), 6) AS hi_z FROM p, c"""
 )
 def world_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box that an object's corners sweep over all poses: eight corners a pose."""
     e = F.col("event_id")
-    poses = table(spark, sf_dir, "events").filter("event_id % 10 = 0").select(((e * 37) % 360).cast("double").alias("ax"), (-(e % 50) / 10.0).alias("sz"))
+    poses = table(spark, sf_dir, "events").select(((e * 37) % 360).cast("double").alias("ax"), (-(e % 50) / 10.0).alias("sz"))
     corner = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1.0, 2.0) for y in (-0.5, 0.5) for z in (0.0, 1.5))))
     df = poses.select("ax", "sz", corner.alias("c"))
     world = G.to_world([F.col(f"c.{c}") for c in "xyz"], [F.col("ax"), 0.0, 0.0], [0.0, 0.0, F.col("sz")], (0.0, 0.0, 0.0))

@@ -313,8 +313,8 @@ def lld_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity/50.0 AS L, l_discount < 0.03 AS bath, l_discount > 0.07 AS air, l_extendedprice/1e5 AS h, 0.5 AS zb, 0.02 AS e, l_tax > 0.01 AS fl FROM lineitem),
     a AS (SELECT *, 1 - greatest(0, least(1, (zb - h + e)/(2*e))) AS above FROM n)
-    SELECT l_orderkey, l_linenumber, round(CASE WHEN bath THEN 0 ELSE L*above END, 6) AS liquid, round(CASE WHEN air THEN 0 ELSE (1-L)*(1-above) END, 6) AS air, round(101325 + 9810*greatest(zb-h, 0), 3) AS p,
-    round(101325 + 9810*CASE WHEN bath THEN zb-h ELSE greatest(zb-h, 0) END, 3) AS p_joined, round(CASE WHEN fl THEN greatest(0, least(1, CASE WHEN bath THEN 1 - h/0.7 ELSE L*h/0.7 END)) ELSE 0 END, 6) AS combined FROM a"""
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN bath THEN 0 ELSE L*above END, 12) AS liquid, round(CASE WHEN air THEN 0 ELSE (1-L)*(1-above) END, 12) AS air, round(101325 + 9810*greatest(zb-h, 0), 8) AS p,
+    round(101325 + 9810*CASE WHEN bath THEN zb-h ELSE greatest(zb-h, 0) END, 8) AS p_joined, round(CASE WHEN fl THEN greatest(0, least(1, CASE WHEN bath THEN 1 - h/0.7 ELSE L*h/0.7 END)) ELSE 0 END, 12) AS combined FROM a"""
 )
 def cell_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trapped liquid and air, pressure and the new liquid share of cells, from line items."""
@@ -322,4 +322,4 @@ def cell_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     level, e, h = F.lit(0.5), F.lit(0.02), F.col("h")
     above = P.above_share(h, level, e, (F.lit(1.0), F.lit(0.0), F.lit(0.0)))
     liquid, air = P.trapped(F.col("L"), F.col("bath"), F.col("open"), above)
-    return df.select("l_orderkey", "l_linenumber", r(liquid).alias("liquid"), r(air).alias("air"), r(P.hydrostatic(h, level), 3).alias("p"), r(P.hydrostatic(h, level, F.col("bath")), 3).alias("p_joined"), r(P.combined(F.col("L") * h, h, F.lit(0.7), F.col("bath"), F.col("fl"))).alias("combined"))
+    return df.select("l_orderkey", "l_linenumber", r(liquid, 12).alias("liquid"), r(air, 12).alias("air"), r(P.hydrostatic(h, level), 8).alias("p"), r(P.hydrostatic(h, level, F.col("bath")), 8).alias("p_joined"), r(P.combined(F.col("L") * h, h, F.lit(0.7), F.col("bath"), F.col("fl")), 12).alias("combined"))

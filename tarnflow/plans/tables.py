@@ -70,13 +70,13 @@ def bfs_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 47 AND l_orderkey % 3 = 0), n AS (SELECT DISTINCT 2*p AS node, 2*s+1 AS other FROM e), l AS (SELECT node AS src, other AS dst FROM n UNION SELECT other, node FROM n),
+    """WITH RECURSIVE e AS (SELECT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 50), n AS (SELECT DISTINCT 2*p AS node, 2*s+1 AS other FROM e), l AS (SELECT node AS src, other AS dst FROM n UNION SELECT other, node FROM n),
     r(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM l UNION (SELECT q.node, min(r.component) FROM recurring.r AS q JOIN l ON l.dst = q.node JOIN r ON r.node = l.src GROUP BY q.node HAVING min(r.component) < any_value(q.component)))
     SELECT node, component FROM r"""
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of parts and suppliers that share a large line item."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 47 and l_orderkey % 3 = 0")
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50")
     return connected_components(li.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")))
 
 
@@ -118,11 +118,10 @@ def max_plus_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- keys
 
 
-@query("WITH c AS (SELECT DISTINCT o_orderkey % 24 AS i, o_custkey % 20 AS j, (o_orderkey // 7) % 16 AS k FROM orders WHERE o_orderkey % 41 = 0), o AS (SELECT range - 2 AS d FROM range(5)) SELECT DISTINCT (((i+a.d)*20 + (j+b.d))*16 + (k+c2.d))::BIGINT AS key FROM c, o a, o b, o c2 WHERE i+a.d BETWEEN 0 AND 23 AND j+b.d BETWEEN 0 AND 19 AND k+c2.d BETWEEN 0 AND 15")
+@query("WITH c AS (SELECT DISTINCT o_orderkey % 96 AS i, o_custkey % 80 AS j, (o_orderkey // 7) % 64 AS k FROM orders), o AS (SELECT range - 2 AS d FROM range(5)) SELECT DISTINCT (((i+a.d)*80 + (j+b.d))*64 + (k+c2.d))::BIGINT AS key FROM c, o a, o b, o c2 WHERE i+a.d BETWEEN 0 AND 95 AND j+b.d BETWEEN 0 AND 79 AND k+c2.d BETWEEN 0 AND 63")
 def region_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 41 = 0")
-    index = [(F.col("o_orderkey") % 24), (F.col("o_custkey") % 20), (F.floor(F.col("o_orderkey") / 7) % 16)]
-    return keys.grown(o.select(G.flat_key(index, (24, 20, 16)).alias("key")).distinct(), (24, 20, 16), 2)
+    index = [(F.col("o_orderkey") % 96), (F.col("o_custkey") % 80), (F.floor(F.col("o_orderkey") / 7) % 64)]
+    return keys.grown(table(spark, sf_dir, "orders").select(G.flat_key(index, (96, 80, 64)).alias("key")).distinct(), (96, 80, 64), 2)
 
 
 @query("SELECT DISTINCT (((o_orderkey % 64 // 2) * 16 + (o_custkey % 32 // 2)) * 8 + (o_orderkey // 3) % 16 // 2)::BIGINT AS key FROM orders")
@@ -131,10 +130,10 @@ def parents_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.parents(table(spark, sf_dir, "orders").select(G.flat_key(index, (64, 32, 16)).alias("key")), (64, 32, 16))
 
 
-@query("SELECT DISTINCT (((i*2 + o // 4)*12 + (j*2 + (o // 2) % 2))*10 + k*2 + o % 2)::BIGINT AS key FROM (SELECT p_partkey % 8 AS i, p_size % 6 AS j, (p_partkey // 8) % 5 AS k FROM part WHERE p_partkey % 9 = 0), (SELECT range AS o FROM range(8))")
+@query("SELECT DISTINCT (((i*2 + o // 4)*60 + (j*2 + (o // 2) % 2))*50 + k*2 + o % 2)::BIGINT AS key FROM (SELECT p_partkey % 40 AS i, p_size % 30 AS j, (p_partkey // 8) % 25 AS k FROM part), (SELECT range AS o FROM range(8))")
 def children_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = [F.col("p_partkey") % 8, F.col("p_size") % 6, F.floor(F.col("p_partkey") / 8) % 5]
-    return keys.children(table(spark, sf_dir, "part").filter("p_partkey % 9 = 0").select(G.flat_key(index, (8, 6, 5)).alias("key")), (16, 12, 10))
+    index = [F.col("p_partkey") % 40, F.col("p_size") % 30, F.floor(F.col("p_partkey") / 8) % 25]
+    return keys.children(table(spark, sf_dir, "part").select(G.flat_key(index, (40, 30, 25)).alias("key")), (80, 60, 50))
 
 
 @query("SELECT o_orderkey, o_custkey IN (SELECT s_suppkey * 3 FROM supplier) AS found, (SELECT count(*) FROM supplier WHERE s_suppkey * 3 < o_custkey) AS position FROM orders")
@@ -211,17 +210,17 @@ def octree_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", *(e[i].cast("double").alias(c) for i, c in enumerate("xyz")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(e[i].cast("double").alias(c) for i, c in enumerate("xyz")), "label")
 
 
-_V = "(SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+_V = "(SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings)"
 _DIST = "sqrt((a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2)"
 
 
-@query(f"SELECT a.vec_id, round(coalesce(min({_DIST}) FILTER ({_DIST} <= 0.2), 0.2), 6) AS distance FROM {_V} a LEFT JOIN {_V} b ON b.vec_id % 5 = 0 WHERE a.vec_id % 5 <> 0 GROUP BY 1")
+@query(f"SELECT a.vec_id, round(coalesce(min({_DIST}) FILTER ({_DIST} <= 0.2), 0.2), 6) AS distance FROM {_V} a LEFT JOIN {_V} b ON b.label % 5 = 0 WHERE a.label % 5 <> 0 GROUP BY 1")
 def capped_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return near.capped_nearest(v.filter("vec_id % 5 <> 0"), "vec_id", v.filter("vec_id % 5 = 0"), "xyz", 0.2).select("vec_id", r(F.col("distance")).alias("distance"))
+    return near.capped_nearest(v.filter("label % 5 <> 0"), "vec_id", v.filter("label % 5 = 0"), "xyz", 0.2).select("vec_id", r(F.col("distance")).alias("distance"))
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DIST}, 6) AS distance FROM {_V} a JOIN {_V} b ON a.vec_id < b.vec_id WHERE {_DIST} <= 0.06")
@@ -230,11 +229,11 @@ def radius_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.radius_join(v, v, "xyz", 0.06).filter("vec_id < r_vec_id").select(F.col("vec_id").alias("a"), F.col("r_vec_id").alias("b"), r(F.col("distance")).alias("distance"))
 
 
-@query(f"SELECT a.vec_id, bool_or(coalesce({_DIST} <= (b.vec_id % 4 + 1)*0.04, false)) AS sealed FROM {_V} a LEFT JOIN {_V} b ON b.vec_id % 10 = 3 GROUP BY 1")
+@query(f"SELECT a.vec_id, bool_or(coalesce({_DIST} <= (b.vec_id % 4 + 1)*0.04, false)) AS sealed FROM {_V} a LEFT JOIN {_V} b ON b.label = 3 GROUP BY 1")
 def seal_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples inside any of the seals, spheres of four sizes."""
     v = vectors(spark, sf_dir)
-    seals = v.filter("vec_id % 10 = 3").withColumn("radius", (F.col("vec_id") % 4 + 1) * 0.04)
+    seals = v.filter("label = 3").withColumn("radius", (F.col("vec_id") % 4 + 1) * 0.04)
     hit = near.inside_any(v, "vec_id", seals, "xyz", 0.16).withColumn("sealed", F.lit(True))
     return v.select("vec_id").join(hit, "vec_id", "left").select("vec_id", F.coalesce("sealed", F.lit(False)).alias("sealed"))
 
@@ -247,10 +246,9 @@ def thin_one_per_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_suppkey <> b.l_suppkey")
 def facing_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of labels that face each other: a sample's partner is the next line of its order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    partner = F.lead("l_suppkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    follows = F.lead("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) == F.col("l_linenumber") + 1
-    pairs = li.select(F.col("l_suppkey").alias("x"), F.when(follows, partner).alias("y")).filter("x <> y")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+    partner = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("y"))
+    pairs = li.join(partner, ["l_orderkey", "l_linenumber"]).withColumnRenamed("l_suppkey", "x").filter("x <> y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -293,13 +291,13 @@ def pockets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey) * 0.4 AS dv, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem)
+    """WITH t AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey) * 0.4 AS dv, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem)
     SELECT l_orderkey, l_linenumber, round(greatest(0, least(l_quantity, dv - before)), 6) AS taken FROM t"""
 )
 def take_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty per cent of each order removed from its latest lines first."""
     li = table(spark, sf_dir, "lineitem").withColumn("dv", 0.4 * F.sum("l_quantity").over(W.partitionBy("l_orderkey")))
-    out = bodies.take_top(li, ["l_orderkey"], [F.col("l_shipdate").desc(), F.col("l_linenumber")], F.col("l_quantity"), F.col("dv"))
+    out = bodies.take_top(li, ["l_orderkey"], [F.col("l_shipdate").desc(), *map(F.col, ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))], F.col("l_quantity"), F.col("dv"))
     return out.select("l_orderkey", "l_linenumber", r(F.col("taken")).alias("taken"))
 
 
@@ -349,7 +347,7 @@ def angular_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median, min(l_quantity) AS least, round(sum(l_extendedprice), 2) AS area FROM lineitem GROUP BY 1")
 def upper_median_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(bodies.upper_median(F.col("l_quantity")).alias("median"), F.min("l_quantity").alias("least"), r(F.sum("l_extendedprice"), 2).alias("area"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(bodies.upper_median("l_quantity").alias("median"), F.min("l_quantity").alias("least"), r(F.sum("l_extendedprice"), 2).alias("area"))
 
 
 @query("SELECT p_brand, round(sum(p_retailprice), 3) AS weight, round(sum(p_retailprice*p_size)/sum(p_retailprice), 6) AS c_p_size, min(p_size) AS min_p_size, max(p_size) AS max_p_size FROM part GROUP BY 1")
@@ -377,14 +375,14 @@ def pocket_history_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 5)
+    """WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW'), b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_totalprice > 10000)
     SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS what FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_totalprice IS DISTINCT FROM b.o_totalprice"""
 )
 def recording_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two recordings of the orders compared key by key."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    b = o.filter("o_orderkey % 11 <> 5").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return bodies.differences(o.filter("o_orderkey % 10 <> 3"), b, ["o_orderkey"], ["o_totalprice"])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    b = o.filter("o_totalprice > 10000").withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return bodies.differences(o.filter("o_orderpriority <> '5-LOW'"), b, ["o_orderkey"], ["o_totalprice"])
 
 
 @query("SELECT l_orderkey, bool_or(l_discount < 0.02) AS air_a, bool_or(l_tax < 0.02) AS air_b, bool_or(l_discount < 0.02 AND l_tax < 0.02) AS \"both\" FROM lineitem GROUP BY 1")

@@ -1,5 +1,6 @@
 import numpy as np
 
+import plain_fsm
 from tarnflow.operators import fsm
 from tarnflow.plans import flow
 
@@ -25,6 +26,45 @@ def raster(seed, shape=(9, 8, 10)):
     return h, region, links, edge.ravel() & (region >= 0), rng
 
 
+def test_the_kernel_of_arrays_equals_plain_loops():
+    for seed in range(30):
+        h, region, links, sink, rng = raster(seed, ((6, 5, 7), (12, 3, 4), (9, 8, 10))[seed % 3])
+        if seed % 4 == 1:
+            h = np.round(h)  # many ties
+        if seed % 4 == 2:
+            region = np.where(region >= 0, (np.arange(h.size) % 97 > 40).astype(int), -1)
+        if seed % 5 == 3:
+            sink = sink & (rng.random(h.size) < 0.03)
+        src = np.where((region >= 0) & ~sink, rng.random(h.size) * (1 + 4 * (rng.random(h.size) < 0.1)), 0.0)
+        v = rng.random(h.size) + 0.5
+        for e, depth, shape, routing in ((0.0, 0.0, (1.0, 0.0, 0.0), True), (0.3, 0.0, (0.5, 0.3, 0.2), True), (0.4, 0.5, (0.6, 0.4, 0.0), True), (0.3, 0.0, (1.0, 0.0, 0.0), False)):
+            ext = np.full(h.size, e)
+            got = fsm.settle(h, region, links, sink, src, v, ext, shape, depth, routing)
+            want = plain_fsm.settle(h, region, links, sink, src, v, ext, shape, depth, routing)
+            assert np.allclose(got[0], want[0], atol=1e-9), (seed, e)
+            assert all(abs(got[k][r] - want[k][r]) < 1e-9 for k in (1, 2) for r in want[k])
+            assert (got[3] == want[3]).all()
+
+
+def test_scenes_share_a_call_without_touching(spark):
+    rows, ways = [], []
+    want = {}
+    for seed in range(5):
+        h, region, links, sink, rng = raster(seed, (5, 4, 6))
+        src = np.where((region >= 0) & ~sink, rng.random(h.size), 0.0)
+        kept, drained, lost, dest = plain_fsm.settle(h, region, links, sink, src, np.ones(h.size))
+        for i in np.flatnonzero(region >= 0).tolist():
+            rows.append((seed, 1000 - i, float(h[i]), 0, bool(sink[i]), float(src[i]), 1.0, 0.0))
+            ways += [(seed, 1000 - i, 1000 - m) for m in links[i]]
+        want[seed] = kept.sum(), sum(drained.values()), sum(lost.values())
+    ways.append((0, 1, 2))  # no such nodes
+    nodes = spark.createDataFrame(rows, "scenario_id long, node_id long, h double, region int, sink boolean, src double, v double, e double")
+    got = fsm.fill_spill(nodes, spark.createDataFrame(ways, "scenario_id long, src long, dst long")).groupBy("scenario_id").agg({"retained": "sum", "drained": "sum", "lost": "sum", "node_id": "count", "owner": "min"}).collect()
+    assert len(got) == 5 and sum(r["count(node_id)"] for r in got) == len(rows)
+    for r in got:
+        assert np.allclose((r["sum(drained)"] + r["sum(retained)"] + r["sum(lost)"]), sum(want[r.scenario_id])) and r["min(owner)"] == 0
+
+
 def test_random_fields_conserve_and_settle_once():
     for seed in range(6):
         h, region, links, sink, rng = raster(seed)

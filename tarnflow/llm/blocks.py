@@ -19,12 +19,17 @@ from tarnflow.llm import common as C
 MOST_BROADCAST = 500_000
 
 
-def dealt(rows: DataFrame, keys: list[str], by: str, chunk: int) -> DataFrame:
-    """Adds ``chunk`` and the pair (a, b) of chunks; ``by`` is the column whose hash deals the rows."""
-    large = rows.groupBy(*keys).count().filter(F.col("count") > chunk)
-    large = C.checkpointed(large.select(*keys, F.ceil(F.col("count") / chunk).cast("int").alias("n")))
-    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    out = rows.join(F.broadcast(large) if few else large, keys, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+def large(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """(keys, count) of the keys of more than ``chunk`` rows."""
+    return C.checkpointed(rows.groupBy(*keys).count().filter(F.col("count") > chunk))
+
+
+def dealt(rows: DataFrame, keys: list[str], by: str, chunk: int, counted: DataFrame | None = None) -> DataFrame:
+    """Adds ``chunk`` and the pair (a, b) of chunks; ``by`` is the column whose hash deals the rows, ``counted`` the large
+    keys where they are known."""
+    many = (large(rows, keys, chunk) if counted is None else counted).select(*keys, F.ceil(F.col("count") / chunk).cast("int").alias("n"))
+    few = many.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    out = rows.join(F.broadcast(many) if few else many, keys, "left").withColumn("n", F.coalesce("n", F.lit(1)))
     out = out.withColumn("chunk", F.pmod(F.xxhash64(by), F.col("n")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return out.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).drop("n", "other")

@@ -2,11 +2,13 @@
 
 1. A fingerprint's bit is 1 if it is set in over half of the hashes of a text's shingles, repeats counted. Equal
    fingerprints are one from here on, so copies cost one row.
-2. Fingerprints that may be close meet in tables keyed by some of their bits: with ``exact_tables`` any two within the
-   radius agree in all key bits of one table, whatever the data; ``sampled_tables`` do so with a probability.
+2. Fingerprints that may be close meet in tables keyed by some of their bits: any two within the radius agree in all key
+   bits of one of the ``exact_tables``, whatever the data. Texts that are to be similar (``deduplicated``) meet at their
+   first shingles in an order of all shingles instead, which no similar pair escapes and which costs the same share of a
+   text however many texts there are.
 3. The members of a key are compared bit-sliced (``bitsliced``), a key of more than ``CHUNK`` members in pairs of chunks
    (``blocks``), so that no group grows with the data and no link is lost.
-4. A group hands on a spanning forest of its links; components come from alternating stars.
+4. A group hands on a spanning forest of its links; components come from contraction.
 
 Words are runs of non-space characters, A-Z lower-cased; a text of fewer words than a shingle is one shingle; a text
 without words (null, empty) has the fingerprint zero, which links like any other. Rows may repeat. Columns of the input
@@ -82,11 +84,6 @@ def exact_tables(bits: int, radius: int, more: int = 2) -> list[np.ndarray]:
     return [np.concatenate([blocks[i] for i in chosen]) for chosen in combinations(range(radius + more), more)]
 
 
-def sampled_tables(bits: int, of: int, tables: int, seed: int = 17) -> list[np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(bits, of, replace=False)) for _ in range(tables)]
-
-
 def _as_matrix(column: pa.Array, width: int) -> np.ndarray:
     """The first ``width`` bytes of each row; rows are equally long."""
     rows = np.frombuffer(b"".join(x.as_py() for x in column), np.uint8)
@@ -119,14 +116,14 @@ def forest(prints: np.ndarray, group: np.ndarray, crossed: np.ndarray, radius: i
     return moved, labels[moved]
 
 
-def links(rows: DataFrame, width: int, radius: int) -> DataFrame:
+def links(rows: DataFrame, width: int, radius: int, keys: list[str] | None = None) -> DataFrame:
     """(src, dst): a spanning forest of the links within each group."""
 
     def flush(table: pa.Table, group: np.ndarray, crossed: np.ndarray) -> pa.RecordBatch:
         i, j = forest(_as_matrix(table["print"], width), group, crossed, radius)
         return pa.table({"src": table["print"].take(pa.array(i)), "dst": table["print"].take(pa.array(j))}).combine_chunks().to_batches(len(i) or None)[0] if len(i) else _NO_LINKS
 
-    return blocks.compared(rows, ["t", "key"], "print", "src binary, dst binary", flush)
+    return blocks.compared(rows, keys or ["t", "key"], "print", "src binary, dst binary", flush)
 
 
 def classes(prints: DataFrame, tables: list[np.ndarray], width: int, radius: int) -> DataFrame:
@@ -156,48 +153,62 @@ def _bounds(similarity: float, n: int) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
+class Order:
+    """An order of all shingles: those that are known to be common last, the others by their hash."""
+
+    def __init__(self, common: dict[int, int]) -> None:
+        self.hashes = np.array(sorted(common), np.uint64)
+        self.times = np.array([common[h] for h in self.hashes.tolist()], np.int64)
+
+    def first(self, own: np.ndarray, similarity: float) -> np.ndarray:
+        """Of a set of shingles (ascending), so many of the first that any similar set holds one of them among its own first."""
+        n = len(own)
+        most = n - _bounds(similarity, n) + 1 if n else 0
+        if not len(self.hashes):
+            return own[:most]
+        place = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        often = np.where(self.hashes[place] == own, self.times[place], 0)
+        return own[np.argsort(often, kind="stable")][:most]
+
+
 def prefixed(sets: DataFrame, similarity: float, common: dict[int, int]) -> DataFrame:
     """(shingle, print, shingles): each set once for each of its first shingles, the rare ones first (``common``: how often
     those occur that aren't rare; it orders, nothing is left out). Two similar sets share one of these in any order."""
-    hashes = np.array(sorted(common), np.uint64)
-    times = np.array([common[h] for h in hashes.tolist()], np.int64)
+    order = Order(common)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, keys = [], []
-            for i, held in enumerate(batch["shingles"].to_pylist()):
-                own = np.frombuffer(held, np.uint64)
-                n = len(own)
-                if not n:
-                    continue
-                often = np.zeros(n, np.int64)
-                if len(hashes):
-                    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    often = np.where(hashes[place] == own, times[place], 0)
-                first = own[np.lexsort((own, often))][: n - _bounds(similarity, n) + 1]
-                keys.append(first.view(np.int64))
-                at.append(np.full(len(first), i))
-            if keys:
-                take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch["print"].take(take), batch["shingles"].take(take)], names=["shingle", "print", "shingles"])
+            keys = [order.first(np.frombuffer(held, np.uint64), similarity).view(np.int64) for held in batch["shingles"].to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), batch["print"].take(take), batch["shingles"].take(take)], names=["shingle", "print", "shingles"])
 
     return sets.mapInArrow(rows, "shingle long, print binary, shingles binary")
 
 
-def _common(sets: DataFrame) -> dict[int, int]:
-    """How many sets hold a shingle, for the most frequent ones, as far as a broadcast of bounded size goes."""
+def _each(sets: DataFrame, column: str, name: str = "print") -> DataFrame:
+    """(shingle, print): the shingles in a column of bytes, a row each."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64))], names=["shingle"])
+            held = batch[column].to_pylist()
+            take = pa.array(np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), batch[name].take(take)], names=["shingle", name])
 
-    counted = C.checkpointed(sets.select("shingles").mapInArrow(each, "shingle long").groupBy("shingle").count().filter("count > 16"))
-    least = 16
+    return sets.select(column, name).mapInArrow(rows, f"shingle long, {name} binary")
+
+
+def _most(counted: DataFrame, least: int) -> dict[int, int]:
+    """The most frequent shingles of (shingle, count), as far as a broadcast of bounded size goes."""
     while counted.filter(F.col("count") > least).count() > MOST_COMMON:
         least *= 2
     return {r["shingle"] % 2**64: r["count"] for r in counted.filter(F.col("count") > least).collect()}
 
 
+def _common(sets: DataFrame) -> dict[int, int]:
+    """How many sets hold a shingle, for the most frequent ones."""
+    return _most(blocks.large(_each(sets, "shingles").select("shingle"), ["shingle"], 16), 16)
+
+
 def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of both sides whose sets are similar, by products of incidence matrices."""
     sizes = [np.fromiter((len(sets[r]) for r in side), np.int64, len(side)) for side in (left, right)]
@@ -259,40 +270,63 @@ def similar_forest(prints: np.ndarray, sets: list[np.ndarray], group: np.ndarray
     return moved, labels[moved]
 
 
-#: For a Jaccard similarity of 0.8 or more: fingerprints of 256 bits within 54, met in 64 tables of 16 sampled bits.
-#: Two texts at 0.8 differ in 40 bits (deviation 5.5): 99 in 100 are within the radius and 99 in 100 of them meet.
+#: For a Jaccard similarity of 0.8 or more: fingerprints of 128 bits within 40. A bit of two texts at 0.8 differs with
+#: probability 0.15: they are apart in 19.5 bits (deviation 4.1), and farther than the radius in two of a million cases.
 #: Fingerprints are those of the distinct shingles, as the similarity is one of sets.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_WORDS, STAGE_RADIUS, STAGE_BITS, STAGE_TABLES = 5, 0.8, 4, 54, 16, 64
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_WORDS, STAGE_RADIUS = 5, 0.8, 2, 40
 #: Shingle sets that are compared as one block.
 STAGE_CHUNK = 256
-#: Sets of up to this many shingles are too few votes for a fingerprint: they meet, with all that may be similar to one of
-#: them, at their rarest shingles, which finds every similar pair.
+#: Sets of up to this many shingles are too few votes for a fingerprint: they are compared as they are, with all that may
+#: be similar to one of them.
 EXACT_SHINGLES, EXACT_CHUNK = 32, 1024
-#: Shingles whose frequency orders these, at most.
-MOST_COMMON = 20_000
+#: Shingles whose frequency orders the others, at most, and how often they are looked for.
+MOST_COMMON, ROUNDS = 20_000, 4
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id; columns as they were.
 
-    Documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of the
-    sets give loose classes; within these the shingle sets are compared wherever fingerprints are close. Small sets are
-    compared wherever they share one of their rarest shingles. Equal sets are one text here: a ``print`` is the
-    fingerprint followed by a hash of 128 bits of the whole set, so equal fingerprints are candidates like any others. Of rows of the same id and text one stays; a document without an id comes after all others."""
+    Documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Two such sets share one
+    of their first shingles, a fifth of each, in any order of all shingles; the members of such a shingle are compared by
+    their fingerprints, which gives loose classes, and within these the shingle sets are compared wherever fingerprints are
+    close. The order is that of the hashes; shingles that bring more than ``CHUNK`` sets together are put last, which changes
+    what comes first, so this is done again until none is new (or ``ROUNDS`` times: what is left is dealt into chunks).
+    Small sets are compared as they are. Equal sets are one text here: a ``print`` is the fingerprint followed by a hash of
+    128 bits of the whole set, so equal fingerprints are candidates like any others. Texts without words are one text. Of
+    rows of the same id and text one stays; a document without an id comes after all others."""
     width = 8 * STAGE_WORDS
     names = docs.columns
     inner = docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)), F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
     largest = int(EXACT_SHINGLES / STAGE_SIMILARITY + 1e-9)
 
-    def prints(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = [np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)) for t in batch["_text"]]
-        return [pa.array([fingerprint(x, STAGE_WORDS) + xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() if len(x) <= largest else None for x in own], pa.binary())]
+    def looked_at(common: dict[int, int]) -> DataFrame:
+        """(_id, _h, print, small, first): the set itself if it is small, its first shingles if it isn't."""
+        order = Order(common)
+
+        def prints(batch: pa.RecordBatch) -> list[pa.Array]:
+            own = [np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)) for t in batch["_text"]]
+            first = [order.first(x, STAGE_SIMILARITY).tobytes() if len(x) > EXACT_SHINGLES else b"" for x in own]
+            prints = [fingerprint(x, STAGE_WORDS) + xxhash.xxh3_128_digest(x.tobytes()) for x in own]
+            return [pa.array(prints, pa.binary()), pa.array([x.tobytes() if len(x) <= largest else None for x in own], pa.binary()), pa.array(first, pa.binary())]
 
-    found = C.checkpointed(C.mapped(inner.select("_id", "_h", "_text"), "print binary, small binary", prints).drop("_text"))
+        return C.mapped(inner.select("_id", "_h", "_text"), "print binary, small binary, first binary", prints).drop("_text")
+
+    found = C.checkpointed(looked_at({}))
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("least")
-    distinct = C.checkpointed(found.groupBy("print").agg(least, F.min("small").alias("small")))
-    loose = classes(distinct.select("print"), sampled_tables(64 * STAGE_WORDS, STAGE_BITS, STAGE_TABLES), width, STAGE_RADIUS)
-    members = loose.join(distinct.withColumnRenamed("print", "node"), "node").select(F.col("node").alias("print"), F.xxhash64("component").alias("component"), F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh"))
+    distinct = C.checkpointed(found.groupBy("print").agg(least, F.first("small").alias("small"), F.first("first").alias("first")))
+    found = found.select("_id", "_h", "print")
+
+    met, common = distinct.filter("first <> x''").select("print", "first"), {}
+    for k in range(ROUNDS):
+        keyed_ = _each(met, "first")
+        counted = blocks.large(keyed_.select("shingle"), ["shingle"], CHUNK)
+        more = {h: n for h, n in _most(counted, CHUNK).items() if h not in common}
+        if not more or k == ROUNDS - 1:
+            break
+        common |= more
+        met = C.checkpointed(looked_at(common).filter("first <> x''").groupBy("print").agg(F.first("first").alias("first")))
+    loose = connected_components(links(blocks.dealt(keyed_, ["shingle"], "print", CHUNK, counted), width, STAGE_RADIUS, ["shingle"]))
+    members = loose.join(distinct.select(F.col("print").alias("node"), "least"), "node").select(F.col("node").alias("print"), F.xxhash64("component").alias("component"), F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh"))
     same = F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh"))
     texts = inner.select("_id", "_h", "_text").join(members, same).select("print", "component", "_text").dropDuplicates(["print"])
 
@@ -320,7 +354,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     met = prefixed(few, STAGE_SIMILARITY, _common(few))
     linked = linked.union(blocks.compared(blocks.dealt(met, ["shingle"], "print", EXACT_CHUNK), ["shingle"], "print", "src binary, dst binary", flush_few))
     cc = connected_components(linked)
-    named = distinct.join(cc.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    named = distinct.select("print", "least").join(cc.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     kept = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh")))
     out = inner.drop("_text").join(kept, same, "left_semi")
     repeated = found.groupBy("_id", "_h").count().filter("count > 1")

@@ -39,6 +39,39 @@ def test_short_texts_meet_exactly(spark):
     assert len(groups) == 100
 
 
+def test_no_pair_at_the_threshold_is_lost_whatever_is_common(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)  # the passage is a common one, and so are what it puts first
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage = " ".join(word() for _ in range(30))
+    texts, expected = [], []
+    for k in range(60):
+        shared, own = [[word() for _ in range(n)] for n in (rng.choice([44, 84, 404]), 0)]
+        grams = len(shared) - 4
+        own = [word() for _ in range(grams // 8)]  # on each side: an eighth of what is shared, so 0.8
+        far = [word() for _ in range(grams // 8 + 1)]
+        expected += [len(texts), len(texts) + 2]
+        texts += [" ".join([*shared, *own]), " ".join([*shared, *[word() for _ in own]]), " ".join([*shared, *far, *far[:3]])]
+    expected += list(range(len(texts), len(texts) + 40))
+    texts += [" ".join([passage, *(word() for _ in range(20))]) for _ in range(40)]
+    rows = list(enumerate(texts))
+    groups = {}
+    for (d, _), c in zip(rows, jaccard_components(rows), strict=True):
+        groups.setdefault(c, d)
+    assert kept_ids(spark, texts) == sorted(groups.values()) and len(groups) < len(texts) - 50
+
+
+def test_first_shingles_of_similar_sets_meet_in_any_order():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        both = rng.integers(0, 2**63, rng.integers(4, 200)).astype(np.uint64)
+        extra = len(both) // 4
+        left = rng.integers(0, extra + 1)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 2**63, n).astype(np.uint64)))) for n in (left, extra - left))
+        order = simhash.Order({int(h): int(rng.integers(1, 9)) for h in rng.choice(both, len(both) // 3, replace=False)})
+        assert len(both) >= 0.8 * (len(both) + extra) and set(order.first(a, 0.8).tolist()) & set(order.first(b, 0.8).tolist())
+
+
 def test_equal_fingerprints_are_no_proof(spark, monkeypatch):
     rng = random.Random(10)
     own = [" ".join(f"own{rng.randrange(10**6)}" for _ in range(20)) for _ in range(12)]

@@ -6,7 +6,8 @@
    ``BLOCK`` words. The whole mix's blocks go to the sources by the highest quotients target / (2k + 1), and each source's
    blocks to its shards by the highest quotients words / (2k + 1).
 3. Of a shard's n blocks, q are taken: block j as often as floor((jq + seed) / n) grows at j, a seeded systematic
-   selection. How much of a document is taken follows from where it lies in the line, so no block is ever a row.
+   selection. Which words of a document are taken (``ranges``) follows from where it lies in the line, so no block is ever
+   a row. ``mixed`` writes the mix itself: each document's taken words, as often as they are taken.
 
 Only DataFrame operations. A hot source spreads over shards of about ``SHARD_ROWS`` documents (up to ``MOST_SHARDS``).
 Null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, the last; repeated
@@ -27,11 +28,12 @@ BLOCK = 16
 SHARD_ROWS, MOST_SHARDS = 1000, 4096
 SEED = 20
 MOST_BROADCAST = 10_000
-FIELDS = ("size", "source_size", "target", "taken")
+FIELDS = ("size", "source_size", "target", "taken", "ranges")
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def source_key(source: Column) -> Column:
@@ -76,7 +78,9 @@ def seats(parties: DataFrame, votes: str, to_give: Column, within: list[str], or
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
-    """The documents (their columns ``carry``, by default all) with ``size``, ``source_size``, ``target`` (of the source) and ``taken`` (words of it in the mix, repeats counted)."""
+    """The documents (their columns ``carry``, by default all) with ``size``, ``source_size``, ``target`` (of the source),
+    ``ranges`` (which words of it the mix takes: array<struct<start, end, times>>, from 0, end exclusive, neighbours that are
+    taken as often as one) and ``taken`` (how many words these are, repeats counted)."""
     names = [c for c in (docs.columns if carry is None else carry) if c not in FIELDS]
     sized = docs.select(
         *(F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)),
@@ -106,10 +110,36 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         """Taken blocks before block j."""
         return F.floor(F.try_divide(j * F.col("_q") + F.col("_off"), F.col("_n")))
 
-    def held(x: Column) -> Column:
-        """Taken words before word x of the line."""
-        j = F.floor(x / BLOCK)
-        return upto(j) * BLOCK + (upto(j + 1) - upto(j)) * (x - j * BLOCK)
-
-    taken = F.when(F.col("size") > 0, held(F.col("_end")) - held(F.col("_end") - F.col("size"))).otherwise(0).cast("long")
-    return out.select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(names)), "size", "source_size", "target", taken.alias("taken"))
+    begin = F.col("_end") - F.col("size")
+    first, last = F.floor(begin / BLOCK), F.floor((F.col("_end") - 1) / BLOCK)
+    times = lambda j: upto(j + 1) - upto(j)
+    fresh = F.filter(F.sequence(first, last), lambda j: (j == first) | (times(j) != times(j - 1)))
+
+    def spans(at: Column) -> Column:
+        """The document's words from one change of ``times`` to the next."""
+        whole = F.transform(at, lambda j, i: F.struct(
+            (F.greatest(j * BLOCK, begin) - begin).cast("int").alias("start"),
+            (F.least(F.coalesce(F.get(at, i + 1), last + 1) * BLOCK, F.col("_end")) - begin).cast("int").alias("end"),
+            times(j).cast("int").alias("times"),
+        ))
+        return F.filter(whole, lambda s: s["times"] > 0)
+
+    none = F.array().cast("array<struct<start:int,end:int,times:int>>")
+    ranges = F.when((F.col("size") > 0) & (F.col("_q") > 0), F.element_at(F.transform(F.array(fresh), spans), 1)).otherwise(none)
+    out = out.select(*(c for c in out.columns if c.startswith("_in_")), "size", "source_size", "target", ranges.alias("ranges"))
+    taken = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]) * s["times"])
+    return out.select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(names)), "size", "source_size", "target", taken.alias("taken"), "ranges")
+
+
+def mixed(docs: DataFrame, text: str = "text", **options: str | int) -> DataFrame:
+    """The mix: the documents as ``mix`` gives them, their text now the words that are taken, joined by spaces, each range as
+    often as it is taken; empty where nothing is."""
+    out = mix(docs, text, **options)
+    words_ = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+
+    def taken(held: Column) -> Column:
+        piece = lambda s: F.array_repeat(F.array_join(F.slice(held, s["start"] + 1, s["end"] - s["start"]), " "), s["times"])
+        return F.array_join(F.flatten(F.transform("ranges", piece)), " ")
+
+    # The words are made once, not once for each range.
+    return out.withColumn(text, F.when(F.col("taken") > 0, F.element_at(F.transform(F.array(words_), taken), 1)).otherwise(F.lit("")))

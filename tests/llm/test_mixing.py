@@ -59,6 +59,38 @@ def test_mix_meets_targets_and_repeats(spark):
     assert sorted((r.doc_id, r.taken) for r in first) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def check_ranges(r, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    assert r.taken == sum((s.end - s.start) * s.times for s in r.ranges)
+    assert all(0 <= s.start < s.end <= len(words) and 1 <= s.times <= 2 for s in r.ranges)
+    assert all(a.end <= b.start and (a.end < b.start or a.times != b.times) for a, b in zip(r.ranges, r.ranges[1:], strict=False))
+    assert r.text == " ".join(" ".join(words[s.start : s.end]) for s in r.ranges for _ in range(s.times))
+
+
+def test_the_mix_holds_the_words_that_are_taken(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs, carry=["doc_id"]).collect()}
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(before) and {len(r.ranges) > 1 for r in got} == {True, False}
+    for r in got:
+        assert r.taken == taken[r.doc_id]
+        check_ranges(r, before[r.doc_id])
+
+
+def test_a_shard_takes_each_block_as_often_as_the_next_or_once_more(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(i % 90)), s) for i in range(300) for s in "ab"], "doc_id long, text string, source string")
+    for source in "ab":
+        rows = [r for r in mixing.mixed(docs).collect() if r.source == source]
+        times = {}
+        for r in rows:
+            for s in r.ranges:
+                times[s.times] = times.get(s.times, 0) + s.end - s.start
+        times[0] = sum(r.size for r in rows) - sum(times.values())
+        held = {t for t, n in times.items() if n}
+        assert max(held) - min(held) <= 1
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a", "x"), (2, "", "a", "x"), (3, "a b c d", None, "x"), (3, "a b c d", None, "x"), (4, "w " * 50000, "hot", "x"), (None, "one two", "z", "x")]
     rows += [(100 + i, "word " * (i % 7), "hot", "x") for i in range(3000)]
@@ -68,4 +100,9 @@ def test_edge_cases(spark):
     got = out.collect()
     assert len(got) == len(rows)
     check(got, lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))
-    assert mixing.mix(docs.limit(0)).count() == 0
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], r[1])
+    for r in mixing.mixed(docs).collect():
+        check_ranges(r, texts[r.doc_id])
+    assert mixing.mix(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0

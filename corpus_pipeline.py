@@ -32,8 +32,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs, carry=["doc_id", "lang", "source", "n_chars"])
+    """The mix: each document's taken words as its text, as often as they are taken, with how many these are."""
+    mix = mixing.mixed(docs)
+    return mix.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 STAGES = [

@@ -123,18 +123,19 @@ def runs(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[
         yield at, out
 
 
-def mapped(df: DataFrame, fields: str, new: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """Adds columns (``fields`` as DDL) that ``new`` computes from Arrow batches; columns of the same names are replaced."""
+def mapped(df: DataFrame, fields: str, new: Callable[[pa.RecordBatch], list[pa.Array]], without: tuple[str, ...] = ()) -> DataFrame:
+    """Adds columns (``fields`` as DDL) that ``new`` computes from Arrow batches; columns of the same names are replaced, those
+    named by ``without`` go in and don't come out again."""
     added = T.StructType.fromDDL(fields)
     rest = df.drop(*added.names)
-    names = rest.columns
+    kept = [f for f in rest.schema.fields if f.name not in without]
+    names = [f.name for f in kept]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            kept = batch.select(names)
-            yield pa.RecordBatch.from_arrays([*kept.columns, *new(batch)], names=[*names, *added.names])
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *new(batch)], names=[*names, *added.names])
 
-    return df.mapInArrow(batches, T.StructType([*rest.schema.fields, *added.fields]))
+    return df.mapInArrow(batches, T.StructType([*kept, *added.fields]))
 
 
 def pieces(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -38,6 +38,8 @@ SEED = 42
 CHUNK = 2048
 #: Groups of up to this many members are compared together, pair by pair.
 _SMALL = 48
+#: Texts whose shingles leave Python together.
+_ROWS = 500
 _NO_LINKS = pa.RecordBatch.from_pylist([], pa.schema([("src", pa.binary()), ("dst", pa.binary())]))
 
 
@@ -69,13 +71,13 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, size: int, words: int = 1, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint as bytes."""
+    """The documents with the fingerprint as bytes, without the text."""
 
     def new(batch: pa.RecordBatch) -> list[pa.Array]:
         out = [fingerprint(shingle_hashes((t.as_py() or "").encode(), size), words) for t in batch[text]]
         return [pa.array(out, pa.binary())]
 
-    return C.mapped(docs, f"{name} binary", new)
+    return C.mapped(docs, f"{name} binary", new, (text,))
 
 
 def exact_tables(bits: int, radius: int, more: int = 2) -> list[np.ndarray]:
@@ -134,7 +136,7 @@ def classes(prints: DataFrame, tables: list[np.ndarray], width: int, radius: int
 
 def near_duplicates(docs: DataFrame, size: int, words: int, radius: int, tables: list[np.ndarray] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; a component's id is the smallest doc_id in it."""
-    found = C.checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), size, words, "_text").drop("_text"))
+    found = C.checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), size, words, "_text"))
     return components_of(found, words, radius, tables)
 
 
@@ -178,9 +180,11 @@ def prefixed(sets: DataFrame, similarity: float, common: dict[int, int]) -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [order.first(np.frombuffer(held, np.uint64), similarity).view(np.int64) for held in batch["shingles"].to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), batch["print"].take(take), batch["shingles"].take(take)], names=["shingle", "print", "shingles"])
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                keys = [order.first(np.frombuffer(held, np.uint64), similarity).view(np.int64) for held in part["shingles"].to_pylist()]
+                take = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), part["print"].take(take), part["shingles"].take(take)], names=["shingle", "print", "shingles"])
 
     return sets.mapInArrow(rows, "shingle long, print binary, shingles binary")
 
@@ -190,9 +194,11 @@ def _each(sets: DataFrame, column: str, name: str = "print") -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch[column].to_pylist()
-            take = pa.array(np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), batch[name].take(take)], names=["shingle", name])
+            for at in range(0, batch.num_rows, _ROWS):  # a row becomes many
+                part = batch.slice(at, _ROWS)
+                held = part[column].to_pylist()
+                take = pa.array(np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), part[name].take(take)], names=["shingle", name])
 
     return sets.select(column, name).mapInArrow(rows, f"shingle long, {name} binary")
 
@@ -279,8 +285,10 @@ STAGE_CHUNK = 256
 #: Sets of up to this many shingles are too few votes for a fingerprint: they are compared as they are, with all that may
 #: be similar to one of them.
 EXACT_SHINGLES, EXACT_CHUNK = 32, 1024
-#: Shingles whose frequency orders the others, at most, and how often they are looked for.
-MOST_COMMON, ROUNDS = 20_000, 4
+#: Sets that a shingle brings together before it is put last; shingles that are, at most; how often they are looked for.
+HOT, MOST_COMMON, ROUNDS = 8192, 20_000, 4
+#: Texts looked at again, counted first, up to which they are broadcast (their ids, not the texts).
+MOST_BROADCAST = 100_000
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +297,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Two such sets share one
     of their first shingles, a fifth of each, in any order of all shingles; the members of such a shingle are compared by
     their fingerprints, which gives loose classes, and within these the shingle sets are compared wherever fingerprints are
-    close. The order is that of the hashes; shingles that bring more than ``CHUNK`` sets together are put last, which changes
+    close. The order is that of the hashes; shingles that bring more than ``HOT`` sets together are put last, which changes
     what comes first, so this is done again until none is new (or ``ROUNDS`` times: what is left is dealt into chunks).
     Small sets are compared as they are. Equal sets are one text here: a ``print`` is the fingerprint followed by a hash of
     128 bits of the whole set, so equal fingerprints are candidates like any others. Texts without words are one text. Of
@@ -299,41 +307,54 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     inner = docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)), F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
     largest = int(EXACT_SHINGLES / STAGE_SIMILARITY + 1e-9)
 
-    def looked_at(common: dict[int, int]) -> DataFrame:
-        """(_id, _h, print, small, first): the set itself if it is small, its first shingles if it isn't."""
-        order = Order(common)
+    def first_of(own: np.ndarray, order: Order) -> bytes:
+        return order.first(own, STAGE_SIMILARITY).tobytes() if len(own) > EXACT_SHINGLES else b""
 
-        def prints(batch: pa.RecordBatch) -> list[pa.Array]:
-            own = [np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)) for t in batch["_text"]]
-            first = [order.first(x, STAGE_SIMILARITY).tobytes() if len(x) > EXACT_SHINGLES else b"" for x in own]
-            prints = [fingerprint(x, STAGE_WORDS) + xxhash.xxh3_128_digest(x.tobytes()) for x in own]
-            return [pa.array(prints, pa.binary()), pa.array([x.tobytes() if len(x) <= largest else None for x in own], pa.binary()), pa.array(first, pa.binary())]
+    def prints(batch: pa.RecordBatch) -> list[pa.Array]:
+        """The print, the set itself if it is small, its first shingles if it isn't."""
+        rows = []
+        for t in batch["_text"]:
+            own = np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE))
+            whole = own.tobytes()
+            rows.append((fingerprint(own, STAGE_WORDS) + xxhash.xxh3_128_digest(whole), whole if len(own) <= largest else None, first_of(own, Order({}))))
+        return [pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]
 
-        return C.mapped(inner.select("_id", "_h", "_text"), "print binary, small binary, first binary", prints).drop("_text")
-
-    found = C.checkpointed(looked_at({}))
+    found = C.checkpointed(C.mapped(inner.select("_id", "_h", "_text"), "print binary, small binary, first binary", prints, ("_text",)))
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("least")
     distinct = C.checkpointed(found.groupBy("print").agg(least, F.first("small").alias("small"), F.first("first").alias("first")))
     found = found.select("_id", "_h", "print")
-
-    met, common = distinct.filter("first <> x''").select("print", "first"), {}
+    same = F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh"))
+    of_least = [F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh")]
+
+    def again(met: DataFrame, fresh: set[int], common: dict[int, int]) -> DataFrame:
+        """The first shingles in the new order, of those texts that have one of ``fresh`` among theirs; the others' stay as they are."""
+        hot, order = np.array(sorted(fresh), np.uint64), Order(common)
+        holds = lambda batch: [pa.array([bool(np.isin(np.frombuffer(x, np.uint64), hot).any()) for x in batch["first"].to_pylist()], pa.bool_())]
+        marked = C.mapped(met, "holds boolean", holds)
+        texts = C.checkpointed(marked.filter("holds").select("print", "least", *of_least))
+        few = texts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        texts = inner.select("_id", "_h", "_text").join(F.broadcast(texts) if few else texts, same).select("print", "least", "_text")
+        first = lambda batch: [pa.array([first_of(np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)), order) for t in batch["_text"]], pa.binary())]
+        new = C.mapped(texts, "first binary", first, ("_text",)).dropDuplicates(["print"])
+        return C.checkpointed(marked.filter("not holds").drop("holds").unionByName(new))
+
+    met, common = distinct.filter("first <> x''").select("print", "least", "first"), {}
     for k in range(ROUNDS):
         keyed_ = _each(met, "first")
         counted = blocks.large(keyed_.select("shingle"), ["shingle"], CHUNK)
-        more = {h: n for h, n in _most(counted, CHUNK).items() if h not in common}
-        if not more or k == ROUNDS - 1:
+        fresh = {h: n for h, n in _most(counted, HOT).items() if h not in common}
+        if not fresh or k == ROUNDS - 1:
             break
-        common |= more
-        met = C.checkpointed(looked_at(common).filter("first <> x''").groupBy("print").agg(F.first("first").alias("first")))
+        common |= fresh
+        met = again(met, set(fresh), common)
     loose = connected_components(links(blocks.dealt(keyed_, ["shingle"], "print", CHUNK, counted), width, STAGE_RADIUS, ["shingle"]))
-    members = loose.join(distinct.select(F.col("print").alias("node"), "least"), "node").select(F.col("node").alias("print"), F.xxhash64("component").alias("component"), F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh"))
-    same = F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh"))
+    members = loose.join(distinct.select(F.col("print").alias("node"), "least"), "node").select(F.col("node").alias("print"), F.xxhash64("component").alias("component"), *of_least)
     texts = inner.select("_id", "_h", "_text").join(members, same).select("print", "component", "_text").dropDuplicates(["print"])
 
     def shingles(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)).tobytes() for t in batch["_text"]], pa.binary())]
 
-    sets = C.checkpointed(C.mapped(texts, "shingles binary", shingles).drop("_text"))
+    sets = C.checkpointed(C.mapped(texts, "shingles binary", shingles, ("_text",)))
 
     def flush(table: pa.Table, group: np.ndarray, crossed: np.ndarray) -> pa.RecordBatch:
         held = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
@@ -355,7 +376,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     linked = linked.union(blocks.compared(blocks.dealt(met, ["shingle"], "print", EXACT_CHUNK), ["shingle"], "print", "src binary, dst binary", flush_few))
     cc = connected_components(linked)
     named = distinct.select("print", "least").join(cc.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    kept = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh")))
+    kept = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("least")).select(*of_least))
     out = inner.drop("_text").join(kept, same, "left_semi")
     repeated = found.groupBy("_id", "_h").count().filter("count > 1")
     if not repeated.isEmpty():

@@ -40,7 +40,8 @@ def test_short_texts_meet_exactly(spark):
 
 
 def test_no_pair_at_the_threshold_is_lost_whatever_is_common(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 8)  # the passage is a common one, and so are what it puts first
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "HOT", 16)  # the passage is a common one, and so are what it puts first
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(10**7)}"
     passage = " ".join(word() for _ in range(30))

@@ -175,7 +175,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
         rows = [r for _, texts in C.runs(batch["_text"]) for r in scan_run(texts, shared.value)]
         return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64()))]
 
-    found = C.checkpointed(C.mapped(inner, FIELDS, new).drop("_text"))
+    found = C.checkpointed(C.mapped(inner, FIELDS, new, ("_text",)))
     found = found.withColumn("_dir", directory(F.col("_path")))
     named = F.col("_path").rlike(FILE_NAMES)
     speaks = F.when(F.col("whole_licence").isNotNull(), F.struct(F.col("whole_similarity").alias("s"), F.col("whole_licence").alias("l"))).when(named & F.col("own_licence").isNotNull(), F.struct(F.col("own_similarity").alias("s"), F.col("own_licence").alias("l")))

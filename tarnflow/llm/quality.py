@@ -131,15 +131,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds the probability of label 1."""
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score", without: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the probability of label 1; leaves out the columns ``without`` (the text may be one)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def new(batch: pa.RecordBatch) -> list[pa.Array]:
         out = [_sigmoid(margins(texts, shared.value)) for _, texts in C.runs(batch[text])]
         return [pa.array(np.concatenate([np.zeros(0), *out]), pa.float64())]
 
-    return C.mapped(docs, f"{name} double", new)
+    return C.mapped(docs, f"{name} double", new, without)
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

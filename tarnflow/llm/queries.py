@@ -57,13 +57,13 @@ def _judged(scored: DataFrame, held_out: tuple[int, int], threshold: float) -> D
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return _judged(quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))), quality.HELD_OUT, quality.THRESHOLD)
+    return _judged(quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")), without=("text",)), quality.HELD_OUT, quality.THRESHOLD)
 
 
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return _judged(toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))), toxicity.HELD_OUT, toxicity.THRESHOLD)
+    return _judged(toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")), without=("text",)), toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
 @query
@@ -79,7 +79,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html.main_text(read(spark, sf_dir, "pages"), carry=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
 
 
 @query

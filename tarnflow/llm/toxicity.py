@@ -183,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return index
 
 
-def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """Adds ``score`` and ``evidence``, the nearest examples."""
+def score(docs: DataFrame, index: Index, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``score`` and ``evidence``, the nearest examples; leaves out the columns ``without`` (the text may be one)."""
     shared: Any = docs.sparkSession.sparkContext.broadcast(index)
 
     def new(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -197,4 +197,4 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
         kind = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
         return [pa.array(scores, pa.float64()), pa.array(evidence, kind)]
 
-    return C.mapped(docs, FIELDS, new)
+    return C.mapped(docs, FIELDS, new, without)

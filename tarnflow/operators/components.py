@@ -4,7 +4,7 @@ Each round hooks every node to its smallest neighbour, if that is smaller, follo
 replaces the ends of all edges by these roots; edges inside a tree vanish. Every node with an edge to another one ends
 in a tree of two nodes at least, so a round halves the nodes that are left, and in practice a few rounds do. A node's
 neighbours are only ever reduced to a minimum, so a hub costs a partial aggregate and joins that Spark may split; the
-tables of a round are checkpointed and never collected.
+tables of a round are checkpointed, without the size that their plans are thought to have, and never collected.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators.session import checkpointed
+from tarnflow.operators.session import round_of
 
 #: Rows of a map (node, root), counted first, up to which it is broadcast.
 MOST_BROADCAST = 20_000
@@ -30,11 +30,11 @@ def _with(df: DataFrame, node: str, hooks: DataFrame, few: bool, root: str) -> D
 def _roots(edges: DataFrame) -> tuple[DataFrame, bool]:
     """(u, root) of every node that hooks to a smaller one, and whether there are few."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hooks = checkpointed(both.groupBy("u").agg(F.min("v").alias("root")).filter("root < u"))
+    hooks = round_of(both.groupBy("u").agg(F.min("v").alias("root")).filter("root < u"))
     few = hooks.count() <= MOST_BROADCAST
     while True:
         on = _with(hooks.withColumnRenamed("root", "at"), "at", hooks, few, "root")
-        on = checkpointed(on)
+        on = round_of(on)
         moved = not on.filter("at <> root").isEmpty()
         hooks = on.select("u", "root")
         if not moved:
@@ -46,12 +46,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Direction, repeats and order of the edges don't matter; loops and edges with a null end are ignored."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
-    e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = round_of(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct().withColumn("component", F.col("node"))
     rounds: list[tuple[DataFrame, bool]] = []
     while not e.isEmpty():
         hooks, few = _roots(e)
         rounds.append((hooks, few))
         ends = _with(_with(e, "u", hooks, few, "a"), "v", hooks, few, "b").filter("a <> b")
-        e = checkpointed(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        e = round_of(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     return reduce(lambda df, r: _with(df, "component", *r, "_c").drop("component").withColumnRenamed("_c", "component"), rounds, nodes)

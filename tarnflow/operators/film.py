@@ -24,14 +24,14 @@ def outflow_rates(weights: DataFrame) -> DataFrame:
 def levels(weights: DataFrame) -> DataFrame:
     """(elem, level): the longest way from an element that nothing runs into; elements of a level can be swept together.
     Film that runs in a circle has no levels: an error."""
-    from tarnflow.operators.session import checkpointed
+    from tarnflow.operators.session import round_of
 
     nodes = weights.select(F.col("src").alias("elem")).union(weights.select("dst")).distinct()
-    at = checkpointed(nodes.withColumn("level", F.lit(0)))
+    at = round_of(nodes.withColumn("level", F.lit(0)))
     most = at.count()  # no way without a circle is longer
     for _ in range(most + 1):
         step = at.join(weights, at["elem"] == weights["src"]).groupBy(F.col("dst").alias("elem")).agg((F.max("level") + 1).cast("int").alias("level"))
-        better = checkpointed(at.select("elem", "level").join(step.withColumnRenamed("level", "_l"), "elem", "left").select("elem", F.greatest("level", F.coalesce("_l", F.lit(0))).alias("level")))
+        better = round_of(at.select("elem", "level").join(step.withColumnRenamed("level", "_l"), "elem", "left").select("elem", F.greatest("level", F.coalesce("_l", F.lit(0))).alias("level")))
         changed = not better.exceptAll(at).isEmpty()
         at = better
         if not changed:

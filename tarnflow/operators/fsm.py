@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators.session import checkpointed
+from tarnflow.operators.session import round_of
 
 OCEAN = 0
 RESULT = "scenario_id long, node_id long, retained double, owner long, drained double, lost double"
@@ -431,10 +431,10 @@ def pointers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def basins(points: DataFrame, most: int = 40) -> DataFrame:
     """(node_id, basin): where the chain of pointers ends, doubling the step each round."""
-    at = checkpointed(points.select("node_id", F.col("next").alias("basin")))
+    at = round_of(points.select("node_id", F.col("next").alias("basin")))
     for _ in range(most):
         on = at.select(F.col("node_id").alias("basin"), F.col("basin").alias("further"))
-        further = checkpointed(at.join(on, "basin").select("node_id", F.col("basin").alias("was"), F.col("further").alias("basin")))
+        further = round_of(at.join(on, "basin").select("node_id", F.col("basin").alias("was"), F.col("further").alias("basin")))
         moved = not further.filter("was <> basin").isEmpty()
         at = further.select("node_id", "basin")
         if not moved:
@@ -461,13 +461,13 @@ def saddles(nodes: DataFrame, edges: DataFrame, basin: DataFrame) -> DataFrame:
 def flooded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, held): whether a cell is under water after everything was flooded: its height is below the lowest pass
     from its basin to a sink. Passes are a minimax over the graph of basins and saddles, which goes on until no pass changes."""
-    b = checkpointed(basins(pointers(nodes, edges)))
-    pass_ = checkpointed(saddles(nodes, edges, b))
-    ways = checkpointed(pass_.union(pass_.select("b", "a", "h")).toDF("u", "v", "h"))
-    best = checkpointed(nodes.filter("sink").join(b, "node_id").select(F.col("basin").alias("u"), F.lit(float("-inf")).alias("level")).distinct())
+    b = round_of(basins(pointers(nodes, edges)))
+    pass_ = round_of(saddles(nodes, edges, b))
+    ways = round_of(pass_.union(pass_.select("b", "a", "h")).toDF("u", "v", "h"))
+    best = round_of(nodes.filter("sink").join(b, "node_id").select(F.col("basin").alias("u"), F.lit(float("-inf")).alias("level")).distinct())
     while True:
         step = best.join(ways, "u").select(F.col("v").alias("u"), F.greatest("level", F.col("h").cast("double")).alias("level"))
-        better = checkpointed(best.union(step).groupBy("u").agg(F.min("level").alias("level")))
+        better = round_of(best.union(step).groupBy("u").agg(F.min("level").alias("level")))
         changed = not better.exceptAll(best).isEmpty()
         best = better
         if not changed:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.operators.components import connected_components
-from tarnflow.operators.session import checkpointed
+from tarnflow.operators.session import round_of
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -64,14 +64,14 @@ def bath_and_atmosphere(nodes: DataFrame, edges: DataFrame, suction: bool = Fals
 
 def hops_from(seeds: DataFrame, edges: DataFrame, most: int, label: str = "label") -> DataFrame:
     """(node_id, label, hops): each node within ``most`` steps takes the label of the nearest seed, the lowest on ties."""
-    found = checkpointed(seeds.select("node_id", label, F.lit(0).alias("hops")))
+    found = round_of(seeds.select("node_id", label, F.lit(0).alias("hops")))
     front = found
     for hop in range(1, most + 1):
         reached = front.join(edges, front["node_id"] == edges["src"]).groupBy(F.col("dst").alias("node_id")).agg(F.min(label).alias(label))
-        front = checkpointed(reached.join(found.select("node_id"), "node_id", "left_anti").select("node_id", label, F.lit(hop).alias("hops")))
+        front = round_of(reached.join(found.select("node_id"), "node_id", "left_anti").select("node_id", label, F.lit(hop).alias("hops")))
         if front.isEmpty():
             break
-        found = checkpointed(found.union(front))
+        found = round_of(found.union(front))
     return found
 
 
@@ -79,11 +79,11 @@ def widest_paths(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(node_id, width, hops): the widest bottleneck from any root over links (src, dst, width), both ways, and the fewest
     steps among the widest; roots are infinitely wide."""
     e = links.select("src", "dst", "width").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "width"))
-    e = checkpointed(e.groupBy("src", "dst").agg(F.max("width").alias("width")))
-    best = checkpointed(roots.select("node_id", F.lit(float("inf")).alias("width"), F.lit(0).alias("hops")))
+    e = round_of(e.groupBy("src", "dst").agg(F.max("width").alias("width")))
+    best = round_of(roots.select("node_id", F.lit(float("inf")).alias("width"), F.lit(0).alias("hops")))
     while True:
         step = best.withColumnRenamed("width", "w").join(e, best["node_id"] == e["src"]).select(F.col("dst").alias("node_id"), F.least("w", e["width"]).alias("width"), (F.col("hops") + 1).alias("hops"))
-        better = checkpointed(best.union(step).groupBy("node_id").agg(F.min(F.struct((-F.col("width")).alias("n"), "hops")).alias("b")).select("node_id", (-F.col("b.n")).alias("width"), "b.hops"))
+        better = round_of(best.union(step).groupBy("node_id").agg(F.min(F.struct((-F.col("width")).alias("n"), "hops")).alias("b")).select("node_id", (-F.col("b.n")).alias("width"), "b.hops"))
         changed = not better.exceptAll(best).isEmpty()
         best = better
         if not changed:
@@ -95,13 +95,13 @@ def fed_levels(full: DataFrame, throats: DataFrame) -> DataFrame:
     """(lab, level): the highest level that feeds a full compartment through open throats and other full ones: a max-plus
     relaxation. ``throats``: a, b, level_a, level_b (null: nothing there), top; a feed counts only above the throat's top."""
     ways = throats.select(F.col("a").alias("at"), F.col("b").alias("by"), F.col("level_b").alias("level"), "top").union(throats.select(F.col("b"), F.col("a"), F.col("level_a"), "top"))
-    ways = checkpointed(ways.join(full.select(F.col("lab").alias("at")), "at", "left_semi"))
+    ways = round_of(ways.join(full.select(F.col("lab").alias("at")), "at", "left_semi"))
     begun = ways.join(full.select(F.col("lab").alias("by")), "by", "left_anti").filter(F.col("level") > F.col("top"))
-    best = checkpointed(begun.groupBy(F.col("at").alias("lab")).agg(F.max("level").alias("level")))
+    best = round_of(begun.groupBy(F.col("at").alias("lab")).agg(F.max("level").alias("level")))
     while True:
         on = best.select(F.col("lab").alias("by"), F.col("level").alias("fed"))
         step = ways.join(on, "by").filter(F.col("fed") > F.col("top")).select(F.col("at").alias("lab"), F.col("fed").alias("level"))
-        better = checkpointed(best.union(step).groupBy("lab").agg(F.max("level").alias("level")))
+        better = round_of(best.union(step).groupBy("lab").agg(F.max("level").alias("level")))
         changed = not better.exceptAll(best).isEmpty()
         best = better
         if not changed:

@@ -15,6 +15,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def round_of(df: DataFrame) -> DataFrame:
+    """Checkpoints the table that a loop goes on with, and forgets the size that its plan was thought to have.
+
+    A checkpointed table keeps that estimate, a join's is the product of its sides', and so a loop's grows to a number of
+    millions of digits, which fills the driver's memory. The rows and their partitions are the checkpoint's."""
+    done, spark = checkpointed(df), df.sparkSession
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+
+
 def stage_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder, for a table that a later step reads again."""
     checkpointed(spark.range(0))

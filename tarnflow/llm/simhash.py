@@ -287,7 +287,7 @@ STAGE_CHUNK = 256
 EXACT_SHINGLES, EXACT_CHUNK = 32, 1024
 #: Sets that a shingle brings together before it is put last; shingles that are, at most; how often they are looked for.
 HOT, MOST_COMMON, ROUNDS = 8192, 20_000, 4
-#: Texts looked at again, counted first, up to which they are broadcast (their ids, not the texts).
+#: Texts looked at again, counted first, up to which their hashes are broadcast.
 MOST_BROADCAST = 100_000
 
 
@@ -307,6 +307,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     inner = docs.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)), F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
     largest = int(EXACT_SHINGLES / STAGE_SIMILARITY + 1e-9)
 
+    def print_of(own: np.ndarray) -> bytes:
+        return fingerprint(own, STAGE_WORDS) + xxhash.xxh3_128_digest(own.tobytes())
+
     def first_of(own: np.ndarray, order: Order) -> bytes:
         return order.first(own, STAGE_SIMILARITY).tobytes() if len(own) > EXACT_SHINGLES else b""
 
@@ -315,8 +318,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         rows = []
         for t in batch["_text"]:
             own = np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE))
-            whole = own.tobytes()
-            rows.append((fingerprint(own, STAGE_WORDS) + xxhash.xxh3_128_digest(whole), whole if len(own) <= largest else None, first_of(own, Order({}))))
+            rows.append((print_of(own), own.tobytes() if len(own) <= largest else None, first_of(own, Order({}))))
         return [pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]
 
     found = C.checkpointed(C.mapped(inner.select("_id", "_h", "_text"), "print binary, small binary, first binary", prints, ("_text",)))
@@ -331,14 +333,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         hot, order = np.array(sorted(fresh), np.uint64), Order(common)
         holds = lambda batch: [pa.array([bool(np.isin(np.frombuffer(x, np.uint64), hot).any()) for x in batch["first"].to_pylist()], pa.bool_())]
         marked = C.mapped(met, "holds boolean", holds)
-        texts = C.checkpointed(marked.filter("holds").select("print", "least", *of_least))
-        few = texts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        texts = inner.select("_id", "_h", "_text").join(F.broadcast(texts) if few else texts, same).select("print", "least", "_text")
-        first = lambda batch: [pa.array([first_of(np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)), order) for t in batch["_text"]], pa.binary())]
-        new = C.mapped(texts, "first binary", first, ("_text",)).dropDuplicates(["print"])
+        hashes = C.checkpointed(marked.filter("holds").select("_h").distinct())
+        few = hashes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+        def first(batch: pa.RecordBatch) -> list[pa.Array]:
+            own = [np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)) for t in batch["_text"]]
+            return [pa.array([print_of(x) for x in own], pa.binary()), pa.array([first_of(x, order) for x in own], pa.binary())]
+
+        texts = inner.select("_h", "_text").join(F.broadcast(hashes) if few else hashes, "_h", "left_semi")
+        new = C.mapped(texts, "print binary, first binary", first, ("_text",)).dropDuplicates(["print"])
         return C.checkpointed(marked.filter("not holds").drop("holds").unionByName(new))
 
-    met, common = distinct.filter("first <> x''").select("print", "least", "first"), {}
+    met, common = distinct.filter("first <> x''").select("print", F.col("least._h").alias("_h"), "first"), {}
     for k in range(ROUNDS):
         keyed_ = _each(met, "first")
         counted = blocks.large(keyed_.select("shingle"), ["shingle"], CHUNK)

@@ -287,10 +287,15 @@ STAGE_CHUNK = 256
 EXACT_SHINGLES, EXACT_CHUNK = 32, 1024
 #: Sets that a shingle brings together before it is put last; shingles that are, at most; how often they are looked for.
 HOT, MOST_COMMON, ROUNDS = 8192, 20_000, 4
-#: Texts looked at again, counted first, up to which their hashes are broadcast.
+#: Texts, counted first, up to which what names them is broadcast.
 MOST_BROADCAST = 100_000
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows that name texts, broadcast if counting them shows that they are few."""
+    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id; columns as they were.
 
@@ -298,7 +303,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     of their first shingles, a fifth of each, in any order of all shingles; the members of such a shingle are compared by
     their fingerprints, which gives loose classes, and within these the shingle sets are compared wherever fingerprints are
     close. The order is that of the hashes; shingles that bring more than ``HOT`` sets together are put last, which changes
-    what comes first, so this is done again until none is new (or ``ROUNDS`` times: what is left is dealt into chunks).
+    what comes first, so this is done again until none is new (or ``ROUNDS`` times). Shingles of more than ``CHUNK`` sets are
+    dealt into chunks, by their count or a number that is not below it.
     Small sets are compared as they are. Equal sets are one text here: a ``print`` is the fingerprint followed by a hash of
     128 bits of the whole set, so equal fingerprints are candidates like any others. Texts without words are one text. Of
     rows of the same id and text one stays; a document without an id comes after all others."""
@@ -328,34 +334,37 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     same = F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh"))
     of_least = [F.col("least._id").alias("_mid"), F.col("least._h").alias("_mh")]
 
-    def again(met: DataFrame, fresh: set[int], common: dict[int, int]) -> DataFrame:
-        """The first shingles in the new order, of those texts that have one of ``fresh`` among theirs; the others' stay as they are."""
+    def again(met: DataFrame, fresh: set[int], common: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+        """The texts without one of ``fresh`` among their first shingles, as they are, and the others with their first in the new order."""
         hot, order = np.array(sorted(fresh), np.uint64), Order(common)
         holds = lambda batch: [pa.array([bool(np.isin(np.frombuffer(x, np.uint64), hot).any()) for x in batch["first"].to_pylist()], pa.bool_())]
         marked = C.mapped(met, "holds boolean", holds)
         hashes = C.checkpointed(marked.filter("holds").select("_h").distinct())
-        few = hashes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
         def first(batch: pa.RecordBatch) -> list[pa.Array]:
             own = [np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)) for t in batch["_text"]]
             return [pa.array([print_of(x) for x in own], pa.binary()), pa.array([first_of(x, order) for x in own], pa.binary())]
 
-        texts = inner.select("_h", "_text").join(F.broadcast(hashes) if few else hashes, "_h", "left_semi")
-        new = C.mapped(texts, "print binary, first binary", first, ("_text",)).dropDuplicates(["print"])
-        return C.checkpointed(marked.filter("not holds").drop("holds").unionByName(new))
+        texts = inner.select("_h", "_text").join(_small(hashes), "_h", "left_semi")
+        new = C.checkpointed(C.mapped(texts, "print binary, first binary", first, ("_text",)).dropDuplicates(["print"]))
+        return marked.filter("not holds").drop("holds"), new
 
+    # How many sets a large shingle brings together; of one that more sets come to, at most that many.
     met, common = distinct.filter("first <> x''").select("print", F.col("least._h").alias("_h"), "first"), {}
-    for k in range(ROUNDS):
-        keyed_ = _each(met, "first")
-        counted = blocks.large(keyed_.select("shingle"), ["shingle"], CHUNK)
+    counted = blocks.large(_each(met, "first").select("shingle"), ["shingle"], CHUNK)
+    for _ in range(ROUNDS):
         fresh = {h: n for h, n in _most(counted, HOT).items() if h not in common}
-        if not fresh or k == ROUNDS - 1:
+        if not fresh:
             break
         common |= fresh
-        met = again(met, set(fresh), common)
+        rest, new = again(met, set(fresh), common)
+        met = C.checkpointed(rest.unionByName(new))
+        added = blocks.large(_each(new, "first").select("shingle"), ["shingle"], CHUNK).withColumn("count", F.col("count") + CHUNK)
+        counted = C.checkpointed(counted.unionByName(added).groupBy("shingle").agg(F.sum("count").alias("count")))
+    keyed_ = _each(met, "first")
     loose = connected_components(links(blocks.dealt(keyed_, ["shingle"], "print", CHUNK, counted), width, STAGE_RADIUS, ["shingle"]))
     members = loose.join(distinct.select(F.col("print").alias("node"), "least"), "node").select(F.col("node").alias("print"), F.xxhash64("component").alias("component"), *of_least)
-    texts = inner.select("_id", "_h", "_text").join(members, same).select("print", "component", "_text").dropDuplicates(["print"])
+    texts = inner.select("_id", "_h", "_text").join(_small(C.checkpointed(members)), same).select("print", "component", "_text").dropDuplicates(["print"])
 
     def shingles(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([np.unique(shingle_hashes((t.as_py() or "").encode(), STAGE_SHINGLE)).tobytes() for t in batch["_text"]], pa.binary())]
@@ -382,8 +391,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     linked = linked.union(blocks.compared(blocks.dealt(met, ["shingle"], "print", EXACT_CHUNK), ["shingle"], "print", "src binary, dst binary", flush_few))
     cc = connected_components(linked)
     named = distinct.select("print", "least").join(cc.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    kept = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("least")).select(*of_least))
-    out = inner.drop("_text").join(kept, same, "left_semi")
+    kept = named.groupBy("component").agg(F.min("least").alias("least")).select(*of_least)
+    dropped = C.checkpointed(found.select("_id", "_h").distinct().join(kept, same, "left_anti").select(F.col("_id").alias("_mid"), F.col("_h").alias("_mh")))
+    out = inner.drop("_text").join(_small(dropped), same, "left_anti")
     repeated = found.groupBy("_id", "_h").count().filter("count > 1")
     if not repeated.isEmpty():
         out = out.dropDuplicates(["_id", "_h"])

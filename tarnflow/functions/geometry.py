@@ -196,6 +196,20 @@ def face_geometry(a: Vec, b: Vec, c: Vec) -> tuple[list[Column], list[Column], C
     return times(plus(plus(a, b), c), 1 / 3), [F.try_divide(v, twice) for v in n], 0.5 * twice
 
 
+def link_face(x: Vec, y: Vec, size_x: Column, size_y: Column) -> tuple[list[Column], list[Column], Column]:
+    """(centre, normal, area) of the face between linked cubes of sizes of their own: on the smaller cube's side, across the
+    axis along which they lie farthest apart (the first on ties), pointing from x to y."""
+    d = minus(y, x)
+    apart = [F.abs(c) for c in d]
+    most = F.greatest(*apart)
+    main = F.when(apart[0] == most, 0).when(apart[1] == most, 1).otherwise(2)
+    small = F.least(size_x, size_y)
+    normal = [F.when(main == k, F.signum(c)).otherwise(0.0) for k, c in enumerate(d)]
+    own = size_x <= size_y
+    centre_ = [F.when(own, a + n * small / 2).otherwise(b - n * small / 2) for a, b, n in zip(x, y, normal, strict=True)]
+    return centre_, normal, small * small
+
+
 def triangle_meets_box(centre_: Vec, half: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     """Separating axes of a triangle and an axis-aligned box: three box faces, the triangle's plane, nine edge crosses."""
     v = [minus(p, centre_) for p in (a, b, c)]

@@ -187,3 +187,34 @@ def export_channels(nodes: DataFrame, mouths: DataFrame, path: str) -> None:
     n = nodes.groupBy("channel").agg(F.count(F.lit(1)).alias("nodes"), F.format_string("%.3f", F.sum("volume") * 1e6).alias("volume_ml"), F.format_string("%.2f", 1000 * F.sum(F.col("width") * F.col("volume")) / F.sum("volume")).alias("width_mm"), *(F.format_string("%.4f", F.sum(F.col(c) * F.col("volume")) / F.sum("volume")).alias(c) for c in "xyz"))
     m = mouths.groupBy("channel").agg(F.count(F.lit(1)).alias("mouths"), F.format_string("%.1f", 1000 * F.sum("length")).alias("mouth_mm"), F.concat_ws(" ", F.transform(F.sort_array(F.collect_set("joins")), lambda c: c.cast("string"))).alias("joins"))
     n.join(m, "channel", "left").orderBy("channel").coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def upright(vertices: DataFrame) -> list[list[float]]:
+    """Rows of the rotation that puts a mesh's vertices (x, y, z) upright: the longest axis along x, the next along y, the
+    shortest along z; the narrower end of z is up, and what is up there lies towards -x. Three aggregates, nothing else is read."""
+    at = ["x", "y", "z"]
+    box = vertices.agg(*(F.max(a).alias(f"hi_{a}") for a in at), *(F.min(a).alias(f"lo_{a}") for a in at)).first()
+    order = sorted(range(3), key=lambda k: -(box[f"hi_{at[k]}"] - box[f"lo_{at[k]}"]))
+    rows = [[1.0 if k == axis else 0.0 for k in range(3)] for axis in order]
+    if order in ([0, 2, 1], [1, 0, 2], [2, 1, 0]):  # a mirror image
+        rows[1] = [-v for v in rows[1]]
+
+    def turned() -> DataFrame:
+        return vertices.select(*(sum(F.col(a) * w for a, w in zip(at, row, strict=True)).alias(b) for b, row in zip("pqr", rows, strict=True)))
+
+    def ends() -> tuple[DataFrame, float, float]:
+        df = turned()
+        low, high = df.agg(F.percentile("r", F.lit(0.1)).alias("a"), F.percentile("r", F.lit(0.9)).alias("b")).first()
+        return df, low, high
+
+    width = lambda c, on: F.percentile(F.when(on, F.col(c)), F.lit(0.98)) - F.percentile(F.when(on, F.col(c)), F.lit(0.02))
+    df, low, high = ends()
+    top, bottom = df.agg(width("q", F.col("r") > high).alias("a"), width("q", F.col("r") < low).alias("b")).first()
+    if top is not None and bottom is not None and top > bottom:
+        rows[1:] = [[-v for v in row] for row in rows[1:]]
+    df, _, high = ends()
+    up = F.when(F.col("r") > high, F.col("p"))
+    middle = df.agg((F.percentile(up, F.lit(0.02)) + F.percentile(up, F.lit(0.98))).alias("m")).first()["m"]
+    if middle is not None and middle > 0:
+        rows[:2] = [[-v for v in row] for row in rows[:2]]
+    return [[v + 0.0 for v in row] for row in rows]

@@ -277,7 +277,7 @@ def similar_forest(prints: np.ndarray, sets: list[np.ndarray], group: np.ndarray
 
 
 #: For a Jaccard similarity of 0.8 or more: fingerprints of 128 bits within 40. A bit of two texts at 0.8 differs with
-#: probability 0.15: they are apart in 19.5 bits (deviation 4.1), and farther than the radius in two of a million cases.
+#: probability 0.15: they are apart in 19.5 bits (deviation 4.1), and farther than the radius in up to three of a million cases.
 #: Fingerprints are those of the distinct shingles, as the similarity is one of sets.
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_WORDS, STAGE_RADIUS = 5, 0.8, 2, 40
 #: Shingle sets that are compared as one block.

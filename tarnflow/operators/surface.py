@@ -217,7 +217,7 @@ def crossings(points: DataFrame, targets: DataFrame, faces: DataFrame) -> DataFr
 
 def smoothed(vertices: DataFrame, pairs: DataFrame, rounds: int = 6, shrink: float = 0.5, grow: float = -0.53) -> DataFrame:
     """Vertices (id, x, y, z) moved towards and away from the mean of their neighbours in turn, which keeps the volume."""
-    from tarnflow.operators.session import checkpointed
+    from tarnflow.operators.session import round_of
 
     both = pairs.select("src", "dst").union(pairs.select("dst", "src")).distinct()
     at = vertices
@@ -226,7 +226,7 @@ def smoothed(vertices: DataFrame, pairs: DataFrame, rounds: int = 6, shrink: flo
         mean = both.join(at.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
         at = at.join(mean, "id", "left").select("id", *((F.col(c) + rate * (F.coalesce(f"m{c}", c) - F.col(c))).alias(c) for c in "xyz"))
         if k % 4 == 3:
-            at = checkpointed(at)
+            at = round_of(at)
     return at
 
 

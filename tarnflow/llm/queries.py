@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontaminate, embeddings, html, licences, mixing, oracles, pii, quality, secrets, simhash, toxicity
+from tarnflow.llm import decontaminate, embeddings, html, infill, language, licences, mixing, oracles, pii, quality, secrets, simhash, toxicity, whitening
 from tarnflow.llm import spans as S
 from tarnflow.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_secret_scan": oracles.SECRETS, "op4_decontaminate": oracles.DECONTAMINATE, "op7_embedding_dedup": oracles.EMBEDDINGS}
+ORACLES: dict[str, str] = {"op1_secret_scan": oracles.SECRETS, "op4_decontaminate": oracles.DECONTAMINATE, "op7_embedding_dedup": oracles.EMBEDDINGS, "op12_fill_in_middle": oracles.INFILL}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -100,3 +100,23 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.coalesce(F.col(c), F.lit("_"))
     files = read(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", part("source"), part("lang"), F.col("doc_id").cast("string")).alias("path"))
     return licences.scan(files).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs, language.train(docs), without=("text", "lang"))
+    modulus, left_out = language.HELD_OUT
+    return found.select("doc_id", F.coalesce(fold("doc_id", modulus) == left_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transformed(read(spark, sf_dir, "documents").select("doc_id", "text"), without=("text",))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"), digest(infill.restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))

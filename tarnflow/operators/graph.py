@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.operators.components import connected_components
+from tarnflow.operators.order import ranked
 from tarnflow.operators.session import round_of
 
 
@@ -38,7 +38,7 @@ def bodies(nodes: DataFrame, edges: DataFrame, within: str | None = None) -> Dat
 
 def numbered(labels: DataFrame, label: str, number: str = "number") -> DataFrame:
     """Labels numbered from 0 in ascending order; a row a label is ranked, not a row a node."""
-    ranks = labels.select(label).distinct().withColumn(number, F.row_number().over(W.orderBy(label)) - 1)
+    ranks = ranked(labels.select(label).distinct(), [label], number)
     return labels.join(ranks, label)
 
 

@@ -1,7 +1,7 @@
 """Compartments of a raster: distance to the walls, watershed from its maxima, merging, and the throats between.
 
-Distances, face pairs and throats are table operators. Watershed and merging depend on order and run as one group a
-scenario (``watershed``, ``merged``); what they merge are regions, not cells.
+Distances, face pairs and throats are table operators. ``watershed`` keeps the order of arrival and runs as one group a scenario;
+``forest.watershed`` floods one large graph, ``merging.merged`` joins its regions.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators import near
 from tarnflow.operators.components import connected_components
+from tarnflow.operators.order import running
 
 
 def wall_distance(fluid: DataFrame, solid: DataFrame, dx: float, cap: float, axes: str = "xyz") -> DataFrame:
@@ -68,48 +69,10 @@ def region_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return p.filter("a < b").groupBy("a", "b").agg(F.max(F.least("da", "db")).alias("opening"), F.count(F.lit(1)).alias("faces"))
 
 
-def merged(regions: DataFrame, pairs: DataFrame, beta: float = 0.7, r_free: float = 0.01, least: float = 0.0) -> DataFrame:
-    """(label, into): regions (label, peak, size) joined over pairs, the most open first: a pair joins if its opening reaches
-    ``beta`` times the smaller peak or ``r_free``, or if a side is smaller than ``least``. One group: a row a region."""
-
-    def join(key: tuple, r: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        peak, size = dict(zip(r["label"], r["peak"], strict=True)), dict(zip(r["label"], r["size"], strict=True))
-        into = {k: k for k in peak}
-
-        def root(k: int) -> int:
-            while into[k] != k:
-                into[k] = into[into[k]]
-                k = into[k]
-            return k
-
-        for _ in range(50):
-            todo = []
-            for a, b, w in zip(p["a"], p["b"], p["opening"], strict=True):
-                a, b = root(a), root(b)
-                if a != b:
-                    small = min(size[a], size[b]) < least
-                    low = min(peak[a], peak[b])
-                    if w >= beta * low or w >= r_free or small:
-                        todo.append((-(w / max(low, 1e-300) + 10 * small), min(a, b), max(a, b), w))
-            if not todo:
-                break
-            for _, a, b, w in sorted(todo):
-                a, b = root(a), root(b)
-                if a != b and (w >= beta * min(peak[a], peak[b]) or w >= r_free or min(size[a], size[b]) < least):
-                    a, b = min(a, b), max(a, b)
-                    into[b], peak[a], size[a] = a, max(peak[a], peak[b]), size[a] + size[b]
-        return pd.DataFrame({"label": list(into), "into": [root(k) for k in into]})
-
-    r, p = regions.withColumn("g", F.lit(0)), pairs.withColumn("g", F.lit(0))
-    return r.groupBy("g").cogroup(p.groupBy("g")).applyInPandas(join, "label long, into long")
-
-
 def exterior_zero(nodes: DataFrame) -> DataFrame:
     """Labels (node_id, label, boundary) with all that touch the boundary as 0 and the others numbered from 1, ascending."""
-    from pyspark.sql import Window as W
-
     open_ = nodes.groupBy("label").agg(F.bool_or("boundary").alias("open"))
-    ranks = open_.withColumn("number", F.when(F.col("open"), 0).otherwise(F.sum(F.when(F.col("open"), 0).otherwise(1)).over(W.orderBy("label").rowsBetween(W.unboundedPreceding, 0))))
+    ranks = running(open_, ["label"], F.when(F.col("open"), 0).otherwise(1), "number").withColumn("number", F.when(F.col("open"), 0).otherwise(F.col("number")))
     return nodes.join(ranks.select("label", "number"), "label").select("node_id", F.col("number").cast("long").alias("label"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import forest
+from tarnflow.operators import forest, merging
 from tarnflow.plans.registry import query, table
 
 _OFFERS = "(SELECT 2*l_partkey AS u, 2*l_suppkey + 1 AS v, min(l_extendedprice) AS w FROM lineitem GROUP BY ALL)"
@@ -116,3 +116,27 @@ def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers whose loss would part others that regular links join."""
     return forest.cut_vertices(forest.blocks(regular(spark, sf_dir))).select("node")
+
+
+_TRADE = "(SELECT 2*c_nationkey::BIGINT AS a, 2*l_suppkey + 1 AS b, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
+
+
+@query(
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {_TRADE}), n AS MATERIALIZED (SELECT label, max(w) AS peak, count(*)::DOUBLE AS size FROM (SELECT a AS label, w FROM p UNION ALL SELECT b, w FROM p) GROUP BY 1),
+    m(step, label, into_, peak, size) AS (SELECT 0, label, label, peak, size FROM n UNION ALL
+    (WITH g AS (SELECT least(x.into_, y.into_) AS a, greatest(x.into_, y.into_) AS b, min(row(-p.w, p.a, p.b)) AS way, least(any_value(x.peak), any_value(y.peak)) AS low, greatest(any_value(x.peak), any_value(y.peak)) AS top, least(any_value(x.size), any_value(y.size)) < 8 AS small, any_value(x.size) + any_value(y.size) AS whole
+     FROM p JOIN m x ON x.label = p.a JOIN m y ON y.label = p.b WHERE x.into_ <> y.into_ GROUP BY 1, 2),
+     best AS (SELECT * FROM g WHERE -way[1] >= 0.93*low OR small ORDER BY NOT small, way[1]/low, way[2], way[3] LIMIT 1)
+     SELECT m.step + 1, m.label, CASE WHEN m.into_ = best.b THEN best.a ELSE m.into_ END, CASE WHEN m.into_ IN (best.a, best.b) THEN best.top ELSE m.peak END, CASE WHEN m.into_ IN (best.a, best.b) THEN best.whole ELSE m.size END FROM m, best))
+    SELECT label, into_ AS "into" FROM m WHERE step = (SELECT max(step) FROM m)"""
+)
+def merged_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of customers and suppliers merged over their trade, the most open first: a pair joins if its trade is 93 % of the
+    weaker one's best, or if a side trades with less than eight others."""
+    t = lambda n: table(spark, sf_dir, n)
+    li = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = li.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    pairs = li.groupBy((2 * F.col("c_nationkey").cast("long")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("opening"))
+    ends = pairs.select(F.col("a").alias("label"), "opening").union(pairs.select("b", "opening"))
+    regions = ends.groupBy("label").agg(F.max("opening").alias("peak"), F.count(F.lit(1)).cast("double").alias("size"))
+    return merging.merged(regions, pairs, beta=0.93, r_free=float("inf"), least=8)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnflow.operators import film, segment, surface
+from tarnflow.operators import film, merging, segment, surface
 from tarnflow.sources import scenes
 from tarnflow.sources.formats import FACES, indexed
 from tarnflow.sources.scenes import Raster
@@ -82,7 +82,7 @@ def test_two_rooms_and_the_door_between(spark):
     full = fluid.join(labels, "node_id").join(d, "node_id")
     assert full.filter("label < 0").count() == 0
     regions = full.groupBy("label").agg(F.max("distance").alias("peak"), F.count(F.lit(1)).cast("double").alias("size"))
-    into = segment.merged(regions, segment.region_pairs(full, links), beta=0.7, r_free=0.5, least=10)
+    into = merging.merged(regions, segment.region_pairs(full, links), beta=0.7, r_free=0.5, least=10)
     full = full.join(into, "label").withColumn("label", F.col("into"))
     sizes = sorted(r["count"] for r in full.groupBy("label").count().collect())
     assert len(sizes) == 2 and sizes[0] >= 900

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -75,56 +75,63 @@ def on_boundary(index: Sequence[Column], dims: Sequence[int]) -> Column:
 # ---- shapes: predicates on a point
 
 
-def in_box(x: Vec, lo: Sequence[float], hi: Sequence[float]) -> Column:
-    return reduce(lambda a, b: a & b, (_c(p).between(float(a), float(b)) for p, a, b in zip(x, lo, hi, strict=True)))
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
-def in_ball(x: Vec, centre_: Sequence[float], radius: float) -> Column:
-    d = minus(x, centre_)
-    return dot(d, d) <= radius * radius
+def _any(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
-def least_radius(ndim: int, dx: float) -> float:
-    """Half the thickness below which a wall leaks between face-connected cells."""
-    return 0.5 * math.sqrt(ndim) * dx * 1.01
+def in_box(x: Vec, lo: Vec, hi: Vec) -> Column:
+    return _all((_c(p) >= _c(a)) & (_c(p) <= _c(b)) for p, a, b in zip(x, lo, hi, strict=True))
 
 
-def _along(x: Vec, p0: Sequence[float], p1: Sequence[float]) -> tuple[Column, list[Column], list[float]]:
-    d = [float(b - a) for a, b in zip(p0, p1, strict=True)]
-    rel = minus(x, p0)
-    return dot(rel, d) / max(sum(v * v for v in d), 1e-30), rel, d
+def in_ball(x: Vec, middle: Vec, radius: Column | float) -> Column:
+    return length(minus(x, middle)) <= _c(radius)
 
 
-def in_capsule(x: Vec, p0: Sequence[float], p1: Sequence[float], thickness: float, dx: float) -> Column:
-    t, rel, d = _along(x, p0, p1)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    off = minus(rel, times(d, t))
-    radius = max(0.5 * thickness, least_radius(len(d), dx))
-    return dot(off, off) <= radius * radius
+#: Fixed value: by how much a thinnest wall is wider than half a cell's diagonal.
+MARGIN = 1.01
 
 
-def in_polyline(x: Vec, points: Sequence[Sequence[float]], thickness: float, dx: float, closed: bool = False) -> Column:
-    points = [*points, points[0]] if closed else points
-    return reduce(lambda a, b: a | b, (in_capsule(x, p, q, thickness, dx) for p, q in zip(points, points[1:])))
+def tightest(axes: int, dx: float) -> float:
+    """The radius from which a wall has no gap between cells that share a face."""
+    return MARGIN * math.hypot(*[dx / 2] * axes)
 
 
-def in_cylinder(x: Vec, p0: Sequence[float], p1: Sequence[float], radius: float, dx: float) -> Column:
-    t, rel, d = _along(x, p0, p1)
-    off = minus(rel, times(d, t))
-    radius = max(radius, least_radius(len(d), dx))
-    return t.between(0.0, 1.0) & (dot(off, off) <= radius * radius)
+def beside(x: Vec, a: Vec, b: Vec) -> tuple[Column, Column, Column]:
+    """Of a point and the line through a and b: how far along it is, in units of their distance squared, that square, and the
+    point's squared distance from the line (from a if they are one point)."""
+    way, there = minus(b, a), minus(x, a)
+    along, square = dot(there, way), dot(way, way)
+    off = F.greatest(dot(there, there) - F.when(square > 0, along * along / square).otherwise(0.0), F.lit(0.0))
+    return along, square, off
 
 
-def in_shell(x: Vec, lo: Sequence[float], hi: Sequence[float], thickness: float, dx: float, open_faces: Sequence[tuple[int, int]] = ()) -> Column:
-    """Walls of a hollow box, some faces (axis, side) left open."""
-    wall = max(thickness, dx)
-    inner_lo, inner_hi = [a + wall for a in lo], [b - wall for b in hi]
-    for axis, side in open_faces:
-        if side > 0:
-            inner_hi[axis] = hi[axis] + dx
-        else:
-            inner_lo[axis] = lo[axis] - dx
-    return in_box(x, lo, hi) & ~in_box(x, inner_lo, inner_hi)
+def in_capsule(x: Vec, a: Vec, b: Vec, radius: Column | float) -> Column:
+    """Within a radius of the segment: of an end before and behind it, of the line between."""
+    along, square, off = beside(x, a, b)
+    r2 = _c(radius) * _c(radius)
+    return F.when(along <= 0, length(minus(x, a)) <= _c(radius)).when(along >= square, length(minus(x, b)) <= _c(radius)).otherwise(off <= r2)
+
+
+def in_polyline(x: Vec, points: Sequence[Vec], radius: Column | float) -> Column:
+    """Within a radius of any piece of the line through the points."""
+    return _any(in_capsule(x, a, b, radius) for a, b in zip(points[:-1], points[1:], strict=True))
+
+
+def in_cylinder(x: Vec, a: Vec, b: Vec, radius: Column | float) -> Column:
+    """Between the planes through both ends, within a radius of the axis."""
+    along, square, off = beside(x, a, b)
+    return (along >= 0) & (along <= square) & (off <= _c(radius) * _c(radius))
+
+
+def in_shell(x: Vec, lo: Vec, hi: Vec, wall: Column | float, without: Sequence[tuple[int, int]] = ()) -> Column:
+    """In a box and nearer than ``wall`` to one of its faces; faces ``without`` (axis, -1 or 1) have no wall."""
+    faces = [(axis, side) for axis in range(len(lo)) for side in (-1, 1) if (axis, side) not in set(without)]
+    depth = {-1: lambda k: _c(x[k]) - _c(lo[k]), 1: lambda k: _c(hi[k]) - _c(x[k])}
+    return in_box(x, lo, hi) & _any(depth[side](axis) < _c(wall) for axis, side in faces)
 
 
 # ---- poses

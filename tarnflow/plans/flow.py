@@ -89,10 +89,6 @@ def settled(spark: SparkSession, parts: list[tuple], routing: bool = True) -> Da
     return out.withColumns(index)
 
 
-@query(
-    """SELECT * FROM (VALUES ('bottle_full', 128.0, 384.0, 128.0, 0.0), ('bottle_third', 128.0, 64.0, 128.0, 0.0), ('plate', 0.0, 64.0, 0.0, 0.0), ('tray', 64.0, 0.0, 64.0, 0.0), ('cascade', 1040.0, 280.0, 600.0, 440.0), ('deep_cup', 1320.0, 0.0, 600.0, 720.0),
-    ('two_stage', 1192.0, 128.0, 600.0, 592.0), ('merged_lake', 512.0, 0.0, 216.0, 216.0), ('saddle_40', 256.0, 0.0, 216.0, 40.0), ('saddle_60', 276.0, 0.0, 216.0, 60.0), ('saddle_150', 366.0, 0.0, 216.0, 96.0)) v(name, kept, gone, first, second)"""
-)
 def fill_spill_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eleven scenes whose volumes follow from counting cells: kept, gone, in the first vessel and in what it spills into."""
     out = settled(spark, _scenes())
@@ -103,7 +99,6 @@ def fill_spill_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("name").agg(r(F.sum("retained")).alias("kept"), r(F.sum("drained")).alias("gone"), held(first).alias("first"), held(second).alias("second"))
 
 
-@query("SELECT 'cascade' AS name, 600.0::DOUBLE AS kept, 720.0::DOUBLE AS gone")
 def cup_spill_routing_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without routing what spills is gone, and the cup below stays empty."""
     out = settled(spark, [s for s in _scenes() if s[0] == "cascade"], routing=False)
@@ -129,25 +124,25 @@ def cup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("scenario_id").alias("p_partkey")).agg(*(r(F.sum(c)).alias(c) for c in ("retained", "drained", "lost")))
 
 
-FIELD = Raster((20, 20), 1.0, (0.0, 0.0))
-_FIELD = "(SELECT range AS node_id, range // 20 AS i, range % 20 AS j, (range * 7919 % 1009) * 1000 + range * 31 % 1000 AS h, range // 20 IN (0, 19) OR range % 20 IN (0, 19) AS sink FROM range(400))"
-_FIELD_LINKS = f"(SELECT a.node_id AS src, b.node_id AS dst FROM {_FIELD} a JOIN {_FIELD} b ON abs(a.i-b.i) + abs(a.j-b.j) = 1)"
+FIELD = Raster((1 << 40, 40), 1.0, (0.0, 0.0))
+_FIELD = "(SELECT p_partkey AS node_id, p_partkey // 40 AS i, p_partkey % 40 AS j, floor(p_retailprice * 100)::BIGINT AS h, p_partkey % 40 IN (0, 1, 39) AS sink FROM part)"
+_FIELD_LINKS = f"(SELECT a.node_id AS src, b.node_id AS dst FROM {_FIELD} a JOIN (VALUES (-40), (-1), (1), (40)) s(s) ON true JOIN {_FIELD} b ON b.node_id = a.node_id + s.s WHERE abs(a.i-b.i) + abs(a.j-b.j) = 1)"
 
 
-def field(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """A rough height field in whole numbers, with its rim as the sink."""
-    cells = FIELD.cells(spark)
-    n = F.col("node_id")
-    return cells.select("node_id", ((n * 7919 % 1009) * 1000 + n * 31 % 1000).alias("h"), F.col("boundary").alias("sink")), scenes.face_links(FIELD, cells)
+def field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as a height field of 40 columns, in whole numbers by their price; outer columns are the sink."""
+    k, column = F.col("p_partkey"), F.col("p_partkey") % 40
+    cells = table(spark, sf_dir, "part").select(k.alias("node_id"), F.floor(k / 40).alias("i"), column.cast("int").alias("j"), F.floor(F.col("p_retailprice") * 100).cast("long").alias("h"), column.isin(0, 1, 39).alias("sink"), F.lit(False).alias("solid"))
+    return cells.select("node_id", "h", "sink"), scenes.face_links(FIELD, cells)
 
 
-_NEXT = f"""n AS (SELECT * FROM {_FIELD}), low AS (SELECT l.src, arg_min(b.node_id, CASE WHEN b.sink THEN 0 ELSE 1 END * 1e15 + b.h*1e3 + b.node_id) AS to_ FROM {_FIELD_LINKS} l JOIN n b ON b.node_id = l.dst GROUP BY 1),
+_NEXT = f"""n AS MATERIALIZED (SELECT * FROM {_FIELD}), low AS (SELECT l.src, arg_min(b.node_id, CASE WHEN b.sink THEN 0 ELSE 1 END * 1e15 + b.h*1e3 + b.node_id) AS to_ FROM {_FIELD_LINKS} l JOIN n b ON b.node_id = l.dst GROUP BY 1),
  p AS (SELECT n.node_id, CASE WHEN n.sink OR (NOT t.sink AND (t.h, t.node_id) > (n.h, n.node_id)) THEN n.node_id ELSE t.node_id END AS next FROM n JOIN low ON low.src = n.node_id JOIN n t ON t.node_id = low.to_)"""
 
 
 @query(f"WITH {_NEXT} SELECT * FROM p")
 def steepest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fsm.pointers(*field(spark))
+    return fsm.pointers(*field(spark, sf_dir))
 
 
 _BASIN = f"{_NEXT}, b(node_id, basin) AS (SELECT node_id, node_id FROM p WHERE next = node_id UNION ALL SELECT p.node_id, b.basin FROM b JOIN p ON p.next = b.node_id AND p.next <> p.node_id)"
@@ -155,7 +150,7 @@ _BASIN = f"{_NEXT}, b(node_id, basin) AS (SELECT node_id, node_id FROM p WHERE n
 
 @query(f"WITH RECURSIVE {_BASIN} SELECT node_id, basin FROM b")
 def basins_pointer_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fsm.basins(fsm.pointers(*field(spark)))
+    return fsm.basins(fsm.pointers(*field(spark, sf_dir)))
 
 
 @query(
@@ -163,30 +158,29 @@ def basins_pointer_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE NOT x.sink AND (y.sink OR (y.h, y.node_id) < (x.h, x.node_id)) GROUP BY 1) SELECT node_id, array_to_string(basins, ' ') AS basins FROM c WHERE len(basins) > 1"""
 )
 def saddle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, links = field(spark)
+    nodes, links = field(spark, sf_dir)
     out = fsm.candidates(nodes, links, fsm.basins(fsm.pointers(nodes, links)))
     return out.select("node_id", F.concat_ws(" ", F.transform("basins", lambda b: b.cast("string"))).alias("basins"))
 
 
 @query(f"WITH RECURSIVE {_BASIN} SELECT a.basin AS a, c.basin AS b, min(greatest(CASE WHEN NOT x.sink THEN x.h END, CASE WHEN NOT y.sink THEN y.h END)) AS h FROM {_FIELD_LINKS} l JOIN b a ON a.node_id = l.src JOIN b c ON c.node_id = l.dst JOIN n x ON x.node_id = l.src JOIN n y ON y.node_id = l.dst WHERE a.basin < c.basin GROUP BY 1, 2")
 def basin_saddles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, links = field(spark)
+    nodes, links = field(spark, sf_dir)
     return fsm.saddles(nodes, links, fsm.basins(fsm.pointers(nodes, links)))
 
 
 @query(
-    f"""WITH RECURSIVE n AS (SELECT * FROM {_FIELD}), l AS (SELECT * FROM {_FIELD_LINKS}), w(node_id, level, s) AS (SELECT node_id, CASE WHEN sink THEN -1 ELSE 1e12 END, 0 FROM n UNION ALL
-    SELECT w.node_id, least(w.level, greatest(CASE WHEN n.sink THEN -1 ELSE n.h END, (SELECT min(x.level) FROM w x JOIN l ON l.src = x.node_id WHERE l.dst = w.node_id))), s + 1 FROM w JOIN n USING (node_id) WHERE s < 120)
-    SELECT w.node_id, n.h < min(level) AND NOT any_value(n.sink) AS held FROM w JOIN n USING (node_id) GROUP BY w.node_id, n.h"""
+    f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM {_FIELD}), l AS MATERIALIZED (SELECT * FROM {_FIELD_LINKS}), w(node_id, level) USING KEY (node_id) AS (SELECT node_id, CASE WHEN sink THEN -1 ELSE 1e12 END::DOUBLE FROM n UNION
+    (SELECT q.node_id, min(greatest(n.h, w.level))::DOUBLE FROM recurring.w AS q JOIN n ON n.node_id = q.node_id AND NOT n.sink JOIN l ON l.dst = q.node_id JOIN w ON w.node_id = l.src GROUP BY q.node_id HAVING min(greatest(n.h, w.level)) < any_value(q.level)))
+    SELECT w.node_id, h < level AND NOT sink AS held FROM w JOIN n ON n.node_id = w.node_id"""
 )
 def flooded_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells under water after the whole field was flooded."""
-    return fsm.flooded(*field(spark))
+    return fsm.flooded(*field(spark, sf_dir))
 
 
-@query(None)
 def fill_spill_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rough field flooded by the kernel, cell by cell; tests hold it against the staged operator and conservation."""
-    nodes, links = field(spark)
+    nodes, links = field(spark, sf_dir)
     one = nodes.select(F.lit(0).cast("long").alias("scenario_id"), "node_id", F.col("h").cast("double").alias("h"), F.lit(0).alias("region"), "sink", F.when(F.col("sink"), 0.0).otherwise(1.0).alias("src"), F.lit(1.0).alias("v"), F.lit(0.0).alias("e"))
     return fsm.fill_spill(one, links.withColumn("scenario_id", F.lit(0).cast("long")).select("scenario_id", "src", "dst"))

@@ -1,4 +1,4 @@
-"""Filters, links and views of cells, on fields made of range() and on the driver's tables."""
+"""Filters, links and views of cells, on fields made of the given tables."""
 
 from __future__ import annotations
 
@@ -11,15 +11,19 @@ from tarnflow.functions import geometry as G
 from tarnflow.operators import bodies, cells, near
 from tarnflow.plans.flow import _FIELD, _FIELD_LINKS, field
 from tarnflow.plans.registry import micros, query, r, table
-from tarnflow.sources import scenes
+from tarnflow.sources import motion, scenes
 from tarnflow.sources.scenes import Raster
 
-BOX = Raster((10, 9, 8), 1.0, (0.0, 0.0, 0.0))
-_BOX = "(SELECT range AS node_id, range // 72 AS i, (range // 8) % 9 AS j, range % 8 AS k, (range * 7919 + (range // 8) * 104729) % 100 < 30 AS solid FROM range(720))"
+BOX = Raster((1 << 40, 9, 8), 1.0, (0.0, 0.0, 0.0))
+_BOX = "(SELECT o_orderkey AS node_id, o_orderkey // 72 AS i, (o_orderkey // 8) % 9 AS j, o_orderkey % 8 AS k, o_custkey % 100 < 30 AS solid FROM orders)"
 
 
-def box(spark: SparkSession) -> DataFrame:
-    return scenes.add(BOX.cells(spark), (F.col("node_id") * 7919 + F.floor(F.col("node_id") / 8) * 104729) % 100 < 30)
+def box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a raster of 9 by 8 cells and as long as there are orders, closed where the customer's number says so."""
+    n = F.col("node_id")
+    index = {"i": F.floor(n / 72).cast("int"), "j": (F.floor(n / 8) % 9).cast("int"), "k": (n % 8).cast("int")}
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), (F.col("o_custkey") % 100 < 30).alias("solid")).withColumns(index)
+    return cells.withColumns({c: F.col(a) + 0.5 for c, a in zip("xyz", "ijk", strict=True)})
 
 
 @query("SELECT p_partkey, s.range::INT AS n, round(p_size + p_retailprice/1000*cos(radians(15.0*s.range)), 6) AS x, round(p_partkey % 7 + p_retailprice/1000*sin(radians(15.0*s.range)), 6) AS y FROM part, range(24) s")
@@ -67,13 +71,13 @@ def sight_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH n AS (SELECT *, node_id % 13 = 0 AND NOT sink AS src FROM {_FIELD}), t AS (SELECT max(h) AS top FROM n WHERE src)
+    f"""WITH n AS (SELECT *, h % 97 = 5 AND NOT sink AS src FROM {_FIELD}), t AS (SELECT max(h) AS top FROM n WHERE src)
     SELECT node_id FROM n, t WHERE CASE WHEN top IS NULL THEN sink ELSE h <= top END"""
 )
 def band_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that the poured liquid can reach: none above its highest source; sinks only if nothing is poured."""
-    nodes, _ = field(spark)
-    n = nodes.withColumn("src", (F.col("node_id") % 13 == 0) & ~F.col("sink"))
+    nodes, _ = field(spark, sf_dir)
+    n = nodes.withColumn("src", (F.col("h") % 97 == 5) & ~F.col("sink"))
     top = n.filter("src").agg(F.max("h").alias("top"))
     return n.crossJoin(F.broadcast(top)).filter(F.when(F.col("top").isNull(), F.col("sink")).otherwise(F.col("h") <= F.col("top"))).select("node_id")
 
@@ -81,7 +85,7 @@ def band_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT n.node_id FROM {_FIELD} n WHERE sink AND NOT EXISTS (SELECT 1 FROM {_FIELD_LINKS} l JOIN {_FIELD} m ON m.node_id = l.dst WHERE l.src = n.node_id AND NOT m.sink)")
 def prune_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sinks among sinks only: they take no part, what is poured on them is gone."""
-    nodes, links = field(spark)
+    nodes, links = field(spark, sf_dir)
     dry = nodes.filter("not sink").select(F.col("node_id").alias("dst"))
     near_dry = links.join(dry, "dst", "left_semi").select(F.col("src").alias("node_id")).distinct()
     return nodes.filter("sink").join(near_dry, "node_id", "left_anti").select("node_id")
@@ -106,33 +110,33 @@ _STEP26 = "(SELECT a.range - 1 AS a, b.range - 1 AS b, c.range - 1 AS c FROM ran
 @query(f"SELECT x.node_id AS src, y.node_id AS dst FROM {_BOX} x JOIN {_STEP26} s ON abs(a)+abs(b)+abs(c) > 1 JOIN {_BOX} y ON y.i = x.i+a AND y.j = x.j+b AND y.k = x.k+c WHERE NOT x.solid AND NOT y.solid AND x.node_id < y.node_id")
 def links26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links over edges and corners, once each."""
-    return cells.links_by(box(spark).filter("not solid").select("node_id", "i", "j", "k"), cells.CORNER_STEPS, half=True)
+    return cells.links_by(box(spark, sf_dir).filter("not solid").select("node_id", "i", "j", "k"), cells.CORNER_STEPS, half=True)
 
 
 @query(
-    f"""WITH c AS (SELECT * FROM {_BOX}), cut AS (SELECT * FROM c x WHERE solid AND EXISTS (SELECT 1 FROM c y WHERE NOT y.solid AND abs(x.i-y.i)+abs(x.j-y.j)+abs(x.k-y.k) = 1)),
+    f"""WITH c AS MATERIALIZED (SELECT * FROM {_BOX}), cut AS (SELECT DISTINCT x.* FROM c x JOIN {_STEP26} t ON abs(a)+abs(b)+abs(t.c) = 1 JOIN c y ON y.i = x.i+a AND y.j = x.j+b AND y.k = x.k+t.c WHERE x.solid AND NOT y.solid),
     s AS (SELECT node_id AS host, i*2+a.range AS i, j*2+b.range AS j, k*2+d.range AS k FROM cut, range(2) a, range(2) b, range(2) d)
     SELECT count(*) AS subcells, count(DISTINCT host) AS hosts, sum(i*10000 + j*100 + k)::BIGINT AS ids FROM s"""
 )
 def cut_subcells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed cells next to open ones, as eight sub-cells each."""
-    b = box(spark)
+    b = box(spark, sf_dir)
     faces = cells.links_by(b.select("node_id", "i", "j", "k"), [s for s in cells.ALL_STEPS if sum(map(abs, s)) == 1])
     sub = cells.subcells(cells.cut_cells(b, faces), 2)
     return sub.agg(F.count(F.lit(1)).alias("subcells"), F.countDistinct("host").alias("hosts"), F.sum(F.col("i") * 10000 + F.col("j") * 100 + F.col("k")).cast("long").alias("ids"))
 
 
-_FACES6 = "((x.i = y.i AND x.j = y.j AND abs(x.k-y.k) = 1) OR (x.i = y.i AND abs(x.j-y.j) = 1 AND x.k = y.k) OR (abs(x.i-y.i) = 1 AND x.j = y.j AND x.k = y.k))"
+_FACES = f"JOIN {_STEP26} t ON abs(a)+abs(b)+abs(t.c) = 1"
 
 
 @query(
     f"""WITH c AS (SELECT * FROM {_BOX}), s AS (SELECT (node_id*8 + a.range*4 + b.range*2 + d.range)::BIGINT AS id, i*2+a.range AS i, j*2+b.range AS j, k*2+d.range AS k FROM c, range(2) a, range(2) b, range(2) d WHERE solid AND (node_id*8 + a.range*4 + b.range*2 + d.range) % 3 <> 0)
-    SELECT 'fine' AS kind, x.id AS src, y.id AS dst FROM s x JOIN s y ON x.id < y.id AND {_FACES6}
+    SELECT 'fine' AS kind, x.id AS src, y.id AS dst FROM s x {_FACES} JOIN s y ON y.i = x.i+a AND y.j = x.j+b AND y.k = x.k+t.c WHERE x.id < y.id
     UNION ALL SELECT 'coarse', x.id, c.node_id FROM s x JOIN {_STEP26} t ON abs(a)+abs(b)+abs(t.c) = 1 JOIN c ON NOT c.solid AND c.i = (x.i+a)//2 AND c.j = (x.j+b)//2 AND c.k = (x.k+t.c)//2 AND x.i+a >= 0 AND x.j+b >= 0 AND x.k+t.c >= 0"""
 )
 def subcell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of open sub-cells, among each other and to open cells."""
-    b = box(spark)
+    b = box(spark, sf_dir)
     s = cells.subcells(b.filter("solid"), 2)
     s = s.withColumn("id", F.col("host") * 8 + F.col("i") % 2 * 4 + F.col("j") % 2 * 2 + F.col("k") % 2).filter("id % 3 <> 0")
     return cells.fine_links(s, b.filter("not solid"), 2).select("kind", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
@@ -161,7 +165,7 @@ def display_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT x.node_id, max(y.node_id % 17)::INT AS f FROM {_BOX} x JOIN {_BOX} y ON abs(x.i-y.i) <= 1 AND abs(x.j-y.j) <= 1 AND abs(x.k-y.k) <= 1 WHERE x.solid AND NOT y.solid GROUP BY 1")
 def dilate_into_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = box(spark).withColumn("f", (F.col("node_id") % 17).cast("int"))
+    b = box(spark, sf_dir).withColumn("f", (F.col("node_id") % 17).cast("int"))
     return cells.into_solid(b.filter("not solid"), b.filter("solid"), "f")
 
 
@@ -169,7 +173,7 @@ def dilate_into_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sub-cells folded into their hosts by the maximum."""
     host = sum((F.shiftright(F.col(a), 1) * w for a, w in zip("ijk", (100, 10, 1), strict=True)), F.lit(0))
-    return box(spark).filter("not solid").groupBy(host.cast("long").alias("host")).agg(F.max((F.col("node_id") % 17).cast("int")).alias("f"))
+    return box(spark, sf_dir).filter("not solid").groupBy(host.cast("long").alias("host")).agg(F.max((F.col("node_id") % 17).cast("int")).alias("f"))
 
 
 @query("WITH e AS (SELECT user_id, event_id, value, sum(CASE WHEN coalesce(event_type <> lag_, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS lag_ FROM events)) SELECT user_id, run::BIGINT AS run, min(event_id) AS \"first\", count(*) AS n FROM e GROUP BY 1, 2")
@@ -193,16 +197,15 @@ def adaptive_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.settled(e, ["user_id"], "t", "v", 100000, 0.2)
 
 
-@query("SELECT * FROM (VALUES (0, 0.0, 0.0), (1, 2.0, 0.5), (2, 4.0, 1.0), (3, 6.0, 1.5), (4, 7.0, 2.5), (5, 8.0, 3.5), (6, 8.5, 5.5)) v(frame, t, movie)")
+@query(
+    """WITH p AS (SELECT o_custkey, o_orderkey, 1 + o_orderkey % 3 AS n, 0.25*(1 + o_orderkey % 4) AS rate FROM orders), f AS (SELECT o_custkey, o_orderkey, unnest(range(1, n + 1)) AS s, rate FROM p)
+    SELECT o_custkey, row_number() OVER w AS frame, row_number() OVER w * 0.5::DOUBLE AS t, sum(rate * 0.5) OVER w::DOUBLE AS movie FROM f WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, s ROWS UNBOUNDED PRECEDING)"""
+)
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of phases (length, step, seconds of film a second): model time and film time, offsets by a running sum."""
-    phases = spark.createDataFrame([(0, 6.0, 2.0, 0.25), (1, 2.0, 1.0, 1.0), (2, 0.5, 0.5, 4.0)], "phase int, length double, step double, rate double")
-    w = W.partitionBy(F.lit(0)).orderBy("phase").rowsBetween(W.unboundedPreceding, -1)
-    p = phases.withColumn("t0", F.coalesce(F.sum("length").over(w), F.lit(0.0))).withColumn("m0", F.coalesce(F.sum(F.col("length") * F.col("rate")).over(w), F.lit(0.0)))
-    f = p.withColumn("n", F.explode(F.sequence(F.lit(1), F.rint(F.col("length") / F.col("step")).cast("int"))))
-    f = f.select((F.col("t0") + F.col("n") * F.col("step")).alias("t"), (F.col("m0") + F.col("n") * F.col("step") * F.col("rate")).alias("movie"))
-    out = f.union(spark.createDataFrame([(0.0, 0.0)], "t double, movie double"))
-    return out.select((F.row_number().over(W.orderBy("t")) - 1).alias("frame"), "t", "movie")
+    """A customer's orders as phases of a film: frames of half a second, with model time and film time since the first."""
+    k = F.col("o_orderkey")
+    phases = table(spark, sf_dir, "orders").select("o_custkey", k.alias("phase"), ((1 + k % 3) * 0.5).alias("length"), F.lit(0.5).alias("step"), (0.25 * (1 + k % 4)).alias("rate"))
+    return motion.frames(phases, ["o_custkey"], "phase").select("o_custkey", "frame", "t", "movie")
 
 
 @query(
@@ -228,13 +231,14 @@ def sweep_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT * FROM {_BOX}), f AS (SELECT x.node_id AS src, y.node_id AS dst, (x.i+y.i)/2.0+0.5 AS mx, (x.j+y.j)/2.0+0.5 AS my, (x.k+y.k)/2.0+0.5 AS mz, x.i+0.5 AS ai, y.i+0.5 AS bi FROM c x JOIN c y ON x.node_id < y.node_id AND {_FACES6} WHERE NOT x.solid AND NOT y.solid)
-    SELECT h.hole_id::INT AS hole_id, src, dst FROM f JOIN (VALUES (1, 4.9, 4.5, 4.5, 3.0), (2, 7.2, 2.0, 3.0, 2.0)) h(hole_id, x, y, z, d) ON (ai-x)*(bi-x) <= 0 AND ai <> bi AND sqrt((my-y)^2+(mz-z)^2) <= d/2 + 0.5"""
+    f"""WITH c AS (SELECT * FROM {_BOX}), f AS (SELECT x.node_id AS src, y.node_id AS dst, (x.i+y.i)/2.0+0.5 AS mx, (x.j+y.j)/2.0+0.5 AS my, (x.k+y.k)/2.0+0.5 AS mz, x.i+0.5 AS ai, y.i+0.5 AS bi FROM c x {_FACES} JOIN c y ON y.i = x.i+a AND y.j = x.j+b AND y.k = x.k+t.c WHERE x.node_id < y.node_id AND NOT x.solid AND NOT y.solid)
+    SELECT h.hole_id, src, dst FROM f JOIN (SELECT s_suppkey AS hole_id, s_suppkey*2 + 0.9 AS x, s_nationkey % 9 + 0.5 AS y, s_suppkey % 8 + 0.5 AS z, 2.0 + s_suppkey % 3 AS d FROM supplier) h ON (ai-x)*(bi-x) <= 0 AND ai <> bi AND sqrt((my-y)^2+(mz-z)^2) <= d/2 + 0.5"""
 )
 def hole_throats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that cross the middle plane of listed holes."""
-    b = box(spark)
-    holes = spark.createDataFrame([(1, 4.9, 4.5, 4.5, 1.0, 0.0, 0.0, 3.0), (2, 7.2, 2.0, 3.0, 1.0, 0.0, 0.0, 2.0)], "hole_id int, x double, y double, z double, ax double, ay double, az double, diameter double")
+    """Links that cross the middle planes of the suppliers' holes."""
+    b = box(spark, sf_dir)
+    n, one, none = F.col("s_suppkey"), F.lit(1.0), F.lit(0.0)
+    holes = table(spark, sf_dir, "supplier").select(n.alias("hole_id"), (n * 2 + 0.9).alias("x"), (F.col("s_nationkey") % 9 + 0.5).alias("y"), (n % 8 + 0.5).alias("z"), one.alias("ax"), none.alias("ay"), none.alias("az"), (2.0 + n % 3).alias("diameter"))
     return cells.crossing_plane(scenes.face_links(BOX, b).filter("src < dst"), b, holes, 0.5)
 
 

@@ -21,19 +21,16 @@ def closed_box_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.run(rows).select("scenario_id", "step", r(F.col("inside"), 9).alias("inside"))
 
 
-@query(None)
 def torricelli_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vented tank drains through holes of three widths; tests hold the level against Torricelli's."""
     return simulation.run(scenarios(spark, [(k, "tank", {"fill": 0.8, "hole": float(k), "open_at": 0.0}, 30, 0.1, 0.0) for k in (2, 3, 4)]))
 
 
-@query(None)
 def plugged_hole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plugged hole opens after a second; nothing leaves before."""
     return simulation.run(scenarios(spark, [(1, "tank", {"fill": 0.8, "hole": 3.0, "open_at": 1.0}, 25, 0.1, 0.0)]))
 
 
-@query(None)
 def checkpoint_resume_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that stops after ten steps and goes on from its saved state; tests hold it against one that doesn't stop."""
     first = scenarios(spark, [(2, "tank", {"fill": 0.8, "hole": 3.0, "open_at": 0.0}, 10, 0.1, 0.0)])

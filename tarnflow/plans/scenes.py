@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import geometry as G
@@ -11,136 +11,100 @@ from tarnflow.plans.registry import micros, query, r, table
 from tarnflow.sources import motion, scenes
 from tarnflow.sources.scenes import Raster
 
-GRID = Raster((24, 16, 10), 0.05, (-0.6, -0.4, 0.0))
-_CELLS = "(SELECT range AS node_id, range // 160 AS i, (range // 10) % 16 AS j, range % 10 AS k, -0.6 + (range // 160 + 0.5) * 0.05 AS x, -0.4 + ((range // 10) % 16 + 0.5) * 0.05 AS y, 0.0 + (range % 10 + 0.5) * 0.05 AS z FROM range(3840))"
-_COUNTED = "count(*) AS cells, coalesce(sum(node_id), 0)::BIGINT AS ids"
+#: A part's raster: cells and their size.
+DIMS, DX = (8, 6, 5), 0.125
+_CELLS = """(SELECT p_partkey, p_size/50.0 AS s, p_partkey % 7 AS m, c.range AS node_id, (c.range // 30)::INT AS i, ((c.range // 5) % 6)::INT AS j, (c.range % 5)::INT AS k, (c.range // 30 + 0.5)*0.125::DOUBLE AS x, ((c.range // 5) % 6 + 0.5)*0.125::DOUBLE AS y,
+ (c.range % 5 + 0.5)*0.125::DOUBLE AS z FROM part, range(240) c)"""
+_COUNTED = "count(*) AS cells, sum(node_id)::BIGINT AS ids"
 
 
-def counted(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("node_id"), F.lit(0)).alias("ids"))
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as shapes: their size (up to 1) and a number from 0 to 6."""
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("s"), (F.col("p_partkey") % 7).alias("m"))
 
 
-@query(f"SELECT node_id, i::INT AS i, j::INT AS j, k::INT AS k, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM {_CELLS}")
+def _point() -> list[Column]:
+    return [F.col(c) for c in "xyz"]
+
+
+def counted(spark: SparkSession, sf_dir: str, inside: Column) -> DataFrame:
+    """How many cells each part's shape fills, and the sum of their numbers."""
+    cells = scenes.filled(parts(spark, sf_dir), DIMS, DX, inside).filter("solid")
+    return cells.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("cells"), F.sum("node_id").alias("ids"))
+
+
+@query(f"SELECT p_partkey, node_id, i, j, k, x + m AS x, y, z FROM {_CELLS}")
 def raster_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GRID.cells(spark).select("node_id", "i", "j", "k", *(r(F.col(c)).alias(c) for c in "xyz"))
+    """The cells of each part's raster, parts side by side in seven places."""
+    cells = scenes.filled(parts(spark, sf_dir), DIMS, DX, F.lit(False))
+    return cells.select("p_partkey", "node_id", "i", "j", "k", (F.col("x") + F.col("m")).alias("x"), "y", "z")
 
 
-@query(f"SELECT {_COUNTED} FROM {_CELLS} WHERE i IN (0, 23) OR j IN (0, 15) OR k IN (0, 9)")
+@query(f"SELECT p_partkey, {_COUNTED} FROM {_CELLS} WHERE (i IN (0, 7) OR j IN (0, 5) OR k IN (0, 4)) AND x > s/2 GROUP BY 1")
 def boundary_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(GRID.cells(spark).filter("boundary"))
+    """Cells on the boundary of each part's raster, beyond half its size."""
+    return counted(spark, sf_dir, G.on_boundary([F.col(a) for a in "ijk"], DIMS) & (F.col("x") > F.col("s") / 2))
 
 
 @query(
-    f"""WITH c AS (SELECT *, x*x + y*y + (z-0.25)*(z-0.25) > 0.09 AS fluid FROM {_CELLS}), f AS (SELECT * FROM c WHERE fluid)
-    SELECT a.node_id AS src, count(*) AS neighbours, sum(b.node_id)::BIGINT AS ids FROM f a JOIN f b
-    ON abs(a.i-b.i) + abs(a.j-b.j) + abs(a.k-b.k) = 1 AND a.node_id - b.node_id IN (160, -160, 10, -10, 1, -1) GROUP BY 1"""
+    f"""WITH f AS MATERIALIZED (SELECT * FROM {_CELLS} WHERE sqrt((x-0.5)^2 + (y-0.375)^2 + (z-0.3125)^2) > s/2) SELECT a.p_partkey, count(*) AS links, sum(a.node_id * b.node_id)::BIGINT AS ids
+    FROM f a JOIN (VALUES (-30), (-5), (-1), (1), (5), (30)) v(v) ON true JOIN f b ON b.p_partkey = a.p_partkey AND b.node_id = a.node_id + v.v WHERE abs(a.i-b.i) + abs(a.j-b.j) + abs(a.k-b.k) = 1 GROUP BY 1"""
 )
 def face_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = scenes.add(GRID.cells(spark), G.in_ball(GRID.at(), (0, 0, 0.25), 0.3))
-    return scenes.face_links(GRID, cells).groupBy("src").agg(F.count(F.lit(1)).alias("neighbours"), F.sum("dst").alias("ids"))
+    """Links of the cells outside a ball of each part's size: numbers of a part's cells run on from the part before."""
+    cells = scenes.filled(parts(spark, sf_dir), DIMS, DX, G.in_ball(_point(), (0.5, 0.375, 0.3125), F.col("s") / 2))
+    size = Raster(DIMS, DX, (0.0, 0.0, 0.0))
+    links = cells.filter("not solid").select("p_partkey", F.col("node_id").alias("src"), F.explode(scenes.face_neighbours(size)).alias("dst"))
+    links = links.join(cells.filter("not solid").select("p_partkey", F.col("node_id").alias("dst")), ["p_partkey", "dst"], "left_semi")
+    return links.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("links"), F.sum(F.col("src") * F.col("dst")).alias("ids"))
 
 
-@query(f"SELECT {_COUNTED} FROM {_CELLS} WHERE x BETWEEN -0.31 AND 0.22 AND y BETWEEN -0.1 AND 0.4 AND z BETWEEN 0.1 AND 0.3")
+@query(f"SELECT p_partkey, {_COUNTED} FROM {_CELLS} WHERE x BETWEEN 0.1 AND 0.3 + s/2 AND y BETWEEN 0.05*m AND 0.6 AND z BETWEEN 0.1 AND 0.5 GROUP BY 1")
 def shape_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(GRID.cells(spark).filter(G.in_box(GRID.at(), (-0.31, -0.1, 0.1), (0.22, 0.4, 0.3))))
+    return counted(spark, sf_dir, G.in_box(_point(), (0.1, 0.05 * F.col("m"), 0.1), (0.3 + F.col("s") / 2, 0.6, 0.5)))
 
 
-@query(f"SELECT {_COUNTED} FROM {_CELLS} WHERE (x-0.1)^2 + (y+0.05)^2 + (z-0.2)^2 <= 0.23*0.23")
+@query(f"SELECT p_partkey, {_COUNTED} FROM {_CELLS} WHERE sqrt((x-0.1*m)^2 + (y-0.35)^2 + (z-0.3)^2) <= 0.1 + s/2 GROUP BY 1")
 def shape_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(GRID.cells(spark).filter(G.in_ball(GRID.at(), (0.1, -0.05, 0.2), 0.23)))
+    return counted(spark, sf_dir, G.in_ball(_point(), (0.1 * F.col("m"), 0.35, 0.3), 0.1 + F.col("s") / 2))
+
 
+def _axis() -> tuple[list[Column], list[Column]]:
+    return [F.lit(0.2), F.lit(0.1), 0.05 * F.col("m")], [F.lit(0.8), 0.1 + F.col("s") / 2, F.lit(0.45)]
 
-_T = "((x+0.4)*0.9 + (y+0.2)*0.3 + (z-0.07)*0.35) / (0.9*0.9 + 0.3*0.3 + 0.35*0.35)"
 
+_WAY = "0.6 AS dx, s/2 AS dy, 0.45 - 0.05*m AS dz"
+_FOOT = "((x-0.2)*dx + (y-0.1)*dy + (z-0.05*m)*dz) / (dx*dx + dy*dy + dz*dz)"
+_OFF = "sqrt((x-0.2-t*dx)^2 + (y-0.1-t*dy)^2 + (z-0.05*m-t*dz)^2)"
 
-@query(f"WITH s AS (SELECT *, greatest(0, least(1, {_T})) AS t FROM {_CELLS}) SELECT {_COUNTED} FROM s WHERE (x+0.4-t*0.9)^2 + (y+0.2-t*0.3)^2 + (z-0.07-t*0.35)^2 <= 0.09*0.09")
+
+@query(f"WITH w AS (SELECT *, {_WAY} FROM {_CELLS}), f AS (SELECT *, greatest(0, least(1, {_FOOT})) AS t FROM w) SELECT p_partkey, {_COUNTED} FROM f WHERE {_OFF} <= 0.15 GROUP BY 1")
 def shape_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(GRID.cells(spark).filter(G.in_capsule(GRID.at(), (-0.4, -0.2, 0.07), (0.5, 0.1, 0.42), 0.18, GRID.dx)))
+    return counted(spark, sf_dir, G.in_capsule(_point(), *_axis(), 0.15))
 
 
-@query(f"WITH s AS (SELECT *, {_T} AS t FROM {_CELLS}) SELECT {_COUNTED} FROM s WHERE t BETWEEN 0 AND 1 AND (x+0.4-t*0.9)^2 + (y+0.2-t*0.3)^2 + (z-0.07-t*0.35)^2 <= 0.11*0.11")
+@query(f"WITH w AS (SELECT *, {_WAY} FROM {_CELLS}), f AS (SELECT *, {_FOOT} AS t FROM w) SELECT p_partkey, {_COUNTED} FROM f WHERE t BETWEEN 0 AND 1 AND {_OFF} <= 0.18 GROUP BY 1")
 def shape_cylinder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(GRID.cells(spark).filter(G.in_cylinder(GRID.at(), (-0.4, -0.2, 0.07), (0.5, 0.1, 0.42), 0.11, GRID.dx)))
+    return counted(spark, sf_dir, G.in_cylinder(_point(), *_axis(), 0.18))
 
 
 @query(
-    f"""WITH r AS (SELECT 0.5*sqrt(3)*0.05*1.01 AS r), a AS (SELECT *, greatest(0, least(1, (x+0.5)/0.6)) AS t, greatest(0, least(1, (y+0.3)/0.5)) AS u FROM {_CELLS})
-    SELECT {_COUNTED} FROM a, r WHERE (x+0.5-t*0.6)^2 + (y+0.3)^2 + (z-0.2)^2 <= r*r OR (x-0.1)^2 + (y+0.3-u*0.5)^2 + (z-0.2)^2 <= r*r"""
+    f"""WITH f AS (SELECT *, greatest(0, least(1, (x-0.1)/0.6)) AS t, CASE WHEN s > 0 THEN greatest(0, least(1, (y-0.1)/s)) ELSE 0 END AS u, 1.01*sqrt(3*0.0625*0.0625) AS r FROM {_CELLS})
+    SELECT p_partkey, {_COUNTED} FROM f WHERE sqrt((x-0.1-t*0.6)^2 + (y-0.1)^2 + (z-0.25)^2) <= r OR sqrt((x-0.7)^2 + (y-0.1-u*s)^2 + (z-0.25)^2) <= r GROUP BY 1"""
 )
 def shape_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = G.in_polyline(GRID.at(), [(-0.5, -0.3, 0.2), (0.1, -0.3, 0.2), (0.1, 0.2, 0.2)], 0.01, GRID.dx)
-    return counted(GRID.cells(spark).filter(line))
+    """A line with a bend, as thin as leaves no gap."""
+    line = [(0.1, 0.1, 0.25), (0.7, 0.1, 0.25), (0.7, 0.1 + F.col("s"), 0.25)]
+    return counted(spark, sf_dir, G.in_polyline(_point(), line, G.tightest(3, DX)))
 
 
 @query(
-    f"""SELECT {_COUNTED} FROM {_CELLS} WHERE x BETWEEN -0.41 AND 0.31 AND y BETWEEN -0.31 AND 0.31 AND z BETWEEN 0.06 AND 0.44
-    AND NOT (x BETWEEN -0.34 AND 0.24 AND y BETWEEN -0.24 AND 0.24 AND z BETWEEN 0.13 AND 0.49)"""
+    f"""SELECT p_partkey, {_COUNTED} FROM {_CELLS} WHERE x BETWEEN 0.05 AND 0.45 + s/2 AND y BETWEEN 0.05 AND 0.7 AND z BETWEEN 0.05 AND 0.6
+    AND (x - 0.05 < 0.03*m OR 0.45 + s/2 - x < 0.03*m OR y - 0.05 < 0.03*m OR 0.7 - y < 0.03*m OR z - 0.05 < 0.03*m) GROUP BY 1"""
 )
 def shape_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(GRID.cells(spark).filter(G.in_shell(GRID.at(), (-0.41, -0.31, 0.06), (0.31, 0.31, 0.44), 0.07, GRID.dx, [(2, 1)])))
-
-
-def _square(n: int, m: int, dx: float, x0: float, y0: float) -> str:
-    return f"(SELECT range AS node_id, {x0} + (range // {m} + 0.5) * {dx} AS x, {y0} + (range % {m} + 0.5) * {dx} AS y FROM range({n * m}))"
-
-
-def _scene(cells: DataFrame) -> DataFrame:
-    return cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if("solid").alias("solid"), F.sum(F.when(F.col("solid"), F.col("node_id")).otherwise(0)).alias("ids"))
-
-
-_SOLID = "count(*) AS cells, count(*) FILTER (s) AS solid, coalesce(sum(node_id) FILTER (s), 0)::BIGINT AS ids"
-
-
-def _shell(lo: tuple, hi: tuple, ilo: tuple, ihi: tuple, names: str = "xyz") -> str:
-    outer = " AND ".join(f"{c} BETWEEN {a} AND {b}" for c, a, b in zip(names, lo, hi))
-    inner = " AND ".join(f"{c} BETWEEN {a} AND {b}" for c, a, b in zip(names, ilo, ihi))
-    return f"(({outer}) AND NOT ({inner}))"
-
-
-@query(f"WITH c AS (SELECT *, {_shell((0.1, 0.5), (0.4, 0.7), (0.12, 0.52), (0.38, 0.711))} OR {_shell((0.35, 0.1), (0.8, 0.3), (0.37, 0.12), (0.78, 0.311))} AS s FROM {_square(91, 91, 0.011, 0, 0)}) SELECT {_SOLID} FROM c")
-def scene_two_cups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scene(scenes.two_cups(spark, 0.011)[1])
-
-
-@query(f"WITH c AS (SELECT *, {_shell((-0.3, 0.3), (-0.05, 0.45), (-0.289, 0.289), (-0.061, 0.439))} OR {_shell((0.05, 0.05), (0.3, 0.2), (0.061, 0.061), (0.289, 0.211))} AS s FROM {_square(91, 64, 0.011, -0.5, -0.1)}) SELECT {_SOLID} FROM c")
-def scene_inverted_cup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scene(scenes.inverted_cup(spark, 0.011)[1])
-
-
-@query(
-    f"""WITH c AS (SELECT *, {_shell((0.3, 0.3), (0.7, 0.7), (0.311, 0.311), (0.689, 0.689))} AND NOT (x BETWEEN 0.4925 AND 0.5075 AND y BETWEEN 0.289 AND 0.321)
-    AND NOT (x BETWEEN 0.35 AND 0.37 AND y BETWEEN 0.679 AND 0.711) AS s FROM {_square(91, 91, 0.011, 0, 0)}) SELECT {_SOLID} FROM c"""
-)
-def scene_torricelli_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scene(scenes.torricelli_box(spark, 0.011)[1])
-
-
-@query(
-    f"""WITH d AS (SELECT range AS node_id, -0.25 + (range // 1936 + 0.5) * 0.0115 AS x, -0.25 + ((range // 44) % 44 + 0.5) * 0.0115 AS y, -0.05 + (range % 44 + 0.5) * 0.0115 AS z FROM range(44*44*44)),
-    e AS (SELECT *, {_shell((-0.15, -0.15, 0.05), (0.15, 0.15, 0.35), (-0.1385, -0.1385, 0.0615), (0.1385, 0.1385, 0.3385))}
-    AND NOT (x BETWEEN -0.015 AND 0.015 AND y BETWEEN -0.015 AND 0.015 AND z BETWEEN 0.0385 AND 0.0715)
-    AND NOT (x BETWEEN -0.12 AND -0.08 AND y BETWEEN -0.02 AND 0.02 AND z BETWEEN 0.3285 AND 0.3615) AS s FROM d) SELECT {_SOLID} FROM e"""
-)
-def scene_box3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scene(scenes.box3d(spark, 0.0115)[1])
-
-
-def _seg(x0: float, y0: float, x1: float, y1: float) -> str:
-    dx, dy = x1 - x0, y1 - y0
-    t = f"greatest(0, least(1, ((x-({x0}))*({dx!r}) + (y-({y0}))*({dy!r})) / ({dx * dx + dy * dy!r})))"
-    return f"((x-({x0})-{t}*({dx!r}))^2 + (y-({y0})-{t}*({dy!r}))^2 <= power(0.5*sqrt(2)*0.007*1.01, 2))"
-
-
-_LINES = [(-0.196, 0.35, -0.05, 0.33), (-0.05, 0.33, -0.05, 0.37), (-0.02, 0.22, -0.02, 0.18), (-0.02, 0.18, 0.12, 0.18), (0.12, 0.18, 0.12, 0.22), (0.2, 0.3, 0.26, 0.3), (0.26, 0.3, 0.26, 0.33)]
-
-
-@query(
-    f"""WITH c AS (SELECT *, ({_shell((-0.2, 0.05), (0.2, 0.65), (-0.193, 0.057), (0.193, 0.643))}
-    AND NOT ((x BETWEEN -0.154 AND -0.146 OR x BETWEEN 0.146 AND 0.154) AND y BETWEEN 0.043 AND 0.061) AND NOT (x BETWEEN -0.01 AND 0.01 AND y BETWEEN 0.639 AND 0.657))
-    OR {" OR ".join(_seg(*s) for s in _LINES)} AS s FROM {_square(86, 115, 0.007, -0.3, -0.05)}) SELECT {_SOLID} FROM c"""
-)
-def scene_door_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scene(scenes.door_section(spark, 0.007)[1])
+    """A box without a lid; its walls are thicker for some parts than for others."""
+    return counted(spark, sf_dir, G.in_shell(_point(), (0.05, 0.05, 0.05), (0.45 + F.col("s") / 2, 0.7, 0.6), 0.03 * F.col("m"), [(2, 1)]))
 
 
 # ---- keys, poses, heights
@@ -193,16 +157,6 @@ def pose_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("at")).alias("n"), r(F.col("v"), 5).alias("v"))
 
 
-@query("SELECT * FROM (VALUES (0.0, 0.15), (4.0, -0.25), (6.0, -0.25), (10.0, 0.15)) v(t, sz)")
-def motion_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.dip(spark, hold=2.0).select("t", r(F.col("sz")).alias("sz"))
-
-
-@query("SELECT * FROM (VALUES (0.0, 0.0, 0.0), (5.0, 0.0, -2.0), (30.0, -360.0, -2.0), (35.0, -360.0, 0.0), (55.0, -360.0, 0.0)) v(t, ay, sz)")
-def motion_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.turn(spark, hang=20.0, sense=-1).select("t", "ay", "sz")
-
-
 @query(
     """WITH a AS (SELECT user_id, event_id, ((event_id*131) % 360)::DOUBLE AS a FROM events), d AS (SELECT *, a - lag(a) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM a)
     SELECT user_id, event_id, round(sum(coalesce(d - 360*floor((d+180)/360), a)) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS a FROM d"""

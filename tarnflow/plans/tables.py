@@ -13,71 +13,76 @@ from tarnflow.plans.registry import micros, query, r, table
 from tarnflow.sources import scenes
 from tarnflow.sources.scenes import Raster
 
-MAZE = Raster((12, 12, 6), 1.0, (0.0, 0.0, 0.0))
-_MAZE = "(SELECT range AS node_id, range // 72 AS i, (range // 6) % 12 AS j, range % 6 AS k FROM range(864) WHERE (range * 7919 + (range // 6) * 104729) % 100 >= 45)"
-_MAZE_LINKS = f"(SELECT a.node_id AS src, b.node_id AS dst FROM {_MAZE} a JOIN {_MAZE} b ON abs(a.i-b.i) + abs(a.j-b.j) + abs(a.k-b.k) = 1 AND a.node_id - b.node_id IN (72, -72, 6, -6, 1, -1))"
+MAZE = Raster((1 << 40, 12, 6), 1.0, (0.0, 0.0, 0.0))
+_MAZE = "(SELECT o_orderkey AS node_id, o_orderkey // 72 AS i, (o_orderkey // 6) % 12 AS j, o_orderkey % 6 AS k FROM orders WHERE o_custkey % 100 >= 45)"
+_MAZE_LINKS = f"(SELECT a.node_id AS src, b.node_id AS dst FROM {_MAZE} a JOIN (VALUES (-72), (-6), (-1), (1), (6), (72)) s(s) ON true JOIN {_MAZE} b ON b.node_id = a.node_id + s.s WHERE abs(a.i-b.i) + abs(a.j-b.j) + abs(a.k-b.k) = 1)"
 
 
-def maze(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """A raster with 45 % of its cells closed by a formula, and its links."""
-    cells = scenes.add(MAZE.cells(spark), (F.col("node_id") * 7919 + F.floor(F.col("node_id") / 6) * 104729) % 100 < 45)
+def maze(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as a raster of 12 by 6 cells and as long as there are orders, closed where the customer's number says so; its open cells and their links."""
+    n = F.col("o_orderkey")
+    cells = table(spark, sf_dir, "orders").select(n.alias("node_id"), F.floor(n / 72).alias("i"), (F.floor(n / 6) % 12).cast("int").alias("j"), (n % 6).cast("int").alias("k"), (F.col("o_custkey") % 100 < 45).alias("solid"))
+    cells = cells.withColumn("boundary", F.col("j").isin(0, 11) | F.col("k").isin(0, 5))
     return cells.filter("not solid"), scenes.face_links(MAZE, cells)
 
 
 @query(
-    f"""WITH RECURSIVE r(node_id, body) USING KEY (node_id) AS (SELECT node_id, node_id FROM {_MAZE} UNION
-    (SELECT n.node_id, min(r.body) FROM recurring.r AS n JOIN {_MAZE_LINKS} e ON e.dst = n.node_id JOIN r ON r.node_id = e.src GROUP BY n.node_id HAVING min(r.body) < any_value(n.body)))
+    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT * FROM {_MAZE_LINKS}), r(node_id, body) USING KEY (node_id) AS (SELECT node_id, node_id FROM {_MAZE} UNION
+    (SELECT n.node_id, min(r.body) FROM recurring.r AS n JOIN l e ON e.dst = n.node_id JOIN r ON r.node_id = e.src GROUP BY n.node_id HAVING min(r.body) < any_value(n.body)))
     SELECT node_id, body, dense_rank() OVER (ORDER BY body) - 1 AS number FROM r"""
 )
 def raster_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the open cells of a maze, named by their lowest node and numbered in that order."""
-    cells, links = maze(spark)
+    cells, links = maze(spark, sf_dir)
     return graph.numbered(graph.bodies(cells, links), "body").select("node_id", "body", F.col("number").cast("long").alias("number"))
 
 
 @query(
-    f"""WITH RECURSIVE n AS (SELECT *, k < 3 AS below, i IN (0, 11) OR j IN (0, 11) OR k IN (0, 5) AS boundary FROM {_MAZE}),
-    e AS (SELECT src, dst FROM {_MAZE_LINKS} l JOIN n a ON a.node_id = l.src JOIN n b ON b.node_id = l.dst WHERE a.below = b.below),
+    f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, k < 3 AS below, j IN (0, 11) OR k IN (0, 5) AS boundary FROM {_MAZE}),
+    e AS MATERIALIZED (SELECT src, dst FROM {_MAZE_LINKS} l JOIN n a ON a.node_id = l.src JOIN n b ON b.node_id = l.dst WHERE a.below = b.below),
     r(node_id) AS (SELECT node_id FROM n WHERE boundary UNION SELECT e.dst FROM r JOIN e ON e.src = r.node_id)
     SELECT node_id, below AND node_id IN (SELECT node_id FROM r) AS bath, NOT below AND node_id IN (SELECT node_id FROM r) AS atmosphere FROM n"""
 )
 def bath_atmosphere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, links = maze(spark)
+    cells, links = maze(spark, sf_dir)
     return graph.bath_and_atmosphere(cells.withColumn("below", F.col("k") < 3), links)
 
 
 @query(
-    f"""WITH RECURSIVE n AS (SELECT *, k < 3 AS below, i IN (0, 11) OR j IN (0, 11) OR k IN (0, 5) AS boundary FROM {_MAZE}),
-    l AS (SELECT * FROM {_MAZE_LINKS}), e AS (SELECT src, dst FROM l JOIN n a ON a.node_id = l.src JOIN n b ON b.node_id = l.dst WHERE a.below = b.below),
+    f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, k < 3 AS below, j IN (0, 11) OR k IN (0, 5) AS boundary FROM {_MAZE}),
+    l AS MATERIALIZED (SELECT * FROM {_MAZE_LINKS}), e AS MATERIALIZED (SELECT src, dst FROM l JOIN n a ON a.node_id = l.src JOIN n b ON b.node_id = l.dst WHERE a.below = b.below),
     r(node_id) AS (SELECT node_id FROM n WHERE boundary UNION SELECT e.dst FROM r JOIN e ON e.src = r.node_id),
     air AS (SELECT n.node_id FROM n JOIN r USING (node_id) WHERE NOT below), wet(node_id) AS (SELECT node_id FROM n JOIN r USING (node_id) WHERE below
     UNION SELECT l.dst FROM wet JOIN l ON l.src = wet.node_id WHERE l.dst NOT IN (SELECT node_id FROM air)) SELECT node_id FROM wet"""
 )
 def connected_suction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bath with suction: what is joined to it without passing the atmosphere."""
-    cells, links = maze(spark)
+    cells, links = maze(spark, sf_dir)
     return graph.bath_and_atmosphere(cells.withColumn("below", F.col("k") < 3), links, suction=True).filter("bath").select("node_id")
 
 
 @query(
-    f"""WITH RECURSIVE l AS (SELECT * FROM {_MAZE_LINKS}), r(node_id, hops) AS (SELECT node_id, 0 FROM {_MAZE} WHERE node_id % 97 = 0 UNION SELECT l.dst, hops + 1 FROM r JOIN l ON l.src = r.node_id WHERE hops < 5),
+    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT * FROM {_MAZE_LINKS}), r(node_id, hops) AS (SELECT node_id, 0 FROM {_MAZE} WHERE node_id % 97 = 0 UNION SELECT l.dst, hops + 1 FROM r JOIN l ON l.src = r.node_id WHERE hops < 5),
     d AS (SELECT node_id, min(hops) AS hops FROM r GROUP BY 1), s(node_id, label, hops) AS (SELECT node_id, node_id, 0 FROM {_MAZE} WHERE node_id % 97 = 0 UNION SELECT l.dst, s.label, s.hops + 1 FROM s JOIN l ON l.src = s.node_id JOIN d ON d.node_id = l.dst AND d.hops = s.hops + 1)
     SELECT node_id, min(label) AS label, min(hops)::INT AS hops FROM s GROUP BY 1"""
 )
 def bfs_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, links = maze(spark)
+    cells, links = maze(spark, sf_dir)
     return graph.hops_from(cells.filter("node_id % 97 = 0").withColumn("label", F.col("node_id")), links, 5)
 
 
+_LIKE = "((l_partkey*51 + l_quantity::BIGINT)*100 + round(l_discount*100)::BIGINT)"
+
+
 @query(
-    """WITH RECURSIVE e AS (SELECT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 50), n AS (SELECT DISTINCT 2*p AS node, 2*s+1 AS other FROM e), l AS (SELECT node AS src, other AS dst FROM n UNION SELECT other, node FROM n),
+    f"""WITH RECURSIVE n AS MATERIALIZED (SELECT DISTINCT 2*l_orderkey AS node, 2*{_LIKE} + 1 AS other FROM lineitem), l AS MATERIALIZED (SELECT node AS src, other AS dst FROM n UNION SELECT other, node FROM n),
     r(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM l UNION (SELECT q.node, min(r.component) FROM recurring.r AS q JOIN l ON l.dst = q.node JOIN r ON r.node = l.src GROUP BY q.node HAVING min(r.component) < any_value(q.component)))
     SELECT node, component FROM r"""
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of parts and suppliers that share a large line item."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50")
-    return connected_components(li.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")))
+    """Components of orders that share a line item of the same part, quantity and discount."""
+    like = (F.col("l_partkey") * 51 + F.col("l_quantity").cast("long")) * 100 + F.round(F.col("l_discount") * 100).cast("long")
+    return connected_components(table(spark, sf_dir, "lineitem").select((2 * F.col("l_orderkey")).alias("src"), (2 * like + 1).alias("dst")))
 
 
 _TRADE = """(SELECT c.c_nationkey AS src, s.s_nationkey AS dst, count(*)::DOUBLE AS width FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
@@ -99,19 +104,19 @@ def widest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.widest_paths(links, t("nation").filter("n_nationkey = 0").select(F.col("n_nationkey").alias("node_id"))).select("node_id", "width")
 
 
-_CHAIN = "(SELECT range AS a, range + 1 AS b, CASE WHEN range = 0 THEN 5.0 END AS level_a, CASE WHEN range % 7 = 6 THEN 2.0 + range/10.0 END AS level_b, (range % 5)/2.0 AS top FROM range(40))"
+_CHAIN = "(SELECT o_orderkey AS a, o_orderkey + 1 AS b, CASE WHEN o_orderkey % 7 = 0 THEN 5.0 END AS level_a, CASE WHEN o_orderkey % 7 = 6 THEN 2.0 + (o_custkey % 40)/10.0 END AS level_b, (o_custkey % 5)/2.0 AS top FROM orders)"
 
 
 @query(
-    f"""WITH RECURSIVE w AS (SELECT a AS at_, b AS by_, level_b AS level, top FROM {_CHAIN} UNION ALL SELECT b, a, level_a, top FROM {_CHAIN}), f AS (SELECT * FROM w WHERE at_ % 7 <> 0),
+    f"""WITH RECURSIVE w AS MATERIALIZED (SELECT a AS at_, b AS by_, level_b AS level, top FROM {_CHAIN} UNION ALL SELECT b, a, level_a, top FROM {_CHAIN}), f AS MATERIALIZED (SELECT * FROM w WHERE at_ % 7 <> 0),
     r(lab, level) AS (SELECT at_, level FROM f WHERE by_ % 7 = 0 AND level > top UNION SELECT f.at_, r.level FROM r JOIN f ON f.by_ = r.lab WHERE r.level > f.top AND f.by_ % 7 <> 0)
     SELECT lab, max(level) AS level FROM r GROUP BY 1"""
 )
 def max_plus_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeding levels through a chain of full compartments; every seventh isn't full."""
-    k = F.col("id")
-    throats = spark.range(40).select(k.alias("a"), (k + 1).alias("b"), F.when(k == 0, 5.0).alias("level_a"), F.when(k % 7 == 6, 2.0 + k / 10.0).alias("level_b"), ((k % 5) / 2.0).alias("top"))
-    full = spark.range(41).filter("id % 7 <> 0").select(k.alias("lab"))
+    """Feeding levels through chains of orders as full compartments; every seventh isn't full, and a customer's number is an opening's top."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    throats = table(spark, sf_dir, "orders").select(k.alias("a"), (k + 1).alias("b"), F.when(k % 7 == 0, 5.0).alias("level_a"), F.when(k % 7 == 6, 2.0 + (c % 40) / 10.0).alias("level_b"), ((c % 5) / 2.0).alias("top"))
+    full = throats.select(F.col("a").alias("lab")).union(throats.select("b")).distinct().filter("lab % 7 <> 0")
     return graph.fed_levels(full, throats)
 
 
@@ -152,30 +157,33 @@ def sorted_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.filter("is_set = 0").join(starts, "block").select("o_orderkey", "found", (F.col("before") + F.col("inside")).alias("position"))
 
 
-_OCT = """c AS (SELECT range AS key, range // 256 AS i, (range // 16) % 16 AS j, range % 16 AS k FROM range(4096)), closed AS (SELECT * FROM c WHERE (i-5)^2 + (j-6)^2 + (k-7)^2 BETWEEN 6 AND 12),
- r0 AS (SELECT DISTINCT c.i, c.j, c.k FROM c JOIN closed d ON abs(c.i-d.i) <= 1 AND abs(c.j-d.j) <= 1 AND abs(c.k-d.k) <= 1), r1 AS (SELECT DISTINCT i//2 AS i, j//2 AS j, k//2 AS k FROM r0),
- c1 AS (SELECT range // 64 AS i, (range // 8) % 8 AS j, range % 8 AS k FROM range(512)), g1 AS (SELECT DISTINCT c1.i, c1.j, c1.k FROM c1 JOIN r1 d ON abs(c1.i-d.i) <= 1 AND abs(c1.j-d.j) <= 1 AND abs(c1.k-d.k) <= 1),
- r2 AS (SELECT DISTINCT i//2 AS i, j//2 AS j, k//2 AS k FROM g1), c2 AS (SELECT range // 16 AS i, (range // 4) % 4 AS j, range % 4 AS k FROM range(64)),
+_OCT = """long AS (SELECT ((max(s_suppkey) // 2) // 4 + 1) * 4 AS n FROM supplier), c AS (SELECT range AS key, range // 256 AS i, (range // 16) % 16 AS j, range % 16 AS k FROM range((SELECT n * 256 FROM long))),
+ closed AS (SELECT DISTINCT s_suppkey // 2 AS i, s_nationkey % 16 AS j, s_suppkey * 5 % 16 AS k FROM supplier), o AS (SELECT a.range - 1 AS a, b.range - 1 AS b, d.range - 1 AS d FROM range(3) a, range(3) b, range(3) d),
+ r0 AS (SELECT DISTINCT i+a AS i, j+b AS j, k+d AS k FROM closed, o, long WHERE i+a BETWEEN 0 AND n-1 AND j+b BETWEEN 0 AND 15 AND k+d BETWEEN 0 AND 15), r1 AS (SELECT DISTINCT i//2 AS i, j//2 AS j, k//2 AS k FROM r0),
+ g1 AS (SELECT DISTINCT i+a AS i, j+b AS j, k+d AS k FROM r1, o, long WHERE i+a BETWEEN 0 AND n//2-1 AND j+b BETWEEN 0 AND 7 AND k+d BETWEEN 0 AND 7), r2 AS (SELECT DISTINCT i//2 AS i, j//2 AS j, k//2 AS k FROM g1),
+ c1 AS (SELECT range // 64 AS i, (range // 8) % 8 AS j, range % 8 AS k FROM range((SELECT n * 32 FROM long))), c2 AS (SELECT range // 16 AS i, (range // 4) % 4 AS j, range % 4 AS k FROM range((SELECT n * 4 FROM long))),
  leaves AS (SELECT 2 AS level, i, j, k FROM c2 ANTI JOIN r2 USING (i, j, k) UNION ALL SELECT 1, c1.i, c1.j, c1.k FROM c1 JOIN r2 ON r2.i = c1.i//2 AND r2.j = c1.j//2 AND r2.k = c1.k//2 ANTI JOIN r1 ON r1.i = c1.i AND r1.j = c1.j AND r1.k = c1.k
  UNION ALL SELECT 0, c.i, c.j, c.k FROM c JOIN r1 ON r1.i = c.i//2 AND r1.j = c.j//2 AND r1.k = c.k//2 ANTI JOIN closed d ON d.i = c.i AND d.j = c.j AND d.k = c.k)"""
-OCT = (16, 16, 16)
 
 
-def octree(spark: SparkSession) -> DataFrame:
-    cells = Raster(OCT, 1.0, (0.0, 0.0, 0.0)).cells(spark)
-    d = (F.col("i") - 5) ** 2 + (F.col("j") - 6) ** 2 + (F.col("k") - 7) ** 2
-    return keys.graded(cells.filter(d.between(6, 12)).select(F.col("node_id").alias("key")), OCT, 2)
+def octree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Leaves of an octree of two levels round the suppliers' cells, and its dimensions: as long as there are suppliers."""
+    n = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    dims = ((s.agg(F.max(n)).first()[0] or 0) // 2 // 4 * 4 + 4, 16, 16)
+    closed = s.select(G.flat_key([F.floor(n / 2), F.col("s_nationkey") % 16, n * 5 % 16], dims).alias("key")).distinct()
+    return keys.graded(closed, dims, 2), dims
 
 
 @query(f"WITH {_OCT} SELECT level::INT AS level, ((i * (16 >> level) + j) * (16 >> level) + k)::BIGINT AS key FROM leaves")
 def octree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of a graded octree round a closed shell."""
-    return octree(spark)
+    """Leaves of a graded octree round closed cells."""
+    return octree(spark, sf_dir)[0]
 
 
 @query(f"WITH {_OCT}, n AS (SELECT level, count(*) AS leaves FROM leaves GROUP BY 1) SELECT level::INT AS level, leaves, coalesce(sum(leaves) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"first\" FROM n")
 def octree_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.offsets(octree(spark), 2)
+    return keys.offsets(octree(spark, sf_dir)[0], 2)
 
 
 @query(
@@ -188,21 +196,23 @@ def octree_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def octree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Face links of the leaves; the SQL compares the cubes themselves, so it also shows that levels differ by one at most."""
-    return keys.leaf_links(octree(spark), OCT, 2)
+    leaves, dims = octree(spark, sf_dir)
+    return keys.leaf_links(leaves, dims, 2)
 
 
 _POINTS = "(SELECT p_partkey, (p_partkey * 37 % 181)/10.0 - 1 AS x, (p_partkey * 53 % 173)/10.0 - 0.5 AS y, (p_size * 29 % 167)/10.0 AS z FROM part)"
 
 
 @query(
-    f"""WITH {_OCT} SELECT p_partkey, level::INT AS level, ((i * (16 >> level) + j) * (16 >> level) + k)::BIGINT AS key FROM {_POINTS} LEFT JOIN leaves
-    ON floor(x)::INT >> level = i AND floor(y)::INT >> level = j AND floor(z)::INT >> level = k AND x >= 0 AND y >= 0 AND z >= 0 AND x < 16 AND y < 16 AND z < 16"""
+    f"""WITH {_OCT} SELECT p_partkey, level::INT AS level, ((i * (16 >> level) + j) * (16 >> level) + k)::BIGINT AS key FROM {_POINTS} LEFT JOIN (SELECT leaves.*, n FROM leaves, long)
+    ON floor(x)::INT >> level = i AND floor(y)::INT >> level = j AND floor(z)::INT >> level = k AND x >= 0 AND y >= 0 AND z >= 0 AND x < n AND y < 16 AND z < 16"""
 )
 def octree_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaf that holds each of the parts, placed in the box by a formula."""
     k, s = F.col("p_partkey"), F.col("p_size")
     points = table(spark, sf_dir, "part").select("p_partkey", ((k * 37 % 181) / 10.0 - 1).alias("x"), ((k * 53 % 173) / 10.0 - 0.5).alias("y"), ((s * 29 % 167) / 10.0).alias("z"))
-    return keys.located(points, octree(spark), OCT, 2, 1.0, (0, 0, 0)).select("p_partkey", "level", "key")
+    leaves, dims = octree(spark, sf_dir)
+    return keys.located(points, leaves, dims, 2, 1.0, (0, 0, 0)).select("p_partkey", "level", "key")
 
 
 # ---- spatial joins

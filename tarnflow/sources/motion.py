@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.functions import geometry as G
+from tarnflow.operators.order import running
 
 COLUMNS = ("t", "ax", "ay", "az", "sx", "sy", "sz")
 SCHEMA = ", ".join(f"{c} double" for c in COLUMNS)
@@ -84,3 +85,14 @@ def speed_bound(frames: DataFrame, keys: Sequence[str], extent: float) -> DataFr
     step = {c: F.lead(c).over(w) - F.col(c) for c in ("at", "ux", "uy", "uz", "zb")}
     turned = F.sqrt(step["ux"] ** 2 + step["uy"] ** 2 + step["uz"] ** 2)
     return frames.withColumn("speed", F.try_divide(F.abs(step["zb"]) + turned * extent, step["at"]))
+
+
+def frames(phases: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(keys, frame, t, movie): the frames of phases (length, step, rate: seconds of film a second), one phase after another for each
+    of ``keys``, numbered from 1 with their time and film time at the end. A key may have any number of phases."""
+    n = F.rint(F.col("length") / F.col("step")).cast("long")
+    begun = running(phases.withColumn("_n", n), [order], F.col("_n"), "_last", keys)
+    begun = running(begun, [order], F.col("_n") * F.col("step"), "_t", keys)
+    begun = running(begun, [order], F.col("_n") * F.col("step") * F.col("rate"), "_m", keys)
+    each = begun.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))  # frames that come after this one
+    return each.select(*keys, (F.col("_last") - F.col("_k")).alias("frame"), (F.col("_t") - F.col("_k") * F.col("step")).alias("t"), (F.col("_m") - F.col("_k") * F.col("step") * F.col("rate")).alias("movie"))

@@ -99,6 +99,6 @@ def test_flooding_equals_minimax_heights():
 
 
 def test_kernel_and_tables_flood_alike(spark):
-    tables = {r.node_id: r.held for r in fsm.flooded(*flow.field(spark)).collect()}
-    kernel = {r.node_id: r.retained for r in flow.fill_spill_random(spark, "").collect()}
+    tables = {r.node_id: r.held for r in fsm.flooded(*flow.field(spark, "/root/testdata/sf0.001")).collect()}
+    kernel = {r.node_id: r.retained for r in flow.fill_spill_random(spark, "/root/testdata/sf0.001").collect()}
     assert tables.keys() == kernel.keys() and all(abs(kernel[k] - held) < 1e-9 for k, held in tables.items())

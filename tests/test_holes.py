@@ -72,12 +72,20 @@ def test_the_largest_disc_in_an_opening(spark):
     assert got == {1: pytest.approx(0.5 * (2 * 5 - 0.5)), 2: pytest.approx(0.5 * (2 * 3 - 0.5)), 3: pytest.approx(0.5 * 1.5)}
 
 
-def test_inner_distances_equal_brute_force():
+def test_widths_of_drawn_shapes():
+    plane = np.eye(2)
+    square = np.array([(i, j) for i in range(7) for j in range(7)], float)
+    for at, want in ((square, 7.5), (square[[k for k in range(49) if k not in (16, 17, 23, 24)]], 7.5), (square[:1], 1.5), (square[:7], 1.5)):
+        assert holes.disc_width(at * 0.1, plane, 0.1) == pytest.approx(want * 0.1)
     rng = np.random.default_rng(3)
-    image = rng.random((14, 11)) < 0.9
-    zeros = np.argwhere(~image)
-    want = np.array([[min(math.dist((i, j), z) for z in zeros) for j in range(11)] for i in range(14)])
-    assert np.allclose(holes._inner_distance(image), want)
+    for _ in range(5):
+        at = square[rng.random(49) < 0.95]
+        got = holes.disc_width(at, plane, 1.0)
+        assert got <= 7.5 and got == holes.disc_width(at[:, ::-1] + 5, plane, 1.0)
+    assert holes.disc_width(square[:, :1], np.eye(1), 1.0) == pytest.approx(7.5)
+    for normal in ((1, 0, 0), (0, -0.95, 0.1), (0.3, 0.4, 0.5), (0.6, 0.8)):
+        n, basis = holes.frame(np.array(normal))
+        assert np.allclose(basis @ basis.T, np.eye(len(basis))) and np.allclose(basis @ n, 0)
 
 
 def test_room_that_entering_liquid_reaches(spark):

@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 Terms are words (runs of letters, digits and non-ASCII characters, ASCII lower-cased) and six-byte beginnings of longer
-words. The vocabulary is what labels choose: terms that occur in label 1 more often than chance allows. Examples are a
-bounded sample of labelled rows (``MOST_LABELLED``); every whole text is a query against all of them. A query vector of
-zero (no vocabulary term; null and empty texts) is nearest to the examples whose vector is zero, all alike, and scores
-their share of label 1. Equal similarities are taken in the order of the examples' ids. Rows may repeat; other columns
+words. All terms that two examples share are indexed; a term weighs its inverse document frequency, times ``UNLINKED`` plus how
+strongly it goes with label 1 (the phi coefficient), so that a text is near to what it shares telling terms with. Examples are a
+bounded sample of labelled rows (``MOST_LABELLED``); every whole text is a query against all of them. A text without an indexed
+term (null and empty texts) is nearest to the examples without one, all alike, and scores their share of label 1. Equal similarities are taken in the order of the examples' ids. Rows may repeat; other columns
 stay, those with an output name are replaced. Without labels of both kinds every score is the smoothed share of label 1.
 """
 
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from tarnflow.llm import common as C
 from tarnflow.llm.labelled import sample
 
-MOST_LABELLED = 6000
-NEAREST = 15
-#: Least chi-square of a term's link with label 1, and least number of examples that hold it.
-CHI_SQUARE, LEAST_EXAMPLES = 28.0, 3
+MOST_LABELLED = 3000
+NEAREST = 5
+#: Least number of examples that hold an indexed term, and the share of its weight that doesn't depend on labels.
+LEAST_EXAMPLES, UNLINKED = 2, 0.05
 BEGINNING = 6
-BLOCK = 64
+BLOCK = 512
 #: Votes of the base rate in every decision, and the share of examples by which a vote counts with distance.
 PRIOR_VOTES = 0.5
 THRESHOLD = 0.7
@@ -44,77 +44,86 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((w.hashes(), begun)), np.concatenate((w.doc, w.doc[longer]))
 
 
+def linked(inside: np.ndarray, outside: np.ndarray, positive: int, negative: int) -> np.ndarray:
+    """How strongly terms go with label 1, from 0 to 1 (the phi coefficient, 0 for terms that don't): of the examples with and
+    without the label, ``inside`` and ``outside`` hold the term."""
+    c, d = positive - inside, negative - outside
+    spread = (inside + outside).astype(float) * (c + d) * positive * negative
+    phi = (inside.astype(float) * d - outside.astype(float) * c) / np.sqrt(np.maximum(spread, 1.0))
+    return np.where(spread > 0, np.clip(phi, 0.0, 1.0), 0.0)
+
+
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 class Index:
-    """Examples as unit vectors over the vocabulary, by term: postings (example, weight) and the largest weight in each block of examples."""
+    """Examples as unit vectors over the terms that two of them share: by block of examples, postings (term, example, weight) in
+    order, and by term the largest weight in each block."""
 
     def __init__(self, examples: list[tuple[str, int, np.ndarray, np.ndarray]]) -> None:
         """Of each example: id, label, hashed terms (ascending, once each) and their counts."""
-        labels = np.array([y for _, y, *_ in examples], bool)
+        labels = np.array([y for _, y, *_ in examples], np.int32)
         total, positive = len(examples), int(labels.sum())
         self.base = (positive + 1) / (total + 2)
-        one = lambda which: np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for _, y, t, _ in examples if bool(y) == which)]), return_counts=True)
-        (terms_in, inside), (terms_out, outside) = one(True), one(False)
-        at = np.minimum(np.searchsorted(terms_out, terms_in), max(len(terms_out) - 1, 0))
-        elsewhere = np.where(terms_out[at] == terms_in, outside[at], 0) if len(terms_out) else np.zeros(len(terms_in), np.int64)
-        good = [k for k, (a, b) in enumerate(zip(inside.tolist(), elsewhere.tolist(), strict=True)) if a + b >= LEAST_EXAMPLES and self._linked(a, b, positive, total - positive)]
-        self.vocabulary = terms_in[good]
-        self.idf = np.log((total + 1) / (inside[good] + elsewhere[good] + 1)) + 1
-        vectors = []
-        for _, _, t, n in examples:
-            place = np.minimum(np.searchsorted(self.vocabulary, t), max(len(self.vocabulary) - 1, 0))
-            hit = self.vocabulary[place] == t if len(self.vocabulary) else np.zeros(len(t), bool)
-            vectors.append(self.unit(dict(zip(place[hit].tolist(), n[hit].tolist(), strict=True))))
-        held = [i for i, v in enumerate(vectors) if v]
-        zero = [y for (_, y, *_), v in zip(examples, vectors, strict=True) if not v]
-        self.of_zero = (sum(zero) + PRIOR_VOTES * self.base) / (len(zero) + PRIOR_VOTES)
-        self.ids, self.labels = [examples[i][0] for i in held], np.array([examples[i][1] for i in held], np.int32)
+        of = np.repeat(np.arange(total), [len(t) for *_, t, _ in examples])
+        hashed = np.concatenate([np.zeros(0, np.uint64), *(t for *_, t, _ in examples)])
+        n = np.concatenate([np.zeros(0, np.int64), *(n for *_, n in examples)])
+        self.vocabulary, place, holds = np.unique(hashed, return_inverse=True, return_counts=True)
+        shared = holds >= LEAST_EXAMPLES
+        renumbered = np.cumsum(shared) - 1
+        kept = shared[place]
+        place, of, n = renumbered[place[kept]], of[kept], n[kept]
+        self.vocabulary, holds = self.vocabulary[shared], holds[shared]
+        inside = np.bincount(place, labels[of], len(holds)).astype(np.int64)
+        self.weights = (np.log((total + 1) / (holds + 1)) + 1) * (UNLINKED + linked(inside, holds - inside, positive, total - positive))
+        x = (1 + np.log(n)) * self.weights[place]
+        length = np.sqrt(np.bincount(of, x * x, total))
+        held = np.flatnonzero(length > 0)
+        zero = labels[length == 0]
+        self.of_zero = (float(zero.sum()) + PRIOR_VOTES * self.base) / (len(zero) + PRIOR_VOTES)
+        self.ids, self.labels = [examples[i][0] for i in held], labels[held]
+        x = x / length[of]
+        of = (np.cumsum(length > 0) - 1)[of]
+        order = np.lexsort((of, place, of // BLOCK))
+        place, of, x = place[order].astype(np.int32), of[order], x[order]
         blocks = -(-len(held) // BLOCK)
-        # By block: term -> (example, weight); by term: the largest weight of each block.
-        self.most = np.zeros((len(self.vocabulary), blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            of: dict[int, list[tuple[int, float]]] = {}
-            for j, i in enumerate(held[b * BLOCK : (b + 1) * BLOCK]):
-                for t, x in vectors[i].items():
-                    of.setdefault(t, []).append((j, x))
-            self.postings.append({t: (np.array([j for j, _ in p]), np.array([x for _, x in p])) for t, p in of.items()})
-            for t, p in of.items():
-                self.most[t, b] = max(x for _, x in p)
+        self.most = np.zeros((len(holds), blocks))
+        np.maximum.at(self.most, (place, of // BLOCK), x)
+        cuts = np.searchsorted(of // BLOCK, np.arange(blocks + 1))
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            terms_in, first = np.unique(place[a:b], return_index=True)
+            self.blocks.append((terms_in, np.append(first, b - a), (of[a:b] % BLOCK).astype(np.int32), x[a:b]))
         self.scale = self.shift = None
-        self._calibrate([vectors[i] for i in held])
-
-    @staticmethod
-    def _linked(a: int, b: int, inside: int, outside: int) -> bool:
-        """Whether a term in a of ``inside`` and b of ``outside`` examples is linked with the first: chi-square, for more than its share."""
-        n, c, d = inside + outside, inside - a, outside - b
-        if a * outside <= b * inside:
-            return False
-        held = (a + b) * (c + d) * inside * outside
-        return held > 0 and n * (a * d - b * c) ** 2 / held >= CHI_SQUARE
-
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        """TF-IDF of term counts (by place in the vocabulary), of length 1."""
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        length = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / length for t, x in raw.items()}
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        own = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[own], np.arange(len(held) + 1))
+        self._calibrate([(place[own[a:b]], x[own[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+
+    def unit(self, at: np.ndarray, n: np.ndarray) -> Vector:
+        """Weighted TF-IDF of term counts (by place in the vocabulary, ascending), of length 1."""
+        x = (1 + np.log(n)) * self.weights[at]
+        return at, x / np.sqrt(np.dot(x, x))
+
+    def nearest(self, query: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, (cosine, example), best first: blocks are scored in the order of
         their bound, the sum of the query's weights times the largest weights of the block, until no bound can reach the kth."""
-        where, weights = list(query), np.array(list(query.values()))
-        bounds = weights @ self.most[where]
+        at, q = query
+        bounds = q @ self.most[at]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
                 break
-            scores = np.zeros(BLOCK)
-            postings = self.postings[b]
-            for t, q in query.items():
-                if t in postings:
-                    j, x = postings[t]
-                    scores[j] += q * x
-            best += [(float(scores[j]), b * BLOCK + j) for j in np.flatnonzero(scores).tolist() if b * BLOCK + j != without]
-            best = sorted(best, key=lambda p: (-round(p[0], 12), p[1]))[:k]
+            terms_in, first, example, x = self.blocks[b]
+            place = np.minimum(np.searchsorted(terms_in, at), len(terms_in) - 1)
+            hit = terms_in[place] == at
+            begin, size = first[place[hit]], first[place[hit] + 1] - first[place[hit]]
+            postings = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            scores = np.bincount(example[postings], x[postings] * np.repeat(q[hit], size), BLOCK)
+            if 0 <= without - b * BLOCK < BLOCK:
+                scores[without - b * BLOCK] = 0.0
+            least = max(np.partition(scores, BLOCK - k)[BLOCK - k], best[-1][0] if len(best) == k else 0.0)
+            found = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
+            best = sorted([*best, *((float(scores[j]), b * BLOCK + j) for j in found.tolist())], key=lambda p: (-round(p[0], 12), p[1]))[:k]
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -122,7 +131,7 @@ class Index:
         w = [1 / (1.05 - min(s, 1.0)) for s, _ in near]
         return (sum(x * int(self.labels[i]) for x, (_, i) in zip(w, near, strict=True)) + PRIOR_VOTES * self.base) / (sum(w) + PRIOR_VOTES)
 
-    def _calibrate(self, vectors: list[dict[int, float]]) -> None:
+    def _calibrate(self, vectors: list[Vector]) -> None:
         """Platt's scaling of votes against labels, each example voted on by the others; kept only if it leaves the order as it is."""
         if not len(set(self.labels.tolist())) > 1:
             return
@@ -139,24 +148,23 @@ class Index:
         if a > 0 and math.isfinite(a) and math.isfinite(b):
             self.scale, self.shift = float(a), float(b)
 
-    def score(self, query: dict[int, float]) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, query: Vector) -> tuple[float, list[tuple[float, int]]]:
         near = self.nearest(query, NEAREST)
         p = self.vote(near)
         if self.scale is not None:
             p = 1 / (1 + math.exp(-max(-35.0, min(35.0, self.scale * math.log(p / (1 - p)) + self.shift))))
         return p, near
 
-    def queries(self, texts: list[bytes]) -> list[dict[int, int]]:
-        """Counts of the vocabulary's terms in each text."""
-        out: list[dict[int, int]] = [{} for _ in texts]
-        if len(self.vocabulary):
-            hashed, doc = terms(texts)
-            at = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
-            hit = self.vocabulary[at] == hashed
-            pairs, counts = np.unique(doc[hit] * len(self.vocabulary) + at[hit], return_counts=True)
-            for p, n in zip(pairs.tolist(), counts.tolist(), strict=True):
-                out[p // len(self.vocabulary)][p % len(self.vocabulary)] = n
-        return out
+    def queries(self, texts: list[bytes]) -> list[Vector]:
+        """Places and counts of the vocabulary's terms in each text."""
+        hashed, doc = terms(texts)
+        if not len(self.vocabulary):
+            return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == hashed
+        pairs, counts = np.unique(doc[hit] * len(self.vocabulary) + at[hit], return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(1, len(texts)) * len(self.vocabulary))
+        return list(zip(np.split(pairs % len(self.vocabulary), cuts), np.split(counts, cuts), strict=True))
 
 
 def _counts(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -191,7 +199,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", without: tuple[str,
         own, scores, evidence = shared.value, [], []
         for _, texts in C.runs(batch[text]):
             for counts in own.queries(texts):
-                p, near = own.score(own.unit(counts)) if counts else (own.of_zero, [])
+                p, near = own.score(own.unit(*counts)) if len(counts[0]) else (own.of_zero, [])
                 scores.append(p)
                 evidence.append([{"doc_id": own.ids[i], "similarity": s, "label": int(own.labels[i])} for s, i in near[:EVIDENCE]])
         kind = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))

@@ -49,12 +49,27 @@ def test_edge_cases(spark):
 
 
 def test_many_parts_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "PART_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 60)
     items = [(i, " ".join(f"v{i}x{j}" for j in range(8 + i))) for i in range(6)]
     docs = [(k, f"a {items[k % 6][1]} b {items[(k + 1) % 6][1]}" + (f" {items[0][1][:20]}" if k % 2 else ""), "x") for k in range(12)]
     compare(spark, docs, items)
 
 
+def test_long_items_are_cut_and_parts_are_bounded(spark):
+    long = [f"w{i}" for i in range(800_000)]
+    items = [(1, " ".join(long)), *((k, " ".join(f"i{k}x{i}" for i in range(50_000))) for k in range(2, 6))]
+    assert len(items[0][1]) > 6_000_000
+    b = spark.createDataFrame(items, "item_id long, text string")
+    parts = list(decontaminate._parts(b, 10))
+    sizes = [sum(len(t) for _, t in p) for p in parts]
+    assert len(parts) > 1 and max(sizes) <= decontaminate.PART_BYTES + decontaminate.PIECE_BYTES
+    assert sum(sizes) < sum(len(t) for _, t in items) + 10_000
+    docs = [(k, "before " + " ".join(long[k * 7919 : k * 7919 + 11]) + " after") for k in range(100)] + [(1000, " ".join(long[5:14])), (1001, "i3x7 i3x8 i3x9 i3x10 i3x11 i3x12 i3x13 i3x14 i3x15 i3x16")]
+    got = {r.doc_id: (len(r.hit_words), r["items"]) for r in decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert all(got[k] == (11, ["1"]) for k in range(100)) and got[1000] == (0, []) and got[1001] == (10, ["3"])
+
+
 def test_query_agrees_with_brute_force_on_the_documents(spark):
     import duckdb
 

@@ -7,6 +7,7 @@ only then: values come from the input and move one way, so it does end.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,3 +117,25 @@ def dilated(keys: DataFrame, axes: Sequence[str], dims: Sequence[int], radius: i
         lo, hi = F.greatest(F.col(axis) - radius, F.lit(0)), F.least(F.col(axis) + radius, F.lit(n - 1))
         out = out.withColumn(axis, F.explode(F.sequence(lo, hi))).distinct()
     return out
+
+
+def dag_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, level, arrived): the longest way to a node from one without an edge into it, in edges (src, dst), and how many edges
+    came in; nodes on a cycle or behind one have no row.
+
+    A node is ready when as many edges have arrived as lead to it. A round joins the edges that leave the nodes just made ready,
+    each edge in one round only; what has arrived at the others waits as a sum a node, and no other row is touched."""
+    e = edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    need = e.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
+    e = round_of(e.join(need, "dst"))
+    zero = F.lit(0).cast("long")
+    front = round_of(nodes.select("node_id").distinct().join(need.select(F.col("dst").alias("node_id")), "node_id", "left_anti").select("node_id", zero.alias("level"), zero.alias("arrived")))
+    done, waiting = [front], None
+    while not front.isEmpty():
+        came = e.join(front.select(F.col("node_id").alias("src"), "level"), "src").select("dst", "need", (F.col("level") + 1).alias("level"), F.lit(1).cast("long").alias("arrived"))
+        came = came if waiting is None else came.union(waiting)
+        now = round_of(came.groupBy("dst").agg(F.max("need").alias("need"), F.max("level").alias("level"), F.sum("arrived").alias("arrived")))
+        waiting = now.filter("arrived < need").select("dst", "need", "level", "arrived")
+        front = now.filter("arrived = need").select(F.col("dst").alias("node_id"), "level", "arrived")
+        done.append(front)
+    return reduce(DataFrame.union, done)

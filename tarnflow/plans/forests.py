@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnflow.operators import forest, merging
-from tarnflow.plans.registry import query, table
+from tarnflow.operators import forest, graph, levels, merging
+from tarnflow.plans.registry import query, r, table
 
 _OFFERS = "(SELECT 2*l_partkey AS u, 2*l_suppkey + 1 AS v, min(l_extendedprice) AS w FROM lineitem GROUP BY ALL)"
 _SALES = "(SELECT 2*o_custkey AS u, 2*l_suppkey + 1 AS v, min(l_extendedprice) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)"
@@ -140,3 +143,45 @@ def merged_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = pairs.select(F.col("a").alias("label"), "opening").union(pairs.select("b", "opening"))
     regions = ends.groupBy("label").agg(F.max("opening").alias("peak"), F.count(F.lit(1)).cast("double").alias("size"))
     return merging.merged(regions, pairs, beta=0.93, r_free=float("inf"), least=8)
+
+
+@query(
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey AS node, lead(o_orderkey) OVER w AS a, lead(o_orderkey, 3) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    e AS MATERIALIZED (SELECT node AS src, a AS dst FROM o WHERE a IS NOT NULL UNION ALL SELECT node, b FROM o WHERE b IS NOT NULL),
+    r(node, level) AS (SELECT node, 0 FROM o WHERE node NOT IN (SELECT dst FROM e) UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node)
+    SELECT r.node AS node_id, max(level)::BIGINT AS level, any_value(coalesce(n, 0)) AS arrived FROM r LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) d ON d.dst = r.node GROUP BY 1"""
+)
+def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by the longest way over a customer's later orders (the next one and the third after it)."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey", 1).over(w).alias("a"), F.lead("o_orderkey", 3).over(w).alias("b"))
+    o = o.select("src", F.explode(F.array("a", "b")).alias("dst"))
+    return graph.dag_levels(o, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id")))
+
+
+def _half(keys: str, where: str) -> str:
+    return f"(SELECT '{where}' AS grouped, {keys} AS key, min(v) AS level, any_value(total)::BIGINT AS weight FROM (SELECT *, l_extendedprice AS v, sum(l_quantity) OVER (PARTITION BY {keys} ORDER BY l_extendedprice) AS upto, sum(l_quantity) OVER (PARTITION BY {keys}) AS total FROM lineitem) WHERE upto >= 0.4 * total GROUP BY ALL)"
+
+
+@query(f"SELECT * FROM {_half('l_linestatus', 'status')} UNION ALL SELECT grouped, key::VARCHAR, level, weight FROM {_half('l_suppkey', 'supplier')} UNION ALL SELECT grouped, key::VARCHAR, level, weight FROM {_half('l_orderkey', 'order')}")
+def weighted_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price up to which four tenths of the quantity go, by status (two groups), by supplier and by order."""
+    li, w = table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("long")
+    out = [levels.weighted_levels(li, [k], "l_extendedprice", w, 0.4).select(F.lit(n).alias("grouped"), F.col(k).cast("string").alias("key"), "level", "weight") for n, k in (("status", "l_linestatus"), ("supplier", "l_suppkey"), ("order", "l_orderkey"))]
+    return reduce(DataFrame.union, out)
+
+
+_RING = "(SELECT user_id, user_id % 7 + (1 + event_id % 3 / 20.0)*cos(radians(event_id*37 % 360)) AS x, user_id % 5 + (1 + event_id % 3 / 20.0)*sin(radians(event_id*37 % 360)) AS y FROM events)"
+
+
+@query(
+    f"""WITH m AS (SELECT user_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy, covar_pop(x, x*x + y*y) AS xz, covar_pop(y, x*x + y*y) AS yz FROM {_RING} GROUP BY 1),
+    c AS (SELECT *, CASE WHEN xx*yy - xy*xy > 1e-12*(xx + yy)^2 THEN (xz*yy - yz*xy)/(2*(xx*yy - xy*xy)) END AS cx, CASE WHEN xx*yy - xy*xy > 1e-12*(xx + yy)^2 THEN (yz*xx - xz*xy)/(2*(xx*yy - xy*xy)) END AS cy FROM m)
+    SELECT user_id, n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(xx + yy + (mx - cx)^2 + (my - cy)^2), 6) AS radius FROM c"""
+)
+def fitted_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A circle through each user's events, placed round the user by their numbers."""
+    e, u = F.col("event_id"), F.col("user_id")
+    angle, out = F.radians((e * 37 % 360).cast("double")), 1 + e % 3 / 20.0
+    points = table(spark, sf_dir, "events").select("user_id", (u % 7 + out * F.cos(angle)).alias("x"), (u % 5 + out * F.sin(angle)).alias("y"))
+    return levels.fitted_circles(points, ["user_id"], "x", "y").select("user_id", "n", *(r(F.col(c)).alias(c) for c in ("cx", "cy", "radius")))

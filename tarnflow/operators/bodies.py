@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnflow.operators.order import ranked, running
+from tarnflow.operators.session import round_of
+
+#: Bodies, counted first, whose levels are broadcast.
+FEW = 20_000
+
 
 def body_stats(cells: DataFrame, body: str = "body", surface: str = "bath") -> DataFrame:
     """Of each body of cells (v, liquid, h, e, bath): volume, level (highest cell top reached) and free surface, the area of
     the cells that straddle the level; a body joined to the bath is unlimited (null volume and area) at the bath's level.
 
-    One shuffle: the level is a window maximum over the rows that the sum needs anyway."""
+    Two aggregates, the levels of the first joined to the cells for the second; they are broadcast if they are few."""
     top = F.col("h") - F.col("e") + 2 * F.col("e") * F.col("liquid")
-    df = cells.withColumn("_level", F.max(top).over(W.partitionBy(body)))
+    levels = round_of(cells.groupBy(F.col(body).alias("_b")).agg(F.max(top).alias("_level")))
+    few = levels.limit(FEW + 1).count() <= FEW
+    df = cells.join(F.broadcast(levels) if few else levels, F.col(body).eqNullSafe(F.col("_b")), "left")
     straddles = (F.col("h") - F.col("e") < F.col("_level")) & (F.col("_level") <= F.col("h") + F.col("e"))
     out = df.groupBy(body).agg(
         F.bool_or(surface).alias("bath"),
@@ -83,11 +92,14 @@ def weighted_centroid(df: DataFrame, keys: Sequence[str], weight: Column, axes:
     return df.groupBy(*keys).agg(*sums, *(F.min(a).alias(f"min_{a}") for a in axes), *(F.max(a).alias(f"max_{a}") for a in axes))
 
 
-def outflow(series: DataFrame, keys: Sequence[str], t: str, flow: Column) -> DataFrame:
-    """Adds ``volume``: the flow of each step times the time since the one before, added up."""
-    w = W.partitionBy(*keys).orderBy(t)
-    step = F.abs(flow) * F.coalesce(F.col(t) - F.lag(t).over(w), F.lit(0.0))
-    return series.withColumn("_s", step).withColumn("volume", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_s")
+def outflow(series: DataFrame, keys: Sequence[str], order: Sequence[str], t: str, flow: Column) -> DataFrame:
+    """Adds ``volume``: the flow of each step times the time since the one before, added up in the given order. Rows are in ranges of
+    (keys, order), so a key of any length is many tasks: the time before is that of the row one place ahead."""
+    placed = ranked(series, [*keys, *order], "_place")
+    ahead = placed.select((F.col("_place") + 1).alias("_place"), F.col(t).alias("_t"), *(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)), F.lit(True))
+    steps = placed.join(ahead, "_place", "left").withColumn("_s", F.abs(flow) * F.coalesce(F.when(same, F.col(t) - F.col("_t")), F.lit(0.0))).select(*series.columns, "_place", "_s")
+    return running(steps, ["_place"], F.col("_s"), "volume", keys).select(*series.columns, "volume")
 
 
 def settled(series: DataFrame, keys: Sequence[str], t: str, value: str, back: int, tol: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions import geometry as G
 from tarnflow.operators import bodies, graph, keys, near
 from tarnflow.operators.components import connected_components
+from tarnflow.operators.order import running
 from tarnflow.plans.registry import micros, query, r, table
 from tarnflow.sources import scenes
 from tarnflow.sources.scenes import Raster
@@ -325,8 +326,9 @@ def partial_layer_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority <> '1-URGENT', o_orderdate, o_orderkey) AS rank FROM orders")
 def height_order_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sinks first, then by height, then by node, in each region."""
-    w = W.partitionBy("o_orderstatus").orderBy(F.col("o_orderpriority") != "1-URGENT", "o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("rank"))
+    o = table(spark, sf_dir, "orders")
+    out = running(o.withColumn("dry", F.col("o_orderpriority") != "1-URGENT"), ["dry", "o_orderdate", "o_orderkey"], F.lit(1), "rank", ["o_orderstatus"])
+    return out.select("o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -344,9 +346,7 @@ def threshold_crossings_50_90_99(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH s AS (SELECT *, epoch_us(ts)/1e6 AS t, lag(epoch_us(ts)/1e6) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS t0 FROM events) SELECT event_id, round(sum(abs(value) * coalesce(t - t0, 0)) OVER (PARTITION BY event_type ORDER BY ts, event_id), 2) AS volume FROM s")
 def outflow_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("t", micros(F.col("ts")) / 1e6)
-    w = W.partitionBy("event_type").orderBy("t", "event_id")
-    step = F.abs("value") * F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0))
-    return e.withColumn("s", step).select("event_id", r(F.sum("s").over(w.rowsBetween(W.unboundedPreceding, 0)), 2).alias("volume"))
+    return bodies.outflow(e, ["event_type"], ["t", "event_id"], "t", F.col("value")).select("event_id", r(F.col("volume"), 2).alias("volume"))
 
 
 @query("WITH a AS (SELECT DISTINCT user_id, (event_id * 73 % 3600)/10.0 AS a FROM events) SELECT user_id, round(max(gap), 6) AS gap FROM (SELECT user_id, coalesce(a - lag(a) OVER (PARTITION BY user_id ORDER BY a), a + 360 - max(a) OVER (PARTITION BY user_id)) AS gap FROM a) GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnflow.operators import forest, graph, levels, merging
+from tarnflow.operators import forest, graph, levels, merging, nearest
 from tarnflow.plans.registry import query, r, table
 
 _OFFERS = "(SELECT 2*l_partkey AS u, 2*l_suppkey + 1 AS v, min(l_extendedprice) AS w FROM lineitem GROUP BY ALL)"
@@ -185,3 +185,14 @@ def fitted_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle, out = F.radians((e * 37 % 360).cast("double")), 1 + e % 3 / 20.0
     points = table(spark, sf_dir, "events").select("user_id", (u % 7 + out * F.cos(angle)).alias("x"), (u % 5 + out * F.sin(angle)).alias("y"))
     return levels.fitted_circles(points, ["user_id"], "x", "y").select("user_id", "n", *(r(F.col(c)).alias(c) for c in ("cx", "cy", "radius")))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS other, round(list_distance(a.e, b.e), 9) AS d FROM v a JOIN v b ON b.label % 5 = 0 WHERE a.label % 5 <> 0)
+    SELECT vec_id, (min(row(d, other)))[2] AS other, round(min(d), 6) AS distance FROM d GROUP BY 1"""
+)
+def nearest_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each vector the nearest one that carries a label of every fifth, over all components and at any distance."""
+    v = table(spark, sf_dir, "embeddings")
+    out = nearest.nearest(v.filter("label % 5 <> 0"), "vec_id", v.filter("label % 5 = 0"), "vec_id", "embedding")
+    return out.select("vec_id", "other", r(F.col("distance")).alias("distance"))

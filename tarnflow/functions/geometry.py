@@ -134,6 +134,12 @@ def in_shell(x: Vec, lo: Vec, hi: Vec, wall: Column | float, without: Sequence[t
     return in_box(x, lo, hi) & _any(depth[side](axis) < _c(wall) for axis, side in faces)
 
 
+def on_circle(middle: Vec, radius: Column | float, n: Column, of: int) -> list[Column]:
+    """The n-th of a number of corners of a circle in the plane, from the first axis on."""
+    angle = F.radians(360.0 / of * n)
+    return [_c(middle[0]) + _c(radius) * F.cos(angle), _c(middle[1]) + _c(radius) * F.sin(angle)]
+
+
 # ---- poses
 
 

@@ -123,3 +123,70 @@ def differences(left: DataFrame, right: DataFrame, keys: Sequence[str], values:
     both = a.join(b, list(keys), "full")
     what = F.when(F.col("_l").isNull(), "added").when(F.col("_r").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
     return both.withColumn("what", what).filter(F.col("what").isNotNull()).select(*keys, "what")
+
+
+# ---- views and reports
+
+
+def resampled(nodes: DataFrame, keys: Sequence[str], value: Column, weight: Column, node: Column) -> DataFrame:
+    """(keys, mean, node, q): of each display cell the weighted mean of its nodes (at most 1), the heaviest node, the lowest on ties,
+    and the mean in 255 steps."""
+    mean = F.least(F.lit(1.0), F.sum(value * weight) / F.sum(weight))
+    out = nodes.groupBy(*keys).agg(mean.alias("mean"), F.max_by(node, F.struct(weight, -node)).alias("node"))
+    return out.withColumn("q", F.rint(255 * F.col("mean")).cast("int"))
+
+
+def side_bodies(touching: DataFrame, keys: Sequence[str], body: str, level: str) -> DataFrame:
+    """(keys, body, level): of the bodies that touch a side the one with the highest level, the lowest on ties."""
+    return touching.groupBy(*keys).agg(F.max_by(body, F.struct(level, -F.col(body))).alias("body"), F.max(level).alias("level"))
+
+
+def throat_air(faces: DataFrame, keys: Sequence[str], a: Column, b: Column) -> DataFrame:
+    """(keys, air_a, air_b, both): whether air stands at either side of a throat's faces, and at both sides of one of them."""
+    return faces.groupBy(*keys).agg(F.bool_or(a).alias("air_a"), F.bool_or(b).alias("air_b"), F.bool_or(a & b).alias("both"))
+
+
+def equal_shares(parts: DataFrame, keys: Sequence[str], value: Column, name: str = "share") -> DataFrame:
+    """Adds each row's value over the number of rows that share its keys: counts are an aggregate, so a key of many rows stays spread."""
+    counts = parts.groupBy(*(F.col(k).alias(f"_c{n}") for n, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("_n"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_c{n}")) for n, k in enumerate(keys)))
+    return parts.join(counts, same).withColumn(name, value / F.col("_n")).select(*parts.columns, name)
+
+
+def history(rows: DataFrame, moment: Column, name: str, kind: str, kinds: Sequence[str]) -> DataFrame:
+    """A row a moment and a column a kind: how many rows there are of it, 0 for none."""
+    wide = rows.groupBy(moment.alias(name)).pivot(kind, list(kinds)).agg(F.count(F.lit(1)))
+    return wide.select(name, *(F.coalesce(c, F.lit(0)).alias(c) for c in kinds))
+
+
+def largest(rows: DataFrame, key: str, size: Column, most: int) -> DataFrame:
+    """(key, n, volume, total, rank): the bodies of the largest positive total size, with their rows and largest one; ``most`` rows at most."""
+    total = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("volume"), F.sum(size).alias("total")).filter("total > 0")
+    order = [F.col("total").desc(), F.col(key)]
+    return total.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
+def runs(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """(keys, run, first, n): runs of equal neighbours in order, numbered from 1 in each key: where one begins and how long it is.
+    A key of any length is many ranges."""
+    placed = ranked(rows.select(*keys, order, value), [*keys, order], "_place")
+    ahead = placed.select((F.col("_place") + 1).alias("_place"), F.col(value).alias("_v"), *(F.col(k).alias(f"_r{n}") for n, k in enumerate(keys)))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_r{n}")) for n, k in enumerate(keys)), F.lit(True))
+    goes_on = F.coalesce(same & (F.col(value) == F.col("_v")), F.lit(False))
+    fresh = placed.join(ahead, "_place", "left").select(*keys, order, "_place", F.when(goes_on, 0).otherwise(1).alias("_f"))
+    numbered = running(fresh, ["_place"], F.col("_f"), "run", keys)
+    return numbered.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def facing(samples: DataFrame, line: str, place: str, label: str) -> DataFrame:
+    """(a, b): pairs of labels, a < b, that are next to each other on a line: of neighbouring places, once each."""
+    s = samples.select(line, place, F.col(label).alias("x")).distinct()
+    partner = s.select(line, (F.col(place) - 1).alias(place), F.col("x").alias("y"))
+    pairs = s.join(partner, [line, place]).filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def sweep_inputs(cells: DataFrame, lab: Column, wet: Column, free: Column, poured: Column, h: str) -> DataFrame:
+    """(lab, wet, source, top, low): of each compartment the wet cells, what is poured on its free cells, the highest of these and its lowest cell."""
+    g = cells.groupBy(lab.alias("lab"))
+    return g.agg(F.count_if(wet).alias("wet"), F.sum(F.when(free, poured).otherwise(0.0)).alias("source"), F.max(F.when(free, F.col(h))).alias("top"), F.min(h).alias("low"))

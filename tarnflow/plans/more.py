@@ -30,8 +30,8 @@ def box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hole_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round holes as polygons of 24 corners."""
     p = table(spark, sf_dir, "part").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    a, radius = F.radians(15.0 * F.col("n")), F.col("p_retailprice") / 1000
-    return p.select("p_partkey", "n", r(F.col("p_size") + radius * F.cos(a)).alias("x"), r(F.col("p_partkey") % 7 + radius * F.sin(a)).alias("y"))
+    x, y = G.on_circle((F.col("p_size"), F.col("p_partkey") % 7), F.col("p_retailprice") / 1000, F.col("n"), 24)
+    return p.select("p_partkey", "n", r(x).alias("x"), r(y).alias("y"))
 
 
 _TRI = "(SELECT p_partkey, (p_partkey % 17)/4.0 AS ax, (p_partkey % 13)/4.0 AS ay, (p_partkey % 11)/4.0 AS az, (p_partkey % 7)/2.0 + 1 AS bx, (p_size % 5)/2.0 AS \"by\", (p_size % 3)/2.0 AS bz, (p_size % 11)/3.0 AS cx, (p_partkey % 5) + 2.0 AS cy, (p_size % 13)/5.0 AS cz FROM part)"
@@ -179,10 +179,7 @@ def grid_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT user_id, event_id, value, sum(CASE WHEN coalesce(event_type <> lag_, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS lag_ FROM events)) SELECT user_id, run::BIGINT AS run, min(event_id) AS \"first\", count(*) AS n FROM e GROUP BY 1, 2")
 def sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal neighbours in order: where each begins and how long it is."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    fresh = F.coalesce(F.col("event_type") != F.lag("event_type").over(w), F.lit(True)).cast("int")
-    e = table(spark, sf_dir, "events").withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return e.groupBy("user_id", "run").agg(F.min("event_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return bodies.runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
 
 
 @query(
@@ -225,9 +222,9 @@ def world_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_suppkey % 20 AS lab, count(*) FILTER (l_quantity > 25) AS wet, round(coalesce(sum(l_quantity*l_tax) FILTER (l_discount >= 0.02), 0), 4) AS source, round(max(l_extendedprice) FILTER (l_discount >= 0.02), 2) AS top, round(min(l_extendedprice), 2) AS low FROM lineitem GROUP BY 1")
 def sweep_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources, wet cells and height range that a settling sweep starts from, a compartment each."""
-    off = F.col("l_discount") >= 0.02
-    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("lab"))
-    return g.agg(F.count_if(F.col("l_quantity") > 25).alias("wet"), r(F.sum(F.when(off, F.col("l_quantity") * F.col("l_tax")).otherwise(0.0)), 4).alias("source"), r(F.max(F.when(off, F.col("l_extendedprice"))), 2).alias("top"), r(F.min("l_extendedprice"), 2).alias("low"))
+    lab, poured = F.col("l_suppkey") % 20, F.col("l_quantity") * F.col("l_tax")
+    out = bodies.sweep_inputs(table(spark, sf_dir, "lineitem"), lab, F.col("l_quantity") > 25, F.col("l_discount") >= 0.02, poured, "l_extendedprice")
+    return out.select("lab", "wet", r(F.col("source"), 4).alias("source"), r(F.col("top"), 2).alias("top"), r(F.col("low"), 2).alias("low"))
 
 
 @query(

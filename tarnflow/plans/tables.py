@@ -257,10 +257,7 @@ def thin_one_per_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_suppkey <> b.l_suppkey")
 def facing_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of labels that face each other: a sample's partner is the next line of its order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
-    partner = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("y"))
-    pairs = li.join(partner, ["l_orderkey", "l_linenumber"]).withColumnRenamed("l_suppkey", "x").filter("x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return bodies.facing(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey")
 
 
 # ---- pools, ranks and reports
@@ -296,9 +293,8 @@ def record_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey AS region, count(*) AS n, round(max(c_acctbal), 6) AS volume, row_number() OVER (ORDER BY sum(c_acctbal) DESC, c_nationkey) AS rank FROM customer GROUP BY 1 HAVING sum(c_acctbal) > 0 ORDER BY rank LIMIT 10")
 def pockets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten largest bodies by volume."""
-    g = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("region")).agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("volume"), F.sum("c_acctbal").alias("total")).filter("total > 0")
-    top = g.orderBy(F.col("total").desc(), "region").limit(10)
-    return top.select("region", "n", r(F.col("volume")).alias("volume"), F.row_number().over(W.orderBy(F.col("total").desc(), "region")).cast("long").alias("rank"))
+    top = bodies.largest(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "region"), "region", F.col("c_acctbal"), 10)
+    return top.select("region", "n", r(F.col("volume")).alias("volume"), "rank")
 
 
 @query(
@@ -370,9 +366,8 @@ def weighted_centroid_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def display_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume-weighted mean, the heaviest node (the first on ties) and the quantised field of display cells."""
     node = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    mean = F.least(F.lit(1.0), F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity"))
-    out = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).alias("cell")).agg(mean.alias("m"), F.max_by(node, F.struct(F.col("l_quantity"), -node)).alias("node"))
-    return out.select("cell", r(F.col("m")).alias("mean"), "node", F.rint(255 * F.col("m")).cast("int").alias("q"))
+    li = table(spark, sf_dir, "lineitem").withColumn("cell", F.col("l_partkey") % 50)
+    return bodies.resampled(li, ["cell"], F.col("l_discount"), F.col("l_quantity"), node).withColumn("mean", r(F.col("mean")))
 
 
 @query(
@@ -380,8 +375,7 @@ def display_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pocket_history_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column a box, a row a day."""
-    e = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).pivot("event_type", ["click", "purchase", "view"]).agg(F.count(F.lit(1)))
-    return e.select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "purchase", "view")))
+    return bodies.history(table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd"), "day", "event_type", ["click", "purchase", "view"])
 
 
 @query(
@@ -398,16 +392,16 @@ def recording_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, bool_or(l_discount < 0.02) AS air_a, bool_or(l_tax < 0.02) AS air_b, bool_or(l_discount < 0.02 AND l_tax < 0.02) AS \"both\" FROM lineitem GROUP BY 1")
 def throat_air(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether air stands at either side of a throat, and at both sides of one of its faces."""
-    a, b = F.col("l_discount") < 0.02, F.col("l_tax") < 0.02
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(a).alias("air_a"), F.bool_or(b).alias("air_b"), F.bool_or(a & b).alias("both"))
+    return bodies.throat_air(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_discount") < 0.02, F.col("l_tax") < 0.02)
 
 
 @query("SELECT l_suppkey, arg_max(l_partkey, l_quantity*1e9 - l_partkey) AS body, max(l_quantity) AS level FROM lineitem GROUP BY 1")
 def side_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest body that touches a side, the lowest id on ties."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.max_by("l_partkey", F.struct("l_quantity", -F.col("l_partkey"))).alias("body"), F.max("l_quantity").alias("level"))
+    return bodies.side_bodies(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey", "l_quantity")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity / count(*) OVER (PARTITION BY l_orderkey), 6) AS share FROM lineitem")
 def merge_share_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(F.col("l_quantity") / F.count(F.lit(1)).over(W.partitionBy("l_orderkey"))).alias("share"))
+    out = bodies.equal_shares(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_quantity"))
+    return out.select("l_orderkey", "l_linenumber", r(F.col("share")).alias("share"))

@@ -26,7 +26,8 @@ NEAREST = 5
 #: Least number of examples that hold an indexed term, and the share of its weight that doesn't depend on labels.
 LEAST_EXAMPLES, UNLINKED = 2, 0.05
 BEGINNING = 6
-BLOCK = 512
+#: Examples of a block, and one in how many of them must hold a term for its postings to be a row.
+BLOCK, OFTEN = 1024, 16
 #: Votes of the base rate in every decision, and the share of examples by which a vote counts with distance.
 PRIOR_VOTES = 0.5
 THRESHOLD = 0.7
@@ -56,6 +57,40 @@ def linked(inside: np.ndarray, outside: np.ndarray, positive: int, negative: int
 Vector = tuple[np.ndarray, np.ndarray]
 
 
+class Block:
+    """Postings of a block of examples: a term that many of them hold as a row of weights, the others as lists."""
+
+    def __init__(self, place: np.ndarray, example: np.ndarray, x: np.ndarray) -> None:
+        """Terms in order with the examples (places in the block) that hold them, and the weights there."""
+        terms_in, term, holds = np.unique(place, return_inverse=True, return_counts=True)
+        often = holds * OFTEN >= BLOCK
+        self.common, self.rare = terms_in[often], terms_in[~often]
+        self.rows = np.zeros((len(self.common), BLOCK))
+        dense = often[term]
+        self.rows[(np.cumsum(often) - 1)[term[dense]], example[dense]] = x[dense]
+        self.first = np.concatenate(([0], np.cumsum(holds[~often])))
+        self.example, self.x = example[~dense].astype(np.int32), x[~dense]
+
+    @staticmethod
+    def _held(terms_in: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms ``at`` are among others, and their places there."""
+        if not len(terms_in):
+            return np.zeros(len(at), bool), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(terms_in, at), len(terms_in) - 1)
+        hit = terms_in[place] == at
+        return hit, place[hit]
+
+    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Cosine of a query with each example of the block."""
+        hit, place = self._held(self.common, at)
+        out = q[hit] @ self.rows[place]
+        hit, place = self._held(self.rare, at)
+        begin = self.first[place]
+        size = self.first[place + 1] - begin
+        postings = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return out + np.bincount(self.example[postings], self.x[postings] * np.repeat(q[hit], size), BLOCK)
+
+
 class Index:
     """Examples as unit vectors over the terms that two of them share: by block of examples, postings (term, example, weight) in
     order, and by term the largest weight in each block."""
@@ -90,10 +125,7 @@ class Index:
         self.most = np.zeros((len(holds), blocks))
         np.maximum.at(self.most, (place, of // BLOCK), x)
         cuts = np.searchsorted(of // BLOCK, np.arange(blocks + 1))
-        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            terms_in, first = np.unique(place[a:b], return_index=True)
-            self.blocks.append((terms_in, np.append(first, b - a), (of[a:b] % BLOCK).astype(np.int32), x[a:b]))
+        self.blocks = [Block(place[a:b], of[a:b] % BLOCK, x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.scale = self.shift = None
         own = np.argsort(of, kind="stable")
         ends = np.searchsorted(of[own], np.arange(len(held) + 1))
@@ -113,12 +145,7 @@ class Index:
         for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
                 break
-            terms_in, first, example, x = self.blocks[b]
-            place = np.minimum(np.searchsorted(terms_in, at), len(terms_in) - 1)
-            hit = terms_in[place] == at
-            begin, size = first[place[hit]], first[place[hit] + 1] - first[place[hit]]
-            postings = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            scores = np.bincount(example[postings], x[postings] * np.repeat(q[hit], size), BLOCK)
+            scores = self.blocks[b].scores(at, q)
             if 0 <= without - b * BLOCK < BLOCK:
                 scores[without - b * BLOCK] = 0.0
             least = max(np.partition(scores, BLOCK - k)[BLOCK - k], best[-1][0] if len(best) == k else 0.0)

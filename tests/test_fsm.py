@@ -102,3 +102,15 @@ def test_kernel_and_tables_flood_alike(spark):
     tables = {r.node_id: r.held for r in fsm.flooded(*flow.field(spark, "/root/testdata/sf0.001")).collect()}
     kernel = {r.node_id: r.retained for r in flow.fill_spill_random(spark, "/root/testdata/sf0.001").collect()}
     assert tables.keys() == kernel.keys() and all(abs(kernel[k] - held) < 1e-9 for k, held in tables.items())
+
+
+def test_scenes_whose_volumes_follow_from_counting_cells(spark):
+    """name: kept, gone, in the first vessel, in what it spills into."""
+    want = {
+        "bottle_full": (128, 384, 128, 0), "bottle_third": (128, 64, 128, 0), "plate": (0, 64, 0, 0), "tray": (64, 0, 64, 0), "cascade": (1040, 280, 600, 440), "deep_cup": (1320, 0, 600, 720),
+        "two_stage": (1192, 128, 600, 592), "merged_lake": (512, 0, 216, 216), "saddle_40": (256, 0, 216, 40), "saddle_60": (276, 0, 216, 60), "saddle_150": (366, 0, 216, 96),
+    }
+    got = {r["name"]: (r.kept, r.gone, r["first"], r["second"]) for r in flow.fill_spill_scenes(spark, "").collect()}
+    assert got == want
+    off = flow.cup_spill_routing_off(spark, "").collect()
+    assert [(r["name"], r.kept, r.gone) for r in off] == [("cascade", 600.0, 720.0)]

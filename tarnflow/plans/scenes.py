@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import geometry as G
 from tarnflow.functions import physics as P
+from tarnflow.operators.session import spread
 from tarnflow.plans.registry import micros, query, r, table
 from tarnflow.sources import motion, scenes
 from tarnflow.sources.scenes import Raster
@@ -19,8 +20,8 @@ _COUNTED = "count(*) AS cells, sum(node_id)::BIGINT AS ids"
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as shapes: their size (up to 1) and a number from 0 to 6."""
-    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("s"), (F.col("p_partkey") % 7).alias("m"))
+    """Parts as shapes: their size (up to 1) and a number from 0 to 6; dealt to all tasks, for a part becomes a raster of cells."""
+    return spread(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("s"), (F.col("p_partkey") % 7).alias("m")), "p_partkey")
 
 
 def _point() -> list[Column]:
@@ -29,8 +30,9 @@ def _point() -> list[Column]:
 
 def counted(spark: SparkSession, sf_dir: str, inside: Column) -> DataFrame:
     """How many cells each part's shape fills, and the sum of their numbers."""
-    cells = scenes.filled(parts(spark, sf_dir), DIMS, DX, inside).filter("solid")
-    return cells.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("cells"), F.sum("node_id").alias("ids"))
+    # Counted, not filtered: a filter would be pushed below the centres and repeat their arithmetic wherever a shape names them.
+    cells = scenes.filled(parts(spark, sf_dir), DIMS, DX, inside).select("p_partkey", "node_id", "solid")
+    return cells.groupBy("p_partkey").agg(F.count_if("solid").alias("cells"), F.sum(F.when(F.col("solid"), F.col("node_id"))).alias("ids")).filter("cells > 0")
 
 
 @query(f"SELECT p_partkey, node_id, i, j, k, x + m AS x, y, z FROM {_CELLS}")

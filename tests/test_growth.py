@@ -16,3 +16,8 @@ def filters(df) -> list[str]:
 def test_a_capsule_is_counted_without_a_filter_over_its_arithmetic(spark):
     df = catalog.QUERIES["shape_capsule"](spark, SMALL)
     assert "SQRT" in plan(df) and not any("SQRT" in line for line in filters(df))
+
+
+def test_a_polyline_is_counted_without_a_filter_over_its_arithmetic(spark):
+    df = catalog.QUERIES["shape_polyline"](spark, SMALL)
+    assert "SQRT" in plan(df) and not any("SQRT" in line for line in filters(df))

@@ -54,10 +54,9 @@ def boundary_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def face_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the cells outside a ball of each part's size: numbers of a part's cells run on from the part before."""
-    cells = scenes.filled(parts(spark, sf_dir), DIMS, DX, G.in_ball(_point(), (0.5, 0.375, 0.3125), F.col("s") / 2))
+    ball = lambda p: G.in_ball(p, (0.5, 0.375, 0.3125), F.col("s") / 2)
     size = Raster(DIMS, DX, (0.0, 0.0, 0.0))
-    links = cells.filter("not solid").select("p_partkey", F.col("node_id").alias("src"), F.explode(scenes.face_neighbours(size)).alias("dst"))
-    links = links.join(cells.filter("not solid").select("p_partkey", F.col("node_id").alias("dst")), ["p_partkey", "dst"], "left_semi")
+    links = parts(spark, sf_dir).crossJoin(F.broadcast(scenes.face_pairs(spark, size))).filter(~ball(size.at()) & ~ball([F.col(f"to_{p}") for p in size.points]))
     return links.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("links"), F.sum(F.col("src") * F.col("dst")).alias("ids"))
 
 

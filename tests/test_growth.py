@@ -21,3 +21,8 @@ def test_a_capsule_is_counted_without_a_filter_over_its_arithmetic(spark):
 def test_a_polyline_is_counted_without_a_filter_over_its_arithmetic(spark):
     df = catalog.QUERIES["shape_polyline"](spark, SMALL)
     assert "SQRT" in plan(df) and not any("SQRT" in line for line in filters(df))
+
+
+def test_neighbours_in_a_raster_join_no_cells(spark):
+    text = plan(catalog.QUERIES["face_neighbors"](spark, SMALL))
+    assert "HashJoin" not in text and "SortMergeJoin" not in text  # only the raster's own pairs are sent along

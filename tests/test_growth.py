@@ -26,3 +26,8 @@ def test_a_polyline_is_counted_without_a_filter_over_its_arithmetic(spark):
 def test_neighbours_in_a_raster_join_no_cells(spark):
     text = plan(catalog.QUERIES["face_neighbors"](spark, SMALL))
     assert "HashJoin" not in text and "SortMergeJoin" not in text  # only the raster's own pairs are sent along
+
+
+def test_parts_are_dealt_before_they_become_rasters(spark):
+    text = plan(catalog.QUERIES["raster_centers"](spark, SMALL))
+    assert text.index("Generate") < text.index("Exchange")  # the plan's root stands first

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.functions import geometry as G
-from tarnflow.operators import graph
+from tarnflow.operators import graph, near
 from tarnflow.operators.components import connected_components
+from tarnflow.operators.session import never_sent
 
 AXES = ("i", "j", "k")
 #: The 20 steps to cells that share an edge or a corner, and the 26 to all neighbours.
@@ -141,17 +142,22 @@ def mesh_components(by_vertex: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def crossing_plane(links: DataFrame, nodes: DataFrame, holes: DataFrame, half: float) -> DataFrame:
-    """(hole_id, src, dst): links that cross the middle plane of a round hole (hole_id, x, y, z, ax, ay, az, diameter) within
-    its radius and half a cell. ``links`` once each; holes are few, a row a hole is sent along (their number is checked)."""
+    """(hole_id, src, dst): links that cross the middle plane of a round hole (hole_id, x, y, z, ax, ay, az, diameter; the axis is
+    a unit vector) within its radius and half a cell. ``links`` once each. Links and holes meet in buckets: the foot of a link's
+    middle on the plane is within half the link of the middle, and within the hole's radius and half a cell of its centre."""
     n = nodes.select("node_id", "x", "y", "z")
-    e = links.join(n.select(F.col("node_id").alias("src"), *(F.col(c).alias(f"a{c}_") for c in "xyz")), "src").join(n.select(F.col("node_id").alias("dst"), *(F.col(c).alias(f"b{c}_") for c in "xyz")), "dst")
-    h = holes.select("hole_id", *(F.col(c).alias(f"h{c}") for c in "xyz"), "ax", "ay", "az", "diameter")
-    if h.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 holes: call by parts")
+    ends = {p: never_sent(n.select(F.col("node_id").alias(end), *(F.col(c).alias(f"{p}{c}_") for c in "xyz"))) for p, end in (("a", "src"), ("b", "dst"))}
+    e = links.join(ends["a"], "src").join(ends["b"], "dst")
+    a, b = ([F.col(f"{p}{c}_") for c in "xyz"] for p in "ab")
+    e = e.select("src", "dst", *a, *b, *(((p + q) / 2).alias(c) for p, q, c in zip(a, b, "xyz", strict=True)), (G.length(G.minus(b, a)) / 2).alias("reach"))
+    # A radius without end reaches all there is.
+    reach = F.least(F.col("diameter") / 2 + half, F.lit(2.0**1000))
+    h = holes.select("hole_id", *(F.col(c).cast("double").alias(f"h{c}") for c in "xyz"), "ax", "ay", "az", "diameter", *(F.col(c).cast("double").alias(c) for c in "xyz"), reach.alias("reach")).filter("reach >= 0")
     axis = [F.col(c) for c in ("ax", "ay", "az")]
-    on = lambda p: G.dot(G.minus([F.col(f"{p}{c}_") for c in "xyz"], [F.col(f"h{c}") for c in "xyz"]), axis)
-    middle = [(F.col(f"a{c}_") + F.col(f"b{c}_")) / 2 - F.col(f"h{c}") for c in "xyz"]
+    hole = [F.col(f"h{c}") for c in "xyz"]
+    middle = [(p + q) / 2 - c for p, q, c in zip(a, b, hole, strict=True)]
     along = G.dot(middle, axis)
-    off = G.length([m - along * a for m, a in zip(middle, axis, strict=True)])
-    da, db = on("a"), on("b")
-    return e.join(F.broadcast(h), (da * db <= 0) & (da != db) & (off <= F.col("diameter") / 2 + half)).select("hole_id", "src", "dst")
+    off = G.length([m - along * x for m, x in zip(middle, axis, strict=True)])
+    da, db = (G.dot(G.minus(p, hole), axis) for p in (a, b))
+    met = near.met(e, h, "xyz", F.greatest(2 * F.col("reach"), F.lit(2.0 * half or 1.0)))
+    return met.filter((da * db <= 0) & (da != db) & (off <= F.col("diameter") / 2 + half)).select("hole_id", "src", "dst")

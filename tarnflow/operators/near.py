@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.functions import geometry as G
+from tarnflow.operators.session import never_sent
 
 
 def bucket(x: Sequence[Column], size: float) -> list[Column]:
@@ -22,6 +24,31 @@ def _around(points: DataFrame, axes: Sequence[str], size: float) -> DataFrame:
     return out
 
 
+def met(left: DataFrame, right: DataFrame, axes: Sequence[str], edge: Column) -> DataFrame:
+    """Rows of both sides whose boxes (a place on ``axes`` and ``reach`` to all sides of it) may overlap, each pair once; the columns
+    are the left ones and the right ones, whose names differ but for axes and reach. ``edge`` is a Column of the right side: buckets
+    are as wide as the power of two above it, so sides may differ in size. A pair counts in the first bucket that both boxes hold."""
+
+    def boxed(df: DataFrame, side: str) -> DataFrame:
+        wide = F.pow(F.lit(2.0), F.col("_l"))
+        for n, axis in enumerate(axes):
+            far = F.col("reach") * (1 + 1e-9) + F.abs(F.col(axis)) * 1e-12
+            lo, hi = (F.floor((F.col(axis) + sign * far) / wide).cast("long") for sign in (-1, 1))
+            df = df.withColumn(f"_{side}{n}", lo).withColumn(f"_b{n}", F.explode(F.sequence(lo, hi)))
+        return df.drop(*axes, "reach")
+
+    placed = lambda df: df.filter(reduce(lambda a, b: a & b, (F.abs(F.col(c)) < float("inf") for c in (*axes, "reach"))))
+    right = placed(right).withColumn("_l", F.ceil(F.log2(edge)).cast("int"))
+    levels = [row[0] for row in right.select("_l").distinct().collect()]  # as many as doubles have exponents, at most
+    if not levels:
+        levels = [0]
+    left = placed(left).withColumn("_l", F.explode(F.array(*map(F.lit, sorted(levels)))))
+    keys = ["_l", *(f"_b{n}" for n in range(len(axes)))]
+    both = boxed(left, "p").join(never_sent(boxed(right, "q")), keys)
+    first = reduce(lambda a, b: a & b, (F.col(f"_b{n}") == F.greatest(f"_p{n}", f"_q{n}") for n in range(len(axes))))
+    return both.filter(first).drop(*keys, *(f"_{s}{n}" for s in "pq" for n in range(len(axes))))
+
+
 def radius_join(left: DataFrame, right: DataFrame, axes: Sequence[str], radius: float) -> DataFrame:
     """Pairs at most ``radius`` apart: the left columns, the right ones with prefix r_, and ``distance``."""
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), *(b.alias(f"_b{n}") for n, b in enumerate(bucket([F.col(a) for a in axes], radius))))

@@ -1,6 +1,9 @@
 """Plans of queries that failed on large tables: what made them fail isn't in them."""
 
 from tarnflow import catalog
+from tarnflow.operators import cells
+from tarnflow.plans import more
+from tarnflow.sources import scenes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +34,28 @@ def test_neighbours_in_a_raster_join_no_cells(spark):
 def test_parts_are_dealt_before_they_become_rasters(spark):
     text = plan(catalog.QUERIES["raster_centers"](spark, SMALL))
     assert text.index("Generate") < text.index("Exchange")  # the plan's root stands first
+
+
+def boxes(spark):
+    rows = [(k, k // 72, k // 8 % 9, k % 8, k // 72 + 0.5, k // 8 % 9 + 0.5, k % 8 + 0.5, False) for k in range(720)]
+    return spark.createDataFrame(rows, "node_id long, i long, j int, k int, x double, y double, z double, solid boolean")
+
+
+def test_more_holes_than_were_allowed_find_the_links_of_one_by_one(spark):
+    from itertools import product
+    from math import hypot
+
+    rows = [(n, n % 11 - 0.2, n % 10 * 0.97, n % 9 * 1.03, *((1.0, 0.0, 0.0), (0.0, 0.6, 0.8))[n % 2], 0.01 + n % 5) for n in range(12000)]
+    holes = spark.createDataFrame(rows, "hole_id long, x double, y double, z double, ax double, ay double, az double, diameter double")
+    b = boxes(spark)
+    got = {tuple(r) for r in cells.crossing_plane(scenes.face_links(more.BOX, b).filter("src < dst"), b, holes, 0.5).filter("hole_id < 40").collect()}
+    at = {k: (k // 72 + 0.5, k // 8 % 9 + 0.5, k % 8 + 0.5) for k in range(720)}
+    links = [(k, k + s) for k, s in product(at, (1, 8, 72)) if k + s in at and sum(abs(p - q) for p, q in zip(at[k], at[k + s])) == 1]
+    want = set()
+    for (n, x, y, z, *axis, d), (a, c) in product(rows[:40], links):
+        on = [sum((p - q) * v for p, q, v in zip(at[e], (x, y, z), axis)) for e in (a, c)]
+        mid = [(p + q) / 2 - o for p, q, o in zip(at[a], at[c], (x, y, z))]
+        along = sum(m * v for m, v in zip(mid, axis))
+        if on[0] * on[1] <= 0 and on[0] != on[1] and hypot(*(m - along * v for m, v in zip(mid, axis))) <= d / 2 + 0.5:
+            want.add((n, a, c))
+    assert got == want and len(want) > 100

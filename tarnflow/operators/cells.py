@@ -27,8 +27,14 @@ def _steps(steps: Sequence[tuple[int, ...]]) -> Column:
 
 def links_by(cells: DataFrame, steps: Sequence[tuple[int, ...]], half: bool = False) -> DataFrame:
     """(src, dst) of cells (node_id, i, j, k) that lie a step apart; with ``half`` each pair once, src < dst."""
+    back = {tuple(-v for v in s) for s in steps}
+    once = half and back == set(steps) and (0, 0, 0) not in back
+    if once:  # of a step and the one back, one finds the pair
+        steps = [s for s in steps if s > (0, 0, 0)]
     there = cells.select(F.col("node_id").alias("src"), *AXES, F.explode(_steps(steps)).alias("s")).select("src", *((F.col(a) + F.col(f"s.{a}")).alias(a) for a in AXES))
-    out = there.join(cells.select(F.col("node_id").alias("dst"), *AXES), list(AXES)).select("src", "dst")
+    out = there.join(never_sent(cells.select(F.col("node_id").alias("dst"), *AXES)), list(AXES)).select("src", "dst")
+    if once:
+        return out.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     return out.filter("src < dst") if half else out
 
 
@@ -82,7 +88,7 @@ def spread(nodes: DataFrame, value: str, dx: float, origin: Sequence[float], dim
 def into_solid(fluid: DataFrame, solid: DataFrame, value: str) -> DataFrame:
     """(node_id, value) of solid cells: the largest value of a fluid cell among their 26 neighbours, where there is one."""
     there = solid.select("node_id", *AXES, F.explode(_steps(ALL_STEPS)).alias("s")).select("node_id", *((F.col(a) + F.col(f"s.{a}")).alias(a) for a in AXES))
-    return there.join(fluid.select(*AXES, value), list(AXES)).groupBy("node_id").agg(F.max(value).alias(value))
+    return there.join(never_sent(fluid.select(*AXES, value)), list(AXES)).groupBy("node_id").agg(F.max(value).alias(value))
 
 
 def flat_levels(cells: DataFrame, body: str = "body") -> DataFrame:

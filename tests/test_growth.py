@@ -59,3 +59,11 @@ def test_more_holes_than_were_allowed_find_the_links_of_one_by_one(spark):
         if on[0] * on[1] <= 0 and on[0] != on[1] and hypot(*(m - along * v for m, v in zip(mid, axis))) <= d / 2 + 0.5:
             want.add((n, a, c))
     assert got == want and len(want) > 100
+
+
+def test_links_by_edges_and_corners_go_by_shuffle_and_are_found_once(spark):
+    assert "BroadcastHashJoin" not in plan(catalog.QUERIES["links26"](spark, SMALL))
+    b = boxes(spark).select("node_id", "i", "j", "k")
+    all_ = {tuple(sorted(r)) for r in cells.links_by(b, cells.CORNER_STEPS).collect()}
+    got = [tuple(r) for r in cells.links_by(b, cells.CORNER_STEPS, half=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == all_

@@ -56,10 +56,10 @@ def fine_links(sub: DataFrame, coarse: DataFrame, k: int) -> DataFrame:
     """(kind, src, dst): face links of open sub-cells (id, host, i, j, k) among each other, and to open coarse cells
     (node_id, i, j, k) where a sub-cell's neighbour lies in one."""
     faces = [s for s in product((-1, 0, 1), repeat=3) if sum(map(abs, s)) == 1]
-    there = sub.select(F.col("id").alias("src"), *AXES, F.explode(_steps(faces)).alias("s")).select("src", *((F.col(a) + F.col(f"s.{a}")).alias(a) for a in AXES))
-    inner = there.join(sub.select(F.col("id").alias("dst"), *AXES), list(AXES)).filter("src < dst").select(F.lit("fine").alias("kind"), "src", "dst")
-    up = there.select("src", *(F.floor(F.col(a) / k).cast("int").alias(a) for a in AXES))
-    outer = up.join(coarse.select(F.col("node_id").alias("dst"), *AXES), list(AXES)).select(F.lit("coarse"), "src", "dst")
+    inner = links_by(sub.select(F.col("id").alias("node_id"), *AXES), faces, half=True).select(F.lit("fine").alias("kind"), "src", "dst")
+    there = sub.select(F.col("id").alias("src"), *AXES, F.explode(_steps(faces)).alias("s"))
+    up = there.select("src", *(F.floor((F.col(a) + F.col(f"s.{a}")) / k).cast("long").alias(a) for a in AXES))
+    outer = up.join(never_sent(coarse.select(F.col("node_id").alias("dst"), *(F.col(a).cast("long") for a in AXES))), list(AXES)).select(F.lit("coarse"), "src", "dst")
     return inner.union(outer)
 
 

@@ -67,3 +67,7 @@ def test_links_by_edges_and_corners_go_by_shuffle_and_are_found_once(spark):
     all_ = {tuple(sorted(r)) for r in cells.links_by(b, cells.CORNER_STEPS).collect()}
     got = [tuple(r) for r in cells.links_by(b, cells.CORNER_STEPS, half=True).collect()]
     assert len(got) == len(set(got)) and set(got) == all_
+
+
+def test_links_of_subcells_go_by_shuffle(spark):
+    assert "BroadcastHashJoin" not in plan(catalog.QUERIES["subcell_links"](spark, SMALL))

@@ -49,7 +49,8 @@ def subcells(cells: DataFrame, k: int) -> DataFrame:
 def cut_cells(cells: DataFrame, links: DataFrame) -> DataFrame:
     """Solid cells with a fluid face neighbour. ``links`` are all face links, whatever the cells are."""
     fluid = cells.filter("not solid").select(F.col("node_id").alias("dst"))
-    return cells.filter("solid").join(links.join(fluid, "dst", "left_semi").select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
+    beside = links.join(never_sent(fluid), "dst", "left_semi").select(F.col("src").alias("node_id"))
+    return cells.filter("solid").join(never_sent(beside), "node_id", "left_semi")
 
 
 def fine_links(sub: DataFrame, coarse: DataFrame, k: int) -> DataFrame:

@@ -21,7 +21,7 @@ _BOX = "(SELECT o_orderkey AS node_id, o_orderkey // 72 AS i, (o_orderkey // 8)
 def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a raster of 9 by 8 cells and as long as there are orders, closed where the customer's number says so."""
     n = F.col("node_id")
-    index = {"i": F.floor(n / 72).cast("int"), "j": (F.floor(n / 8) % 9).cast("int"), "k": (n % 8).cast("int")}
+    index = {"i": F.floor(n / 72).cast("long"), "j": (F.floor(n / 8) % 9).cast("int"), "k": (n % 8).cast("int")}
     cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), (F.col("o_custkey") % 100 < 30).alias("solid")).withColumns(index)
     return cells.withColumns({c: F.col(a) + 0.5 for c, a in zip("xyz", "ijk", strict=True)})
 

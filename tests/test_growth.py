@@ -71,3 +71,13 @@ def test_links_by_edges_and_corners_go_by_shuffle_and_are_found_once(spark):
 
 def test_links_of_subcells_go_by_shuffle(spark):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES["subcell_links"](spark, SMALL))
+
+
+def test_subcells_of_large_order_numbers_are_summed(spark, tmp_path):
+    first = 72 * 10_000_000
+    rows = [(first + k, 0 if k else 99) for k in range(72)]  # all closed but the first
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    (row,) = catalog.QUERIES["cut_subcells"](spark, str(tmp_path)).collect()
+    i = 20_000_000
+    want = sum((i + a) * 10000 + (2 * y + b) * 100 + 2 * z + c for y, z in ((1, 0), (0, 1)) for a in (0, 1) for b in (0, 1) for c in (0, 1))
+    assert (row.subcells, row.hosts, row.ids) == (16, 2, want)

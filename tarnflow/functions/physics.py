@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,16 +153,21 @@ def cell_cdf(t: Column, a: Column, b: Column, c: Column) -> Column:
 
 
 def cell_cdf_inverse(f: Column, a: Column, b: Column, c: Column, rounds: int = 50) -> Column:
-    """Height below which the share f of a cell lies, by bisection."""
-    begin = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = 0.5 * (s["lo"] + s["hi"])
-        below = cell_cdf(mid, a, b, c) < f
-        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, halve, lambda s: 0.5 * (s["lo"] + s["hi"]))
-    return F.when(f <= 0, 0.0).when(f >= 1, 1.0).when(b <= 0, f).otherwise(found)
+    """Height below which the share f of a cell lies, by bisection: of whole batches of rows at a time."""
+    from tarnflow.operators.fsm import cdf
+
+    @F.pandas_udf("double")
+    def found(f: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        widths = np.stack([x.to_numpy(float) for x in (a, b, c)], axis=-1)
+        share = f.to_numpy(float)
+        lo, hi = np.zeros(len(share)), np.ones(len(share))
+        for _ in range(rounds):
+            mid = 0.5 * (lo + hi)
+            below = cdf(mid, widths) < share
+            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        return pd.Series(np.where(np.isnan(share) | np.isnan(widths).any(axis=-1), np.nan, 0.5 * (lo + hi)))
+
+    return F.when(f <= 0, 0.0).when(f >= 1, 1.0).when(b <= 0, f).otherwise(found(f, a, b, c))
 
 
 def above_share(h: Column, level: Column, e: Column, shape: tuple[Column, Column, Column]) -> Column:

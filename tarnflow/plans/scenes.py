@@ -254,7 +254,7 @@ def cell_cdf_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The height whose share was taken comes back."""
     k = F.col("p_partkey")
     up = [F.abs(F.sin(k)) + 0.05, F.when(k % 3 == 0, 0.0).otherwise(F.cos(k * 0.7)), F.when(k % 5 == 0, 0.0).otherwise(F.sin(k * 1.3))]
-    df = table(spark, sf_dir, "part").select("p_partkey", P.box_shape(up).alias("w")).select("p_partkey", *(F.col("w")[i].alias(n) for i, n in enumerate("abc")))
+    df = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", P.box_shape(up).alias("w")).select("p_partkey", *(F.col("w")[i].alias(n) for i, n in enumerate("abc")))
     shape = [F.col(n) for n in "abc"]
     df = df.withColumn("f", P.cell_cdf(F.lit(0.05) + (k % 10) / 11.0, *shape))
     return df.select("p_partkey", r(P.cell_cdf_inverse(F.col("f"), *shape), 5).alias("t"))

@@ -1,6 +1,9 @@
 """Plans of queries that failed on large tables: what made them fail isn't in them."""
 
+from pyspark.sql import functions as F
+
 from tarnflow import catalog
+from tarnflow.functions import physics
 from tarnflow.operators import cells
 from tarnflow.plans import more
 from tarnflow.sources import scenes
@@ -81,3 +84,13 @@ def test_subcells_of_large_order_numbers_are_summed(spark, tmp_path):
     i = 20_000_000
     want = sum((i + a) * 10000 + (2 * y + b) * 100 + 2 * z + c for y, z in ((1, 0), (0, 1)) for a in (0, 1) for b in (0, 1) for c in (0, 1))
     assert (row.subcells, row.hosts, row.ids) == (16, 2, want)
+
+
+def test_heights_of_shares_come_from_whole_batches_and_null_stays_null(spark):
+    rows = [(0.05 + k / 70, *((1.0, 0.0, 0.0), (0.7, 0.3, 0.0), (0.5, 0.3, 0.2))[k % 3]) for k in range(60)]
+    df = spark.createDataFrame([*rows, (None, 0.5, 0.3, 0.2)], "t double, a double, b double, c double")
+    shape = [F.col(c) for c in "abc"]
+    share = F.when(F.col("t").isNotNull(), physics.cell_cdf(F.col("t"), *shape))
+    out = df.select("t", physics.cell_cdf_inverse(share, *shape).alias("back")).collect()
+    assert all(r.back is None if r.t is None else abs(r.back - r.t) < 1e-7 for r in out) and len(out) == 61
+    assert "ArrowEvalPython" in plan(catalog.QUERIES["cell_cdf_inverse"](spark, SMALL))

@@ -1,5 +1,6 @@
 """Plans of queries that failed on large tables: what made them fail isn't in them."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tarnflow import catalog
@@ -7,6 +8,7 @@ from tarnflow.functions import physics
 from tarnflow.operators import cells
 from tarnflow.plans import more
 from tarnflow.sources import scenes
+from tarnflow.streaming import simulation
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -94,3 +96,14 @@ def test_heights_of_shares_come_from_whole_batches_and_null_stays_null(spark):
     out = df.select("t", physics.cell_cdf_inverse(share, *shape).alias("back")).collect()
     assert all(r.back is None if r.t is None else abs(r.back - r.t) < 1e-7 for r in out) and len(out) == 61
     assert "ArrowEvalPython" in plan(catalog.QUERIES["cell_cdf_inverse"](spark, SMALL))
+
+
+def test_scenarios_that_differ_in_their_number_share_a_run(spark):
+    rows = [(k, "closed_box", {"fill": (3 + k % 2) / 14}, 2, 0.5, 50.0) for k in range(7)]
+    kind = "scenario_id long, scene string, parameters map<string,double>, steps int, dt double, turn double"
+    both = simulation.run(spark.createDataFrame(rows, kind), state=True).collect()
+    alone = [r for k in (0, 1) for r in simulation.run(spark.createDataFrame(rows[k : k + 1], kind), state=True).collect()]
+    want = {(r.scenario_id, r.step): r[2:] for r in alone}
+    assert len(both) == 14 and all(r[2:] == want[r.scenario_id % 2, r.step] for r in both)
+    one = [simulation._content(Row(scenario_id=k, scene="tank", parameters={"b": 1.0, "a": x}, steps=3, dt=0.1, turn=0.0)) for k, x in ((1, 0.0), (2, 0.0), (3, 1.0))]
+    assert one[0] == one[1] != one[2]

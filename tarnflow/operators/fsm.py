@@ -378,12 +378,45 @@ def _scenes(table: pa.Table, min_depth: float, routing: bool, shape: tuple[float
     return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[c.split()[0] for c in RESULT.split(", ")])
 
 
+def _alike(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, first) of each scene in the rows: where it stands, and the first scene that equals it in all but its number."""
+    ids = np.asarray(table["scenario_id"])
+    begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    end = np.append(begin[1:], len(ids))
+    plain = [np.asarray(table[c]) for c in table.column_names if c not in ("to", "scenario_id")]
+    near = table["to"].combine_chunks()
+    near = near.combine_chunks() if isinstance(near, pa.ChunkedArray) else near
+    times, flat = np.asarray(near.value_lengths().fill_null(0)), np.asarray(near.flatten())
+    at = np.concatenate(([0], np.cumsum(times)))
+    known: dict[tuple[bytes, ...], int] = {}
+    first = np.empty(len(begin), np.int64)
+    for n, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+        content = (*(c[a:b].tobytes() for c in plain), times[a:b].tobytes(), flat[at[a] : at[b]].tobytes())
+        first[n] = known.setdefault(content, n)
+    return begin, end, first
+
+
+def _settled(table: pa.Table, min_depth: float, routing: bool, shape: tuple[float, float, float]) -> pa.RecordBatch:
+    """Settles whole scenes; those that differ in their number alone keep the same, so one of them is settled for all."""
+    begin, end, first = _alike(table)
+    own, which = np.unique(first, return_inverse=True)
+    if len(own) == len(first):
+        return _scenes(table, min_depth, routing, shape)
+    rows = np.concatenate([np.arange(begin[n], end[n]) for n in own])
+    ids = np.asarray(table["scenario_id"])
+    got = _scenes(table.take(pa.array(rows)), min_depth, routing, shape)
+    a = np.searchsorted(np.asarray(got["scenario_id"]), ids[begin[own]], "left")
+    b = np.searchsorted(np.asarray(got["scenario_id"]), ids[begin[own]], "right")
+    out = got.take(pa.array(np.concatenate([np.arange(a[n], b[n]) for n in which.tolist()])))
+    return out.set_column(0, "scenario_id", pa.array(np.repeat(ids[begin], (b - a)[which])))
+
+
 def fill_spill(nodes: DataFrame, edges: DataFrame | None = None, min_depth: float = 0.0, routing: bool = True, shape: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
     """Runs scenes (scenario_id, node_id, h, region, sink, src, v, e) with links (scenario_id, src, dst), or without such a
     table if the nodes carry their neighbours (``to``, an array), which saves the links' way through the shuffle.
 
     Returns (scenario_id, node_id, retained, owner, drained, lost); drained and lost stand on the first node of a region,
-    owner numbers a scene's leaves from 1 (0: it runs off). Scenes stream through sorted partitions and are settled in
+    owner numbers a scene's leaves from 1 (0: it runs off). Equal scenes of a block are settled once. Scenes stream through sorted partitions and are settled in
     blocks of about ``CELLS`` cells. One scene is one task's work: its order of filling is sequential by nature. A large
     field is for the staged operators. Links to nodes that aren't there are left out; a node stands once."""
     zero, none = F.lit(0.0), F.array().cast("array<long>")
@@ -404,11 +437,11 @@ def fill_spill(nodes: DataFrame, edges: DataFrame | None = None, min_depth: floa
             ids = np.asarray(table["scenario_id"])
             cut = int(np.searchsorted(ids, ids[-1]))  # the last scene may go on in the next batch
             if cut:
-                yield _scenes(table.slice(0, cut), min_depth, routing, shape)
+                yield _settled(table.slice(0, cut), min_depth, routing, shape)
             held, rows = table.slice(cut).to_batches(), rows - cut
             enough = CELLS if cut else 2 * rows
         if any(b.num_rows for b in held):
-            yield _scenes(pa.Table.from_batches(held), min_depth, routing, shape)
+            yield _settled(pa.Table.from_batches(held), min_depth, routing, shape)
 
     return rows.repartition("scenario_id").sortWithinPartitions("scenario_id", "link", "a", "b").mapInArrow(stream, RESULT)
 

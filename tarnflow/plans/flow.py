@@ -111,15 +111,17 @@ def cup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("p_size") % 5 + 2
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scenario_id"), w.cast("int").alias("w"), F.floor(F.col("p_retailprice") / 100).cast("double").alias("poured"))
     # A raster of (w + 4) x 7 x 8 cells; the cup's inside is w x 3 x 4, its walls one cell, and it stands free.
-    cells = spread(parts, "scenario_id").withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("w") + 4) * 56 - 1))).withColumns({"i": F.floor(F.col("c") / 56).cast("int"), "j": (F.floor(F.col("c") / 8) % 7).cast("int"), "k": (F.col("c") % 8).cast("int")})
+    # Cups of one width have the same cells: they are made once a width (at most nine, by the remainder) and sent to the parts.
+    cells = parts.select("w").distinct().withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("w") + 4) * 56 - 1))).withColumns({"i": F.floor(F.col("c") / 56).cast("int"), "j": (F.floor(F.col("c") / 8) % 7).cast("int"), "k": (F.col("c") % 8).cast("int")})
     w = F.col("w")
     wall = lambda i, j, k: i.between(1, w + 2) & j.between(1, 5) & k.between(1, 5) & ~(i.between(2, w + 1) & j.between(2, 4) & k.between(2, 5))
     i, j, k = F.col("i"), F.col("j"), F.col("k")
     fluid = cells.filter(~wall(i, j, k))
     edge = (i == 0) | (i == w + 3) | j.isin(0, 6) | k.isin(0, 7)
-    source = F.when((i == 2) & (j == 3) & (k == 5), F.col("poured")).otherwise(0.0)
+    mouth = (i == 2) & (j == 3) & (k == 5)
     steps = [(F.when((x >= 0) & (x < w + 4) & y.between(0, 6) & z.between(0, 7) & ~wall(x, y, z), x * 56 + y * 8 + z)) for x, y, z in ((i + a, j + b, k + c) for a, b, c in ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)))]
-    nodes = fluid.select("scenario_id", F.col("c").cast("long").alias("node_id"), k.cast("double").alias("h"), F.lit(0).alias("region"), edge.alias("sink"), source.alias("src"), F.lit(1.0).alias("v"), F.lit(0.0).alias("e"), F.array_compact(F.array(*steps)).cast("array<long>").alias("to"))
+    cups = fluid.select("w", F.col("c").cast("long").alias("node_id"), k.cast("double").alias("h"), F.lit(0).alias("region"), edge.alias("sink"), mouth.alias("mouth"), F.lit(1.0).alias("v"), F.lit(0.0).alias("e"), F.array_compact(F.array(*steps)).cast("array<long>").alias("to"))
+    nodes = spread(parts, "scenario_id").join(F.broadcast(cups), "w").withColumn("src", F.when(F.col("mouth"), F.col("poured")).otherwise(0.0))
     out = fsm.fill_spill(nodes)
     return out.groupBy(F.col("scenario_id").alias("p_partkey")).agg(*(r(F.sum(c)).alias(c) for c in ("retained", "drained", "lost")))
 

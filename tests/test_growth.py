@@ -1,11 +1,12 @@
 """Plans of queries that failed on large tables: what made them fail isn't in them."""
 
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tarnflow import catalog
 from tarnflow.functions import physics
-from tarnflow.operators import cells
+from tarnflow.operators import cells, fsm
 from tarnflow.plans import more
 from tarnflow.sources import scenes
 from tarnflow.streaming import simulation
@@ -107,3 +108,19 @@ def test_scenarios_that_differ_in_their_number_share_a_run(spark):
     assert len(both) == 14 and all(r[2:] == want[r.scenario_id % 2, r.step] for r in both)
     one = [simulation._content(Row(scenario_id=k, scene="tank", parameters={"b": 1.0, "a": x}, steps=3, dt=0.1, turn=0.0)) for k, x in ((1, 0.0), (2, 0.0), (3, 1.0))]
     assert one[0] == one[1] != one[2]
+
+
+def test_equal_scenes_are_settled_once_and_keep_the_same(monkeypatch):
+    def table(rows):
+        names = ("scenario_id", "link", "a", "b", "to", "sink", "h", "region", "src", "v", "e")
+        return pa.table({n: [r[q] for r in rows] for q, n in enumerate(names)})
+
+    def cup(s, poured):  # a sink, a rim, two cells of a hollow
+        heights, to = (0.0, 3.0, 1.0, 2.0), ([1], [0, 2], [1, 3], [2])
+        return [(s, False, c, 0, to[c], c == 0, heights[c], 0, poured if c == 2 else 0.0, 1.0, 0.0) for c in range(4)]
+
+    t = table([row for s, poured in ((3, 1.0), (5, 5.0), (8, 1.0), (9, 5.0), (12, 1.0)) for row in cup(s, poured)])
+    settled, asked = fsm._scenes, []
+    want = settled(t, 0.0, True, (1.0, 0.0, 0.0))
+    monkeypatch.setattr(fsm, "_scenes", lambda rows, *more: asked.append(rows.num_rows) or settled(rows, *more))
+    assert fsm._settled(t, 0.0, True, (1.0, 0.0, 0.0)).equals(want) and asked == [8]

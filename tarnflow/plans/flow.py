@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.operators import fsm
-from tarnflow.operators.session import spread
+from tarnflow.operators.session import never_sent, spread
 from tarnflow.plans.registry import query, r, table
 from tarnflow.sources import scenes
 from tarnflow.sources.scenes import Raster
@@ -135,7 +135,7 @@ def field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts as a height field of 40 columns, in whole numbers by their price; outer columns are the sink."""
     k, column = F.col("p_partkey"), F.col("p_partkey") % 40
     cells = table(spark, sf_dir, "part").select(k.alias("node_id"), F.floor(k / 40).alias("i"), column.cast("int").alias("j"), F.floor(F.col("p_retailprice") * 100).cast("long").alias("h"), column.isin(0, 1, 39).alias("sink"), F.lit(False).alias("solid"))
-    return cells.select("node_id", "h", "sink"), scenes.face_links(FIELD, cells)
+    return never_sent(cells.select("node_id", "h", "sink")), scenes.face_links(FIELD, cells)
 
 
 _NEXT = f"""n AS MATERIALIZED (SELECT * FROM {_FIELD}), low AS (SELECT l.src, arg_min(b.node_id, CASE WHEN b.sink THEN 0 ELSE 1 END * 1e15 + b.h*1e3 + b.node_id) AS to_ FROM {_FIELD_LINKS} l JOIN n b ON b.node_id = l.dst GROUP BY 1),

@@ -124,3 +124,7 @@ def test_equal_scenes_are_settled_once_and_keep_the_same(monkeypatch):
     want = settled(t, 0.0, True, (1.0, 0.0, 0.0))
     monkeypatch.setattr(fsm, "_scenes", lambda rows, *more: asked.append(rows.num_rows) or settled(rows, *more))
     assert fsm._settled(t, 0.0, True, (1.0, 0.0, 0.0)).equals(want) and asked == [8]
+
+
+def test_a_field_is_not_sent_along(spark):
+    assert "BroadcastHashJoin" not in plan(catalog.QUERIES["steepest_neighbor"](spark, SMALL))

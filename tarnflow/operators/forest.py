@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnflow.operators.components import connected_components
 from tarnflow.operators.order import ranked, running
@@ -25,6 +26,8 @@ BLOCK = 1 << 15
 SPAN = 1 << 10
 #: Rows of a map from component to component, counted first, up to which it is broadcast.
 FEW = 20_000
+#: Links a node, about, that the first rounds of a forest take: so many that few nodes stay out of the large components.
+LIGHT = 4
 
 
 def simple(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -47,14 +50,10 @@ def followed(pointers: DataFrame) -> DataFrame:
             return at
 
 
-def bottleneck_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
-    """(u, v, w): the spanning forest of least weight, by Borůvka's rounds. Links are in the strict order (w, u, v), so there is
-    one such forest; the largest weight on its way between two nodes is the least that any way has.
-
-    A round takes the first link out of every component. These links form trees with one link chosen from both sides each:
-    its smaller end is where the pointers of the tree lead, which names the new component."""
-    e = round_of(simple(edges, weight).select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct("w", "u", "v").alias("link")))
-    found: list[DataFrame] = []
+def _rounds(e: DataFrame, found: list[DataFrame]) -> DataFrame | None:
+    """Borůvka's rounds over links (a, b, link) between components, until none leads out of one. Adds what they take to ``found``;
+    gives (node, end), each component and the one it is in at last."""
+    names: DataFrame | None = None
     while not e.isEmpty():
         out = e.select("a", "b", "link").union(e.select(F.col("b"), F.col("a"), "link"))
         best = round_of(out.groupBy("a").agg(F.min(F.struct("link", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.link").alias("link")))
@@ -63,13 +62,53 @@ def bottleneck_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
         mutual = (F.col("_b") == F.col("a")) & (F.col("a") < F.col("b"))
         ends = followed(best.join(back, F.col("b") == F.col("_a"), "left").select(F.col("a").alias("node"), F.when(mutual, F.col("a")).otherwise(F.col("b")).alias("to")))
         few = ends.count() <= FEW
+        m = ends.select(F.col("node").alias("_n"), F.col("end").alias("_e"))
+        m = F.broadcast(m) if few else m
         for side in ("a", "b"):
-            m = ends.select(F.col("node").alias("_n"), F.col("end").alias("_e"))
-            e = e.join(F.broadcast(m) if few else m, F.col(side) == F.col("_n")).withColumn(side, F.col("_e")).drop("_n", "_e")
+            e = e.join(m, F.col(side) == F.col("_n")).withColumn(side, F.col("_e")).drop("_n", "_e")
         e = e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "link")
         e = round_of(e.groupBy("a", "b").agg(F.min("link").alias("link")))
+        names = ends if names is None else round_of(names.join(m, F.col("end") == F.col("_n"), "left").select("node", F.coalesce("_e", "end").alias("end")))
+    return names
+
+
+def _light(e: DataFrame) -> Column | None:
+    """Whether a link (u, v, w) is among the lightest, about ``LIGHT`` a node; None where that isn't a small part of all. Only weights
+    are compared, so of equal ones all are light or none is."""
+    kind, w = e.schema["w"].dataType, F.col("w")
+    if isinstance(kind, T.StructType):
+        kind, w = kind[0].dataType, F.col(f"w.{kind[0].name}")
+    if not isinstance(kind, T.NumericType):
+        return None
+    parts = [2.0**-k for k in range(1, 11)]
+    n, u, v, at = e.agg(F.count(F.lit(1)), F.approx_count_distinct("u"), F.approx_count_distinct("v"), F.percentile_approx(w, parts, 10000)).first()
+    enough = [x for part, x in zip(parts, at or [], strict=False) if part * n >= LIGHT * (u + v)]
+    return F.coalesce(w <= F.lit(enough[-1]), F.lit(True)) if enough else None  # a struct's null comes before all
+
+
+def bottleneck_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
+    """(u, v, w): the spanning forest of least weight, by Borůvka's rounds. Links are in the strict order (w, u, v), so there is
+    one such forest; the largest weight on its way between two nodes is the least that any way has.
+
+    A round takes the first link out of every component. These links form trees with one link chosen from both sides each:
+    its smaller end is where the pointers of the tree lead, which names the new component. Where there are many links a node,
+    rounds over the lightest come first: most of the rest then lie inside a component, and are dropped in one pass."""
+    e = round_of(simple(edges, weight))
+    found: list[DataFrame] = []
+    link = F.struct("w", "u", "v").alias("link")
+    light = _light(e)
+    if light is None:
+        _rounds(e.select(F.col("u").alias("a"), F.col("v").alias("b"), link), found)
+    else:
+        names = _rounds(round_of(e.filter(light).select(F.col("u").alias("a"), F.col("v").alias("b"), link)), found)
+        rest = e.filter(~light)
+        for side, end in (("u", "a"), ("v", "b")):
+            m = names.select(F.col("node").alias("_n"), F.col("end").alias("_e"))
+            rest = rest.join(m, F.col(side) == F.col("_n"), "left").withColumn(end, F.coalesce("_e", side)).drop("_n", "_e")
+        rest = rest.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), link)
+        _rounds(round_of(rest.groupBy("a", "b").agg(F.min("link").alias("link"))), found)
     if not found:
-        return e.select("link.u", "link.v", "link.w")
+        return e.select("u", "v", "w")
     return reduce(DataFrame.union, found).select("link.u", "link.v", "link.w")
 
 

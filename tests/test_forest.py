@@ -71,6 +71,28 @@ def test_forest_equals_kruskal(sample, found):
     assert sorted((r.u, r.v, r.w) for r in found.collect()) == sorted(w[:3] for w in want)
 
 
+def test_heavy_links_inside_light_components_take_no_part_in_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(g * APART + a, g * APART + b, rng.randrange(400)) for g in range(6) for a in range(50) for b in range(a)]
+    edges += [(7 * APART + k, 7 * APART + k + 1, 390 + k % 3) for k in range(40)] + [(7 * APART, 0, 399)]
+    want, least = kruskal(edges)
+    took, rounds = [], T._rounds
+    monkeypatch.setattr(T, "_rounds", lambda e, found: took.append(e.count()) or rounds(e, found))
+    assert sorted((r.u, r.v, r.w) for r in T.bottleneck_forest(table(spark, edges)).collect()) == sorted(w[:3] for w in want)
+    assert len(took) == 2 and took[0] < 0.6 * len(least) and took[1] < len(least) / 50
+    inside = table(spark, edges).withColumn("w", F.struct("w", "v", "u"))
+    assert sorted((r.u, r.v) for r in T.bottleneck_forest(inside).collect()) == sorted((r[0], r[1]) for r in struct_forest(least))
+    assert len(took) == 4
+
+
+def struct_forest(least):
+    sets, out = Union(), []
+    for w, (u, v) in sorted((w, k) for k, w in least.items()):
+        if sets.join(u, v)[0]:
+            out.append((u, v))
+    return out
+
+
 @pytest.mark.parametrize("block", [T.BLOCK, 64])
 def test_merges_equal_one_by_one(sample, found, block):
     want, _ = kruskal(sample)

@@ -8,10 +8,11 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.functions import geometry as G
-from tarnflow.operators import graph, near
+from tarnflow.operators import graph, near, session
 from tarnflow.operators.components import connected_components
 from tarnflow.operators.session import never_sent
 
@@ -66,9 +67,11 @@ def fine_links(sub: DataFrame, coarse: DataFrame, k: int) -> DataFrame:
 
 def shared_volumes(solid_sub: DataFrame, near_labels: DataFrame, unit: float) -> DataFrame:
     """(label, volume): each closed sub-cell's volume in equal parts to the labels next to it (id, label)."""
-    pairs = near_labels.join(solid_sub.select("id"), "id", "left_semi").distinct()
-    n = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.join(n, "id").groupBy("label").agg(F.sum(unit / F.col("n")).alias("volume"))
+    # Dealt once by sub-cell for all that follows, into parts that aren't joined again: a table's pairs are far larger than its file.
+    # An inner join, for a semi-join would be pushed below the dealing.
+    pairs = session.spread(near_labels.select("id", "label"), "id").join(solid_sub.select("id").distinct(), "id").distinct()
+    shared = pairs.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("id")))
+    return shared.groupBy("label").agg(F.sum(unit / F.col("n")).alias("volume"))
 
 
 def spread(nodes: DataFrame, value: str, dx: float, origin: Sequence[float], dims: Sequence[int]) -> DataFrame:

@@ -128,3 +128,8 @@ def test_equal_scenes_are_settled_once_and_keep_the_same(monkeypatch):
 
 def test_a_field_is_not_sent_along(spark):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES["steepest_neighbor"](spark, SMALL))
+
+
+def test_pairs_of_subcells_and_labels_are_dealt_once_and_not_joined_with_themselves(spark):
+    text = plan(catalog.QUERIES["shared_volume"](spark, SMALL))
+    assert text.count("FileScan") == 2 and "REPARTITION_BY_NUM" in text and "Window" in text

@@ -81,18 +81,21 @@ def leaf_links(leaves: DataFrame, dims: Sequence[int], levels: int) -> DataFrame
 
 
 def located(points: DataFrame, leaves: DataFrame, dims: Sequence[int], levels: int, dx: float, origin: Sequence[float]) -> DataFrame:
-    """Adds (level, key) of the leaf that holds a point (x, y, z), null outside and in closed cells: a candidate a level,
-    one equi-join over all levels."""
+    """Adds (level, key) of the leaf that holds a point (x, y, z), null outside and in closed cells. Each cell that holds points is looked
+    for once: a candidate a level, one equi-join over all levels."""
     index = [F.floor((F.col(p) - o) / dx).cast("int") for p, o in zip("xyz", origin, strict=True)]
     inside = F.lit(True)
     for c, n in zip(index, dims, strict=True):
         inside = inside & c.between(0, n - 1)
-    wanted = [F.struct(F.lit(lv).alias("level"), G.flat_key([F.shiftright(c, lv) for c in index], G.dims_at(dims, lv)).alias("key")) for lv in range(levels + 1)]
-    keyed = points.withColumn("_w", F.explode_outer(F.when(inside, F.array(*wanted))))
-    keyed = keyed.select(*points.columns, F.col("_w.level").alias("_l"), F.col("_w.key").alias("_k"))
-    hit = keyed.join(leaves.select(F.col("level").alias("_l"), F.col("key").alias("_k"), F.lit(True).alias("_hit")), ["_l", "_k"], "left")
-    found = F.min(F.when(F.col("_hit"), F.struct(F.col("_l").alias("level"), F.col("_k").alias("key"))))
-    return hit.groupBy(*points.columns).agg(found.alias("_f")).select(*points.columns, F.col("_f.level").alias("level"), F.col("_f.key").alias("key"))
+    # Points outside have numbers below 0, many of them, so that they don't meet in one task.
+    placed = points.withColumn("_c", F.when(inside, G.flat_key(index, dims)).otherwise(-1 - F.pmod(F.xxhash64(*"xyz"), F.lit(1 << 20))))
+    at = G.coords_of(F.col("_c"), dims)
+    wanted = [F.struct(F.lit(lv).alias("level"), G.flat_key([F.shiftright(c, lv) for c in at], G.dims_at(dims, lv)).alias("key")) for lv in range(levels + 1)]
+    keyed = placed.filter("_c >= 0").select("_c").distinct().select("_c", F.explode(F.array(*wanted)).alias("_w"))
+    keyed = keyed.select("_c", F.col("_w.level").alias("_l"), F.col("_w.key").alias("_k"))
+    hit = keyed.join(leaves.select(F.col("level").alias("_l"), F.col("key").alias("_k")), ["_l", "_k"])
+    found = hit.groupBy("_c").agg(F.min(F.struct(F.col("_l").alias("level"), F.col("_k").alias("key"))).alias("_f"))
+    return placed.join(found, "_c", "left").select(*points.columns, F.col("_f.level").alias("level"), F.col("_f.key").alias("key"))
 
 
 def offsets(leaves: DataFrame, levels: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnflow import catalog
 from tarnflow.functions import physics
-from tarnflow.operators import cells, fsm
+from tarnflow.operators import cells, fsm, keys
 from tarnflow.plans import more
 from tarnflow.sources import scenes
 from tarnflow.streaming import simulation
@@ -130,6 +130,25 @@ def test_a_field_is_not_sent_along(spark):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES["steepest_neighbor"](spark, SMALL))
 
 
+def test_points_of_a_cell_are_looked_for_once_and_all_answered(spark):
+    dims, closed = (8, 4, 4), spark.createDataFrame([(0,), (77,)], "key long")
+    leaves = keys.graded(closed, dims, 2)
+    rows = [(k % 9 - 0.5, k % 5 * 0.9, k % 7 * 0.7) for k in range(200)] + [(None, 1.0, 1.0), (0.5, 0.5, 0.5)]
+    points = spark.createDataFrame(rows, "x double, y double, z double")
+    got = keys.located(points, leaves, dims, 2, 1.0, (0, 0, 0))
+    held = {(r.level, r.key) for r in leaves.collect()}
+
+    def leaf(x, y, z):
+        at = [-1 if v is None else int(v // 1) for v in (x, y, z)]
+        if any(not 0 <= c < n for c, n in zip(at, dims)):
+            return (None, None)
+        names = [(lv, ((at[0] >> lv) * (4 >> lv) + (at[1] >> lv)) * (4 >> lv) + (at[2] >> lv)) for lv in range(3)]
+        return next((n for n in names if n in held), (None, None))
+
+    order = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(((*r, *leaf(*r)) for r in rows), key=order)
+
+
 def test_pairs_of_subcells_and_labels_are_dealt_once_and_not_joined_with_themselves(spark):
     text = plan(catalog.QUERIES["shared_volume"](spark, SMALL))
     assert text.count("FileScan") == 2 and "REPARTITION_BY_NUM" in text and "Window" in text

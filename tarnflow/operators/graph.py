@@ -98,16 +98,15 @@ def fed_levels(full: DataFrame, throats: DataFrame) -> DataFrame:
     ways = throats.select(F.col("a").alias("at"), F.col("b").alias("by"), F.col("level_b").alias("level"), "top").union(throats.select(F.col("b"), F.col("a"), F.col("level_a"), "top"))
     ways = round_of(ways.join(full.select(F.col("lab").alias("at")), "at", "left_semi"))
     begun = ways.join(full.select(F.col("lab").alias("by")), "by", "left_anti").filter(F.col("level") > F.col("top"))
-    best = round_of(begun.groupBy(F.col("at").alias("lab")).agg(F.max("level").alias("level")))
+    best = round_of(begun.groupBy(F.col("at").alias("lab")).agg(F.max("level").alias("level"), F.lit(None).cast("double").alias("was")))
     while True:
-        on = best.select(F.col("lab").alias("by"), F.col("level").alias("fed"))
-        step = ways.join(on, "by").filter(F.col("fed") > F.col("top")).select(F.col("at").alias("lab"), F.col("fed").alias("level"))
-        better = round_of(best.union(step).groupBy("lab").agg(F.max("level").alias("level")))
-        changed = not better.exceptAll(best).isEmpty()
-        best = better
-        if not changed:
-            break
-    return best
+        on = best.filter(F.col("was").isNull() | (F.col("level") > F.col("was")))  # a level that hasn't risen has fed what it can
+        if on.isEmpty():
+            return best.select("lab", "level")
+        on = on.select(F.col("lab").alias("by"), F.col("level").alias("fed"))
+        step = ways.join(on, "by").filter(F.col("fed") > F.col("top")).select(F.col("at").alias("lab"), F.col("fed").alias("level"), F.lit(None).cast("double").alias("was"))
+        best = best.select("lab", "level", F.col("level").cast("double").alias("was")).union(step)
+        best = round_of(best.groupBy("lab").agg(F.max("level").alias("level"), F.max("was").alias("was")))
 
 
 def dilated(keys: DataFrame, axes: Sequence[str], dims: Sequence[int], radius: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnflow import catalog
 from tarnflow.functions import physics
-from tarnflow.operators import cells, fsm, keys
+from tarnflow.operators import cells, fsm, graph, keys
 from tarnflow.plans import more
 from tarnflow.sources import scenes
 from tarnflow.streaming import simulation
@@ -152,3 +152,19 @@ def test_points_of_a_cell_are_looked_for_once_and_all_answered(spark):
 def test_pairs_of_subcells_and_labels_are_dealt_once_and_not_joined_with_themselves(spark):
     text = plan(catalog.QUERIES["shared_volume"](spark, SMALL))
     assert text.count("FileScan") == 2 and "REPARTITION_BY_NUM" in text and "Window" in text
+
+
+def test_only_levels_that_rose_feed_on(spark, monkeypatch):
+    full = spark.createDataFrame([(k,) for k in range(1, 40)], "lab long")
+    throats = spark.createDataFrame([(k, k + 1, 5.0 if k == 0 else None, None, 1.0) for k in range(9)] + [(0, k, 4.0, None, 1.0) for k in range(10, 40)], "a long, b long, level_a double, level_b double, top double")
+    rose, round_of = [], graph.round_of
+
+    def seen(df):
+        out = round_of(df)
+        if "was" in out.columns:
+            rose.append(out.filter("was is null or level > was").count())
+        return out
+
+    monkeypatch.setattr(graph, "round_of", seen)
+    assert sorted(map(tuple, graph.fed_levels(full, throats).collect())) == [(k, 5.0) for k in range(1, 10)] + [(k, 4.0) for k in range(10, 40)]
+    assert rose == [31, *[1] * 8, 0]

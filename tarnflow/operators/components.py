@@ -9,8 +9,6 @@ tables of a round are checkpointed, without the size that their plans are though
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +25,15 @@ def _with(df: DataFrame, node: str, hooks: DataFrame, few: bool, root: str) -> D
     return joined.withColumn(root, F.coalesce("_r", node)).drop("_u", "_r")
 
 
-def _roots(edges: DataFrame) -> tuple[DataFrame, bool]:
-    """(u, root) of every node that hooks to a smaller one, and whether there are few."""
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, root, n): each node's smallest neighbour and the number of its links."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hooks = round_of(both.groupBy("u").agg(F.min("v").alias("root")).filter("root < u"))
+    return both.groupBy("u").agg(F.min("v").alias("root"), F.count(F.lit(1)).alias("n"))
+
+
+def _roots(least: DataFrame) -> tuple[DataFrame, bool]:
+    """(u, root) of every node that hooks to a smaller one, and whether there are few."""
+    hooks = round_of(least.filter("root < u").select("u", "root"))
     few = hooks.count() <= MOST_BROADCAST
     while True:
         on = _with(hooks.withColumnRenamed("root", "at"), "at", hooks, few, "root")
@@ -44,14 +47,24 @@ def _roots(edges: DataFrame) -> tuple[DataFrame, bool]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node that has an edge to another one; a component is named by its smallest node.
 
-    Direction, repeats and order of the edges don't matter; loops and edges with a null end are ignored."""
+    Direction, repeats and order of the edges don't matter; loops and edges with a null end are ignored. Nodes that hang on one smaller
+    node join and name nothing: where they are many, their edges take no part in the rounds."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
     e = round_of(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct().withColumn("component", F.col("node"))
-    rounds: list[tuple[DataFrame, bool]] = []
+    least = round_of(_least(e))
+    hanging = (F.col("n") == 1) & (F.col("root") < F.col("u"))
+    nodes = least.select(F.col("u").alias("node"), F.when(hanging, F.col("root")).otherwise(F.col("u")).alias("component"))
+    ends, hung = least.agg(F.sum("n"), F.count_if(hanging)).first()
+    if hung * 4 > (ends or 0):  # more than half of the edges
+        e = round_of(e.join(least.filter(hanging).select(F.col("u").alias("_h")), F.col("u") == F.col("_h"), "left_anti"))
+        least = _least(e)
+    names: DataFrame | None = None
     while not e.isEmpty():
-        hooks, few = _roots(e)
-        rounds.append((hooks, few))
-        ends = _with(_with(e, "u", hooks, few, "a"), "v", hooks, few, "b").filter("a <> b")
-        e = round_of(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    return reduce(lambda df, r: _with(df, "component", *r, "_c").drop("component").withColumnRenamed("_c", "component"), rounds, nodes)
+        hooks, few = _roots(least)
+        names = hooks if names is None else round_of(_with(names, "root", hooks, few, "_c").select("u", F.col("_c").alias("root")).union(hooks))
+        joined = _with(_with(e, "u", hooks, few, "a"), "v", hooks, few, "b").filter("a <> b")
+        e = round_of(joined.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        least = _least(e)
+    if names is None:
+        return nodes
+    return _with(nodes, "component", names, names.count() <= MOST_BROADCAST, "_c").select("node", F.col("_c").alias("component"))

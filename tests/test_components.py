@@ -42,3 +42,14 @@ def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
     names = spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")
     assert {r.node: r.component for r in connected_components(names).collect()} == {"a": "a", "b": "a", "c": "a"}
+
+
+def test_edges_of_hanging_nodes_take_no_part_in_rounds(spark, monkeypatch):
+    edges = [(k, 1000 + 10 * k + d) for k in range(60) for d in range(9)] + [(k, k + 1) for k in range(0, 60, 2)] + [(5000, 5001), (-1, 7), (-2, -1)]
+    joined, _with = [], components._with
+    monkeypatch.setattr(components, "_with", lambda df, *more: joined.append((df.columns, df.count())) or _with(df, *more))
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    want = {n: (-2 if n in (6, 7, -1, -2) else n // 2 * 2) for n in (*range(60), -1, -2)} | {5000: 5000, 5001: 5000}
+    want |= {1000 + 10 * k + d: want[k] for k in range(60) for d in range(9)}
+    assert got == want
+    assert max(n for columns, n in joined if "v" in columns) < 60

@@ -26,15 +26,23 @@ def once(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") < F.col("dst"))
 
 
+def _between(nodes: DataFrame, edges: DataFrame, within: str | None = None) -> DataFrame:
+    """The edges between two of the given nodes, with the value of ``within`` at either end (_a, _b)."""
+    for end, name in (("src", "_a"), ("dst", "_b")):
+        edges = edges.join(nodes.select(F.col("node_id").alias(end), *([F.col(within).alias(name)] if within else [])), end)
+    return edges
+
+
+def _bodies(nodes: DataFrame, edges: DataFrame, near: bool = False) -> DataFrame:
+    """(node_id, body) of the given nodes, joined by edges between two of them."""
+    cc = connected_components(edges, near=near).withColumnRenamed("node", "node_id")
+    return nodes.select("node_id").join(cc, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("body"))
+
+
 def bodies(nodes: DataFrame, edges: DataFrame, within: str | None = None) -> DataFrame:
     """(node_id, body): components of the given nodes, joined by edges inside one value of ``within``; a body is its lowest node."""
-    keep = ["node_id"] + ([within] if within else [])
-    n = nodes.select(*keep)
-    e = edges.join(n.select(F.col("node_id").alias("src"), *([F.col(within).alias("_a")] if within else [])), "src").join(n.select(F.col("node_id").alias("dst"), *([F.col(within).alias("_b")] if within else [])), "dst")
-    if within:
-        e = e.filter(F.col("_a") == F.col("_b"))
-    cc = connected_components(e).withColumnRenamed("node", "node_id")
-    return n.join(cc, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("body"))
+    e = _between(nodes, edges, within)
+    return _bodies(nodes, e.filter(F.col("_a") == F.col("_b")) if within else e)
 
 
 def numbered(labels: DataFrame, label: str, number: str = "number") -> DataFrame:
@@ -51,16 +59,25 @@ def connected_to(nodes: DataFrame, edges: DataFrame, seed: Column, within: str |
 
 
 def bath_and_atmosphere(nodes: DataFrame, edges: DataFrame, suction: bool = False) -> DataFrame:
-    """(node_id, bath, atmosphere) of exterior nodes (node_id, below, boundary): what is joined to the boundary below the
-    surface, and above it, labelled in one pass; with suction the bath goes on through what is neither."""
+    """(node_id, bath, atmosphere) of exterior nodes of a raster (node_id, below, boundary): what is joined to the boundary below the
+    surface, and above it, labelled in one pass; with suction the bath goes on through what is neither.
+
+    A body is all bath, all atmosphere or neither, so suction goes from body to body: its links are those across the surface."""
     sided = nodes.select("node_id", F.col("below").cast("int").alias("side"), "boundary")
-    b = bodies(sided, edges, "side").join(sided, "node_id")
-    open_ = b.groupBy("body").agg(F.bool_or("boundary").alias("open"))
-    out = b.join(open_, "body").select("node_id", (F.col("open") & (F.col("side") == 1)).alias("bath"), (F.col("open") & (F.col("side") == 0)).alias("atmosphere"))
-    if not suction:
-        return out
-    wet = connected_to(out.filter(~F.col("atmosphere")), edges, F.col("bath")).withColumn("_w", F.lit(True))
-    return out.join(wet, "node_id", "left").select("node_id", F.coalesce("_w", F.lit(False)).alias("bath"), "atmosphere")
+    e = round_of(_between(sided, edges, "side"))
+    b = _bodies(sided, e.filter(F.col("_a") == F.col("_b")), near=True)
+    b = round_of(b) if suction else b
+    open_ = b.join(sided, "node_id").groupBy("body").agg(F.bool_or("boundary").alias("open"), F.first("side").alias("side"))
+    named = open_.select("body", (F.col("open") & (F.col("side") == 1)).alias("bath"), (F.col("open") & (F.col("side") == 0)).alias("atmosphere"))
+    if suction:
+        named = round_of(named)
+        across = e.filter(F.coalesce(F.col("_a") != F.col("_b"), F.lit(True))).select("src", "dst")  # a null side joins no body
+        for end in ("src", "dst"):
+            across = across.join(b.withColumnRenamed("node_id", "_n"), F.col(end) == F.col("_n")).withColumn(end, F.col("body")).drop("_n", "body")
+        of = named.withColumnRenamed("body", "node_id")
+        wet = connected_to(of.filter(~F.col("atmosphere")), across, F.col("bath")).select(F.col("node_id").alias("body"), F.lit(True).alias("_w"))
+        named = named.join(wet, "body", "left").select("body", F.coalesce("_w", F.lit(False)).alias("bath"), "atmosphere")
+    return b.join(named, "body").select("node_id", "bath", "atmosphere")
 
 
 def hops_from(seeds: DataFrame, edges: DataFrame, most: int, label: str = "label") -> DataFrame:

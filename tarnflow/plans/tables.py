@@ -46,7 +46,7 @@ def raster_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bath_atmosphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, links = maze(spark, sf_dir)
-    return graph.bath_and_atmosphere(cells.withColumn("below", F.col("k") < 3), links)
+    return graph.bath_and_atmosphere(cells.withColumn("below", F.col("k") < 3), graph.once(links))
 
 
 @query(
@@ -59,7 +59,7 @@ def bath_atmosphere(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connected_suction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bath with suction: what is joined to it without passing the atmosphere."""
     cells, links = maze(spark, sf_dir)
-    return graph.bath_and_atmosphere(cells.withColumn("below", F.col("k") < 3), links, suction=True).filter("bath").select("node_id")
+    return graph.bath_and_atmosphere(cells.withColumn("below", F.col("k") < 3), graph.once(links), suction=True).filter("bath").select("node_id")
 
 
 @query(

@@ -168,3 +168,38 @@ def test_only_levels_that_rose_feed_on(spark, monkeypatch):
     monkeypatch.setattr(graph, "round_of", seen)
     assert sorted(map(tuple, graph.fed_levels(full, throats).collect())) == [(k, 5.0) for k in range(1, 10)] + [(k, 4.0) for k in range(10, 40)]
     assert rose == [31, *[1] * 8, 0]
+
+
+def test_suction_goes_from_body_to_body_and_near_numbers_hang_on_one_of_their_batch(spark, monkeypatch):
+    import random
+
+    from tarnflow.operators import components
+
+    rng = random.Random(5)
+    n = {k: (rng.choice((True, True, False, False, None)), rng.random() < 0.03) for k in range(1200)}
+    nodes = spark.createDataFrame([(k, *v) for k, v in n.items()], "node_id long, below boolean, boundary boolean")
+    links = [(k, k + s) for k in n for s in (1, 40) if k + s in n and rng.random() < 0.7]
+    edges = spark.createDataFrame(links, "src long, dst long")
+
+    def reached(seeds, pairs):
+        pairs, found = list(pairs), set(seeds)
+        while more := {y for a, b in pairs for x, y in ((a, b), (b, a)) if x in found} - found:
+            found |= more
+        return found
+
+    same = [(a, b) for a, b in links if n[a][0] is not None and n[a][0] == n[b][0]]
+    open_ = reached((k for k in n if n[k][1]), same)
+    air = {k for k in open_ if n[k][0] is not True}  # of null, nothing is known
+    wet = reached(open_ - air, [(a, b) for a, b in links if a not in air and b not in air])
+    asked, inner, least = [], [], components._least
+    monkeypatch.setattr(graph, "connected_components", lambda e, **more: asked.append(e.count()) or components.connected_components(e, **more))
+    monkeypatch.setattr(components, "_least", lambda e: inner.append(e.count()) or least(e))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    try:
+        got = graph.bath_and_atmosphere(nodes, edges, suction=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(n) and {r.node_id for r in got if r.bath} == wet and len(wet - open_) > 10
+    assert {r.node_id for r in got if r.atmosphere} == {k for k in air if n[k][0] is False}
+    assert asked[0] == len(same) and asked[1] < len(links) - len(same)  # the second time only what crosses
+    assert inner[0] < len(n) + 200 and inner[1] * 4 < asked[0]  # stars, then what is between batches

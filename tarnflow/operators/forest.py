@@ -24,6 +24,8 @@ from tarnflow.operators.session import round_of
 BLOCK = 1 << 15
 #: Places of a tour whose minima one task looks at one by one.
 SPAN = 1 << 10
+#: The same where every place may be asked for many times: a row looks at so many.
+NEAR = 1 << 5
 #: Rows of a map from component to component, counted first, up to which it is broadcast.
 FEW = 20_000
 #: Links a node, about, that the first rounds of a forest take: so many that few nodes stay out of the large components.
@@ -201,48 +203,42 @@ class MergeTree:
             out = round_of(out)
         return out
 
-    def depths(self) -> DataFrame:
-        """(node, depth): steps up to the top, of nodes that have one."""
+    def places(self) -> DataFrame:
+        """(node, root, at, w): nodes in a row in which, at any level, each component is a run that begins with its name: a node,
+        then what has come up in it, the lowest level first. Trees follow one another; ``w`` is the level at which a node goes up."""
         if not self.steps:
             raise ValueError("no merges")
-        out = self.steps[0].select("node", F.col("node").alias("_at"), F.lit(0).cast("long").alias("depth"))
-        for k in reversed(range(len(self.steps))):
-            out = round_of(out.join(self._step(k), F.col("_at") == F.col("_n"), "left").select("node", F.coalesce("_u", "_at").alias("_at"), (F.col("depth") + F.when(F.col("_u").isNotNull(), 1 << k).otherwise(0)).alias("depth")))
-        return out.select("node", "depth")
+        ups = self.steps[0].select("node", "up", "w")
+        one = F.lit(1).cast("long")
+        size = round_of(ups.select("node").union(ups.select("up")).distinct().withColumn("n", one))
+        for step in self.steps:  # those fewer than 1, 2, 4 … steps below
+            more = step.select(F.col("node"), "up").join(size, "node").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("m"))
+            size = round_of(size.join(more, "node", "left").select("node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
+        kids = running(ups.join(size, "node"), ["w", "node"], F.col("n"), "upto", ["up"])
+        at = round_of(kids.select("node", F.col("up").alias("root"), (F.col("upto") - F.col("n") + 1).alias("at"), "w"))
+        for _ in self.steps:
+            on = at.select(F.col("node").alias("_n"), F.col("root").alias("_r"), F.col("at").alias("_a"))
+            at = round_of(at.join(on, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"), (F.col("at") + F.coalesce("_a", F.lit(0))).alias("at"), "w"))
+        tops = running(size.join(ups, "node", "left_anti"), ["node"], F.col("n"), "upto").select(F.col("node").alias("root"), (F.col("upto") - F.col("n")).alias("before"))
+        tops = round_of(tops)
+        below = at.join(tops, "root").select("node", "root", (F.col("before") + F.col("at")).alias("at"), "w")
+        return below.union(tops.select("root", "root", "before", F.lit(None).cast(ups.schema["w"].dataType)))
 
     def joined_at(self, pairs: DataFrame, a: str, b: str, name: str = "level") -> DataFrame:
-        """Adds the level at which two nodes become one component: that of the last step to their lowest common ancestor.
-        Null for nodes that never meet, and for a node with itself."""
+        """Adds the level at which two nodes become one component: the highest one at which any node between their places, the
+        later one included, goes up. Null for nodes that never meet, and for a node with itself."""
         if not self.steps:
             return pairs.withColumn(name, F.lit(None).cast("double"))
-        kind = self.steps[0].schema["w"].dataType
-        d = self.depths()
-        out = pairs.withColumns({"_x": F.col(a), "_y": F.col(b), "_lx": F.lit(None).cast(kind), "_ly": F.lit(None).cast(kind)})
-        for side in ("x", "y"):
-            out = out.join(d.select(F.col("node").alias("_n"), F.col("depth").alias(f"_d{side}")), F.col(f"_{side}") == F.col("_n"), "left").drop("_n").withColumn(f"_d{side}", F.coalesce(f"_d{side}", F.lit(0)))
+        p, out = round_of(self.places()), pairs
+        for side, n in ((a, "1"), (b, "2")):
+            t = p.select(F.col("node").alias("_n"), F.col("root").alias(f"_r{n}"), F.col("at").alias(f"_p{n}"))
+            out = out.join(t, F.col(side) == F.col("_n"), "left").drop("_n")
         out = round_of(out)
-
-        def climb(out: DataFrame, k: int, when: Column, sides: Sequence[str]) -> DataFrame:
-            out = out.withColumn("_go", when)
-            for s in sides:
-                t = self._step(k).toDF(f"_n{s}", f"_u{s}", f"_w{s}")
-                out = out.join(t, (F.col(f"_{s}") == F.col(f"_n{s}")), "left")
-            return out
-
-        last = len(self.steps) - 1
-        for k in range(last, -1, -1):  # the deeper one comes up to the other's depth
-            for side, other in (("x", "y"), ("y", "x")):
-                out = climb(out, k, F.col(f"_d{side}") - F.col(f"_d{other}") >= (1 << k), [side])
-                out = out.withColumns({f"_{side}": F.when(F.col("_go"), F.col(f"_u{side}")).otherwise(F.col(f"_{side}")), f"_l{side}": F.when(F.col("_go"), F.col(f"_w{side}")).otherwise(F.col(f"_l{side}")), f"_d{side}": F.col(f"_d{side}") - F.when(F.col("_go"), 1 << k).otherwise(0)}).drop("_go", f"_n{side}", f"_u{side}", f"_w{side}")
-            out = round_of(out)
-        for k in range(last, -1, -1):  # both come up while they stay apart
-            out = climb(out, k, F.lit(True), ["x", "y"]).withColumn("_go", F.col("_ux").isNotNull() & F.col("_uy").isNotNull() & (F.col("_ux") != F.col("_uy")))
-            for s in ("x", "y"):
-                out = out.withColumns({f"_{s}": F.when(F.col("_go"), F.col(f"_u{s}")).otherwise(F.col(f"_{s}")), f"_l{s}": F.when(F.col("_go"), F.col(f"_w{s}")).otherwise(F.col(f"_l{s}"))})
-            out = round_of(out.drop("_go", "_nx", "_ux", "_wx", "_ny", "_uy", "_wy"))
-        out = climb(out, 0, F.col("_x") != F.col("_y"), ["x", "y"])
-        met = F.when(~F.col("_go"), F.greatest("_lx", "_ly")).when(F.col("_ux") == F.col("_uy"), F.greatest("_wx", "_wy"))
-        return out.withColumn(name, met).select(*pairs.columns, name)
+        meet = F.coalesce((F.col("_r1") == F.col("_r2")) & (F.col("_p1") != F.col("_p2")), F.lit(False))
+        asked = out.filter(meet).select(*pairs.columns, (F.least("_p1", "_p2") + 1).alias("first"), F.greatest("_p1", "_p2").alias("last"))
+        got = range_extremes(p.select(F.col("at").alias("place"), F.col("w").alias("low"), F.col("w").alias("high")), asked, NEAR)
+        none = F.lit(None).cast(p.schema["w"].dataType).alias(name)
+        return got.select(*pairs.columns, F.col("most").alias(name)).union(out.filter(~meet).select(*pairs.columns, none))
 
 
 # ---- tours

@@ -203,3 +203,17 @@ def test_suction_goes_from_body_to_body_and_near_numbers_hang_on_one_of_their_ba
     assert {r.node_id for r in got if r.atmosphere} == {k for k in air if n[k][0] is False}
     assert asked[0] == len(same) and asked[1] < len(links) - len(same)  # the second time only what crosses
     assert inner[0] < len(n) + 200 and inner[1] * 4 < asked[0]  # stars, then what is between batches
+
+
+def test_pairs_are_joined_a_few_times_however_deep_their_tree_is(spark, monkeypatch):
+    from tarnflow.operators import forest
+
+    links = [(k, k + 1, float(100 - k)) for k in range(100)] + [(200, 201, 3.0)]  # 100 goes up in 99 first, and so on
+    tree = forest.MergeTree(forest.merges(spark.createDataFrame(links, "u long, v long, w double"), 16))
+    assert len(tree.steps) == 7
+    rows = [(n, n * 7 % 101, n * 31 % 101) for n in range(300)] + [(300, 5, 200), (301, 201, 200), (302, 5, 5), (303, None, 5), (304, 999, 5)]
+    rounds, round_of = [], forest.round_of
+    monkeypatch.setattr(forest, "round_of", lambda df: rounds.append("pair" in df.columns) or round_of(df))
+    got = {r[0]: r[3] for r in tree.joined_at(spark.createDataFrame(rows, "pair long, a long, b long"), "a", "b").collect()}
+    want = {n: float(100 - min(a, b)) if a != b else None for n, a, b in rows[:300]} | {300: None, 301: 3.0, 302: None, 303: None, 304: None}
+    assert got == want and sum(rounds) == 1

@@ -8,10 +8,12 @@ loops are left out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +32,77 @@ NEAR = 1 << 5
 FEW = 20_000
 #: Links a node, about, that the first rounds of a forest take: so many that few nodes stay out of the large components.
 LIGHT = 4
+#: Links that a task thins at once, and of a range's forest that it holds.
+THINNED = 1 << 20
+#: Links of a range that aren't worth it.
+FEW_LINKS = 1 << 15
 
 
-def simple(edges: DataFrame, weight: str | None = None) -> DataFrame:
-    """Each link once, u < v, with the least of its weights as ``w`` (without a weight: 0)."""
+def _upward(edges: DataFrame, weight: str | None) -> DataFrame:
+    """Links with a weight as (u, v, w), u < v."""
     w = F.lit(0) if weight is None else F.col(weight)
     e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), w.alias("w"), (F.col("u") != F.col("v")).alias("_ok"))
-    return e.filter(F.col("_ok") & F.col("w").isNotNull()).groupBy("u", "v").agg(F.min("w").alias("w"))
+    return e.filter(F.col("_ok") & F.col("w").isNotNull()).drop("_ok")
+
+
+def _least(links: DataFrame) -> DataFrame:
+    return links.groupBy("u", "v").agg(F.min("w").alias("w"))
+
+
+def simple(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """Each link once, u < v, with the least of its weights as ``w`` (without a weight: 0)."""
+    return _least(_upward(edges, weight))
+
+
+def _in_forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which links are in the spanning forest of the first ones, by Borůvka's rounds."""
+    n = len(u)
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, own = at[:n], at[n:], np.arange(len(ids))
+    live, taken = np.arange(n), np.zeros(n, bool)
+    while len(live):
+        best = np.full(len(ids), n)
+        np.minimum.at(best, a[live], live)
+        np.minimum.at(best, b[live], live)
+        out = np.flatnonzero(best < n)
+        link = best[out]
+        taken[link] = True
+        up = own.copy()
+        up[out] = a[link] + b[link] - out
+        up = np.where((up[up] == own) & (own < up), own, up)
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = up[a], up[b]
+        live = live[a[live] != b[live]]
+    return taken
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (u, v, w) without those that close a cycle of links before them, in the order (w, u, v), in their range of (u, v). The
+    forest of all links has none of these. Where numbers that are near share links, little more than a forest is left; elsewhere
+    few are lost. A task holds ``THINNED`` links and a forest of as many; a larger forest is given out, and the next one begun."""
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        fresh = 0
+
+        def cut() -> pa.Table:
+            table = pa.Table.from_batches(held)
+            return table.filter(pa.array(_in_forest(table["u"].to_numpy(), table["v"].to_numpy())))
+
+        for batch in batches:
+            held.append(batch)
+            fresh += batch.num_rows
+            if fresh >= THINNED:
+                kept = cut()
+                held, fresh = kept.to_batches(), 0
+                if len(kept) >= THINNED:
+                    yield from held
+                    held = []
+        if held:
+            yield from cut().to_batches() if sum(b.num_rows for b in held) > FEW_LINKS else held
+
+    return links.repartitionByRange("u", "v").sortWithinPartitions("w", "u", "v").mapInArrow(forests, links.schema)
 
 
 def followed(pointers: DataFrame) -> DataFrame:
@@ -94,8 +160,9 @@ def bottleneck_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
 
     A round takes the first link out of every component. These links form trees with one link chosen from both sides each:
     its smaller end is where the pointers of the tree lead, which names the new component. Where there are many links a node,
-    rounds over the lightest come first: most of the rest then lie inside a component, and are dropped in one pass."""
-    e = round_of(simple(edges, weight))
+    rounds over the lightest come first: most of the rest then lie inside a component, and are dropped in one pass. Before, the
+    links of each range are thinned, so that no more than one shuffle sees them all."""
+    e = round_of(_least(thinned(_upward(edges, weight))))
     found: list[DataFrame] = []
     link = F.struct("w", "u", "v").alias("link")
     light = _light(e)
@@ -182,7 +249,7 @@ def merges(forest: DataFrame, block: int = BLOCK) -> DataFrame:
 
 class MergeTree:
     """Look-up tables over the merges of a forest: of each node, where 1, 2, 4 … steps up lead, and the level of the last one.
-    Levels rise on the way up, so a component at a level is found by halving steps."""
+    Levels rise on the way up, so a component at a level is found by steps of a quarter: those who ask pass once for two lengths of steps."""
 
     def __init__(self, tree: DataFrame) -> None:
         step = round_of(tree.select("node", "up", "w", F.lit(1).cast("long").alias("steps")))
@@ -192,15 +259,22 @@ class MergeTree:
             on = step.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("w").alias("_w"))
             step = round_of(step.join(on, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"), F.col("_w").alias("w"), (2 * F.col("steps")).alias("steps")))
 
-    def _step(self, k: int) -> DataFrame:
-        return self.steps[k].select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("w").alias("_w"))
+    def _three(self, k: int) -> DataFrame:
+        """Where 2^k steps lead from a node, once, twice and three times, and the levels of the last ones."""
+        step = lambda k, i: self.steps[k].select(F.col("node").alias(f"_n{i}"), F.col("up").alias(f"_u{i}"), F.col("w").alias(f"_w{i}"))
+        once = step(k, 1).withColumnRenamed("_n1", "_n")
+        if k + 1 == len(self.steps):  # no node has two such steps above it
+            return once
+        return once.join(step(k + 1, 2), F.col("_n") == F.col("_n2"), "left").join(step(k, 3), F.col("_u2") == F.col("_n3"), "left").drop("_n2", "_n3")
 
     def component_at(self, asked: DataFrame, node: str, level: str, name: str = "component") -> DataFrame:
         """Adds the smallest node that a node is joined with over links of at most a level."""
         out = asked.withColumn(name, F.col(node))
-        for k in reversed(range(len(self.steps))):
-            out = out.join(self._step(k), (F.col(name) == F.col("_n")) & (F.col("_w") <= F.col(level)), "left").withColumn(name, F.coalesce("_u", name)).drop("_n", "_u", "_w")
-            out = round_of(out)
+        for k in reversed(range(0, len(self.steps), 2)):
+            ways = self._three(k)
+            out = out.join(ways, F.col(name) == F.col("_n"), "left")
+            higher = F.coalesce(*(F.when(F.col(f"_w{i}") <= F.col(level), F.col(f"_u{i}")) for i in (3, 2, 1) if f"_u{i}" in ways.columns), name)
+            out = round_of(out.withColumn(name, higher).select(*asked.columns, name))
         return out
 
     def places(self) -> DataFrame:

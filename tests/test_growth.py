@@ -217,3 +217,44 @@ def test_pairs_are_joined_a_few_times_however_deep_their_tree_is(spark, monkeypa
     got = {r[0]: r[3] for r in tree.joined_at(spark.createDataFrame(rows, "pair long, a long, b long"), "a", "b").collect()}
     want = {n: float(100 - min(a, b)) if a != b else None for n, a, b in rows[:300]} | {300: None, 301: 3.0, 302: None, 303: None, 304: None}
     assert got == want and sum(rounds) == 1
+
+
+def test_links_of_a_range_are_thinned_before_the_rounds(spark, monkeypatch):
+    import random
+
+    from tarnflow.operators import forest
+
+    rng = random.Random(11)
+    links = [(1000 * g + a, 1000 * g + b, rng.randrange(300)) for g in range(4) for a in range(60) for b in range(60)]
+    df = spark.createDataFrame(links, "u long, v long, w long").repartition(5)
+    weights = {"w": F.col("w"), "inside": F.struct("w", "u")}
+    plain = {n: sorted(map(tuple, forest.bottleneck_forest(df.withColumn("x", w), "x").collect())) for n, w in weights.items()}
+    took, rounds = [], forest._rounds
+    monkeypatch.setattr(forest, "_rounds", lambda e, found: took.append(e.count()) or rounds(e, found))
+    monkeypatch.setattr(forest, "FEW_LINKS", 100)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 150)
+    try:
+        for most, n in ((500, "inside"), (500, "w"), (100, "w")):  # the last with forests given out that are too large to hold
+            monkeypatch.setattr(forest, "THINNED", most)
+            took.clear()
+            assert sorted(map(tuple, forest.bottleneck_forest(df.withColumn("x", weights[n]), "x").collect())) == plain[n]
+            assert most == 100 or sum(took) < 4 * 60 * 2  # of 7080
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_those_who_ask_for_components_pass_once_for_two_lengths_of_steps(spark, monkeypatch):
+    from tarnflow.operators import forest
+
+    for n, steps in ((100, 7), (50, 6)):
+        links = [(k, k + 1, float(n - k)) for k in range(n)] + [(200, 201, 3.0)]  # node n goes up in n - 1 first, and so on
+        tree = forest.MergeTree(forest.merges(spark.createDataFrame(links, "u long, v long, w double"), 16))
+        assert len(tree.steps) == steps
+        rows = [(x, x % (n + 1), float(x * 31 % (n + 3))) for x in range(300)] + [(300, 201, 2.5), (301, 201, 3.0), (302, 5, None), (303, None, 5.0), (304, 999, 5.0)]
+        rounds, round_of = [], forest.round_of
+        with monkeypatch.context() as m:
+            m.setattr(forest, "round_of", lambda df: rounds.append("asked" in df.columns) or round_of(df))
+            got = {r[0]: r[3] for r in tree.component_at(spark.createDataFrame(rows, "asked long, node long, level double"), "node", "level").collect()}
+        want = {i: min(x, max(0, n - int(t))) for i, x, t in rows[:300]} | {300: 201, 301: 200, 302: 5, 303: None, 304: 999}
+        assert got == want and sum(rounds) == (steps + 1) // 2

@@ -1,7 +1,10 @@
-"""Main text of web pages: markup where it tells content from the rest, a host suffix array where it doesn't.
+"""Main text of web pages by markup and the suffix arrays of their host.
 
 A page that marks its content (article, main, role=main) gives the text of those elements, without the parts in them that
-elements, roles or class names mark as something else. A page that doesn't gives a stream of words of all that markup
+elements, roles or class names mark as something else, and without the host's template: runs of ``LONG`` words on more than
+``SHARE`` of the different texts that at least ``LEAST`` marked pages of the host give (a notice in every article). Copies of an article
+are one text, and passages that fewer articles share stay. Each chunk of a host's texts has its suffixes sorted once; what is on so many
+of all is on so many of a chunk, so the runs found there are all that are counted over the host. A page that doesn't gives a stream of words of all that markup
 leaves undecided; the streams of a host are concatenated, their suffixes sorted, and every run of at least ``LONG`` words
 that stands on two different pages is boilerplate: it is removed and the runs between stay. A page that is nothing but
 such runs is a copy and stays whole. A host's pages are compared in pairs of chunks (``blocks``), so any two pages of it
@@ -27,6 +30,11 @@ from tarnflow.llm import common as C
 
 LONG = 12
 CHUNK = 256
+#: The part of a host's different marked texts, in quarters, that its template is on more than; and how many texts there must be.
+SHARE = 3
+LEAST = 8
+#: Runs of templates, counted first, up to which they are broadcast.
+FEW_RUNS = 20_000
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*+(?:>|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)(?:>|\Z)""",
@@ -137,23 +145,19 @@ def extract(page: str) -> tuple[bool, str]:
     return marked, " ".join(entities.unescape("".join(inside if marked else everything)).split())
 
 
-def repeated(streams: list[list[str]], apart: np.ndarray, least: int = LONG) -> list[np.ndarray]:
-    """Of each stream, the positions of words inside a run of ``least`` words that stands in another stream too.
-
-    ``apart``: -1, or the side of a stream; then only runs on both sides count. Suffixes of the concatenation are sorted by
-    their first ``least`` words (prefix doubling); neighbours in that order with equal beginnings share such a run."""
+def _suffixes(streams: list[list[str]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each stream, stream of each word, places of the suffixes of ``least`` words or more in order, where in that order
+    suffixes with another beginning of ``least`` words come). Suffixes of the concatenation are sorted by prefix doubling."""
     lengths = np.fromiter(map(len, streams), np.int64, len(streams))
     ids: dict[str, int] = {}
     words = np.fromiter((ids.setdefault(w, len(ids)) for s in streams for w in s), np.int64, int(lengths.sum()))
     n, owner = len(words), np.repeat(np.arange(len(streams)), lengths)
-    if not n:
-        return [np.zeros(0, np.int64) for _ in streams]
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
     rank, k = words, 1
-    while k < least:
+    while k < least and n:
         # Rank of the first min(2k, least) words; a stream's end is a word below all others.
         step = min(k, least - k)
-        later = np.concatenate((rank[step:], np.full(step, -1)))
+        later = np.concatenate((rank[step:], np.full(step, -1)))[:n]
         later[left <= step] = -1
         order = np.lexsort((later, rank))
         fresh = (np.diff(rank[order], prepend=-2) != 0) | (np.diff(later[order], prepend=-2) != 0)
@@ -162,9 +166,17 @@ def repeated(streams: list[list[str]], apart: np.ndarray, least: int = LONG) ->
         k += step
     order = np.argsort(rank, kind="stable")
     order = order[left[order] >= least]
-    out = np.zeros(n + 1, np.int64)
+    return lengths, owner, order, np.flatnonzero(np.diff(rank[order], prepend=-1))
+
+
+def repeated(streams: list[list[str]], apart: np.ndarray, least: int = LONG) -> list[np.ndarray]:
+    """Of each stream, the positions of words inside a run of ``least`` words that stands in another stream too.
+
+    ``apart``: -1, or the side of a stream; then only runs on both sides count. Neighbours in the order of suffixes with equal
+    beginnings share such a run."""
+    lengths, owner, order, first = _suffixes(streams, least)
+    out = np.zeros(len(owner) + 1, np.int64)
     if len(order):
-        first = np.flatnonzero(np.diff(rank[order], prepend=-1))
         who = owner[order] if apart[0] < 0 else apart[owner[order]]
         varied = np.maximum.reduceat(who, first) != np.minimum.reduceat(who, first)
         hit = order[np.repeat(varied, np.diff(np.append(first, len(order))))]
@@ -175,11 +187,92 @@ def repeated(streams: list[list[str]], apart: np.ndarray, least: int = LONG) ->
     return [np.flatnonzero(covered[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def common(streams: list[list[str]], least: int = LONG) -> list[str]:
+    """The runs of ``least`` words that stand in more than ``SHARE`` quarters of the streams."""
+    _, owner, order, first = _suffixes(streams, least)
+    if not len(order):
+        return []
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    who = np.unique(run * len(streams) + owner[order]) // len(streams)
+    most = np.flatnonzero(4 * np.bincount(who) > SHARE * len(streams))
+    flat = [w for s in streams for w in s]
+    return [" ".join(flat[i : i + least]) for i in order[first[most]].tolist()]
+
+
+def _found(words: list[str], runs: set[str]) -> list[int]:
+    """Where runs of ``LONG`` words begin."""
+    return [i for i in range(len(words) - LONG + 1) if " ".join(words[i : i + LONG]) in runs] if runs else []
+
+
+def without(text: str, runs: set[str]) -> str:
+    """A text without runs of ``LONG`` words; a text that is nothing else stays whole."""
+    words = text.split(" ")
+    out = {i + d for i in _found(words, runs) for d in range(LONG)}
+    return " ".join(w for i, w in enumerate(words) if i not in out) if len(out) < len(words) else text
+
+
 def _texts(batch: pa.RecordBatch) -> list[pa.Array]:
     found = [extract(p.as_py() or "") for p in batch["_html"]]
     return [pa.array([m for m, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.string())]
 
 
+def _cut(batch: pa.RecordBatch) -> list[pa.Array]:
+    """As ``_texts``, marked texts without their host's template."""
+    marked, texts = _texts(batch)
+    cut = [without(t, set(r)) if m and r else t for m, t, r in zip(marked.to_pylist(), texts.to_pylist(), batch["runs"].to_pylist(), strict=True)]
+    return [marked, pa.array(cut, pa.string())]
+
+
+def _joined(rows: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """Adds the array ``runs`` of a host, from (host, run)."""
+    sets = runs.groupBy("host").agg(F.collect_set("run").alias("runs"))
+    return rows.join(F.broadcast(sets) if runs.limit(FEW_RUNS + 1).count() <= FEW_RUNS else sets, "host", how)
+
+
+def _surveyed(each: DataFrame) -> DataFrame:
+    """Of (page, host, _html): the undecided pages (page, host, text), and runs (page null, host, runs) on so many of a chunk's
+    different marked texts that they may be their host's template."""
+
+    def flush(table: pa.Table, group: np.ndarray, crossed: np.ndarray) -> pa.RecordBatch:
+        marked, texts = np.asarray(table["marked"]), table["text"].to_pylist()
+        plain = np.flatnonzero(~marked)
+        pages, hosts = table["page"].take(plain).to_pylist(), np.asarray(table["host"])
+        host, text, runs = hosts[plain].tolist(), [texts[i] for i in plain], [None] * len(plain)
+        chunks = np.asarray(table["n"])
+        for g in np.unique(group[marked]):
+            rows = np.flatnonzero((group == g) & marked)
+            streams = [t.split(" ") for t in sorted({texts[i] for i in rows})]
+            if len(streams) >= LEAST or chunks[rows[0]] > 1:
+                if of := common(streams):
+                    pages.append(None)
+                    host.append(int(hosts[rows[0]]))
+                    text.append(None)
+                    runs.append(of)
+        return pa.RecordBatch.from_arrays([pa.array(pages, pa.binary()), pa.array(host, pa.int64()), pa.array(text, pa.string()), pa.array(runs, pa.list_(pa.string()))], names=["page", "host", "text", "runs"])
+
+    many = blocks.large(each.select("host"), ["host"], CHUNK).select("host", F.ceil(F.col("count") / CHUNK).cast("int").alias("n"))
+    few = many.limit(blocks.MOST_BROADCAST + 1).count() <= blocks.MOST_BROADCAST
+    rows = each.join(F.broadcast(many) if few else many, "host", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rows = C.mapped(rows, "marked boolean, text string", _texts, ("_html",)).filter("text <> ''")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("n")).cast("int")).withColumns({"a": F.col("chunk"), "b": F.col("chunk")})
+    return blocks.compared(rows, ["host"], "page", "page binary, host long, text string, runs array<string>", flush)
+
+
+def _template(each: DataFrame, maybe: DataFrame) -> DataFrame:
+    """(host, run): which of the runs (host, run) are on more than ``SHARE`` quarters of their host's different marked texts."""
+
+    def hits(batch: pa.RecordBatch) -> list[pa.Array]:
+        marked, texts = _texts(batch)
+        of = [sorted({" ".join(w[i : i + LONG]) for i in _found(w, set(r))}) for w, r in ((t.split(" "), r) for t, r in zip(texts.to_pylist(), batch["runs"].to_pylist(), strict=True))]
+        return [marked, texts, pa.array(of, pa.list_(pa.string()))]
+
+    rows = C.mapped(_joined(each, maybe, "inner"), "marked boolean, text string, of array<string>", hits, ("_html", "runs"))
+    rows = C.checkpointed(rows.filter("marked and text <> ''").select("host", F.unhex(F.sha2("text", 256)).alias("text"), "of").dropDuplicates(["host", "text"]))
+    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= LEAST)
+    found = rows.select("host", F.explode("of").alias("run")).groupBy("host", "run").count().join(total, "host")
+    return found.filter(4 * F.col("count") > SHARE * F.col("total")).select("host", "run")
+
+
 def _boilerplate(undecided: DataFrame) -> DataFrame:
     """(page, words): positions of boilerplate words in the texts of (host, page, text)."""
 
@@ -210,9 +303,16 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", carry: lis
     host = F.lower(F.when(host == "", F.coalesce("_url", F.lit(""))).otherwise(host))
     named = inner.withColumn("page", F.unhex(F.sha2(F.concat_ws("\n", host, "_html"), 256)))
     each = named.select("page", F.xxhash64(host).alias("host"), "_html")
-    found = C.mapped(each, fields, _texts, ("_html",)).filter("not marked and text <> ''").drop("marked")
-    undecided = C.checkpointed(found.dropDuplicates(["page"]))
-    texts = C.mapped(inner.filter(may), fields, _texts, ("_html", "_url")).filter("marked or text = ''")
+    found = C.checkpointed(_surveyed(each))
+    undecided = C.checkpointed(found.filter("page is not null").select("page", "host", "text").dropDuplicates(["page"]))
+    maybe = found.filter("page is null").select("host", F.explode("runs").alias("run")).distinct()
+    shown = inner.filter(may)
+    if maybe.isEmpty():
+        texts = C.mapped(shown, fields, _texts, ("_html", "_url"))
+    else:
+        template = C.checkpointed(_template(each, maybe))
+        texts = C.mapped(_joined(shown.withColumn("host", F.xxhash64(host)), template, "left"), fields, _cut, ("_html", "_url", "host", "runs"))
+    texts = texts.filter("marked or text = ''")
     none = C.mapped(inner.filter(~may), fields, _texts, ("_html", "_url")).filter("text = ''")
     done = texts.unionByName(none).select(*(f"_in_{i}" for i in range(len(names))), "text")
     if not undecided.isEmpty():

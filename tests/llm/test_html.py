@@ -88,3 +88,31 @@ def test_query_on_the_pages(spark):
     for page_id, page in pages:  # all pages of the table have one article
         body = re.search(r"(?s)<article>(.*?)</article>", page)[1]
         assert rows[page_id] == " ".join(entities.unescape(re.sub(r"</?(p|h1|br|ul|li)\b[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
+
+
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_articles_lose_the_notice_that_their_host_puts_in_them(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html, "CHUNK", chunk)
+    notice = " ".join(f"notice{i}" for i in range(14))
+    shared = " ".join(f"shared{i}" for i in range(20))
+    own = {k: " ".join(f"own{k}x{i}" for i in range(30)) for k in range(40)}
+    rows, want = [], {}
+
+    def page(host, text, expected):
+        want[len(rows)] = expected
+        rows.append((len(rows), f"https://{host}/p", f"<nav>menu</nav><article>{text}</article>"))
+
+    for k in range(12):  # a template on 11 of 12 articles, a passage on 8 of them
+        passage = f" {shared}" if k < 8 else ""
+        page("a.example", f"<p>{own[k]}</p>" + (f"<p>{notice}</p>" if k else "") + f"<p>end{k}{passage}</p>", f"{own[k]} end{k}{passage}")
+    page("a.example", notice, notice)  # nothing else: it stays
+    for _ in range(20):  # copies are one text
+        page("b.example", own[20], own[20])
+    for k in range(7):  # too few texts
+        page("c.example", f"{own[k]} {notice}", f"{own[k]} {notice}")
+    for k in range(12):  # on 9 of 12, which isn't more than three quarters
+        page("d.example", own[k] + (f" {notice}" if k < 9 else ""), own[k] + (f" {notice}" if k < 9 else ""))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.main_text(df).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(want)
+    assert all(r.n_chars == len(r.text) for r in got)
